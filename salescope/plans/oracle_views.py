@@ -80,4 +80,10 @@ def with_views(body: str, *names: str) -> str:
     for n in names:
         add(n)
     ctes = ",\n".join(f"{n} AS ({VIEWS[n]})" for n in order)
-    return f"WITH {ctes}\n{body}"
+    b = body.lstrip()
+    if b[:5].lower() == "with ":
+        # the body's own CTEs continue the list
+        return f"WITH {ctes},\n{b[5:]}"
+    if b.startswith(","):
+        return f"WITH {ctes}{b}"
+    return f"WITH {ctes}\n{b}"
