@@ -51,5 +51,5 @@ def register(name: str, sql: str | None = None):
 
 def load_all():
     """Import the modules that register queries."""
-    from . import queries_core, queries_compare, queries_leads  # noqa: F401
+    from . import queries_core, queries_compare, queries_leads, queries_clients  # noqa: F401
     return QUERIES, ORACLE
