@@ -130,9 +130,9 @@ def valid_bucket_key(key, grouping: str) -> Column:
     g = check_grouping(grouping)
     shape = k.rlike(KEY_PATTERNS[g])
     if g == "day":
-        ok = F.try_to_date(k, F.lit("yyyy-MM-dd")).isNotNull()
+        ok = F.try_to_date(k, "yyyy-MM-dd").isNotNull()
     elif g == "month":
-        ok = F.try_to_date(F.concat(k, F.lit("-01")), F.lit("yyyy-MM-dd")).isNotNull()
+        ok = F.try_to_date(F.concat(k, F.lit("-01")), "yyyy-MM-dd").isNotNull()
     elif g == "week":
         y = F.substring(k, 1, 4).try_cast("int")
         w = F.substring(k, 7, 2).try_cast("int")

@@ -38,7 +38,7 @@ def _lit_date(d) -> Column:
 
 
 def _try_date(s: Column, fmt: str) -> Column:
-    d = F.try_to_date(s, F.lit(fmt))
+    d = F.try_to_date(s, fmt)
     if fmt.endswith("/yy"):
         # strptime's %y pivots at 69 (69..99 -> 19xx); Spark's yy maps to 2000..2099.
         d = F.when(F.year(d) >= 2069, F.add_months(d, -1200)).otherwise(d)
@@ -85,7 +85,7 @@ def normalize_iso(c) -> Column:
     c = _col(c)
     s = F.trim(c.cast("string"))
     shape = s.rlike(r"^\d{4}-\d{2}-\d{2}$")
-    parsed = F.coalesce(*[F.try_to_date(s, F.lit(f)) for f in ISO_FALLBACK_FORMATS])
+    parsed = F.coalesce(*[F.try_to_date(s, f) for f in ISO_FALLBACK_FORMATS])
     return (F.when(is_blank(c), F.lit(None).cast("string"))
              .when(shape, s)
              .otherwise(F.date_format(parsed, "yyyy-MM-dd")))

@@ -5,6 +5,8 @@ that is NULL when the value passes, so several rules combine with
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -46,7 +48,9 @@ def source_key(c) -> Column:
     """Lower-case, trim and strip the platform suffixes (before the lookup)."""
     k = F.trim(F.lower(_col(c)))
     for suf in SOURCE_SUFFIXES:
-        k = F.when(k.endswith(suf), F.trim(k.substr(F.lit(1), F.length(k) - len(suf)))).otherwise(k)
+        # "ends with suffix -> drop it and trim" as one linear expression per
+        # step (a nested when() would repeat k three times per step)
+        k = F.regexp_replace(k, " *" + re.escape(suf) + "$", "")
     return k
 
 
@@ -73,13 +77,18 @@ def required_string(c, field: str) -> tuple[Column, Column]:
     return t, err
 
 
+# Fixed value: accepted numeric text.
+NUMBER_PATTERN = r"^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?$"
+
+
 def positive_number(c, field: str) -> tuple[Column, Column]:
     """(double value, error).  Text must parse as a finite number > 0.
     NaN / infinity / '1_000' are rejected (tightening documented in README)."""
     c = _col(c)
     t = F.trim(c.cast("string"))
     v = t.try_cast("double")
-    bad = v.isNull() | F.isnan(v) | (F.abs(v) == float("inf"))
+    # plain decimal / exponent syntax only (Spark's cast would also take "1d")
+    bad = ~t.rlike(NUMBER_PATTERN) | v.isNull() | F.isnan(v) | (F.abs(v) == float("inf"))
     err = (F.when(c.isNull(), F.lit(f"field '{field}' is required"))
              .when(t == "", F.lit(f"field '{field}' is empty"))
              .when(bad, F.concat(F.lit(f"field '{field}' must be numeric, got: "), t))

@@ -61,6 +61,16 @@ select event_id+2 as row_no,
        case when event_type='signup' then strftime(cast(ts as date) + 3,'%Y-%m-%d') end as meeting_date,
        case when event_type in ('signup','purchase') then cast(user_id as varchar) end as client_id
 from (select *, cast(regexp_extract(props,'([0-9]+)',1) as int) as k from events) t""",
+    "raw_spend": """
+select event_id+2 as row_no,
+       case event_id%10 when 0 then 'Facebook Lead Ads' when 1 then ' IG ' when 2 then 'google_ads'
+            when 3 then 'Google Search Ads' when 4 then 'LinkedIn' when 5 then 'tiktok-ads' when 6 then 'CSV'
+            when 7 then 'meta ads' when 8 then '' else 'newsletter_ads' end as source,
+       case when event_id%17=0 then '' when event_id%19=0 then 'n/a' when event_id%23=0 then '0'
+            else printf('%.3f', value) end as amount,
+       case when event_id%13=0 then '13/13/2024' when event_id%11=0 then ''
+            when event_id%3=0 then strftime(ts,'%d-%m-%Y') else strftime(ts,'%Y-%m-%d') end as date
+from events where event_type='click'""",
 }
 
 # Views built on other views.

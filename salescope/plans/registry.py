@@ -51,5 +51,6 @@ def register(name: str, sql: str | None = None):
 
 def load_all():
     """Import the modules that register queries."""
-    from . import queries_core, queries_compare, queries_leads, queries_clients, queries_quality  # noqa: F401
+    from . import (queries_core, queries_compare, queries_leads, queries_clients,  # noqa: F401
+                   queries_quality, queries_ingest)
     return QUERIES, ORACLE

@@ -194,7 +194,32 @@ def raw_leads(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def raw_spend(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All-text marketing spend rows (one per click event) for the spend
+    importer: platform spellings, amounts with blanks / text / zero, dates in
+    several layouts or blank."""
+    e = read_table(spark, sf_dir, "events").select("event_id", "ts", "event_type", "value")
+    e = e.filter(F.col("event_type") == "click")
+    eid = F.col("event_id")
+    ts = F.col("ts")
+    spellings = ["Facebook Lead Ads", " IG ", "google_ads", "Google Search Ads", "LinkedIn",
+                 "tiktok-ads", "CSV", "meta ads", "", "newsletter_ads"]
+    m = eid % 10
+    src = F.lit(spellings[-1])
+    for i in range(len(spellings) - 2, -1, -1):
+        src = F.when(m == i, F.lit(spellings[i])).otherwise(src)
+    return e.select(
+        (eid + 2).alias("row_no"),
+        src.alias("source"),
+        F.when(eid % 17 == 0, F.lit("")).when(eid % 19 == 0, F.lit("n/a")).when(eid % 23 == 0, F.lit("0"))
+         .otherwise(F.format_string("%.3f", F.col("value"))).alias("amount"),
+        F.when(eid % 13 == 0, F.lit("13/13/2024")).when(eid % 11 == 0, F.lit(""))
+         .when(eid % 3 == 0, F.date_format(ts, "dd-MM-yyyy")).otherwise(F.date_format(ts, "yyyy-MM-dd")).alias("date"),
+    )
+
+
 TABLES = {
+    "raw_spend": raw_spend,
     "sales": sales,
     "sales_dup": sales_dup,
     "clients": clients,
