@@ -32,10 +32,14 @@ def _stream(spark: SparkSession, input_dir: str, headers: list[str], kind: str,
                 .option("sep", sep).csv(input_dir))
     m = map_headers(headers, kind)
     return raw.select(F.input_file_name().alias("_file"),
-                      F.monotonically_increasing_id().alias("row_no"),
                       *[F.col(f"`{real}`").alias(logical) for logical, real in m.items()])
 
 
+def _numbered(df: DataFrame) -> DataFrame:
+    """Row reference inside a micro-batch (scan order; not a line number)."""
+    return df.withColumn("row_no", F.monotonically_increasing_id())
+
+
 def _write(df: DataFrame, path: str, batch_id: int):
     (df.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite")
        .option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(path))
@@ -47,7 +51,7 @@ def start_sales_import(spark: SparkSession, input_dir: str, output_dir: str, che
     src = _stream(spark, input_dir, headers, "sales", sep)
 
     def batch(df: DataFrame, batch_id: int):
-        valid, rejected = I.validate_sales(df, as_of)
+        valid, rejected = I.validate_sales(_numbered(df), as_of)
         _write(valid, f"{output_dir}/sales", batch_id)
         _write(rejected, f"{output_dir}/rejected", batch_id)
 
@@ -70,7 +74,8 @@ def start_leads_import(spark: SparkSession, input_dir: str, store_path: str, cli
         except Exception:  # noqa: BLE001 - empty store on the first batch
             store = spark_.createDataFrame([], "id string, external_id string, created_at date, source string, "
                                                "status string, meeting_date date, client_id string")
-        res = I.import_leads(df, store.select(*I.LEAD_COLS), clients, as_of, on_unknown_client="null")
+        res = I.import_leads(_numbered(df), store.select(*I.LEAD_COLS), clients, as_of,
+                             on_unknown_client="null")
         # materialise before appending: the store is also an input of this batch
         new = res.valid.select(*I.LEAD_COLS).checkpoint(eager=True)
         new.write.mode("append").parquet(store_path)
