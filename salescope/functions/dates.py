@@ -107,11 +107,16 @@ def urgency_band(age_days) -> Column:
     return F.when(a > 30, "old").when(a >= 7, "aging").otherwise("recent")
 
 
+# Meeting badge texts for today / tomorrow.
+BADGE_TODAY = "HOY"
+BADGE_TOMORROW = "MAÑANA"
+
+
 def meeting_badge(meeting_date, as_of) -> Column:
-    """Today / tomorrow / ISO date."""
+    """Today / tomorrow badge, else the ISO date."""
     m = _col(meeting_date)
     t = _lit_date(as_of)
-    return (F.when(m == t, "today").when(m == F.date_add(t, 1), "tomorrow")
+    return (F.when(m == t, F.lit(BADGE_TODAY)).when(m == F.date_add(t, 1), F.lit(BADGE_TOMORROW))
              .otherwise(F.date_format(m, "yyyy-MM-dd")))
 
 

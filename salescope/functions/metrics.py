@@ -46,15 +46,16 @@ def delta_arrow(a, b) -> Column:
     return F.when(b > a, "↑").when(b < a, "↓").otherwise("—")
 
 
-def funnel_insight(meetings, converted_from_meeting) -> Column:
-    """Category of the funnel state."""
-    m, c = _col(meetings), _col(converted_from_meeting)
+def funnel_insight(meetings, converted) -> Column:
+    """Funnel state: no meetings / meetings but no client yet / normal."""
+    m, c = _col(meetings), _col(converted)
     return (F.when(m == 0, "no_meetings").when(c == 0, "meetings_no_conversion")
              .otherwise("normal"))
 
 
-def funnel_insight_text(meetings, converted_from_meeting, pct) -> Column:
-    m, c, p = _col(meetings), _col(converted_from_meeting), _col(pct)
-    return (F.when(m == 0, F.lit("No meetings yet"))
-             .when(c == 0, F.format_string("%d meetings, none converted", m))
-             .otherwise(F.format_string("%.1f%% of meetings converted", p)))
+def funnel_insight_text(meetings, converted, converted_from_meeting) -> Column:
+    """S28 sub-line: 'x of n meetings converted · total clients: c'."""
+    m, c, cfm = _col(meetings), _col(converted), _col(converted_from_meeting)
+    return (F.when(m == 0, F.lit(""))
+             .otherwise(F.format_string("%d of %d meetings converted · total clients: %d",
+                                        F.when(c == 0, F.lit(0)).otherwise(cfm), m, c)))
