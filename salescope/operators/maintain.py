@@ -99,6 +99,28 @@ def update_leads(leads: DataFrame, updates: DataFrame) -> Upsert:
     return Upsert(table, applied, rejected)
 
 
+def insert_leads(leads: DataFrame, new: DataFrame) -> Upsert:
+    """M3 insert: rows (id, external_id, created_at, source, status,
+    meeting_date, client_id); status must be valid (S22, stored lower-case),
+    meeting_date blank or yyyy-mm-dd, ids must be new (in the store and in
+    the batch: first row per id wins)."""
+    known = leads.select(F.col("id").alias("_kid"))
+    n = new.join(known, new.id == known._kid, "left")
+    err = F.coalesce(F.when(F.col("_kid").isNotNull(), F.lit("lead id already exists")),
+                     F.when(~valid_lead_status("status"), F.lit("invalid status")),
+                     F.when(~valid_meeting_date_text(F.col("meeting_date").cast("string")),
+                            F.lit("invalid meeting date")))
+    chk = n.select(*new.columns, err.alias("error"))
+    ok = (chk.filter(F.col("error").isNull())
+             .groupBy("id").agg(F.min_by(F.struct(*[c for c in new.columns if c != "id"]),
+                                         F.col("created_at")).alias("_r"))
+             .select("id", "_r.*")
+             .withColumn("status", F.lower(F.trim("status")))
+             .withColumn("meeting_date", F.col("meeting_date").cast("date")))
+    table = leads.unionByName(ok.select(*leads.columns))
+    return Upsert(table, ok, chk.filter(F.col("error").isNotNull()))
+
+
 def upsert_spend(base: DataFrame, changes: DataFrame, as_of) -> Upsert:
     """M4: rows (id, source, amount, date): source normalised (S3) and
     required, amount > 0 rounded to 2 dp, date ISO (S2) or ``as_of`` when

@@ -140,3 +140,13 @@ def marketing_metrics_filtered(leads: DataFrame, spend: DataFrame, sales: DataFr
 def best_channel(metrics: DataFrame) -> DataFrame:
     """K4: the source with the highest positive ROI (no row when none)."""
     return metrics.filter(F.col("roi") > 0).orderBy(F.desc("roi"), F.asc("source")).limit(1)
+
+
+def sources_with_leads(metrics: DataFrame) -> DataFrame:
+    """F7 (table): only sources that have leads."""
+    return metrics.filter(F.col("leads") > 0)
+
+
+def sources_for_chart(metrics: DataFrame) -> DataFrame:
+    """F7 (chart): only sources with revenue or spend."""
+    return metrics.filter((F.col("revenue") > 0) | (F.col("spend") > 0))

@@ -133,3 +133,31 @@ def test_streaming_leads_import(spark):
     q.awaitTermination(120)
     st = rows(spark.read.parquet(d + "/store"))
     assert len(st) == 1 and st[0]["source"] == "meta_ads"
+
+
+def test_import_mixed_counts(spark):
+    raw = spark.createDataFrame([
+        (2, "A", "C1", "P", "10", "2024-01-01", "fb", "new", "E1", "2024-01-01"),
+        (3, "B", "C2", "P", "x", "2024-01-01", "", "new", "E2", "2024-01-01"),
+        (4, "", "C3", "P", "5", "2024-01-01", "google", "new", "E3", "bad"),
+    ], "row_no long, client_name string, client_id string, product_type string, price string, date string, "
+       "source string, status string, external_id string, created_at string")
+    store = spark.createDataFrame([], "id string, external_id string, created_at date, source string, "
+                                      "status string, meeting_date date, client_id string")
+    clients = spark.createDataFrame([("C1",)], "id string")
+    r = I.import_mixed(raw, store, clients, "2024-05-15")
+    c = r["counts"].first()
+    assert (c.total, c.leads, c.sales, c.invalid) == (3, 1, 1, 1)
+
+
+def test_insert_leads_rules(spark, seed):
+    from salescope.operators import maintain as MT
+    new = spark.createDataFrame([
+        ("L001", None, None, "meta_ads", "new", None, None),            # exists
+        ("N1", None, None, "meta_ads", " Meeting ", "2024-05-20", None),
+        ("N2", None, None, "meta_ads", "meh", None, None),
+    ], "id string, external_id string, created_at date, source string, status string, meeting_date string, "
+       "client_id string")
+    r = MT.insert_leads(seed["leads"], new)
+    assert [x["id"] for x in rows(r.applied)] == ["N1"] and r.table.count() == 6
+    assert {x["id"] for x in rows(r.rejected)} == {"L001", "N2"}
