@@ -37,8 +37,22 @@ def _lit_date(d) -> Column:
     return F.lit(d).cast("date")
 
 
+# Shape of each layout (digit counts as strptime accepts them).  A cheap regex
+# guard means the date parser only runs on text that can match, instead of
+# failing (and throwing internally) once per layout per row.
+_SHAPES = {
+    "yyyy-M-d": r"^\d{4}-\d{1,2}-\d{1,2}$",
+    "d/M/yyyy": r"^\d{1,2}/\d{1,2}/\d{4}$",
+    "yyyy/M/d": r"^\d{4}/\d{1,2}/\d{1,2}$",
+    "d-M-yyyy": r"^\d{1,2}-\d{1,2}-\d{4}$",
+    "d/M/yy": r"^\d{1,2}/\d{1,2}/\d{2}$",
+    "yyyy-M-d H:m:s": r"^\d{4}-\d{1,2}-\d{1,2} \d{1,2}:\d{1,2}:\d{1,2}$",
+    "d/M/yyyy H:m:s": r"^\d{1,2}/\d{1,2}/\d{4} \d{1,2}:\d{1,2}:\d{1,2}$",
+}
+
+
 def _try_date(s: Column, fmt: str) -> Column:
-    d = F.try_to_date(s, fmt)
+    d = F.when(s.rlike(_SHAPES[fmt]), F.try_to_date(s, fmt))
     if fmt.endswith("/yy"):
         # strptime's %y pivots at 69 (69..99 -> 19xx); Spark's yy maps to 2000..2099.
         d = F.when(F.year(d) >= 2069, F.add_months(d, -1200)).otherwise(d)
