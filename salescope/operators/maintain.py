@@ -174,22 +174,23 @@ def merge_duplicate_clients(sales: DataFrame, clients: DataFrame, leads: DataFra
     applied to leads and funnel events (default: left dangling, like the
     reference; Q4 then shows them as orphans).
     """
-    from .quality import duplicate_client_members
-    members = duplicate_client_members(sales)
+    from .quality import duplicate_members_from_pairs, name_id_pairs
+    # one scan of sales: every later step reuses this pre-aggregate
+    members = duplicate_members_from_pairs(name_id_pairs(sales))
     stored = clients.select(F.col("id").alias("client_id"), F.lit(True).alias("_stored"),
                             *[F.col(c).alias(f"_{c}") for c in ("cif", "address", "contact_person", "email")])
     m = members.join(stored, "client_id", "left").withColumn("_stored", F.coalesce("_stored", F.lit(False)))
     prim = m.groupBy("name_key").agg(
         F.coalesce(F.min(F.when(F.col("_stored"), F.col("client_id"))), F.min("client_id")).alias("primary_id"))
     mp = m.join(prim, "name_key")
-    # an id listed under several names follows the group with the smallest key
+    # an id listed under several names follows the group with the smallest
+    # key; its moved rows are all of its sales (summed over its names)
     one = (mp.groupBy("client_id").agg(F.min_by("primary_id", "name_key").alias("primary_id"),
-                                       F.min("name_key").alias("name_key")))
-    moved = sales.groupBy("client_id").agg(F.count(F.lit(1)).alias("rows_moved"))
+                                       F.min("name_key").alias("name_key"),
+                                       F.sum("n_rows").alias("rows_moved")))
     mapping = (one.filter(F.col("client_id") != F.col("primary_id"))
-                  .join(moved, "client_id", "left")
                   .select("name_key", F.col("client_id").alias("old_id"), "primary_id",
-                          F.coalesce("rows_moved", F.lit(0)).cast("long").alias("rows_moved")))
+                          F.col("rows_moved").cast("long").alias("rows_moved")))
     # field fill for primaries: primary's own valid value, else first valid stored member by id
     order = lambda c: F.when(_valid_field(f"_{c}") & F.col("_stored"),
                              F.struct((F.col("client_id") != F.col("primary_id")).alias("_sec"),

@@ -89,23 +89,35 @@ def uniqueness_checks(sales: DataFrame, clients: DataFrame, leads: DataFrame) ->
     ])
 
 
-def duplicate_client_names(sales: DataFrame) -> DataFrame:
-    """Name groups (lower-case) that carry more than one client id:
-    name_key, name (smallest spelling), id_count.  Distinct (key, id) pairs
-    are formed first (map-side), so a hot name costs one row per id."""
-    pairs = (sales.select(F.lower("client_name").alias("name_key"), "client_name", "client_id")
-                  .groupBy("name_key", "client_id").agg(F.min("client_name").alias("_n")))
+def name_id_pairs(sales: DataFrame) -> DataFrame:
+    """(name_key, client_id) pairs with the smallest spelling and the number
+    of sales rows: the one pre-aggregate every duplicate job starts from
+    (map-side combined, so a hot name or client costs one row per task)."""
+    return (sales.filter(F.col("client_id").isNotNull())
+                 .groupBy(F.lower("client_name").alias("name_key"), "client_id")
+                 .agg(F.min("client_name").alias("_n"), F.count(F.lit(1)).alias("n_rows")))
+
+
+def duplicate_groups_from_pairs(pairs: DataFrame) -> DataFrame:
     g = pairs.groupBy("name_key").agg(F.min("_n").alias("name"), F.count("client_id").alias("id_count"))
     return g.filter(F.col("id_count") > 1)
 
 
+def duplicate_client_names(sales: DataFrame) -> DataFrame:
+    """Name groups (lower-case) that carry more than one client id:
+    name_key, name (smallest spelling), id_count."""
+    return duplicate_groups_from_pairs(name_id_pairs(sales))
+
+
+def duplicate_members_from_pairs(pairs: DataFrame) -> DataFrame:
+    groups = duplicate_groups_from_pairs(pairs).select("name_key")
+    return pairs.join(groups, "name_key", "left_semi").select("name_key", "client_id", "n_rows")
+
+
 def duplicate_client_members(sales: DataFrame) -> DataFrame:
-    """A24 members: (name_key, client_id) for every id of a duplicate group
-    (one row per member instead of an unbounded id list per group)."""
-    pairs = (sales.filter(F.col("client_id").isNotNull())
-                  .select(F.lower("client_name").alias("name_key"), "client_id").distinct())
-    groups = duplicate_client_names(sales).select("name_key")
-    return pairs.join(groups, "name_key", "left_semi")
+    """A24 members: (name_key, client_id, n_rows) for every id of a duplicate
+    group (one row per member instead of an unbounded id list per group)."""
+    return duplicate_members_from_pairs(name_id_pairs(sales))
 
 
 def duplicate_summary(groups: DataFrame, n_names: int = 5) -> DataFrame:
