@@ -71,10 +71,17 @@ select event_id+2 as row_no,
        case when event_id%13=0 then '13/13/2024' when event_id%11=0 then ''
             when event_id%3=0 then strftime(ts,'%d-%m-%Y') else strftime(ts,'%Y-%m-%d') end as date
 from events where event_type='click'""",
+    "raw_mixed": """
+select r.*, case when e.event_id%3=0 then '' else 'M' || cast(e.event_id as varchar) end as external_id,
+       case when e.event_id%7=0 then '' when e.k%2=0 then 'meta' else 'Google Ads' end as source,
+       case when e.event_id%5=0 then null else 'new' end as status,
+       case when e.event_id%9=0 then '99/99/9999' else strftime(e.ts, '%Y-%m-%d') end as created_at
+from raw_sales r join (select *, cast(regexp_extract(props,'([0-9]+)',1) as int) as k from events) e
+  on r.row_no = e.event_id + 2""",
 }
 
 # Views built on other views.
-DEPENDS = {"sales_dup": ["sales"]}
+DEPENDS = {"sales_dup": ["sales"], "raw_mixed": ["raw_sales"]}
 
 
 def with_views(body: str, *names: str) -> str:

@@ -260,7 +260,25 @@ def raw_spend(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@_memo
+def raw_mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All-text rows of a file carrying both sales and lead columns (mixed
+    import): the raw sales rows plus lead columns from the same event."""
+    s = raw_sales(spark, sf_dir)
+    e = _events_k(spark, sf_dir, ["event_id", "ts", "event_type", "props"])
+    eid = F.col("event_id")
+    lead_cols = e.select(
+        (eid + 2).alias("_r"),
+        F.when(eid % 3 == 0, F.lit("")).otherwise(F.concat(F.lit("M"), _s(eid))).alias("external_id"),
+        F.when(eid % 7 == 0, F.lit("")).when(F.col("k") % 2 == 0, F.lit("meta")).otherwise(F.lit("Google Ads"))
+         .alias("source"),
+        F.when(eid % 5 == 0, F.lit(None).cast("string")).otherwise(F.lit("new")).alias("status"),
+        F.when(eid % 9 == 0, F.lit("99/99/9999")).otherwise(F.date_format("ts", "yyyy-MM-dd")).alias("created_at"))
+    return s.join(lead_cols, s.row_no == lead_cols._r).drop("_r")
+
+
 TABLES = {
+    "raw_mixed": raw_mixed,
     "raw_spend": raw_spend,
     "sales": sales,
     "sales_dup": sales_dup,
