@@ -164,9 +164,14 @@ class Merge:
 
 
 def merge_duplicate_clients(sales: DataFrame, clients: DataFrame, leads: DataFrame | None = None,
-                            events: DataFrame | None = None, repoint_leads: bool = False) -> Merge:
+                            events: DataFrame | None = None, repoint_leads: bool = False,
+                            materialize: bool = False) -> Merge:
     """M5: merge client ids sharing a (case-insensitive) sales name.
 
+    ``materialize=True`` checkpoints the small mapping table in the shared
+    checkpoint folder, so the three outputs (and a retry after a lost
+    executor) read it instead of recomputing it from the sales scan.
+
     Primary = lowest id present in the client store, else lowest id.  The
     primary's blank / '-' fields are filled from the other stored members
     (id order).  Sales of secondaries move to the primary and secondary
@@ -191,6 +196,10 @@ def merge_duplicate_clients(sales: DataFrame, clients: DataFrame, leads: DataFra
     mapping = (one.filter(F.col("client_id") != F.col("primary_id"))
                   .select("name_key", F.col("client_id").alias("old_id"), "primary_id",
                           F.col("rows_moved").cast("long").alias("rows_moved")))
+    if materialize:
+        from ..session import cut_lineage
+        mapping = cut_lineage(mapping)
+        mp = cut_lineage(mp)
     # field fill for primaries: primary's own valid value, else first valid stored member by id
     order = lambda c: F.when(_valid_field(f"_{c}") & F.col("_stored"),
                              F.struct((F.col("client_id") != F.col("primary_id")).alias("_sec"),

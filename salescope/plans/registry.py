@@ -39,6 +39,10 @@ def canonical(df: DataFrame) -> DataFrame:
 def register(name: str, sql: str | None = None):
     def deco(fn):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            # calendar semantics are defined in UTC (dates from timestamps,
+            # bucket intervals); pin it for whatever session calls us
+            if spark.conf.get("spark.sql.session.timeZone", "UTC") != "UTC":
+                spark.conf.set("spark.sql.session.timeZone", "UTC")
             return canonical(fn(spark, sf_dir))
         run.__name__ = fn.__name__
         run.__doc__ = fn.__doc__

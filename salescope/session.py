@@ -69,3 +69,11 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if not current:
         spark.sparkContext.setCheckpointDir(d)
     return d
+
+
+def cut_lineage(df):
+    """Materialise ``df`` in the shared checkpoint folder (reliable
+    checkpoint, never a local one) and return the re-read DataFrame, so a
+    lost executor recomputes from there instead of from the first scan."""
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)

@@ -128,3 +128,14 @@ def test_spend_upsert(spark):
     assert t[0]["amount"] == Decimal("12.35") and t[0]["date"] == D("2024-01-05") and t[0]["source"] == "meta_ads"
     assert t[1]["source"] == "google_ads" and t[1]["date"] == D("2024-05-15")
     assert u.rejected.count() == 1
+
+
+def test_merge_materialized_and_store(spark, seed, tmp_path):
+    from salescope.sources import sinks as SK
+    m = MT.merge_duplicate_clients(seed["sales"], seed["clients"], materialize=True)
+    assert m.mapping.count() == 0 and m.sales.count() == 5
+    p = SK.write_store(seed["sales"], str(tmp_path / "sales"), files=2)
+    back = spark.read.parquet(p)
+    assert back.count() == 5
+    plan = back.filter("date >= '2024-05-10'")._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [IsNotNull(date), GreaterThanOrEqual(date" in plan
