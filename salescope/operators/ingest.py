@@ -36,7 +36,8 @@ SALES_RAW = ["client_name", "client_id", "product_type", "price", "date"]
 
 def validate_sales(raw: DataFrame, as_of) -> tuple[DataFrame, DataFrame]:
     """(valid, rejected).  Valid: row_no, client_name, client_id,
-    product_type (trimmed), price DOUBLE, date DATE, used_default_date."""
+    product_type (trimmed), price DOUBLE, date DATE, used_default_date (the
+    file has no date column), date_defaulted (this row's date was blank)."""
     name, e1 = required_string(_c(raw, "client_name"), "client_name")
     cid, e2 = required_string(_c(raw, "client_id"), "client_id")
     prod, e3 = required_string(_c(raw, "product_type"), "product_type")
@@ -44,15 +45,19 @@ def validate_sales(raw: DataFrame, as_of) -> tuple[DataFrame, DataFrame]:
     has_date = "date" in raw.columns
     if has_date:
         d, e5 = parse_date_or_default(F.col("date"), as_of)
-        used_default = is_blank("date")
+        defaulted = is_blank("date")
     else:
         d, e5 = F.lit(str(as_of)[:10]).cast("date"), F.lit(None).cast("string")
-        used_default = F.lit(True)
+        defaulted = F.lit(True)
+    # the reference flags the file only when it has no date column at all;
+    # ``date_defaulted`` additionally marks rows whose blank date became as_of
+    used_default = F.lit(not has_date)
     err = F.coalesce(e1, e2, e3, e4, e5)
     raw_cols = [c for c in SALES_RAW if c in raw.columns]
     return _split(raw, err, [F.col("row_no"), name.alias("client_name"), cid.alias("client_id"),
                              prod.alias("product_type"), price.alias("price"), d.alias("date"),
-                             used_default.alias("used_default_date")], raw_cols)
+                             used_default.alias("used_default_date"), defaulted.alias("date_defaulted")],
+                  raw_cols)
 
 
 def new_clients_from_sales(valid: DataFrame, clients: DataFrame) -> DataFrame:

@@ -55,7 +55,7 @@ chk as (select *, coalesce({_req('client_name', 'client_name')}, {_req('client_i
 @register("ingest_sales_valid", W(f""", {_SALES_CHECKED}
 select row_no, trim(client_name) as client_name, trim(client_id) as client_id, trim(product_type) as product_type,
        cast(trim(price) as double) as price, strftime({_date_val('date')}, '%Y-%m-%d') as date,
-       (date is null or trim(date) = '') as used_default_date
+       false as used_default_date, (date is null or trim(date) = '') as date_defaulted
 from chk where error is null""", "raw_sales"))
 def q_ingest_sales_valid(spark, d):
     return I.validate_sales(TB.raw_sales(spark, d), AS_OF)[0]

@@ -106,9 +106,10 @@ def validate_points(points: DataFrame, grouping: str) -> DataFrame:
     return p.select("key", F.explode(hits).alias("violation"))
 
 
-def validate_snapshot(snapshot: DataFrame) -> DataFrame:
+def validate_snapshot(snapshot: DataFrame, grouping: str | None = None) -> DataFrame:
     """C6 on a snapshot row: mode / period presence, grouping agreement and
-    the point rules above."""
+    the point rules above.  ``grouping`` is the grouping the snapshot was
+    built with (read from the row when not given)."""
     s = snapshot
     checks = [("missing_period_a", F.col("period_a").isNull())]
     if "period_b" in s.columns:
@@ -119,8 +120,9 @@ def validate_snapshot(snapshot: DataFrame) -> DataFrame:
     top = s.select(F.lit(None).cast("string").alias("key"), F.explode(hits).alias("violation"))
     if "period_b" not in s.columns:
         return top
-    g = s.select("period_a.grouping").first()
-    grouping = g[0] if g else "day"
+    if grouping is None:
+        g = s.select("period_a.grouping").first()
+        grouping = g[0] if g else "day"
     pts = s.select(F.explode("comparison.evolution.points").alias("p")).select("p.*")
     return top.unionByName(validate_points(pts, grouping))
 

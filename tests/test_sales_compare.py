@@ -154,3 +154,11 @@ def test_sales_by_period_and_presets(spark, seed):
     cm = {(e["preset"], e["metric"]): e for e in x}
     assert cm[("current_month_vs_previous", "total_sales")]["value_a"] == 7500.0
     assert cm[("current_month_vs_previous", "total_sales")]["value_b"] == 500.0
+
+
+def test_validate_snapshot_rows(seed):
+    f = Filters("2024-05-01", "2024-05-31")
+    c = SN.compare_snapshot(seed["sales"], Filters("2024-04-01", "2024-04-30"), f, "month")
+    assert SN.validate_snapshot(c, "month").count() == 0
+    n = SN.normal_snapshot(seed["sales"], f, "day")
+    assert SN.validate_snapshot(n).count() == 0
