@@ -161,3 +161,21 @@ def test_insert_leads_rules(spark, seed):
     r = MT.insert_leads(seed["leads"], new)
     assert [x["id"] for x in rows(r.applied)] == ["N1"] and r.table.count() == 6
     assert {x["id"] for x in rows(r.rejected)} == {"L001", "N2"}
+
+
+def test_row_numbers_across_splits(spark):
+    """A file read in many splits keeps exact line-based row numbers."""
+    d = tempfile.mkdtemp(prefix="split-")
+    n = 20000
+    body = "client_name,client_id,product_type,price,date\n" + "".join(
+        f"N{i},C{i % 7},P,{i + 1},2024-01-01\n" for i in range(n))
+    p = _write(d, "big.csv", body)
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "16384")
+    try:
+        raw = DL.read_delimited(spark, p, sep=",")
+        assert raw.rdd.getNumPartitions() > 5
+        got = {r["client_name"]: r["row_no"] for r in raw.select("client_name", "row_no").collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert len(got) == n and all(got[f"N{i}"] == i + 2 for i in range(n))
