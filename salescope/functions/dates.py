@@ -77,11 +77,12 @@ def is_blank(c) -> Column:
     return c.isNull() | (F.trim(c.cast("string")) == "")
 
 
-def parse_date_or_default(c, default, numeric: bool = False) -> tuple[Column, Column]:
+def parse_date_or_default(c, default, numeric: bool = False, parsed=None) -> tuple[Column, Column]:
     """(date, error) — blank -> ``default``; unparsable -> NULL date and an
-    error message."""
+    error message.  ``parsed`` may name a column that already holds
+    ``parse_import_date(c)`` so the layouts are tried once per row."""
     c = _col(c)
-    parsed = parse_import_date(c, numeric)
+    parsed = parse_import_date(c, numeric) if parsed is None else _col(parsed)
     value = F.when(is_blank(c), _lit_date(default)).otherwise(parsed)
     err = F.when(~is_blank(c) & parsed.isNull(),
                  F.concat(F.lit("unknown date format: "), c.cast("string")))

@@ -25,12 +25,31 @@ def _c(df: DataFrame, name: str) -> Column:
 
 
 def _split(df: DataFrame, err: Column, valid_cols: list[Column], raw_cols: list[str]):
-    t = df.select("*", err.alias("error"))
-    valid = t.filter(F.col("error").isNull()).select(*valid_cols)
-    rejected = t.filter(F.col("error").isNotNull()).select("row_no", "error", *raw_cols)
+    # The rule expressions read each raw column many times.  When the raw
+    # columns are themselves expressions (a view, a derived layout), pushing
+    # the error filter below this projection would inline those expressions
+    # into every rule.  A non-deterministic column that the filter reads keeps
+    # the filter above the projection (Catalyst never pushes a predicate
+    # through a non-deterministic projection), so every rule reads the
+    # materialised column once per row.
+    t = df.select("*", err.alias("error"), F.monotonically_increasing_id().alias("_scan"))
+    kept = F.col("_scan") >= 0    # never folded away (unlike IS NOT NULL on a non-null id)
+    valid = t.filter(F.col("error").isNull() & kept).select(*valid_cols)
+    rejected = t.filter(F.col("error").isNotNull() & kept).select("row_no", "error", *raw_cols)
     return valid, rejected
 
 
+def _pre_parse(raw: DataFrame, cols: list[str]) -> DataFrame:
+    """Parse the date columns once (``_pd_<col>``); the value and the error
+    rule both read the parsed column instead of re-trying every layout."""
+    extra = [parse_import_date(F.col(c)).alias(f"_pd_{c}") for c in cols if c in raw.columns]
+    return raw.select("*", *extra) if extra else raw
+
+
+def _drop_pre(cols: list[str]) -> list[str]:
+    return [c for c in cols if not c.startswith("_pd_")]
+
+
 SALES_RAW = ["client_name", "client_id", "product_type", "price", "date"]
 
 
@@ -43,8 +62,9 @@ def validate_sales(raw: DataFrame, as_of) -> tuple[DataFrame, DataFrame]:
     prod, e3 = required_string(_c(raw, "product_type"), "product_type")
     price, e4 = positive_number(_c(raw, "price"), "price")
     has_date = "date" in raw.columns
+    raw = _pre_parse(raw, ["date"])
     if has_date:
-        d, e5 = parse_date_or_default(F.col("date"), as_of)
+        d, e5 = parse_date_or_default(F.col("date"), as_of, parsed="_pd_date")
         defaulted = is_blank("date")
     else:
         d, e5 = F.lit(str(as_of)[:10]).cast("date"), F.lit(None).cast("string")
@@ -89,14 +109,17 @@ def validate_leads(raw: DataFrame, as_of) -> tuple[DataFrame, DataFrame]:
     """created_at (blank -> as_of, unparsable -> reject), source required
     and normalised (S3); optional external_id / status / client_id (S6);
     meeting_date parsed, unparsable -> NULL; id = S7."""
-    created, e1 = parse_date_or_default(_c(raw, "created_at"), as_of)
+    raw = _pre_parse(raw, ["created_at", "meeting_date"])
+    created, e1 = parse_date_or_default(_c(raw, "created_at"), as_of,
+                                        parsed="_pd_created_at" if "created_at" in raw.columns else None)
     src, e2 = required_string(_c(raw, "source"), "source")
     src = normalize_source(src)
     ext = optional_string(_c(raw, "external_id"))
     status = optional_string(_c(raw, "status"))
     cid = optional_string(_c(raw, "client_id"))
     md_raw = _c(raw, "meeting_date")
-    md = F.when(is_blank(md_raw), F.lit(None).cast("date")).otherwise(parse_import_date(md_raw))
+    md_parsed = F.col("_pd_meeting_date") if "meeting_date" in raw.columns else parse_import_date(md_raw)
+    md = F.when(is_blank(md_raw), F.lit(None).cast("date")).otherwise(md_parsed)
     err = F.coalesce(e1, e2)
     raw_cols = [c for c in LEADS_RAW if c in raw.columns]
     return _split(raw, err, [F.col("row_no"), lead_id(ext, cid, created, src).alias("id"),
@@ -155,7 +178,8 @@ def validate_spend(raw: DataFrame, as_of) -> tuple[DataFrame, DataFrame]:
     default ``as_of``."""
     src, e1 = required_string(_c(raw, "source"), "source")
     amt, e2 = positive_number(_c(raw, "amount"), "amount")
-    d, e3 = parse_date_or_default(_c(raw, "date"), as_of)
+    raw = _pre_parse(raw, ["date"])
+    d, e3 = parse_date_or_default(_c(raw, "date"), as_of, parsed="_pd_date" if "date" in raw.columns else None)
     err = F.coalesce(e1, e2, e3)
     raw_cols = [c for c in SPEND_RAW if c in raw.columns]
     return _split(raw, err, [F.col("row_no"), normalize_source(src).alias("source"),
