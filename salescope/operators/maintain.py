@@ -165,12 +165,14 @@ class Merge:
 
 def merge_duplicate_clients(sales: DataFrame, clients: DataFrame, leads: DataFrame | None = None,
                             events: DataFrame | None = None, repoint_leads: bool = False,
-                            materialize: bool = False) -> Merge:
+                            materialize: bool = True) -> Merge:
     """M5: merge client ids sharing a (case-insensitive) sales name.
 
-    ``materialize=True`` checkpoints the small mapping table in the shared
-    checkpoint folder, so the three outputs (and a retry after a lost
-    executor) read it instead of recomputing it from the sales scan.
+    ``materialize`` (default) checkpoints the (name, client) pre-aggregate --
+    one row per pair, far smaller than sales -- in the shared checkpoint
+    folder: every later step (groups, members, primaries, moved-row counts)
+    and every output reads it instead of rescanning sales, and a retry after
+    a lost executor restarts from it.
 
     Primary = lowest id present in the client store, else lowest id.  The
     primary's blank / '-' fields are filled from the other stored members
@@ -181,7 +183,11 @@ def merge_duplicate_clients(sales: DataFrame, clients: DataFrame, leads: DataFra
     """
     from .quality import duplicate_members_from_pairs, name_id_pairs
     # one scan of sales: every later step reuses this pre-aggregate
-    members = duplicate_members_from_pairs(name_id_pairs(sales))
+    pairs = name_id_pairs(sales)
+    if materialize:
+        from ..session import cut_lineage
+        pairs = cut_lineage(pairs, "merge-pairs")
+    members = duplicate_members_from_pairs(pairs)
     stored = clients.select(F.col("id").alias("client_id"), F.lit(True).alias("_stored"),
                             *[F.col(c).alias(f"_{c}") for c in ("cif", "address", "contact_person", "email")])
     m = members.join(stored, "client_id", "left").withColumn("_stored", F.coalesce("_stored", F.lit(False)))
@@ -196,10 +202,6 @@ def merge_duplicate_clients(sales: DataFrame, clients: DataFrame, leads: DataFra
     mapping = (one.filter(F.col("client_id") != F.col("primary_id"))
                   .select("name_key", F.col("client_id").alias("old_id"), "primary_id",
                           F.col("rows_moved").cast("long").alias("rows_moved")))
-    if materialize:
-        from ..session import cut_lineage
-        mapping = cut_lineage(mapping)
-        mp = cut_lineage(mp)
     # field fill for primaries: primary's own valid value, else first valid stored member by id
     order = lambda c: F.when(_valid_field(f"_{c}") & F.col("_stored"),
                              F.struct((F.col("client_id") != F.col("primary_id")).alias("_sec"),

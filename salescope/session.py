@@ -71,9 +71,14 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return d
 
 
-def cut_lineage(df):
-    """Materialise ``df`` in the shared checkpoint folder (reliable
-    checkpoint, never a local one) and return the re-read DataFrame, so a
-    lost executor recomputes from there instead of from the first scan."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def cut_lineage(df, name: str = "step"):
+    """Materialise ``df`` as a Parquet table under the shared checkpoint
+    folder (``spark.checkpoint.dir``) and return the re-read table: the plan
+    runs once, later steps read the written files, and a lost executor
+    recomputes from there instead of from the first scan.  (An eager
+    ``Dataset.checkpoint`` would compute an unpersisted plan twice.)"""
+    import uuid
+    base = checkpoint_dir(df.sparkSession).rstrip("/")
+    path = f"{base}/salescope-{name}-{uuid.uuid4().hex}"
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path)
