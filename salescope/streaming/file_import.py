@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import ingest as I
+from ..session import cut_lineage
 from ..sources.delimited import map_headers
 
 
@@ -76,8 +77,9 @@ def start_leads_import(spark: SparkSession, input_dir: str, store_path: str, cli
                                                "status string, meeting_date date, client_id string")
         res = I.import_leads(_numbered(df), store.select(*I.LEAD_COLS), clients, as_of,
                              on_unknown_client="null")
-        # materialise before appending: the store is also an input of this batch
-        new = res.valid.select(*I.LEAD_COLS).checkpoint(eager=True)
+        # materialise before appending: the store is also an input of this
+        # batch (written once under the shared checkpoint folder, re-read)
+        new = cut_lineage(res.valid.select(*I.LEAD_COLS), f"leads-batch-{batch_id}")
         new.write.mode("append").parquet(store_path)
 
     w = src.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
