@@ -30,7 +30,7 @@ p(period, pstart, pend) as (select * from (values {_values(rows)})),
 pc as (select p.period, coalesce(client_id, client_name) as ck, sum(price) as amt, count(*) as n
        from sales s join p on s.date between cast(p.pstart as date) and cast(p.pend as date)
        group by 1, 2),
-m as (select period, cast(sum(amt) as double) as total_sales, sum(n) as transactions,
+m as (select period, cast(sum(amt) as double) as total_sales, cast(sum(n) as bigint) as transactions,
              count(*) as unique_clients from pc group by 1)"""
 
 

@@ -37,9 +37,9 @@ def q_sales_summary_filtered(spark, d):
 
 
 _PERIOD_METRICS_SQL = """
-select coalesce(cast(sum(amt) as double), 0.0) as total_sales, coalesce(sum(n), 0) as transactions,
+select coalesce(cast(sum(amt) as double), 0.0) as total_sales, cast(coalesce(sum(n), 0) as bigint) as transactions,
        case when coalesce(sum(n), 0) > 0 then cast(sum(amt) as double) / sum(n) else 0.0 end as avg_ticket,
-       coalesce(sum(n), 0) as total_quantity, count(*) as unique_clients
+       cast(coalesce(sum(n), 0) as bigint) as total_quantity, count(*) as unique_clients
 from (select coalesce(client_id, client_name) as ck, sum(price) as amt, count(*) as n
       from sales where date between date '1996-01-01' and date '1996-06-30' group by 1) t"""
 

@@ -62,7 +62,7 @@ def q_orphans(spark, d):
 def _dup_sql(table, keys, name):
     k = ", ".join(keys)
     nn = " and ".join(f"{x} is not null" for x in keys)
-    return (f"select '{name}' as \"check\", count(*) as duplicate_keys, coalesce(sum(n), 0) as rows from "
+    return (f"select '{name}' as \"check\", count(*) as duplicate_keys, cast(coalesce(sum(n), 0) as bigint) as rows from "
             f"(select {k}, count(*) as n from {table} where {nn} group by {k} having count(*) > 1) t")
 
 
@@ -99,7 +99,7 @@ def q_duplicate_clients(spark, d):
 
 
 @register("duplicate_summary", W(f""", {_DUPS},
-tot as (select coalesce(sum(id_count - 1), 0) as total_duplicates, count(*) as groups from dg),
+tot as (select cast(coalesce(sum(id_count - 1), 0) as bigint) as total_duplicates, count(*) as groups from dg),
 top as (select string_agg(name, ', ' order by id_count desc, name asc) as first_names
         from (select * from dg order by id_count desc, name asc limit 5) x)
 select total_duplicates, groups, coalesce(first_names, '') as first_names,
