@@ -103,3 +103,31 @@ from sales where date between date '1996-01-01' and date '1996-12-31' group by p
 def q_normal_snapshot_table(spark, d):
     snap = SN.normal_snapshot(TB.sales(spark, d), A2, "month")
     return snap.select(F.explode("period_a.table").alias("t")).select("t.*")
+
+
+@register("sales_summary_display", W("""
+select product_type,
+       '€ ' || replace(replace(replace(format('{:,.2f}', t), ',', '|'), '.', ','), '|', '.') as total_eur,
+       replace(replace(replace(format('{:,.2f}', t), ',', '|'), '.', ','), '|', '.') as total_plain,
+       '+' || replace(replace(replace(format('{:,.2f}', t), ',', '|'), '.', ','), '|', '.') as total_signed
+from (select product_type, cast(sum(price) as double) as t from sales group by 1) x""", "sales"))
+def q_sales_summary_display(spark, d):
+    """S18 on exact 2-dp totals (no rounding edge between engines)."""
+    from ..functions.text import format_eur, format_eur_no_symbol, format_eur_signed
+    from ..operators.sales import sales_summary
+    s = sales_summary(TB.sales(spark, d))
+    return s.select("product_type", format_eur("total_sales").alias("total_eur"),
+                    format_eur_no_symbol("total_sales").alias("total_plain"),
+                    format_eur_signed("total_sales").alias("total_signed"))
+
+
+@register("clients_normalized_text", W("""
+select id, trim(coalesce(address, '')) as address, trim(coalesce(contact_person, '')) as contact_person,
+       trim(coalesce(email, '')) as email from clients""", "clients"))
+def q_clients_normalized_text(spark, d):
+    """S20 over the client table."""
+    from ..functions.text import normalize_text
+    c = TB.clients(spark, d)
+    return c.select("id", normalize_text("address").alias("address"),
+                    normalize_text("contact_person").alias("contact_person"),
+                    normalize_text("email").alias("email"))
