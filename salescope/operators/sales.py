@@ -106,17 +106,25 @@ def product_year_report(sales: DataFrame, year: int) -> DataFrame:
 def summary_with_total(sales: DataFrame, f: Filters | None = None, sort_by: str = "total_sales",
                        ascending: bool = False) -> DataFrame:
     """K1: product rows sorted by any column (numbers as numbers, text
-    case-insensitive, NULL as ''), with a TOTAL row always last (ROLLUP)."""
+    case-insensitive, NULL as ''), with a TOTAL row always last.
+
+    The TOTAL row is aggregated from the per-product rows (sums of sums, min
+    of mins...), not by a ROLLUP, which would Expand every sales row twice
+    before the partial aggregation."""
     s = filter_sales(sales, f)
-    g = (s.rollup("product_type")
-          .agg(F.count(F.lit(1)).alias("quantity"), F.sum("price").alias("_t"),
-               F.min("price").cast("double").alias("min_price"),
-               F.max("price").cast("double").alias("max_price"),
-               F.grouping_id().alias("_gid")))
+    per = (s.groupBy("product_type")
+            .agg(F.count(F.lit(1)).alias("quantity"), F.sum("price").alias("_t"),
+                 F.min("price").alias("_mn"), F.max("price").alias("_mx")))
+    tot = per.agg(F.lit("TOTAL").alias("product_type"), F.sum("quantity").alias("quantity"),
+                  F.sum("_t").alias("_t"), F.min("_mn").alias("_mn"), F.max("_mx").alias("_mx"))
+    both = (per.withColumn("_gid", F.lit(0))
+               .unionByName(tot.withColumn("_gid", F.lit(1)))
+               .filter(F.col("quantity") > 0))
     t = F.col("_t").cast("double")
-    out = g.select(F.when(F.col("_gid") == 1, F.lit("TOTAL")).otherwise(F.col("product_type")).alias("product_type"),
-                   "quantity", t.alias("total_sales"), (t / F.col("quantity")).alias("avg_price"),
-                   "min_price", "max_price", "_gid")
+    out = both.select("product_type", F.col("quantity").cast("long").alias("quantity"), t.alias("total_sales"),
+                      (t / F.col("quantity")).alias("avg_price"),
+                      F.col("_mn").cast("double").alias("min_price"),
+                      F.col("_mx").cast("double").alias("max_price"), "_gid")
     key = F.col(sort_by)
     if sort_by == "product_type":
         key = F.lower(F.coalesce(key, F.lit("")))
