@@ -177,13 +177,10 @@ def funnel_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@_memo
-def raw_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Dirty all-text sales rows as they arrive from a delimited file."""
-    e = read_table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value")
+def _raw_sales_cols() -> list[Column]:
     eid = F.col("event_id")
     ts = F.col("ts")
-    return e.select(
+    return [
         (eid + 2).alias("row_no"),
         F.when(eid % 29 == 0, F.lit("  "))
          .otherwise(F.concat(F.lit(" User "), _s("user_id"), F.lit(" "))).alias("client_name"),
@@ -198,7 +195,14 @@ def raw_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
          .when(eid % 4 == 1, F.date_format(ts, "yyyy/MM/dd"))
          .when(eid % 4 == 2, F.date_format(ts, "dd-MM-yyyy"))
          .otherwise(F.date_format(ts, "yyyy-MM-dd")).alias("date"),
-    )
+    ]
+
+
+@_memo
+def raw_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dirty all-text sales rows as they arrive from a delimited file."""
+    e = read_table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value")
+    return e.select(*_raw_sales_cols())
 
 
 @_memo
@@ -266,18 +270,17 @@ def raw_spend(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_memo
 def raw_mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All-text rows of a file carrying both sales and lead columns (mixed
-    import): the raw sales rows plus lead columns from the same event."""
-    s = raw_sales(spark, sf_dir)
-    e = _events_k(spark, sf_dir, ["event_id", "ts", "event_type", "props"])
+    import): the raw sales columns plus lead columns of the same event, in
+    one projection of ``events``."""
+    e = _events_k(spark, sf_dir, ["event_id", "ts", "user_id", "event_type", "value", "props"])
     eid = F.col("event_id")
-    lead_cols = e.select(
-        (eid + 2).alias("_r"),
+    return e.select(
+        *_raw_sales_cols(),
         F.when(eid % 3 == 0, F.lit("")).otherwise(F.concat(F.lit("M"), _s(eid))).alias("external_id"),
         F.when(eid % 7 == 0, F.lit("")).when(F.col("k") % 2 == 0, F.lit("meta")).otherwise(F.lit("Google Ads"))
          .alias("source"),
         F.when(eid % 5 == 0, F.lit(None).cast("string")).otherwise(F.lit("new")).alias("status"),
         F.when(eid % 9 == 0, F.lit("99/99/9999")).otherwise(F.date_format("ts", "yyyy-MM-dd")).alias("created_at"))
-    return s.join(lead_cols, s.row_no == lead_cols._r).drop("_r")
 
 
 TABLES = {
