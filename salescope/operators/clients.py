@@ -52,14 +52,14 @@ def all_clients_stats(sales: DataFrame, clients: DataFrame) -> DataFrame:
     """Every client id found in the store or in sales.  Store fields
     win (NULLs kept); sales-only clients get their sales name and '-' fields.
     Count / sum / avg / min / max of their sales, 0 when none."""
-    # numeric aggregates stay a hash aggregate (fixed-width buffers); the name
-    # comes from the distinct (client, name) pairs, so no sort of sales rows
-    nums = sales.groupBy("client_id").agg(
+    # one scan: a hash aggregate per (client, name) pair (string keys,
+    # fixed-width buffers), then a small per-client roll-up of the pairs
+    pairs = sales.groupBy("client_id", "client_name").agg(
         F.count(F.lit(1)).alias("_n"), F.sum("price").alias("_amt"),
         F.min("price").alias("_min"), F.max("price").alias("_max"))
-    names = (sales.groupBy("client_id", "client_name").agg(F.count(F.lit(1)).alias("_k"))
-                  .groupBy(F.col("client_id").alias("_nid")).agg(F.max("client_name").alias("_sname")))
-    per = nums.join(names, nums.client_id.eqNullSafe(names._nid)).drop("_nid")
+    per = pairs.groupBy("client_id").agg(
+        F.max("client_name").alias("_sname"), F.sum("_n").alias("_n"), F.sum("_amt").alias("_amt"),
+        F.min("_min").alias("_min"), F.max("_max").alias("_max"))
     c = clients.select(F.col("id").alias("_cid"), F.lit(True).alias("_hit"),
                        "name", "cif", "address", "contact_person", "email")
     j = per.join(c, per.client_id == c._cid, "full_outer")
