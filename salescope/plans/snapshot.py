@@ -31,14 +31,80 @@ class PeriodData:
     top_clients: DataFrame
 
 
-def period_data(sales: DataFrame, f: Filters, grouping: str = "day") -> PeriodData:
-    """The five aggregates of one period.  Each one reads only the
-    columns it needs with the filter pushed into the scan; none of them needs
-    the fact rows twice, so nothing is cached."""
+def period_base(sales: DataFrame, f: Filters | None) -> DataFrame:
+    """One pass over the period's sales: a pre-aggregate per (client id,
+    client name, product, day) with row count, amount, min / max price and
+    the greatest sale id.  All five period aggregates are exact roll-ups of
+    it, so the fact table (and the joins behind a view) is read once."""
+    s = filter_sales(sales, f)
+    return s.groupBy("client_id", "client_name", "product_type", "date").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("price").alias("amt"),
+        F.min("price").alias("mn"), F.max("price").alias("mx"), F.max("id").alias("last_id"))
+
+
+def _summary_from_base(b: DataFrame) -> DataFrame:
+    g = b.groupBy("product_type").agg(F.sum("n").alias("quantity"), F.sum("amt").alias("_t"),
+                                      F.min("mn").alias("_mn"), F.max("mx").alias("_mx"))
+    t = F.col("_t").cast("double")
+    return g.select("product_type", F.col("quantity").cast("long").alias("quantity"), t.alias("total_sales"),
+                    (t / F.col("quantity")).alias("avg_price"), F.col("_mn").cast("double").alias("min_price"),
+                    F.col("_mx").cast("double").alias("max_price"))
+
+
+def _metrics_from_base(b: DataFrame) -> DataFrame:
+    from ..functions.metrics import safe_ratio
+    pc = (b.groupBy(F.coalesce("client_id", "client_name").alias("_ck"))
+           .agg(F.sum("amt").alias("_amt"), F.sum("n").alias("_n")))
+    g = pc.agg(F.sum("_amt").alias("_t"), F.sum("_n").alias("_n"), F.count(F.lit(1)).alias("unique_clients"))
+    t = F.coalesce(F.col("_t").cast("double"), F.lit(0.0))
+    n = F.coalesce(F.col("_n"), F.lit(0)).cast("long")
+    return g.select(t.alias("total_sales"), n.alias("transactions"), safe_ratio(t, n).alias("avg_ticket"),
+                    n.alias("total_quantity"), F.col("unique_clients").cast("long").alias("unique_clients"))
+
+
+def _evolution_from_base(b: DataFrame, g: str) -> DataFrame:
+    from ..functions.buckets import bucket_key, bucket_label, bucket_start
+    agg = b.groupBy(bucket_start("date", g).alias("_start")).agg(F.sum("amt").cast("double").alias("total"))
+    return agg.select(bucket_key("_start", g).alias("key"), bucket_label("_start", g).alias("label"), "total")
+
+
+def _products_from_base(b: DataFrame) -> DataFrame:
+    from ..functions.metrics import safe_pct
+    per = b.groupBy(F.col("product_type").alias("label")).agg(F.sum("amt").alias("_v"))
+    tot = per.agg(F.sum("_v").alias("_tot"))
+    out = per.crossJoin(F.broadcast(tot)).select(
+        "label", F.col("_v").cast("double").alias("value"), safe_pct(F.col("_v"), F.col("_tot")).alias("percentage"))
+    idx = F.row_number().over(Window.orderBy(F.desc("value"), F.asc("label"))) - 1
+    return out.withColumn("color_index", idx.cast("long"))
+
+
+def _top_from_base(b: DataFrame, n: int = 5) -> DataFrame:
+    from ..functions.metrics import safe_pct
+    per = (b.filter(F.col("client_id").isNotNull()).groupBy("client_id")
+            .agg(F.max_by("client_name", F.struct("date", "last_id")).alias("name"),
+                 F.sum("n").alias("transactions"), F.sum("amt").alias("_amt"), F.max("date").alias("last_date")))
+    tot = per.agg(F.sum("_amt").alias("_tot"))
+    ranked = per.crossJoin(F.broadcast(tot)).select(
+        "client_id", "name", F.col("_amt").cast("double").alias("total_amount"),
+        F.col("transactions").cast("long").alias("transactions"),
+        safe_pct(F.col("_amt"), F.col("_tot")).alias("percentage_of_total"), "last_date")
+    order = [F.desc("total_amount"), F.desc("transactions"), F.desc("last_date"), F.asc("client_id")]
+    top = ranked.orderBy(*order).limit(n)
+    return top.withColumn("rank", F.row_number().over(Window.orderBy(*order)).cast("long")).drop("last_date")
+
+
+def period_data(sales: DataFrame, f: Filters, grouping: str = "day", materialize: bool = False) -> PeriodData:
+    """The five aggregates of one period, all rolled up from one
+    pre-aggregate of the period's sales (``period_base``).  With
+    ``materialize`` the pre-aggregate is written once under the shared
+    checkpoint folder (``session.cut_lineage``) and read by all five."""
     g = normalize_grouping(grouping)
-    return PeriodData(f, g, S.sales_summary(sales, f), S.period_metrics(sales, f),
-                      EV.sales_evolution(sales, f, g), S.product_distribution(sales, f),
-                      S.top_clients(sales, f, n=5))
+    b = period_base(sales, f)
+    if materialize:
+        from ..session import cut_lineage
+        b = cut_lineage(b, "period-base")
+    return PeriodData(f, g, _summary_from_base(b), _metrics_from_base(b), _evolution_from_base(b, g),
+                      _products_from_base(b), _top_from_base(b))
 
 
 def _nest(df: DataFrame, name: str, order: list[str]) -> DataFrame:
@@ -64,18 +130,19 @@ def _period_struct(p: PeriodData) -> DataFrame:
                      "product_distribution", "top_clients"))
 
 
-def normal_snapshot(sales: DataFrame, f: Filters, grouping: str = "day") -> DataFrame:
+def normal_snapshot(sales: DataFrame, f: Filters, grouping: str = "day", materialize: bool = False) -> DataFrame:
     """C4: one-row snapshot (mode 'normal', period A only)."""
-    a = _period_struct(period_data(sales, f, grouping))
+    a = _period_struct(period_data(sales, f, grouping, materialize))
     return a.select(F.lit("normal").alias("mode"), F.struct(*a.columns).alias("period_a"))
 
 
-def compare_snapshot(sales: DataFrame, fa: Filters, fb: Filters, grouping: str = "month") -> DataFrame:
+def compare_snapshot(sales: DataFrame, fa: Filters, fb: Filters, grouping: str = "month",
+                     materialize: bool = False) -> DataFrame:
     """A, B, metric changes (C1), evolution points (T5) and product
     comparison (C2).  Empty when either period has no sales."""
     g = normalize_grouping(grouping)
-    a = _period_struct(period_data(sales, fa, g))
-    b = _period_struct(period_data(sales, fb, g))
+    a = _period_struct(period_data(sales, fa, g, materialize))
+    b = _period_struct(period_data(sales, fb, g, materialize))
     cm = _nest(C.compare_metrics(sales, fa, fb), "metrics", ["metric"])
     pts = _nest(EV.evolution_points(sales, fa, fb, g), "points", ["key"])
     cp = _nest(C.compare_products(sales, fa, fb), "products", ["product_type"])

@@ -162,3 +162,26 @@ def test_validate_snapshot_rows(seed):
     assert SN.validate_snapshot(c, "month").count() == 0
     n = SN.normal_snapshot(seed["sales"], f, "day")
     assert SN.validate_snapshot(n).count() == 0
+
+
+def _sorted_rows(df, key):
+    return sorted(rows(df), key=lambda r: str(r[key]))
+
+
+def test_period_base_rollups_equal_direct_operators(spark):
+    s = spark.createDataFrame([
+        ("1", "A", "C1", "P", Decimal("10.50"), dt.date(2024, 5, 1)),
+        ("2", "A2", "C1", "Q", Decimal("3.25"), dt.date(2024, 5, 1)),   # same client/day, other name
+        ("3", "B", "C2", "P", Decimal("7.00"), dt.date(2024, 5, 2)),
+        ("4", "B", "C2", "P", Decimal("1.00"), dt.date(2024, 5, 2)),
+        ("5", "N", None, "Q", Decimal("2.00"), dt.date(2024, 5, 3)),
+        ("6", "A", "C1", "P", Decimal("9.99"), dt.date(2024, 4, 30)),
+    ], SALES_SCHEMA)
+    f = Filters("2024-05-01", "2024-05-31")
+    for mat in (False, True):
+        p = SN.period_data(s, f, "week", materialize=mat)
+        assert _sorted_rows(p.table, "product_type") == _sorted_rows(S.sales_summary(s, f), "product_type")
+        assert rows(p.metrics) == rows(S.period_metrics(s, f))
+        assert _sorted_rows(p.evolution, "key") == _sorted_rows(EV.sales_evolution(s, f, "week"), "key")
+        assert _sorted_rows(p.products, "label") == _sorted_rows(S.product_distribution(s, f), "label")
+        assert rows(p.top_clients.orderBy("rank")) == rows(S.top_clients(s, f, n=5).orderBy("rank"))
