@@ -6,7 +6,6 @@ import datetime as _dt
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import NumericType
 
 # Accepted input layouts for imported dates, tried in this order
 # (strptime spelling: %Y-%m-%d, %d/%m/%Y, %Y/%m/%d, %d-%m-%Y, %d/%m/%y,

@@ -3,7 +3,6 @@ operator's semantics in DuckDB over the same business views."""
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
 
 from ..operators import sales as S
 from ..operators.filters import Filters

@@ -16,7 +16,6 @@ from pyspark.sql import functions as F
 from ..functions.buckets import KEY_PATTERNS, normalize_grouping, valid_bucket_key
 from ..operators import compare as C
 from ..operators import evolution as EV
-from ..operators import sales as S
 from ..operators.filters import Filters, filter_sales
 
 
