@@ -11,7 +11,12 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import source_label
+from ..functions.text import SOURCE_LABELS_TABLE
+
+
+
+def _labels_map():
+    return F.create_map(*[F.lit(x) for kv in SOURCE_LABELS_TABLE.items() for x in kv])
 
 # UI sentinels meaning "no filter".
 ALL_SENTINELS = ("TODOS", "Todos", "Todas", "todos", "todas")
@@ -104,10 +109,10 @@ def filter_leads(leads: DataFrame, f: LeadFilters | None) -> DataFrame:
 
 # Funnel stage labels shown in the lead filter, mapped to status.
 STAGE_TO_STATUS = {
-    "Nuevo": "new",
+    "Lead": "new",
     "Contactado": "contacted",
     "Reunión": "meeting",
-    "Convertido": "converted",
+    "Cliente": "converted",
     "Perdido": "lost",
 }
 
@@ -123,8 +128,8 @@ def lead_multi_filter(leads_enriched: DataFrame, as_of, source=None, stage=None,
     if src is not None:
         preds.append(F.col("source") == F.lit(src))
     st = _clean(stage)
-    if st is not None:
-        preds.append(F.col("status") == F.lit(STAGE_TO_STATUS.get(st, st)))
+    if st is not None and st in STAGE_TO_STATUS:      # unknown stage: no filter
+        preds.append(F.col("status") == F.lit(STAGE_TO_STATUS[st]))
     s, e = _iso(date_start), _iso(date_end)
     if s or e:
         if s:
@@ -136,8 +141,9 @@ def lead_multi_filter(leads_enriched: DataFrame, as_of, source=None, stage=None,
         preds.append(F.col("created_at") >= cutoff)
     t = (term or "").strip().lower()
     if t:
-        hay = F.lower(F.concat_ws(" ", F.coalesce(F.col("id"), F.lit("")),
-                                  source_label("source"),
+        # the label lookup here is exact (not case-insensitive as in the table)
+        label = F.coalesce(F.element_at(_labels_map(), F.col("source")), F.col("source"), F.lit(""))
+        hay = F.lower(F.concat_ws(" ", F.coalesce(F.col("id"), F.lit("")), label,
                                   F.coalesce(F.col("client_name"), F.lit("")),
                                   F.coalesce(F.col("source"), F.lit(""))))
         preds.append(hay.contains(F.lit(t)))

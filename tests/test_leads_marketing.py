@@ -106,3 +106,19 @@ def test_dashboard_kpis_seed(seed):
     k = DB.dashboard_kpis(seed["sales"], seed["clients"], seed["leads"], "2024-05-15").first()
     assert (k.has_data, k.sales_rows, k.clients_rows, k.total_leads, k.leads_with_meeting) == (True, 5, 3, 5, 2)
     assert k.leads_conversion_rate == 20.0 and k.leads_this_month == 4 and k.last_import is None
+
+
+def test_lead_multi_filter_stage_and_search(spark, seed):
+    from salescope.operators.filters import lead_multi_filter
+    e = L.leads_enriched(seed["leads"], seed["clients"])
+    assert [r["id"] for r in rows(lead_multi_filter(e, "2024-05-15", stage="Cliente"))] == ["L004"]
+    assert lead_multi_filter(e, "2024-05-15", stage="Unknown stage").count() == 5
+    assert lead_multi_filter(e, "2024-05-15", source="Todas", stage="Todos").count() == 5
+    # preset 7 days: cutoff 2024-05-08 inclusive
+    assert {r["id"] for r in rows(lead_multi_filter(e, "2024-05-15", preset_days=7))} == {"L005"}
+    # explicit range wins over the preset
+    assert lead_multi_filter(e, "2024-05-15", date_start="2024-04-01", date_end="2024-04-30",
+                             preset_days=7).count() == 1
+    # search matches the source label and the client name, case-insensitively
+    assert {r["id"] for r in rows(lead_multi_filter(e, "2024-05-15", term="linkedin ads"))} == {"L004"}
+    assert {r["id"] for r in rows(lead_multi_filter(e, "2024-05-15", term="TECHNOVA"))} == {"L004"}
