@@ -22,6 +22,8 @@ IMPORT_DATE_FORMATS = [
 ]
 # Excel serial day numbers count from this date.
 EXCEL_EPOCH = "1899-12-30"
+# Fixed value: rejection message prefix for an unparsable date (then the raw value).
+MSG_UNKNOWN_DATE = "Fecha con formato desconocido: "
 
 
 def _col(c) -> Column:
@@ -84,7 +86,7 @@ def parse_date_or_default(c, default, numeric: bool = False, parsed=None) -> tup
     parsed = parse_import_date(c, numeric) if parsed is None else _col(parsed)
     value = F.when(is_blank(c), _lit_date(default)).otherwise(parsed)
     err = F.when(~is_blank(c) & parsed.isNull(),
-                 F.concat(F.lit("unknown date format: "), c.cast("string")))
+                 F.concat(F.lit(MSG_UNKNOWN_DATE), c.cast("string")))
     return value, err
 
 

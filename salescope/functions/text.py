@@ -68,12 +68,29 @@ def is_known_source(c) -> Column:
     return source_key(c).isin(list(SOURCE_NORMALIZATION))
 
 
+# Rejection messages of the import rules ({field} is the
+# logical column, {value} the offending text).
+MSG_REQUIRED_NONE = "El campo obligatorio '{field}' es None"
+MSG_REQUIRED_EMPTY = "El campo obligatorio '{field}' está vacío"
+MSG_NUMBER_NONE = "El campo '{field}' es obligatorio y no puede ser None"
+MSG_NUMBER_EMPTY = "El campo '{field}' está vacío"
+MSG_NUMBER_NOT_NUMERIC = "El campo '{field}' debe ser numérico, recibido: '{value}'"
+MSG_NUMBER_NOT_POSITIVE = "El campo '{field}' debe ser mayor que 0, recibido: {value}"
+
+
+def _msg(template: str, field: str, value: Column | None = None) -> Column:
+    head, _, tail = template.replace("{field}", field).partition("{value}")
+    if value is None:
+        return F.lit(head)
+    return F.concat(F.lit(head), value, F.lit(tail))
+
+
 def required_string(c, field: str) -> tuple[Column, Column]:
     """(trimmed value, error)."""
     c = _col(c)
     t = F.trim(c)
-    err = (F.when(c.isNull(), F.lit(f"required field '{field}' is missing"))
-             .when(t == "", F.lit(f"required field '{field}' is empty")))
+    err = (F.when(c.isNull(), _msg(MSG_REQUIRED_NONE, field))
+             .when(t == "", _msg(MSG_REQUIRED_EMPTY, field)))
     return t, err
 
 
@@ -89,10 +106,10 @@ def positive_number(c, field: str) -> tuple[Column, Column]:
     v = t.try_cast("double")
     # plain decimal / exponent syntax only (Spark's cast would also take "1d")
     bad = ~t.rlike(NUMBER_PATTERN) | v.isNull() | F.isnan(v) | (F.abs(v) == float("inf"))
-    err = (F.when(c.isNull(), F.lit(f"field '{field}' is required"))
-             .when(t == "", F.lit(f"field '{field}' is empty"))
-             .when(bad, F.concat(F.lit(f"field '{field}' must be numeric, got: "), t))
-             .when(v <= 0, F.concat(F.lit(f"field '{field}' must be greater than 0, got: "), t)))
+    err = (F.when(c.isNull(), _msg(MSG_NUMBER_NONE, field))
+             .when(t == "", _msg(MSG_NUMBER_EMPTY, field))
+             .when(bad, _msg(MSG_NUMBER_NOT_NUMERIC, field, t))
+             .when(v <= 0, _msg(MSG_NUMBER_NOT_POSITIVE, field, v.cast("string"))))
     return v, err
 
 

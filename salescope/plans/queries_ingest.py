@@ -23,23 +23,24 @@ def _date_parse(x):
 
 
 def _req(x, name):
-    return (f"case when {x} is null then 'required field ''{name}'' is missing' "
-            f"when trim({x}) = '' then 'required field ''{name}'' is empty' end")
+    return (f"case when {x} is null then 'El campo obligatorio ''{name}'' es None' "
+            f"when trim({x}) = '' then 'El campo obligatorio ''{name}'' está vacío' end")
 
 
 def _num(x, name):
     t = f"trim({x})"
-    return (f"case when {x} is null then 'field ''{name}'' is required' "
-            f"when {t} = '' then 'field ''{name}'' is empty' "
+    return (f"case when {x} is null then 'El campo ''{name}'' es obligatorio y no puede ser None' "
+            f"when {t} = '' then 'El campo ''{name}'' está vacío' "
             f"when not regexp_matches({t}, '{NUM}') or try_cast({t} as double) is null "
             f"  or isnan(try_cast({t} as double)) or isinf(try_cast({t} as double)) "
-            f"  then 'field ''{name}'' must be numeric, got: ' || {t} "
-            f"when try_cast({t} as double) <= 0 then 'field ''{name}'' must be greater than 0, got: ' || {t} end")
+            f"  then 'El campo ''{name}'' debe ser numérico, recibido: ''' || {t} || '''' "
+            f"when try_cast({t} as double) <= 0 then 'El campo ''{name}'' debe ser mayor que 0, recibido: ' "
+            f"  || cast(try_cast({t} as double) as varchar) end")
 
 
 def _date_err(x):
     return (f"case when not ({x} is null or trim({x}) = '') and {_date_parse(x)} is null "
-            f"then 'unknown date format: ' || {x} end")
+            f"then 'Fecha con formato desconocido: ' || {x} end")
 
 
 def _date_val(x):

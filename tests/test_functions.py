@@ -67,7 +67,7 @@ def test_parse_date_default_and_excel_serial(spark):
     r = one(spark, v.alias("v"), e.alias("e"))
     assert r.v == dt.date(2024, 5, 15) and r.e is None
     v, e = DT.parse_date_or_default(F.lit("xx"), "2024-05-15")
-    assert one(spark, e.alias("e")).e == "unknown date format: xx"
+    assert one(spark, e.alias("e")).e == "Fecha con formato desconocido: xx"
     assert one(spark, DT.parse_import_date(F.lit(45000), numeric=True).alias("d")).d == dt.date(2023, 3, 15)
 
 

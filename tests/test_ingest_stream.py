@@ -44,8 +44,10 @@ def test_read_classify_and_validate(spark):
     assert [x["row_no"] for x in v] == [3] and v[0]["price"] == 12.5
     rj = {x["row_no"]: x["error"] for x in rows(rejected)}
     assert set(rj) == {2, 4, 5, 6}
-    assert "must be numeric" in rj[2] and "empty" in rj[4] and "greater than 0" in rj[5]
-    assert rj[6].startswith("unknown date format")
+    assert rj[2] == "El campo 'price' debe ser numérico, recibido: '100,5'"
+    assert rj[4] == "El campo obligatorio 'client_name' está vacío"
+    assert rj[5] == "El campo 'price' debe ser mayor que 0, recibido: -1.0"
+    assert rj[6] == "Fecha con formato desconocido: garbage"
     assert valid.count() + rejected.count() == raw.count()
 
     _write(d, "leads.csv", "created_at,source,status,external_id\n2024-05-01,Meta Ads,new,E1\n")
