@@ -139,3 +139,25 @@ def test_merge_materialized_and_store(spark, seed, tmp_path):
     assert back.count() == 5
     plan = back.filter("date >= '2024-05-10'")._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [IsNotNull(date), GreaterThanOrEqual(date" in plan
+
+
+def test_report_and_snapshot_sinks(spark, seed, tmp_path):
+    from salescope.operators import leads as L
+    from salescope.operators.filters import Filters
+    from salescope.plans import snapshot as SN
+    from salescope.sources import sinks as SK
+    e = L.leads_enriched(seed["leads"], seed["clients"])
+    lr = SK.leads_report_tables(e, seed["spend"], seed["sales"])
+    paths = SK.write_report(lr, str(tmp_path / "leads_report"))
+    assert spark.read.parquet(paths["leads"]).count() == 5
+    assert spark.read.parquet(paths["funnel"]).first().total == 5
+    ev = spark.createDataFrame([], "id string, client_id string, lead_id string, event_type string, "
+                                   "event_date date, metadata string")
+    cr = SK.client_report_tables(seed["sales"], seed["clients"], seed["leads"], ev)
+    paths = SK.write_report(cr, str(tmp_path / "client_report"))
+    assert spark.read.parquet(paths["profile"]).count() == 3
+    assert spark.read.parquet(paths["last_sales"]).count() == 5
+    snap = SN.normal_snapshot(seed["sales"], Filters("2024-05-01", "2024-05-31"), "week")
+    p = SK.write_snapshot(snap, str(tmp_path / "snap"))
+    back = spark.read.json(p).first()
+    assert back.mode == "normal" and back.period_a.metrics.transactions == 4
