@@ -131,3 +131,24 @@ def q_clients_normalized_text(spark, d):
     return c.select("id", normalize_text("address").alias("address"),
                     normalize_text("contact_person").alias("contact_person"),
                     normalize_text("email").alias("email"))
+
+
+def _violations_sql():
+    pts = _points_sql(A2, B2, "quarter")
+    return f"""
+with p as ({pts}),
+q as (select *, lag(key) over (order by key) as pk, lag("end") over (order by key) as pe from p),
+r as (
+  select key, 'bad_key_format' as violation from q where not regexp_matches(key, '^\\d{{4}}-Q[1-4]$')
+  union all select key, 'start_not_before_end' from q where not (start < "end")
+  union all select key, 'difference_mismatch' from q where abs(difference - (value_b - value_a)) > 1e-9
+  union all select key, 'keys_not_increasing' from q where pk is not null and key <= pk
+  union all select key, 'overlapping_intervals' from q where pe is not null and start <= pe)
+select * from r"""
+
+
+@register("evolution_points_violations", _violations_sql())
+def q_evolution_points_violations(spark, d):
+    """C6 on the quarter points of the overlapping A/B pair (valid -> no rows)."""
+    from ..operators.evolution import evolution_points
+    return SN.validate_points(evolution_points(TB.sales(spark, d), A2, B2, "quarter"), "quarter")
