@@ -53,13 +53,16 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """Shared folder for lineage cuts (checkpoint() / written tables).
 
     On a cluster ``spark.checkpoint.dir`` names a shared folder and is used as
-    is.  Only when it is unset (local runs, tests) do we create a private
-    scratch folder and register it.
+    is (a cluster session without it is an error).  Only a local session
+    without it (tests) gets a private scratch folder.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
         d = spark.sparkContext.getCheckpointDir()
     if not d:
+        if not spark.sparkContext.master.startswith("local"):
+            # executors would each write to their own disk: refuse
+            raise RuntimeError("set spark.checkpoint.dir to a folder shared by the cluster")
         d = tempfile.mkdtemp(prefix="salescope-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
     try:
