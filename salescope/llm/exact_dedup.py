@@ -15,11 +15,11 @@ compares the full normalised content and not only its digest:
 The row that stays has the most code points in its original text, then the
 smallest id.  Its order key is one struct, so every step is a plain ``min``.
 
-The decisions return to the rows over (digest, variant): ``variant`` numbers
-the different contents behind one digest, so rows only need their content
-again where a digest has more than one (the join then also compares content).
-The row side of that join carries ids and digests, never texts, and is a plain
-equi-join that adaptive execution splits where one digest is hot.
+The decisions return to the rows by digest.  The winners (ids, digests, counts)
+are written once under the shared checkpoint folder; a digest that stands for
+several contents keeps them beside it, and only then are texts joined again.
+The row side of the join carries ids and digests and is a plain equi-join, so
+adaptive execution splits a hot digest.
 """
 
 from __future__ import annotations
@@ -27,6 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from .inputs import pick
 
 #: white space that normalisation deletes
@@ -66,13 +67,17 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     groups = (salted.repartition("digest").groupBy("digest", "norm")
               .agg(F.min("best").alias("best"), F.sum("n").alias("group_size")))
     variants = F.count(F.lit(1)).over(Window.partitionBy("digest"))
-    winners = (groups.withColumn("variants", variants)
-               .select("digest", F.col("best.id").alias("keep_id"), "group_size",
-                       F.when(F.col("variants") > 1, F.col("norm")).alias("norm"))).alias("w")
-    r = rows.alias("r")
-    out = r.join(winners, (F.col("r.digest") == F.col("w.digest"))
-                 & (F.col("w.norm").isNull() | (F.col("w.norm") == F.col("r.norm"))))
-    return out.select(F.col("r.doc_id").alias("doc_id"), F.col("w.keep_id").alias("keep_id"),
-                      F.col("w.group_size").alias("group_size"),
-                      F.col("r.doc_id").eqNullSafe(F.col("w.keep_id")).alias("kept"),
-                      F.col("r.digest").alias("text_sha256"))
+    winners = cut_lineage(
+        groups.withColumn("variants", variants)
+        .select("digest", F.col("best.id").alias("keep_id"), "group_size",
+                F.when(F.col("variants") > 1, F.col("norm")).alias("content")), "dedup-winners")
+    # texts travel a last time only if some digest stands for several contents
+    collided = winners.filter("content is not null")
+    out = rows.select("doc_id", "digest").join(winners.filter("content is null"), "digest")
+    if not collided.isEmpty():
+        r, c = rows.alias("r"), collided.alias("c")
+        same = (F.col("r.digest") == F.col("c.digest")) & (F.col("r.norm") == F.col("c.content"))
+        out = out.unionByName(r.join(c, same).select("r.doc_id", "r.digest", "keep_id", "group_size", "content"))
+    return out.select("doc_id", "keep_id", "group_size",
+                      F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"),
+                      F.col("digest").alias("text_sha256"))
