@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, sharding
+from . import exact_dedup, license_scan, sharding
 from .inputs import read_table
 
 SHARDS = 40
@@ -26,6 +26,12 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+@query("op3_license_scan")
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license_scan.scan(read_table(spark, sf_dir, "documents"))
+    return found.drop("detections")
+
+
 @query("op8_jump_shards")
 def op8_jump_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_rows(read_table(spark, sf_dir, "documents"), SHARDS)
