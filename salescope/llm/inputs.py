@@ -17,7 +17,7 @@ def pick(df: DataFrame, **columns: str) -> DataFrame:
     return df.select(*[df[c].alias(role) for role, c in columns.items()])
 
 
-def id_split(doc_id: Column | str, buckets: int) -> Column:
+def id_split(doc_id: str, buckets: int) -> Column:
     """crc32 of the id's decimal text, modulo ``buckets`` (null id: the empty text)."""
-    return F.pmod(F.crc32(F.coalesce(F.col(doc_id) if isinstance(doc_id, str) else doc_id,
-                                     F.lit(None)).cast("string").cast("binary")), F.lit(buckets))
+    text = F.coalesce(F.col(doc_id).cast("string"), F.lit(""))
+    return F.pmod(F.crc32(text.cast("binary")), F.lit(buckets))

@@ -8,8 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, license_scan, sharding
-from .inputs import read_table
+from . import exact_dedup, lang_id, license_scan, ngram_join, sharding
+from .inputs import id_split, read_table
 
 SHARDS = 40
 
@@ -32,6 +32,19 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.drop("detections")
 
 
+@query("op5_language_id")
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    held_out = id_split("doc_id", 3) == 1
+    model = lang_id.train(docs.filter(~held_out))
+    return lang_id.predict(docs, model, keep={"held_out": held_out})
+
+
+@query("op7_ngram_jaccard_join")
+def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.link_components(read_table(spark, sf_dir, "documents"), width=3, num=90, den=100)
+
+
 @query("op8_jump_shards")
 def op8_jump_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_rows(read_table(spark, sf_dir, "documents"), SHARDS)
