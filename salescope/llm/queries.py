@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, lang_id, license_scan, ngram_join, sharding
+from . import decontaminate, exact_dedup, lang_id, license_scan, lm_score, mixing, ngram_join, sharding
 from .inputs import id_split, read_table
 
 SHARDS = 40
@@ -26,12 +26,22 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+@query("op2_pfair_mix")
+def op2_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.pfair_mix(read_table(spark, sf_dir, "documents"))
+
+
 @query("op3_license_scan")
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = license_scan.scan(read_table(spark, sf_dir, "documents"))
     return found.drop("detections")
 
 
+@query("op4_decontaminate")
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 @query("op5_language_id")
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
@@ -40,6 +50,14 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lang_id.predict(docs, model, keep={"held_out": held_out})
 
 
+@query("op6_context_tree_weighting")
+def op6_context_tree_weighting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    scored = lm_score.score_texts(docs, id_split("doc_id", 5) != 1)
+    return scored.select("doc_id", (~F.col("trained")).alias("held_out"), "n_tokens", "n_known", "train_tokens",
+                         "base_score", "score", "bits_per_byte")
+
+
 @query("op7_ngram_jaccard_join")
 def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.link_components(read_table(spark, sf_dir, "documents"), width=3, num=90, den=100)
