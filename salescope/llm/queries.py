@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, lang_id, license_scan, lm_score, mixing, ngram_join, sharding
+from . import decontaminate, exact_dedup, html_extract, lang_id, license_scan, lm_score, mixing, ngram_join, sharding
 from .inputs import id_split, read_table
 
 SHARDS = 40
@@ -68,6 +68,11 @@ def op8_jump_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_rows(read_table(spark, sf_dir, "documents"), SHARDS)
 
 
+@query("op9_template_removal")
+def op9_template_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(read_table(spark, sf_dir, "pages"))
+
+
 @query("op10_exact_dedup", r"""
 with rows as (
   select doc_id, length(coalesce(text, '')) as points,
