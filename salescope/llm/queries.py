@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, html_extract, lang_id, license_scan, lm_score, mixing, ngram_join, sharding
+from . import decontaminate, exact_dedup, html_extract, lang_id, license_scan, lm_score, mixing, ngram_join, quality, sharding
 from .inputs import id_split, read_table
 
 SHARDS = 40
@@ -26,6 +26,11 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+@query("op1_cotrained_quality")
+def op1_cotrained_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 @query("op2_pfair_mix")
 def op2_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.pfair_mix(read_table(spark, sf_dir, "documents"))
