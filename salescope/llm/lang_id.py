@@ -90,6 +90,15 @@ class Model:
         return total
 
 
+    def best(self, text: str | None) -> tuple[str, float]:
+        """The most probable language and its posterior probability."""
+        if text is None or not self.langs or not any(map(str.isalpha, text)):
+            return UNKNOWN, 0.0
+        s = self.scores(text)
+        k = int(np.argmax(s))
+        return self.langs[k], float(1 / np.exp(s - s[k]).sum())
+
+
 def train(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", bits: int = 16,
           smoothing: float = 0.5, max_languages: int = 512) -> Model:
     """Fit on all given rows with a language and a text."""
@@ -131,17 +140,26 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
         for batch in batches:
             lang, score = [], []
             for text in batch.column(1).to_pylist():
-                if text is None or not m.langs or not any(map(str.isalpha, text)):
-                    lang.append(UNKNOWN)
-                    score.append(0.0)
-                    continue
-                s = m.scores(text)
-                k = int(np.argmax(s))
-                lang.append(m.langs[k])
-                score.append(float(1 / np.exp(s - s[k]).sum()))
+                found = m.best(text)
+                lang.append(found[0])
+                score.append(found[1])
             columns = [batch.column(0), *[batch.column(i) for i in range(2, batch.num_columns)],
                        pa.array(lang, pa.string()), pa.array(score, pa.float64())]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "text")
     return rows.mapInArrow(run, f"{schema}, lang_pred string, score double")
+
+
+def keep_identified(docs: DataFrame, model: Model, text_col: str = "text", min_score: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` whose language is identified with at least
+    ``min_score``; all columns stay as they are."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index(text_col)
+
+    def run(batches):
+        m = shared.value
+        for batch in batches:
+            found = (m.best(text) for text in batch.column(at).to_pylist())
+            yield batch.filter(pa.array([lang != UNKNOWN and score >= min_score for lang, score in found], pa.bool_()))
+    return docs.mapInArrow(run, docs.schema)

@@ -27,12 +27,13 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .inputs import pick
-
 _MULTIPLIER = 2862933555777941757          # fixed value of the published algorithm
 _M32 = (1 << 32) - 1
 
 
+_RESULT = ("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
+
+
 def _next_key(hi: Column, lo: Column) -> tuple[Column, Column]:
     """(hi, lo) * multiplier + 1 modulo 2^64, on 32-bit limbs without overflow."""
     c_hi, c_lo = _MULTIPLIER >> 32, _MULTIPLIER & _M32
@@ -75,7 +76,7 @@ def _spread(key: Column, parts: int) -> Column:
 
 
 def shard_rows(docs: DataFrame, shards: int, id_col: str = "doc_id", text_col: str = "text",
-               rows_per_part: int = 500_000) -> DataFrame:
+               rows_per_part: int = 500_000, carry: list[str] = ()) -> DataFrame:
     """``doc_id, size, text_crc32, law, shard, slot, grown_shard``: one row per input row.
 
     ``shard`` follows from the id and the shard count alone (law ``key``);
@@ -88,9 +89,12 @@ def shard_rows(docs: DataFrame, shards: int, id_col: str = "doc_id", text_col: s
     rows by key, parts are counted (one row each) and shifted by the running
     total, and rows are numbered inside their part.  Order inside a part: id,
     size, crc; equal rows are interchangeable.  A null id behaves as key 0.
-    An empty table gives an empty result.
+    ``carry`` names input columns to append (those named like a result column
+    are left out).  An empty table gives an empty result.
     """
-    rows = pick(docs, doc_id=id_col, text=text_col)
+    more = [c for c in carry if c not in _RESULT]
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"),
+                       F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in more]).alias("carried"))
     data = F.coalesce(F.col("text").cast("binary"), F.lit(b""))
     parts = max(1, math.ceil(rows.count() / shards / rows_per_part))
     rows = rows.select(
@@ -98,7 +102,7 @@ def shard_rows(docs: DataFrame, shards: int, id_col: str = "doc_id", text_col: s
         F.crc32(data).alias("text_crc32"),
         jump_shard(F.col("doc_id"), shards).alias("shard"),
         jump_shard(F.col("doc_id"), shards + 1).alias("grown_shard"),
-        _spread(F.col("doc_id"), parts).alias("part"))
+        _spread(F.col("doc_id"), parts).alias("part"), "carried")
     in_part = Window.partitionBy("shard", "part").orderBy("doc_id", "size", "text_crc32")
     counts = rows.groupBy("shard", "part").agg(F.count(F.lit(1)).alias("n"))
     # one row per part: its running total is a window over a shard's parts
@@ -107,4 +111,5 @@ def shard_rows(docs: DataFrame, shards: int, id_col: str = "doc_id", text_col: s
     numbered = rows.withColumn("in_part", F.row_number().over(in_part).cast("long") - 1)
     return (numbered.join(offsets, ["shard", "part"])
             .select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard",
-                    (F.col("in_part") + F.col("offset")).alias("slot"), "grown_shard"))
+                    (F.col("in_part") + F.col("offset")).alias("slot"), "grown_shard",
+                    *[F.col(f"carried.`{c}`") for c in more]))
