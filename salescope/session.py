@@ -88,4 +88,16 @@ def cut_lineage(df, name: str = "step"):
     base = checkpoint_dir(df.sparkSession).rstrip("/")
     path = f"{base}/salescope-{name}-{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.parquet(path)
+    out = df.sparkSession.read.parquet(path)
+    out._cut_path = path
+    return out
+
+
+def drop_cut(*tables) -> None:
+    """Delete tables that ``cut_lineage`` wrote, once nothing reads them any more."""
+    for df in tables:
+        path = getattr(df, "_cut_path", None)
+        if path:
+            jvm = df.sparkSession._jvm
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
