@@ -30,7 +30,7 @@ from .inputs import pick
 #: words of a seed
 SEED = 3
 #: least share of a perfect copy's alignment score
-THRESHOLD = 0.6
+THRESHOLD = 0.5
 _MATCH, _MISMATCH, _GAP = 2, -1, -1
 _CACHE = 20_000
 
