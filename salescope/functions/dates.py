@@ -7,6 +7,8 @@ import datetime as _dt
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .strip import strip
+
 # Accepted input layouts for imported dates, tried in this order
 # (strptime spelling: %Y-%m-%d, %d/%m/%Y, %Y/%m/%d, %d-%m-%Y, %d/%m/%y,
 # %Y-%m-%d %H:%M:%S, %d/%m/%Y %H:%M:%S).  Single-letter day/month/hour fields
@@ -68,14 +70,17 @@ def parse_import_date(c, numeric: bool = False) -> Column:
     """
     c = _col(c)
     if numeric:
-        return F.date_add(F.lit(EXCEL_EPOCH).cast("date"), c.cast("int"))
-    s = F.trim(c.cast("string"))
+        # day 0 .. the last day of year 9999; anything else is no date
+        number = c.try_cast("double")
+        days = F.when(~F.isnan(number), F.floor(number)).try_cast("int")
+        return F.when(days.between(-693_593, 2_958_465), F.date_add(F.lit(EXCEL_EPOCH).cast("date"), days))
+    s = strip(c.cast("string"))
     return F.coalesce(*[_try_date(s, f) for f in IMPORT_DATE_FORMATS])
 
 
 def is_blank(c) -> Column:
     c = _col(c)
-    return c.isNull() | (F.trim(c.cast("string")) == "")
+    return c.isNull() | (strip(c.cast("string")) == "")
 
 
 def parse_date_or_default(c, default, numeric: bool = False, parsed=None) -> tuple[Column, Column]:
@@ -99,7 +104,7 @@ def normalize_iso(c) -> Column:
     """ISO text for a user-typed date, or NULL.  A 10-character
     ``dddd-dd-dd`` value passes through unvalidated, as in the reference."""
     c = _col(c)
-    s = F.trim(c.cast("string"))
+    s = strip(c.cast("string"))
     shape = s.rlike(r"^\d{4}-\d{2}-\d{2}$")
     parsed = F.coalesce(*[F.try_to_date(s, f) for f in ISO_FALLBACK_FORMATS])
     return (F.when(is_blank(c), F.lit(None).cast("string"))

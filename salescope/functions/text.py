@@ -10,6 +10,8 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .strip import strip
+
 
 def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
@@ -46,7 +48,7 @@ def _map_literal(d: dict) -> Column:
 
 def source_key(c) -> Column:
     """Lower-case, trim and strip the platform suffixes (before the lookup)."""
-    k = F.trim(F.lower(_col(c)))
+    k = strip(F.lower(_col(c)))
     for suf in SOURCE_SUFFIXES:
         # "ends with suffix -> drop it and trim" as one linear expression per
         # step (a nested when() would repeat k three times per step)
@@ -88,7 +90,7 @@ def _msg(template: str, field: str, value: Column | None = None) -> Column:
 def required_string(c, field: str) -> tuple[Column, Column]:
     """(trimmed value, error)."""
     c = _col(c)
-    t = F.trim(c)
+    t = strip(c)
     err = (F.when(c.isNull(), _msg(MSG_REQUIRED_NONE, field))
              .when(t == "", _msg(MSG_REQUIRED_EMPTY, field)))
     return t, err
@@ -102,7 +104,7 @@ def positive_number(c, field: str) -> tuple[Column, Column]:
     """(double value, error).  Text must parse as a finite number > 0.
     NaN / infinity / '1_000' are rejected (tightening documented in README)."""
     c = _col(c)
-    t = F.trim(c.cast("string"))
+    t = strip(c.cast("string"))
     v = t.try_cast("double")
     # plain decimal / exponent syntax only (Spark's cast would also take "1d")
     bad = ~t.rlike(NUMBER_PATTERN) | v.isNull() | F.isnan(v) | (F.abs(v) == float("inf"))
@@ -115,7 +117,7 @@ def positive_number(c, field: str) -> tuple[Column, Column]:
 
 def optional_string(c) -> Column:
     """NULL / blank -> NULL, else trimmed text."""
-    t = F.trim(_col(c).cast("string"))
+    t = strip(_col(c).cast("string"))
     return F.when(t == "", F.lit(None).cast("string")).otherwise(t)
 
 
@@ -129,13 +131,13 @@ def lead_id(external_id, client_id, created_at, source) -> Column:
 
 def normalize_text(c) -> Column:
     """NULL -> '', trimmed."""
-    return F.trim(F.coalesce(_col(c), F.lit("")))
+    return strip(F.coalesce(_col(c), F.lit("")))
 
 
 def mask_sensitive(c) -> Column:
     """Blank and the placeholders '-' / '—' pass through, else bullets."""
     c = _col(c)
-    t = F.trim(c)
+    t = strip(c)
     return F.when(c.isNull() | t.isin("", "-", "—"), c).otherwise(F.lit("••••••••"))
 
 
@@ -178,12 +180,12 @@ CLIENT_ERRORS = {
 def client_field_error(name, cif, email, contact) -> Column:
     """First failing client rule's message, NULL when valid."""
     name, cif, email, contact = map(_col, (name, cif, email, contact))
-    blank = lambda c: c.isNull() | (F.trim(c) == "")
-    name_ok = ~blank(name) & (F.length(F.trim(name)) >= 2)
-    cleaned = F.regexp_replace(F.trim(cif), CIF_SEPARATORS, "")
+    blank = lambda c: c.isNull() | (strip(c) == "")
+    name_ok = ~blank(name) & (F.length(strip(name)) >= 2)
+    cleaned = F.regexp_replace(strip(cif), CIF_SEPARATORS, "")
     cif_ok = blank(cif) | cleaned.rlike(CIF_PATTERN)
-    email_ok = blank(email) | F.trim(email).rlike(EMAIL_PATTERN)
-    contact_ok = blank(contact) | (F.length(F.trim(contact)) >= 2)
+    email_ok = blank(email) | strip(email).rlike(EMAIL_PATTERN)
+    contact_ok = blank(contact) | (F.length(strip(contact)) >= 2)
     return (F.when(~name_ok, F.lit(CLIENT_ERRORS["name"]))
              .when(~cif_ok, F.lit(CLIENT_ERRORS["cif"]))
              .when(~email_ok, F.lit(CLIENT_ERRORS["email"]))
@@ -197,13 +199,13 @@ LEAD_STATUSES = ["new", "contacted", "meeting", "converted", "lost"]
 def valid_lead_status(c) -> Column:
     """Known status, case / space insensitive."""
     c = _col(c)
-    return c.isNotNull() & F.lower(F.trim(c)).isin(LEAD_STATUSES)
+    return c.isNotNull() & F.lower(strip(c)).isin(LEAD_STATUSES)
 
 
 def valid_meeting_date_text(c) -> Column:
     """Blank or ``dddd-dd-dd``."""
     c = _col(c)
-    return c.isNull() | (F.trim(c) == "") | F.trim(c).rlike(r"^\d{4}-\d{2}-\d{2}$")
+    return c.isNull() | (strip(c) == "") | strip(c).rlike(r"^\d{4}-\d{2}-\d{2}$")
 
 
 # Source display labels (lead table, case-insensitive lookup;

@@ -35,10 +35,16 @@ def _split(df: DataFrame, err: Column, valid_cols: list[Column], raw_cols: list[
     t = df.select("*", err.alias("error"), F.monotonically_increasing_id().alias("_scan"))
     kept = F.col("_scan") >= 0    # never folded away (unlike IS NOT NULL on a non-null id)
     valid = t.filter(F.col("error").isNull() & kept).select(*valid_cols)
-    rejected = t.filter(F.col("error").isNotNull() & kept).select("row_no", "error", *raw_cols)
+    rejected = t.filter(F.col("error").isNotNull() & kept).select(*row_key(raw_of=df), "error", *raw_cols)
     return valid, rejected
 
 
+def row_key(raw_of: DataFrame) -> list[str]:
+    """What identifies a row: its number, within its file when several files
+    are read together (``_file``)."""
+    return ["_file", "row_no"] if "_file" in raw_of.columns else ["row_no"]
+
+
 def _pre_parse(raw: DataFrame, cols: list[str]) -> DataFrame:
     """Parse the date columns once (``_pd_<col>``); the value and the error
     rule both read the parsed column instead of re-trying every layout."""
@@ -74,7 +80,7 @@ def validate_sales(raw: DataFrame, as_of) -> tuple[DataFrame, DataFrame]:
     used_default = F.lit(not has_date)
     err = F.coalesce(e1, e2, e3, e4, e5)
     raw_cols = [c for c in SALES_RAW if c in raw.columns]
-    return _split(raw, err, [F.col("row_no"), name.alias("client_name"), cid.alias("client_id"),
+    return _split(raw, err, [*map(F.col, row_key(raw)), name.alias("client_name"), cid.alias("client_id"),
                              prod.alias("product_type"), price.alias("price"), d.alias("date"),
                              used_default.alias("used_default_date"), defaulted.alias("date_defaulted")],
                   raw_cols)
@@ -82,8 +88,8 @@ def validate_sales(raw: DataFrame, as_of) -> tuple[DataFrame, DataFrame]:
 
 def new_clients_from_sales(valid: DataFrame, clients: DataFrame) -> DataFrame:
     """Clients of the file missing from the store, named after
-    their first row in file order; cif '-', other fields NULL."""
-    first = valid.groupBy("client_id").agg(F.min_by("client_name", "row_no").alias("name"))
+    their first row in (file, row) order; cif '-', other fields NULL."""
+    first = valid.groupBy("client_id").agg(F.min_by("client_name", F.struct(*row_key(valid))).alias("name"))
     missing = first.join(clients.select(F.col("id").alias("client_id")), "client_id", "left_anti")
     return missing.select(F.col("client_id").alias("id"), "name", F.lit("-").alias("cif"),
                           *[F.lit(None).cast("string").alias(c) for c in ("address", "contact_person", "email")])
@@ -96,10 +102,26 @@ class ImportResult:
     extra: dict = field(default_factory=dict)
 
 
-def import_sales(raw: DataFrame, clients: DataFrame, as_of) -> ImportResult:
-    """I8: validated sales to append plus the client rows to create."""
+def import_sales(raw: DataFrame, clients: DataFrame, as_of, existing: DataFrame | None = None) -> ImportResult:
+    """I8: validated sales, the client rows to create and, with ``existing``
+    (the sales store), the rows to append: ``extra['append']`` has the store's
+    columns with an id per row (the file and row number, so that importing the
+    same file again meets its own ids and appends nothing twice).
+
+    ``extra['counts']`` holds total, valid and rejected rows, measured in the
+    same pass (I14).  Nothing is written here: a dry run reads the result, a
+    real one appends it (``sources.sinks.append_import``)."""
     valid, rejected = validate_sales(raw, as_of)
-    return ImportResult(valid, rejected, {"new_clients": new_clients_from_sales(valid, clients)})
+    extra = {"new_clients": new_clients_from_sales(valid, clients)}
+    counts = valid.select(F.lit(1).alias("v")).unionByName(rejected.select(F.lit(0).alias("v")))
+    extra["counts"] = counts.agg(F.count(F.lit(1)).alias("total_rows"), F.coalesce(F.sum("v"), F.lit(0)).alias("valid_rows")).select(
+        "total_rows", "valid_rows", (F.col("total_rows") - F.col("valid_rows")).alias("rejected_rows"))
+    if existing is not None:
+        file = F.col("_file") if "_file" in valid.columns else F.lit("import")
+        rows = valid.select(F.concat_ws("#", file, F.col("row_no").cast("string")).alias("id"), "client_name", "client_id",
+                            "product_type", F.col("price").cast("decimal(18,2)").alias("price"), "date")
+        extra["append"] = rows.join(existing.select("id"), "id", "left_anti")
+    return ImportResult(valid, rejected, extra)
 
 
 LEADS_RAW = ["external_id", "created_at", "source", "status", "meeting_date", "client_id"]
@@ -122,7 +144,7 @@ def validate_leads(raw: DataFrame, as_of) -> tuple[DataFrame, DataFrame]:
     md = F.when(is_blank(md_raw), F.lit(None).cast("date")).otherwise(md_parsed)
     err = F.coalesce(e1, e2)
     raw_cols = [c for c in LEADS_RAW if c in raw.columns]
-    return _split(raw, err, [F.col("row_no"), lead_id(ext, cid, created, src).alias("id"),
+    return _split(raw, err, [*map(F.col, row_key(raw)), lead_id(ext, cid, created, src).alias("id"),
                              ext.alias("external_id"), created.alias("created_at"), src.alias("source"),
                              status.alias("status"), md.alias("meeting_date"), cid.alias("client_id")],
                   raw_cols)
@@ -145,27 +167,30 @@ def import_leads(raw: DataFrame, existing: DataFrame, clients: DataFrame, as_of,
       ``null`` (store the lead without client) or ``keep``.
     """
     valid, rejected = validate_leads(raw, as_of)
+    key = row_key(valid)
     missing_status = valid.filter(F.col("status").isNull())
     cand = valid.filter(F.col("status").isNotNull())
     by_id = existing.select(F.col("id"))
     by_pair = existing.filter(F.col("external_id").isNotNull()).select("external_id", "source")
     fresh = cand.join(by_id, "id", "left_anti").join(by_pair, ["external_id", "source"], "left_anti")
-    first = (fresh.groupBy("id").agg(F.min_by(F.struct(*[c for c in LEAD_COLS if c != "id"], "row_no"),
-                                              "row_no").alias("_r"))
+    first = (fresh.groupBy("id").agg(F.min_by(F.struct(*[c for c in LEAD_COLS if c != "id"], *key),
+                                              F.struct(*key)).alias("_r"))
                   .select("id", "_r.*"))
-    known = clients.select(F.col("id").alias("client_id"))
-    unknown = (first.filter(F.col("client_id").isNotNull())
-                    .join(known, "client_id", "left_anti").select("client_id").distinct())
+    known = clients.select(F.col("id").alias("client_id")).distinct()
+    # most leads have no client: those rows stay out of the joins on it
+    with_client, without = first.filter("client_id is not null"), first.filter("client_id is null")
+    unknown = with_client.join(known, "client_id", "left_anti").select("client_id").distinct()
     if on_unknown_client == "null":
-        marked = first.join(known.withColumn("_k", F.lit(True)), "client_id", "left")
-        first = marked.select(*[F.when(F.col("_k"), F.col("client_id")).alias("client_id")
-                                if c == "client_id" else F.col(c) for c in LEAD_COLS + ["row_no"]])
-    inserted = first.select("row_no", *LEAD_COLS)
-    dups = cand.join(inserted.select("row_no"), "row_no", "left_anti")
+        marked = with_client.join(known.withColumn("_k", F.lit(True)), "client_id", "left")
+        marked = marked.select(*[F.when(F.col("_k"), F.col("client_id")).alias("client_id")
+                                 if c == "client_id" else F.col(c) for c in first.columns])
+        first = marked.unionByName(without)
+    inserted = first.select(*key, *LEAD_COLS)
+    dups = cand.join(inserted.select(*key), key, "left_anti")
     if on_unknown_client == "fail":
         # the whole file is rejected when any stored row would break the FK
-        ok = unknown.limit(1).count() == 0
-        inserted = inserted if ok else inserted.limit(0)
+        broken = F.broadcast(unknown.agg(F.count(F.lit(1)).alias("_broken")))          # one row
+        inserted = inserted.crossJoin(broken).filter("_broken = 0").drop("_broken")
     return ImportResult(inserted, rejected, {"duplicates": dups, "missing_status": missing_status,
                                              "unknown_clients": unknown})
 
@@ -182,23 +207,26 @@ def validate_spend(raw: DataFrame, as_of) -> tuple[DataFrame, DataFrame]:
     d, e3 = parse_date_or_default(_c(raw, "date"), as_of, parsed="_pd_date" if "date" in raw.columns else None)
     err = F.coalesce(e1, e2, e3)
     raw_cols = [c for c in SPEND_RAW if c in raw.columns]
-    return _split(raw, err, [F.col("row_no"), normalize_source(src).alias("source"),
+    return _split(raw, err, [*map(F.col, row_key(raw)), normalize_source(src).alias("source"),
                              F.round(amt, 2).alias("amount"), d.alias("date")], raw_cols)
 
 
 def import_mixed(raw: DataFrame, existing_leads: DataFrame, clients: DataFrame, as_of,
                  on_unknown_client: str = "null") -> dict:
-    """One scan through both rule sets; ``counts`` has total, leads
-    inserted, sales valid and invalid = total - leads - sales when > 0."""
+    """Both rule sets over one input.  ``counts`` has total, leads
+    inserted, sales valid and invalid = total - leads - sales when > 0;
+    ``errors`` the rejected rows of both kinds (if there are any, only these
+    are reported)."""
     leads = import_leads(raw, existing_leads, clients, as_of, on_unknown_client)
     sales = import_sales(raw, clients, as_of)
-    total = raw.agg(F.count(F.lit(1)).alias("total"))
-    nl = leads.valid.agg(F.count(F.lit(1)).alias("leads"))
-    ns = sales.valid.agg(F.count(F.lit(1)).alias("sales"))
-    counts = total.crossJoin(nl).crossJoin(ns).select(
-        "total", "leads", "sales",
-        F.greatest(F.col("total") - F.col("leads") - F.col("sales"), F.lit(0)).alias("invalid"))
-    return {"leads": leads, "sales": sales, "counts": counts}
+    kind = lambda df, name: df.select(F.lit(name).alias("kind"))
+    counts = (kind(raw, "total").union(kind(leads.valid, "leads")).union(kind(sales.valid, "sales"))
+              .agg(*[F.coalesce(F.sum((F.col("kind") == k).cast("long")), F.lit(0)).alias(k) for k in ("total", "leads", "sales")])
+              .select("*", F.greatest(F.col("total") - F.col("leads") - F.col("sales"), F.lit(0).cast("long")).alias("invalid")))
+    key = row_key(raw)
+    errors = (sales.rejected.select(F.lit("sales").alias("kind"), *key, "error")
+              .union(leads.rejected.select(F.lit("leads").alias("kind"), *key, "error")))
+    return {"leads": leads, "sales": sales, "counts": counts, "errors": errors}
 
 
 def import_log_row(spark: SparkSession, file_name: str, valid_rows: int, rejected_rows: int,

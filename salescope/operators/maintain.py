@@ -6,13 +6,16 @@ which also cuts the lineage before the next job reads them."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.dates import is_blank, normalize_iso
+from ..functions.strip import strip
 from ..functions.text import client_field_error, normalize_source, valid_lead_status, valid_meeting_date_text
+from ..session import cut_lineage, drop_cut
 
 DASH = "-"
 CLIENT_COLS = ["id", "name", "cif", "address", "contact_person", "email"]
@@ -25,26 +28,62 @@ class Upsert:
     rejected: DataFrame   # change rows with an ``error`` column
 
 
-def upsert_clients(base: DataFrame, changes: DataFrame) -> Upsert:
+def _order(order_col: str | None, cols: list[str]) -> Column:
+    """Batch order of a change row: the given column, then all values (so that
+    ties and batches without an order have one result)."""
+    return F.struct(*[F.col(c) for c in ([order_col] if order_col else []) + cols])
+
+
+def _last_per_id(changes: DataFrame, order_col: str | None, id_col: str = "id") -> DataFrame:
+    """One row per id: the last one, as if the changes were made one by one."""
+    rest = [c for c in changes.columns if c != id_col]
+    cols = [c for c in rest if c != order_col]
+    return (changes.groupBy(id_col).agg(F.max_by(F.struct(*rest), _order(order_col, cols)).alias("_r"))
+            .select(id_col, "_r.*"))
+
+
+def _not_first(df: DataFrame, key: Column, usable: Column, order: Column, message: str) -> DataFrame:
+    """Rows without an error whose key an earlier such row has get ``message``."""
+    keyed = df.withColumn("_key", F.when(F.col("error").isNull() & usable, key)).withColumn("_o", order)
+    first = keyed.filter("_key is not null").groupBy("_key").agg(F.min("_o").alias("_first"))
+    with_key = keyed.filter("_key is not null").join(first, "_key").withColumn(
+        "error", F.when(F.col("_o") != F.col("_first"), F.lit(message)))
+    return (with_key.select(*df.columns)
+            .unionByName(keyed.filter("_key is null").select(*df.columns)))
+
+
+def upsert_clients(base: DataFrame, changes: DataFrame, order_col: str | None = None) -> Upsert:
     """M1: validate (S21, then duplicate CIF / name against *other* stored
-    clients, J11), normalise the CIF (trim + upper), replace by id or insert."""
-    ch = changes.select(*CLIENT_COLS).withColumn("cif", F.upper(F.trim("cif")))
+    clients, J11), normalise the CIF (trim + upper), replace by id or insert.
+
+    A batch counts as its changes made one by one in ``order_col`` order (the
+    values break ties): of several changes of an id the last one holds, and of
+    several ids that claim one CIF or name the first one gets it."""
+    keep = [order_col] if order_col else []
+    ch = changes.select(*CLIENT_COLS, *keep).withColumn("cif", F.upper(strip("cif")))
+    no_id = ch.filter(is_blank("id")).select(*CLIENT_COLS, F.lit("client id is required").alias("error"))
+    ch = _last_per_id(ch.filter(~is_blank("id")), order_col)
     err = client_field_error("name", "cif", "email", "contact_person")
     # duplicate checks: count stored rows per key, subtract the row being replaced
     by_cif = base.filter(F.col("cif").isNotNull()).groupBy(F.col("cif").alias("_k")) \
                  .agg(F.count(F.lit(1)).alias("_nc"))
     by_name = base.groupBy(F.lower("name").alias("_nk")).agg(F.count(F.lit(1)).alias("_nn"))
     own = base.select(F.col("id").alias("_oid"), F.col("cif").alias("_ocif"), F.lower("name").alias("_oname"))
+    name_key = F.lower(strip("name"))
     j = (ch.join(own, ch.id == own._oid, "left")
            .join(by_cif, F.col("cif") == F.col("_k"), "left")
-           .join(by_name, F.lower(F.trim("name")) == F.col("_nk"), "left"))
+           .join(by_name, name_key == F.col("_nk"), "left"))
     other_cif = F.coalesce("_nc", F.lit(0)) - F.when(F.col("_ocif") == F.col("cif"), 1).otherwise(0)
-    other_name = F.coalesce("_nn", F.lit(0)) - F.when(F.col("_oname") == F.lower(F.trim("name")), 1).otherwise(0)
+    other_name = F.coalesce("_nn", F.lit(0)) - F.when(F.col("_oname") == name_key, 1).otherwise(0)
     use_cif = ~is_blank("cif") & (F.col("cif") != DASH)
     err = F.coalesce(err,
                      F.when(use_cif & (other_cif > 0), F.lit("another client has this CIF")),
                      F.when(other_name > 0, F.lit("another client has this name")))
-    checked = j.select(*CLIENT_COLS, err.alias("error"))
+    checked = j.select(*CLIENT_COLS, *keep, err.alias("error"))
+    order = _order(order_col, CLIENT_COLS)
+    checked = _not_first(checked, F.col("cif"), use_cif, order, "another client has this CIF")
+    checked = _not_first(checked, name_key, F.lit(True), order, "another client has this name")
+    checked = checked.select(*CLIENT_COLS, "error").unionByName(no_id)
     ok = checked.filter(F.col("error").isNull()).drop("error")
     table = base.join(ok.select(F.col("id").alias("_id")), base.id == F.col("_id"), "left_anti") \
                 .unionByName(ok.select(*CLIENT_COLS))
@@ -65,80 +104,112 @@ def delete_clients(ids: DataFrame, clients: DataFrame, sales: DataFrame,
     leads and funnel events."""
     gone = ids.select(F.col("id").alias("_gid")).distinct()
     keep = lambda df, k: df.join(gone, df[k] == gone._gid, "left_anti")
+    # the keys of a fact table are decided once per client, not once per row
+    sold = sales.groupBy("client_id").agg(F.count(F.lit(1)).alias("_n")).filter("client_id is not null")
+    dropped = sold.join(gone, F.col("client_id") == F.col("_gid")).select(F.col("client_id").alias("_gid"))
+    left_sales = sales.join(dropped, sales.client_id == F.col("_gid"), "left_anti")
 
     def null_out(df):
-        j = df.join(gone, df.client_id == gone._gid, "left")
-        return j.select(*[F.when(F.col("_gid").isNotNull(), F.lit(None).cast("string"))
-                           .otherwise(F.col(c)).alias(c) if c == "client_id" else F.col(c)
-                          for c in df.columns])
-    return Deleted(keep(clients, "id"), keep(sales, "client_id"), null_out(leads), null_out(events))
+        j = df.filter("client_id is not null").join(gone, F.col("client_id") == F.col("_gid"), "left")
+        j = j.select(*[F.when(F.col("_gid").isNull(), F.col(c)).alias(c) if c == "client_id" else F.col(c)
+                       for c in df.columns])
+        return j.unionByName(df.filter("client_id is null"))
+    return Deleted(keep(clients, "id"), left_sales, null_out(leads), null_out(events))
+
+
+def _checked_update(updates: DataFrame, known: DataFrame, order_col: str | None) -> DataFrame:
+    md = strip(F.col("meeting_date").cast("string"))
+    shaped = valid_meeting_date_text(F.col("meeting_date").cast("string"))
+    return updates.join(known, F.col("id") == F.col("_kid"), "left").select(
+        "id", "status", "meeting_date", *([order_col] if order_col else []),
+        F.lower(strip("status")).alias("_st"), F.when(shaped, md).try_cast("date").alias("_md"),
+        F.coalesce(F.when(F.col("_kid").isNull(), F.lit("unknown lead id")),
+                   F.when(~valid_lead_status("status"), F.lit("invalid status")),
+                   F.when(~shaped | (~is_blank("meeting_date") & F.when(shaped, md).try_cast("date").isNull()),
+                          F.lit("invalid meeting date"))).alias("error"))
 
 
-def update_leads(leads: DataFrame, updates: DataFrame) -> Upsert:
+def update_leads(leads: DataFrame, updates: DataFrame, order_col: str | None = None) -> Upsert:
     """M3: status / meeting_date updates by lead id.  Status must be in the
-    vocabulary (S22), meeting_date blank or yyyy-mm-dd; unknown ids rejected."""
-    u = updates.select(F.col("id").alias("_uid"), F.col("status").alias("_st"),
-                       F.col("meeting_date").alias("_md"))
-    known = leads.select(F.col("id").alias("_kid"))
-    chk = u.join(known, u._uid == known._kid, "left").select(
-        "_uid", "_st", "_md",
-        F.coalesce(F.when(F.col("_kid").isNull(), F.lit("unknown lead id")),
-                   F.when(~valid_lead_status("_st"), F.lit("invalid status")),
-                   F.when(~valid_meeting_date_text("_md"), F.lit("invalid meeting date"))).alias("error"))
+    vocabulary (S22), meeting_date blank or a day as yyyy-mm-dd; unknown ids are
+    rejected.  Of several valid updates of a lead the last one holds (in
+    ``order_col`` order, the values break ties)."""
+    known = leads.select(F.col("id").alias("_kid")).distinct()
+    chk = _checked_update(updates, known, order_col)
     ok = chk.filter(F.col("error").isNull()).select(
-        "_uid", F.lower(F.trim("_st")).alias("_st"),
-        F.when(is_blank("_md"), F.lit(None).cast("date")).otherwise(F.trim("_md").cast("date")).alias("_md"))
+        F.col("id").alias("_uid"), "_st", "_md", *([order_col] if order_col else []))
+    ok = _last_per_id(ok, order_col, "_uid").select("_uid", "_st", "_md")
     j = leads.join(ok, leads.id == ok._uid, "left")
     hit = F.col("_uid").isNotNull()
     table = j.select(*[F.when(hit, F.col("_st")).otherwise(F.col(c)).alias(c) if c == "status"
                        else F.when(hit, F.col("_md")).otherwise(F.col(c)).alias(c) if c == "meeting_date"
                        else F.col(c) for c in leads.columns])
-    rejected = chk.filter(F.col("error").isNotNull()).select(
-        F.col("_uid").alias("id"), F.col("_st").alias("status"), F.col("_md").alias("meeting_date"), "error")
+    rejected = chk.filter(F.col("error").isNotNull()).select("id", "status", "meeting_date", "error")
     applied = ok.select(F.col("_uid").alias("id"), F.col("_st").alias("status"), F.col("_md").alias("meeting_date"))
     return Upsert(table, applied, rejected)
 
 
-def insert_leads(leads: DataFrame, new: DataFrame) -> Upsert:
+def insert_leads(leads: DataFrame, new: DataFrame, order_col: str | None = None) -> Upsert:
     """M3 insert: rows (id, external_id, created_at, source, status,
     meeting_date, client_id); status must be valid (S22, stored lower-case),
-    meeting_date blank or yyyy-mm-dd, ids must be new (in the store and in
-    the batch: first row per id wins)."""
-    known = leads.select(F.col("id").alias("_kid"))
-    n = new.join(known, new.id == known._kid, "left")
-    err = F.coalesce(F.when(F.col("_kid").isNotNull(), F.lit("lead id already exists")),
-                     F.when(~valid_lead_status("status"), F.lit("invalid status")),
-                     F.when(~valid_meeting_date_text(F.col("meeting_date").cast("string")),
-                            F.lit("invalid meeting date")))
-    chk = n.select(*new.columns, err.alias("error"))
-    ok = (chk.filter(F.col("error").isNull())
-             .groupBy("id").agg(F.min_by(F.struct(*[c for c in new.columns if c != "id"]),
-                                         F.col("created_at")).alias("_r"))
-             .select("id", "_r.*")
-             .withColumn("status", F.lower(F.trim("status")))
-             .withColumn("meeting_date", F.col("meeting_date").cast("date")))
+    meeting_date blank or a day.  Ids and (external_id, source) pairs are unique
+    in the store and in the batch: the first valid row of a batch (``order_col``
+    order, the values break ties) gets them."""
+    md = strip(F.col("meeting_date").cast("string"))
+    shaped = valid_meeting_date_text(F.col("meeting_date").cast("string"))
+    day = F.when(shaped, md).try_cast("date")
+    known = leads.select(F.col("id").alias("_kid")).distinct()
+    pairs = leads.filter("external_id is not null").select(
+        F.col("external_id").alias("_ke"), F.col("source").alias("_ks")).distinct()
+    n = (new.join(known, new.id == known._kid, "left")
+         .join(pairs, (new.external_id == pairs._ke) & (new.source == pairs._ks), "left"))
+    chk = n.select(*new.columns, day.alias("_day"), F.coalesce(
+        F.when(is_blank("id"), F.lit("lead id is required")),
+        F.when(F.col("_kid").isNotNull(), F.lit("lead id already exists")),
+        F.when(F.col("_ke").isNotNull(), F.lit("lead already exists for this source")),
+        F.when(~valid_lead_status("status"), F.lit("invalid status")),
+        F.when(~shaped | (~is_blank("meeting_date") & day.isNull()), F.lit("invalid meeting date"))).alias("error"))
+    order = _order(order_col, [c for c in new.columns if c != order_col])
+    chk = _not_first(chk, F.col("id"), F.lit(True), order, "lead id already exists")
+    chk = _not_first(chk, F.struct("external_id", "source"), F.col("external_id").isNotNull() & F.col("source").isNotNull(),
+                     order, "lead already exists for this source")
+    # exact repetitions of the first row share its order
+    ok = (chk.filter(F.col("error").isNull()).dropDuplicates(["id"])
+          .withColumn("status", F.lower(strip("status"))).withColumn("meeting_date", F.col("_day")))
     table = leads.unionByName(ok.select(*leads.columns))
-    return Upsert(table, ok, chk.filter(F.col("error").isNotNull()))
+    return Upsert(table, ok.select(*new.columns), chk.filter(F.col("error").isNotNull()).drop("_day"))
 
 
-def upsert_spend(base: DataFrame, changes: DataFrame, as_of) -> Upsert:
+def upsert_spend(base: DataFrame, changes: DataFrame, as_of, order_col: str | None = None) -> Upsert:
     """M4: rows (id, source, amount, date): source normalised (S3) and
     required, amount > 0 rounded to 2 dp, date ISO (S2) or ``as_of`` when
-    blank; replace by id, insert rows without one."""
-    src = normalize_source(F.trim("source"))
-    amt = F.trim(F.col("amount").cast("string")).try_cast("double")
+    blank; replace by id (the last valid change of an id holds), insert rows
+    without one under the next free ids, by source, date and amount."""
+    src = normalize_source(strip("source"))
+    amt = strip(F.col("amount").cast("string")).try_cast("double")
     iso = normalize_iso("date")
     d = F.when(is_blank("date"), F.lit(str(as_of)[:10]).cast("date")).otherwise(iso.try_cast("date"))
     chk = changes.select(
-        "id", src.alias("source"), F.round(amt, 2).cast("decimal(18,2)").alias("amount"), d.alias("date"),
+        F.col("id").cast("long").alias("id"), src.alias("source"), F.round(amt, 2).cast("decimal(18,2)").alias("amount"),
+        d.alias("date"), *([order_col] if order_col else []),
         F.coalesce(F.when(is_blank("source"), F.lit("source is required")),
                    F.when(amt.isNull() | F.isnan(amt) | (amt <= 0), F.lit("amount must be greater than 0")),
                    F.when(d.isNull(), F.lit("invalid date"))).alias("error"))
-    ok = chk.filter(F.col("error").isNull()).drop("error")
     cols = ["id", "source", "amount", "date"]
-    table = base.join(ok.filter(F.col("id").isNotNull()).select(F.col("id").alias("_id")),
-                      base.id == F.col("_id"), "left_anti").select(*cols).unionByName(ok.select(*cols))
-    return Upsert(table, ok, chk.filter(F.col("error").isNotNull()))
+    ok = chk.filter(F.col("error").isNull()).drop("error")
+    named = _last_per_id(ok.filter("id is not null"), order_col).select(*cols)
+    new = ok.filter("id is null")
+    # numbers within a source, shifted by the rows of the sources before it
+    offsets = new.groupBy("source").agg(F.count(F.lit(1)).alias("_n")).select(
+        "source", F.coalesce(F.sum("_n").over(Window.orderBy("source").rowsBetween(Window.unboundedPreceding, -1)),
+                             F.lit(0)).alias("_offset"))
+    top = F.broadcast(base.select("id").unionByName(named.select("id")).agg(F.coalesce(F.max("id"), F.lit(0)).alias("_top")))
+    number = F.row_number().over(Window.partitionBy("source").orderBy("date", "amount", *([order_col] if order_col else [])))
+    new = (new.withColumn("_i", number).join(offsets, "source").crossJoin(top)
+           .select((F.col("_top") + F.col("_offset") + F.col("_i")).cast("long").alias("id"), "source", "amount", "date"))
+    table = base.join(named.select(F.col("id").alias("_id")),
+                      base.id == F.col("_id"), "left_anti").select(*cols).unionByName(named).unionByName(new)
+    return Upsert(table, named.unionByName(new), chk.filter(F.col("error").isNotNull()).select(*cols, "error"))
 
 
 def delete_spend(base: DataFrame, ids: DataFrame) -> DataFrame:
@@ -151,7 +222,7 @@ def list_spend(base: DataFrame) -> DataFrame:
 
 
 def _valid_field(c: str) -> Column:
-    return F.col(c).isNotNull() & (F.trim(F.col(c)) != "") & (F.trim(F.col(c)) != DASH)
+    return F.col(c).isNotNull() & (strip(F.col(c)) != "") & (strip(F.col(c)) != DASH)
 
 
 @dataclass
@@ -161,66 +232,74 @@ class Merge:
     sales: DataFrame
     leads: DataFrame | None
     events: DataFrame | None
+    drop: Callable[[], None]   # deletes the written mapping, once nothing reads it any more
+
+
+def _resolved(mapping: DataFrame) -> DataFrame:
+    """Follow id -> primary to its end.  Every step goes to a smaller (not
+    stored, id), so there are no cycles; each round doubles the distance, so
+    the rounds are logarithmic in the longest chain."""
+    mapping = cut_lineage(mapping, "merge-mapping")
+    while True:
+        nxt = mapping.select(F.col("client_id").alias("_via"), F.col("primary_id").alias("_next")).filter("_via != _next")
+        joined = mapping.join(nxt, F.col("primary_id") == F.col("_via"), "left")
+        if joined.filter("_next is not null").isEmpty():
+            return mapping
+        old, mapping = mapping, cut_lineage(joined.select(
+            "client_id", F.coalesce("_next", "primary_id").alias("primary_id"), "name_key", "rows_moved"), "merge-mapping")
+        drop_cut(old)
 
 
 def merge_duplicate_clients(sales: DataFrame, clients: DataFrame, leads: DataFrame | None = None,
-                            events: DataFrame | None = None, repoint_leads: bool = False,
-                            materialize: bool = True) -> Merge:
+                            events: DataFrame | None = None, repoint_leads: bool = False) -> Merge:
     """M5: merge client ids sharing a (case-insensitive) sales name.
 
-    ``materialize`` (default) checkpoints the (name, client) pre-aggregate --
-    one row per pair, far smaller than sales -- in the shared checkpoint
-    folder: every later step (groups, members, primaries, moved-row counts)
-    and every output reads it instead of rescanning sales, and a retry after
-    a lost executor restarts from it.
-
-    Primary = lowest id present in the client store, else lowest id.  The
-    primary's blank / '-' fields are filled from the other stored members
-    (id order).  Sales of secondaries move to the primary and secondary
-    client rows are deleted.  With ``repoint_leads`` the same mapping is
-    applied to leads and funnel events (default: left dangling, like the
-    reference; Q4 then shows them as orphans).
+    Primary of a name = lowest id present in the client store, else lowest id.
+    An id listed under several names follows the one with the smallest key; if
+    its primary moves on to another one, so does the id (the reference runs the
+    groups one after another in an arbitrary order; the transitive result does
+    not depend on it).  The primary's blank / '-' fields are filled from the
+    stored ids that end at it (itself first, then id order).  Sales of the
+    others move to the primary and their client rows are deleted.  With
+    ``repoint_leads`` the same mapping is applied to leads and funnel events
+    (default: left dangling, like the reference; Q4 then shows them as orphans).
+
+    The mapping (one row per merged id) is written under the shared checkpoint
+    folder, because resolving it takes a loop; nothing else runs before the
+    caller reads a result.  ``Merge.drop`` deletes it afterwards.
     """
     from .quality import duplicate_members_from_pairs, name_id_pairs
-    # one scan of sales: every later step reuses this pre-aggregate
-    pairs = name_id_pairs(sales)
-    if materialize:
-        from ..session import cut_lineage
-        pairs = cut_lineage(pairs, "merge-pairs")
-    members = duplicate_members_from_pairs(pairs)
-    stored = clients.select(F.col("id").alias("client_id"), F.lit(True).alias("_stored"),
-                            *[F.col(c).alias(f"_{c}") for c in ("cif", "address", "contact_person", "email")])
-    m = members.join(stored, "client_id", "left").withColumn("_stored", F.coalesce("_stored", F.lit(False)))
-    prim = m.groupBy("name_key").agg(
-        F.coalesce(F.min(F.when(F.col("_stored"), F.col("client_id"))), F.min("client_id")).alias("primary_id"))
-    mp = m.join(prim, "name_key")
-    # an id listed under several names follows the group with the smallest
-    # key; its moved rows are all of its sales (summed over its names)
-    one = (mp.groupBy("client_id").agg(F.min_by("primary_id", "name_key").alias("primary_id"),
-                                       F.min("name_key").alias("name_key"),
-                                       F.sum("n_rows").alias("rows_moved")))
-    mapping = (one.filter(F.col("client_id") != F.col("primary_id"))
-                  .select("name_key", F.col("client_id").alias("old_id"), "primary_id",
-                          F.col("rows_moved").cast("long").alias("rows_moved")))
-    # field fill for primaries: primary's own valid value, else first valid stored member by id
-    order = lambda c: F.when(_valid_field(f"_{c}") & F.col("_stored"),
-                             F.struct((F.col("client_id") != F.col("primary_id")).alias("_sec"),
-                                      F.col("client_id")))
-    fill = (mp.groupBy("primary_id").agg(*[F.min_by(f"_{c}", order(c)).alias(f"_f_{c}")
-                                           for c in ("cif", "address", "contact_person", "email")]))
+    members = duplicate_members_from_pairs(name_id_pairs(sales))
+    stored = clients.select(F.col("id").alias("client_id"), F.lit(True).alias("_stored"))
+    m = members.join(stored, "client_id", "left")
+    low = F.struct(F.col("_stored").isNull().alias("no"), F.col("client_id").alias("id"))
+    prim = m.groupBy("name_key").agg(F.min(low).alias("_p")).select("name_key", F.col("_p.id").alias("primary_id"))
+    one = (m.join(prim, "name_key").groupBy("client_id")
+           .agg(F.min_by("primary_id", "name_key").alias("primary_id"), F.min("name_key").alias("name_key"),
+                F.sum("n_rows").cast("long").alias("rows_moved")))
+    resolved = _resolved(one)
+    mapping = resolved.filter("client_id != primary_id").select(
+        "name_key", F.col("client_id").alias("old_id"), "primary_id", "rows_moved")
+    # field fill: the first valid value in (own first, id) order per primary
+    fields = ("cif", "address", "contact_person", "email")
+    donors = resolved.select("client_id", "primary_id").join(
+        clients.select(F.col("id").alias("client_id"), *[F.col(c).alias(f"_{c}") for c in fields]), "client_id")
+    order = lambda c: F.when(_valid_field(f"_{c}"),
+                             F.struct((F.col("client_id") != F.col("primary_id")).alias("_sec"), F.col("client_id")))
+    fill = donors.groupBy("primary_id").agg(*[F.min_by(f"_{c}", order(c)).alias(f"_f_{c}") for c in fields])
     sec = mapping.select(F.col("old_id").alias("_sec_id"))
     c2 = clients.join(sec, clients.id == sec._sec_id, "left_anti")
     c3 = c2.join(fill, c2.id == fill.primary_id, "left")
     new_clients = c3.select("id", "name", *[
         F.when(F.col("primary_id").isNotNull() & ~_valid_field(c) & F.col(f"_f_{c}").isNotNull(),
-               F.col(f"_f_{c}")).otherwise(F.col(c)).alias(c)
-        for c in ("cif", "address", "contact_person", "email")])
+               F.col(f"_f_{c}")).otherwise(F.col(c)).alias(c) for c in fields])
 
     def repoint(df):
         mm = mapping.select(F.col("old_id").alias("_old"), F.col("primary_id").alias("_new"))
-        j = df.join(mm, df.client_id == mm._old, "left")
-        return j.select(*[F.coalesce(F.col("_new"), F.col(c)).alias(c) if c == "client_id" else F.col(c)
-                          for c in df.columns])
+        j = df.filter("client_id is not null").join(mm, F.col("client_id") == F.col("_old"), "left")
+        j = j.select(*[F.coalesce(F.col("_new"), F.col(c)).alias(c) if c == "client_id" else F.col(c)
+                       for c in df.columns])
+        return j.unionByName(df.filter("client_id is null"))
     new_leads = repoint(leads) if (repoint_leads and leads is not None) else leads
     new_events = repoint(events) if (repoint_leads and events is not None) else events
-    return Merge(mapping, new_clients, repoint(sales), new_leads, new_events)
+    return Merge(mapping, new_clients, repoint(sales), new_leads, new_events, lambda: drop_cut(resolved))

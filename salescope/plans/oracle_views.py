@@ -36,9 +36,9 @@ group by s.source, s.date""",
 select cast(event_id as varchar) as id, cast(user_id as varchar) as client_id, concat('L',cast(event_id as varchar)) as lead_id,
        event_type, cast(ts as date) as event_date, props as metadata from events""",
     "sales_dup": """
-select id, case when cast(client_id as int)%2=0 then upper(concat('Company ', cast(cast(client_id as int)%700 as varchar)))
-                else concat('Company ', cast(cast(client_id as int)%700 as varchar)) end as client_name,
-       client_id, product_type, price, date from sales""",
+select id, case when cast(client_id as int)%2=0 then upper(nm) else nm end as client_name, client_id, product_type, price, date
+from (select *, concat('Company ', cast((cast(client_id as int)
+               + case when cast(client_id as int)%11=0 and month(date)=5 then 1 else 0 end)%700 as varchar)) as nm from sales) t""",
     "raw_sales": """
 select event_id+2 as row_no,
        case when event_id%29=0 then '  ' else concat(' User ', cast(user_id as varchar), ' ') end as client_name,
@@ -85,7 +85,7 @@ DEPENDS = {"sales_dup": ["sales"], "raw_mixed": ["raw_sales"]}
 
 
 def with_views(body: str, *names: str) -> str:
-    """``WITH <views> <body>``; dependencies are emitted first."""
+    """``WITH RECURSIVE <views> <body>``; dependencies are emitted first."""
     order: list[str] = []
 
     def add(n):
@@ -100,7 +100,7 @@ def with_views(body: str, *names: str) -> str:
     b = body.lstrip()
     if b[:5].lower() == "with ":
         # the body's own CTEs continue the list
-        return f"WITH {ctes},\n{b[5:]}"
+        return f"WITH RECURSIVE {ctes},\n{b[5:]}"
     if b.startswith(","):
-        return f"WITH {ctes}{b}"
-    return f"WITH {ctes}\n{b}"
+        return f"WITH RECURSIVE {ctes}{b}"
+    return f"WITH RECURSIVE {ctes}\n{b}"

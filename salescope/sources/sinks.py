@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..operators import clients as CL
 from ..operators import leads as L
 from ..operators import marketing as M
+from ..session import cut_lineage, drop_cut
 
 
 def write_table(df: DataFrame, path: str, mode: str = "overwrite", partition_by: list[str] | None = None,
@@ -59,6 +60,19 @@ def append_import_log(log_row: DataFrame, path: str) -> str:
     return path
 
 
+def append_import(result, sales_path: str, clients_path: str, rejects_path: str, import_id: str) -> None:
+    """I8: carry out an import that ``ingest.import_sales`` prepared: sales and
+    new clients are appended, rejected rows reported under the import's id.
+    The rows to append are written once first, because they were computed
+    against the stores that they go to."""
+    sales = cut_lineage(result.extra["append"], "import-sales")
+    clients = cut_lineage(result.extra["new_clients"], "import-clients")
+    clients.write.mode("append").parquet(clients_path)
+    sales.write.mode("append").parquet(sales_path)
+    write_rejects(result.rejected, rejects_path, import_id)
+    drop_cut(sales, clients)
+
+
 def write_snapshot(snapshot: DataFrame, path: str, fmt: str = "json") -> str:
     """I16: a snapshot row (nested) as JSON or Parquet; one small file."""
     snapshot.coalesce(1).write.mode("overwrite").format(fmt).save(path)

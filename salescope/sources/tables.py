@@ -13,47 +13,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-_READS: dict[tuple, DataFrame] = {}
-
-
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """Parquet table of the driver's data set.  The relation (file listing +
-    footer schema) is resolved once per session and path and then reused:
-    every view builds on it, so repeated queries do not re-list files."""
-    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
-    key = (id(spark), spark.sparkContext.applicationId, path)
-    df = _READS.get(key)
-    if df is None:
-        df = spark.read.parquet(path)
-        _READS[key] = df
-    return df
-
-
-def forget_reads() -> None:
-    """Drop the resolved relations (e.g. after new files were written)."""
-    _READS.clear()
-
-
-def _memo(fn):
-    """Build a view once per session and folder; DataFrames are immutable
-    plans, so handing out the same object is safe and skips re-analysis."""
-    def wrapper(spark: SparkSession, sf_dir: str) -> DataFrame:
-        key = (id(spark), spark.sparkContext.applicationId, sf_dir.rstrip("/"), fn.__name__)
-        df = _READS.get(key)
-        if df is None:
-            df = fn(spark, sf_dir)
-            _READS[key] = df
-        return df
-    wrapper.__name__ = fn.__name__
-    wrapper.__doc__ = fn.__doc__
-    return wrapper
+    """Parquet table of the driver's data set.  Nothing is kept between calls:
+    every read lists the files as they are now."""
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 def _s(c) -> Column:
     return (F.col(c) if isinstance(c, str) else c).cast("string")
 
 
-@_memo
 def sales(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per sale: id, client_name, client_id, product_type,
     price DECIMAL(18,2), date DATE."""
@@ -79,19 +48,20 @@ def sales(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@_memo
 def sales_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sales whose client names repeat across ids in mixed case (merge input)."""
+    """Sales whose client names repeat across ids in mixed case (merge input);
+    every eleventh client also sold under a neighbour's name in May, which
+    chains the name groups."""
     s = sales(spark, sf_dir)
     cid = F.col("client_id").cast("int")
-    base = F.concat(F.lit("Company "), (cid % 700).cast("string"))
+    other = F.when((cid % 11 == 0) & (F.month("date") == 5), 1).otherwise(0)
+    base = F.concat(F.lit("Company "), ((cid + other) % 700).cast("string"))
     return s.select(
         "id",
         F.when(cid % 2 == 0, F.upper(base)).otherwise(base).alias("client_name"),
         "client_id", "product_type", "price", "date")
 
 
-@_memo
 def clients(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Client master: 9 of 10 customers plus every supplier (clients without sales)."""
     c = read_table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey")
@@ -125,7 +95,6 @@ def _events_k(spark: SparkSession, sf_dir: str, cols: list[str]) -> DataFrame:
     return e.withColumn("k", F.regexp_extract("props", "([0-9]+)", 1).cast("int"))
 
 
-@_memo
 def leads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Leads: id, external_id, created_at DATE, source, status,
     meeting_date DATE, client_id."""
@@ -149,7 +118,6 @@ def leads(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@_memo
 def marketing_spend(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spend per (source, date): source, date DATE, amount DECIMAL(18,2)."""
     e = read_table(spark, sf_dir, "events").select("event_id", "ts", "event_type", "value")
@@ -163,7 +131,6 @@ def marketing_spend(spark: SparkSession, sf_dir: str) -> DataFrame:
              .agg(F.sum("amount").cast("decimal(18,2)").alias("amount")))
 
 
-@_memo
 def funnel_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = read_table(spark, sf_dir, "events").select(
         "event_id", "user_id", "event_type", "ts", "props")
@@ -198,14 +165,12 @@ def _raw_sales_cols() -> list[Column]:
     ]
 
 
-@_memo
 def raw_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Dirty all-text sales rows as they arrive from a delimited file."""
     e = read_table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value")
     return e.select(*_raw_sales_cols())
 
 
-@_memo
 def raw_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = read_table(spark, sf_dir, "events").select("event_id")
     eid = F.col("event_id") % 10
@@ -217,7 +182,6 @@ def raw_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(F.col("event_id").alias("row_no"), expr.alias("source"))
 
 
-@_memo
 def raw_leads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All-text lead rows for the lead importer: every event becomes one lead
     row; one in five reuses the external id of an earlier event (in-file
@@ -242,7 +206,6 @@ def raw_leads(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@_memo
 def raw_spend(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All-text marketing spend rows (one per click event) for the spend
     importer: platform spellings, amounts with blanks / text / zero, dates in
@@ -267,7 +230,6 @@ def raw_spend(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@_memo
 def raw_mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All-text rows of a file carrying both sales and lead columns (mixed
     import): the raw sales columns plus lead columns of the same event, in

@@ -132,7 +132,7 @@ def test_spend_upsert(spark):
 
 def test_merge_materialized_and_store(spark, seed, tmp_path):
     from salescope.sources import sinks as SK
-    m = MT.merge_duplicate_clients(seed["sales"], seed["clients"], materialize=True)
+    m = MT.merge_duplicate_clients(seed["sales"], seed["clients"])
     assert m.mapping.count() == 0 and m.sales.count() == 5
     p = SK.write_store(seed["sales"], str(tmp_path / "sales"), files=2)
     back = spark.read.parquet(p)
