@@ -20,26 +20,47 @@ B2 = Filters("1996-07-01", "1997-06-30")
 PRESET_A = Filters("2000-01-01", "2000-03-31")
 
 
-def _values(rows) -> str:
-    return ", ".join("(" + ", ".join(f"'{x}'" for x in r) + ")" for r in rows)
+# The periods in DuckDB's own date functions, for a day named d.
+_PERIOD_SQL = {
+    "last_7_days": ("d - 6", "d"), "last_30_days": ("d - 29", "d"), "last_90_days": ("d - 89", "d"),
+    "last_3_months": ("d - interval 3 month", "d"), "last_6_months": ("d - interval 6 month", "d"),
+    "last_12_months": ("d - interval 12 month", "d"),
+    "current_week_full": ("date_trunc('week', d)", "date_trunc('week', d) + interval 6 day"),
+    "current_week_to_date": ("date_trunc('week', d)", "d"),
+    "current_month_full": ("date_trunc('month', d)", "last_day(d)"),
+    "current_month_to_date": ("date_trunc('month', d)", "d"),
+    "previous_month_full": ("date_trunc('month', d) - interval 1 month", "date_trunc('month', d) - interval 1 day"),
+    "current_quarter_full": ("date_trunc('quarter', d)", "date_trunc('quarter', d) + interval 3 month - interval 1 day"),
+    "current_quarter_to_date": ("date_trunc('quarter', d)", "d"),
+    "previous_quarter_full": ("date_trunc('quarter', d) - interval 3 month", "date_trunc('quarter', d) - interval 1 day"),
+    "same_quarter_previous_year": ("date_trunc('quarter', d) - interval 12 month",
+                                   "date_trunc('quarter', d) - interval 9 month - interval 1 day"),
+    "current_semester_full": ("h", "h + interval 6 month - interval 1 day"), "current_semester_to_date": ("h", "d"),
+    "previous_semester_full": ("h - interval 6 month", "h - interval 1 day"),
+    "current_year_full": ("date_trunc('year', d)", "date_trunc('year', d) + interval 1 year - interval 1 day"),
+    "current_year_to_date": ("date_trunc('year', d)", "d"),
+    "previous_year_full": ("date_trunc('year', d) - interval 1 year", "date_trunc('year', d) - interval 1 day"),
+}
+_DAY = f"""
+today as (select date '{SALES_AS_OF}' as d,
+                 date_trunc('year', date '{SALES_AS_OF}') + case when month(date '{SALES_AS_OF}') > 6 then interval 6 month else interval 0 month end as h),
+named(period, pstart, pend) as ({' union all '.join(
+    f"select '{k}', cast({lo} as date), cast({hi} as date) from today" for k, (lo, hi) in _PERIOD_SQL.items())})"""
 
 
-def _metrics_by_period_sql(rows) -> str:
-    return f"""
-p(period, pstart, pend) as (select * from (values {_values(rows)})),
+def _metrics_by_period_sql(periods: str) -> str:
+    return f"""{_DAY},
+p as ({periods}),
 pc as (select p.period, coalesce(client_id, client_name) as ck, sum(price) as amt, count(*) as n
-       from sales s join p on s.date between cast(p.pstart as date) and cast(p.pend as date)
+       from sales s join p on s.date between p.pstart and p.pend
        group by 1, 2),
 m as (select period, cast(sum(amt) as double) as total_sales, cast(sum(n) as bigint) as transactions,
-             count(*) as unique_clients from pc group by 1)"""
-
-
-_X1_ROWS = P.named_periods(SALES_AS_OF)
+             count(ck) as unique_clients from pc group by 1)"""
 
 
 @register("sales_by_period", W(f"""
-, {_metrics_by_period_sql(_X1_ROWS)[1:]}
-select p.period, p.pstart as start, p.pend as "end",
+, {_metrics_by_period_sql("select * from named")[1:]}
+select p.period, strftime(p.pstart, '%Y-%m-%d') as start, strftime(p.pend, '%Y-%m-%d') as "end",
        coalesce(total_sales, 0.0) as total_sales, coalesce(transactions, 0) as transactions,
        case when coalesce(transactions, 0) > 0 then total_sales / transactions else 0.0 end as avg_ticket,
        coalesce(transactions, 0) as total_quantity, coalesce(unique_clients, 0) as unique_clients
@@ -48,12 +69,21 @@ def q_sales_by_period(spark, d):
     return P.sales_by_period(spark, TB.sales(spark, d), SALES_AS_OF)
 
 
-def _x2_rows():
-    sides = []
-    for name, a_s, a_e, b_s, b_e in P.preset_ranges(SALES_AS_OF, PRESET_A):
-        sides.append((f"{name}|a", a_s, a_e))
-        sides.append((f"{name}|b", b_s, b_e))
-    return sides
+_X2_PAIRS = {"current_month_vs_previous": ("current_month_to_date", "previous_month_full"),
+             "quarter_vs_previous_year": ("current_quarter_to_date", "same_quarter_previous_year"),
+             "current_year_vs_previous": ("current_year_to_date", "previous_year_full"),
+             "current_semester_vs_previous": ("current_semester_to_date", "previous_semester_full")}
+
+
+def _x2_periods(a_start: str, a_end: str) -> str:
+    s, e = f"date '{a_start}'", f"date '{a_end}'"
+    own = {"same_period_as_a": (s, e), "period_vs_previous_year": (f"{s} - interval 1 year", f"{e} - interval 1 year"),
+           "current_vs_previous": (f"{s} - cast({e} - {s} + 1 as int)", f"{s} - 1")}
+    rows = [f"select '{p}|{side}' as period, cast({lo} as date) as pstart, cast({hi} as date) as pend"
+            for p, b in own.items() for side, (lo, hi) in (("a", (s, e)), ("b", b))]
+    rows += [f"select '{p}|{side}', pstart, pend from named where period = '{name}'"
+             for p, names in _X2_PAIRS.items() for side, name in zip("ab", names)]
+    return " union all ".join(rows)
 
 
 _MET = ["total_sales", "transactions", "avg_ticket", "total_quantity", "unique_clients"]
@@ -63,7 +93,7 @@ def _x2_sql() -> str:
     unions = " union all ".join(
         f"select preset, side, '{k}' as metric, {k} as value from full_" for k in _MET)
     body = f""",
-{_metrics_by_period_sql(_x2_rows())[1:]},
+{_metrics_by_period_sql(_x2_periods(PRESET_A.date_start, PRESET_A.date_end))[1:]},
 full_ as (select split_part(p.period, '|', 1) as preset, split_part(p.period, '|', 2) as side,
                  coalesce(total_sales, 0.0) as total_sales,
                  cast(coalesce(transactions, 0) as double) as transactions,

@@ -123,26 +123,41 @@ def test_snapshots(seed):
     assert SN.compare_snapshot(seed["sales"], Filters("2030-01-01", "2030-01-31"), f).count() == 0
 
 
-def test_period_helpers_leap_years():
-    assert P.current_month_full("2024-02-10") == ("2024-02-01", "2024-02-29")
-    assert P.current_month_full("2023-02-10") == ("2023-02-01", "2023-02-28")
-    assert P.previous_month_full("2024-01-10") == ("2023-12-01", "2023-12-31")
-    assert P.previous_month_full("2024-05-15") == ("2024-04-01", "2024-04-30")
-    assert P.last_n_days(7, "2024-05-15") == ("2024-05-09", "2024-05-15")
-    assert P.current_week_full("2024-05-15") == ("2024-05-13", "2024-05-19")
-    assert P.previous_quarter_full("2024-02-10") == ("2023-10-01", "2023-12-31")
-    assert P.same_quarter_previous_year("2024-05-15") == ("2023-04-01", "2023-06-30")
-    assert P.previous_semester_full("2024-05-15") == ("2023-07-01", "2023-12-31")
-    assert P.previous_year_full("2026-05-10") == ("2025-01-01", "2025-12-31")
-    assert P.shift_year_iso("2024-02-29", -1) == "2023-02-28"
-
-
-def test_presets_skip_without_a():
-    names = [p[0] for p in P.preset_ranges("2024-05-15")]
-    assert "same_period_as_a" not in names and "current_month_vs_previous" in names
-    pr = {p[0]: p for p in P.preset_ranges("2024-05-15", Filters("2024-05-01", "2024-05-10"))}
-    assert pr["current_vs_previous"][3:] == ("2024-04-21", "2024-04-30")
-    assert pr["period_vs_previous_year"][3:] == ("2023-05-01", "2023-05-10")
+def _bounds(spark, as_of):
+    return {r.period: (r.start.isoformat(), r.end.isoformat()) for r in P.named_periods(spark, as_of).collect()}
+
+
+def test_period_bounds(spark):
+    assert _bounds(spark, "2024-02-10")["current_month_full"] == ("2024-02-01", "2024-02-29")
+    assert _bounds(spark, "2023-02-10")["current_month_full"] == ("2023-02-01", "2023-02-28")
+    assert _bounds(spark, "2024-01-10")["previous_month_full"] == ("2023-12-01", "2023-12-31")
+    b = _bounds(spark, "2024-05-15")
+    assert b["previous_month_full"] == ("2024-04-01", "2024-04-30")
+    assert b["last_7_days"] == ("2024-05-09", "2024-05-15")
+    assert b["last_3_months"] == ("2024-02-15", "2024-05-15")
+    assert b["current_week_full"] == ("2024-05-13", "2024-05-19")
+    assert b["same_quarter_previous_year"] == ("2023-04-01", "2023-06-30")
+    assert b["previous_semester_full"] == ("2023-07-01", "2023-12-31")
+    assert _bounds(spark, "2024-02-10")["previous_quarter_full"] == ("2023-10-01", "2023-12-31")
+    assert _bounds(spark, "2024-12-31")["current_semester_full"] == ("2024-07-01", "2024-12-31")
+    assert _bounds(spark, "2026-05-10")["previous_year_full"] == ("2025-01-01", "2025-12-31")
+    assert P.shift_year_iso(spark, "2024-02-29", -1) == "2023-02-28"
+
+
+def test_presets_skip_without_a(spark):
+    def sides(*args):
+        return {(r.preset, r.side): (r.start.isoformat(), r.end.isoformat()) for r in P.preset_ranges(spark, "2024-05-15", *args).collect()}
+    got = sides()
+    assert ("same_period_as_a", "a") not in got and ("current_month_vs_previous", "a") in got
+    got = sides(Filters("2024-05-01", "2024-05-10"))
+    assert got["current_vs_previous", "b"] == ("2024-04-21", "2024-04-30")
+    assert got["period_vs_previous_year", "b"] == ("2023-05-01", "2023-05-10")
+
+
+def test_preset_comparison_with_own_filter_of_b(spark, seed):
+    x = rows(P.preset_comparison(spark, seed["sales"], "2024-05-15", Filters(product_type="Servicio"), Filters(product_type="Producto")))
+    m = {(e["preset"], e["metric"]): (e["value_a"], e["value_b"]) for e in x}
+    assert m["current_month_vs_previous", "total_sales"] == (2500.0, 0.0)
 
 
 def test_sales_by_period_and_presets(spark, seed):
