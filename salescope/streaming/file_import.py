@@ -32,7 +32,7 @@ def _string_schema(headers: list[str]) -> str:
 def _stream(spark: SparkSession, input_dir: str, headers: list[str], kind: str, sep: str) -> DataFrame:
     raw = (spark.readStream.schema(_string_schema(headers)).option("header", True)
                 .option("sep", sep).csv(input_dir))
-    m = map_headers(headers, kind)
+    m = map_headers(spark, headers, kind)
     return raw.select(F.input_file_name().alias("_file"),
                       *[F.col(f"`{real}`").alias(logical) for logical, real in m.items()])
 
