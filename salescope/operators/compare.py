@@ -27,7 +27,7 @@ def ab_metrics(sales: DataFrame, fa: Filters, fb: Filters) -> DataFrame:
         F.count_if(F.col("_a")).alias("n_a"), F.count_if(F.col("_b")).alias("n_b"))
     g = pc.agg(F.sum("amt_a").alias("t_a"), F.sum("amt_b").alias("t_b"),
                F.sum("n_a").alias("n_a"), F.sum("n_b").alias("n_b"),
-               F.count_if(F.col("n_a") > 0).alias("u_a"), F.count_if(F.col("n_b") > 0).alias("u_b"))
+               *[F.count_if((F.col(f"n_{x}") > 0) & F.col("_ck").isNotNull()).alias(f"u_{x}") for x in "ab"])
     cols = []
     for side in ("a", "b"):
         t = F.coalesce(F.col(f"t_{side}").cast("double"), F.lit(0.0))

@@ -26,7 +26,8 @@ def dashboard_kpis(sales: DataFrame, clients: DataFrame, leads: DataFrame, as_of
         li = import_log.agg(F.max("imported_at").alias("last_import"))   # K5
     else:
         li = s.select(F.lit(None).cast("timestamp").alias("last_import"))
-    j = s.crossJoin(c).crossJoin(l).crossJoin(li)
+    one = F.broadcast                                  # every side is one row
+    j = s.crossJoin(one(c)).crossJoin(one(l)).crossJoin(one(li))
     return j.select((F.col("sales_rows") > 0).alias("has_data"), "sales_rows", "clients_rows",
                     "last_import", "total_leads", "leads_with_meeting",
                     safe_pct("_with_client", "total_leads").alias("leads_conversion_rate"),

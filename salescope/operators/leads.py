@@ -7,7 +7,7 @@ all leads does not concentrate raw rows in one task.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.metrics import safe_pct
@@ -17,14 +17,13 @@ UNKNOWN = "unknown"
 
 
 def leads_enriched(leads: DataFrame, clients: DataFrame) -> DataFrame:
-    """Leads with the client's name ('—' when unknown), created_at desc.
-    Plain left equi-join; AQE broadcasts the client side when it is small at
-    runtime and otherwise sort-merges."""
+    """Leads with the client's name ('—' when unknown).  A listing orders it
+    (created_at desc, id desc).  Most leads have no client: they stay out of the
+    join, whose one partition for NULL keys they would fill."""
     c = clients.select(F.col("id").alias("_cid"), F.col("name").alias("_cname"))
-    j = leads.join(c, leads.client_id == c._cid, "left")
-    return (j.select(*[leads[c] for c in leads.columns],
-                     F.coalesce(F.col("_cname"), F.lit("—")).alias("client_name"))
-             .orderBy(F.desc("created_at"), F.desc("id")))
+    known = leads.filter("client_id is not null").join(c, F.col("client_id") == F.col("_cid"), "left")
+    known = known.select(*leads.columns, F.coalesce(F.col("_cname"), F.lit("—")).alias("client_name"))
+    return known.unionByName(leads.filter("client_id is null").withColumn("client_name", F.lit("—")))
 
 
 def _days() -> F.Column:
@@ -94,10 +93,10 @@ def leads_by_source_stats(leads: DataFrame) -> DataFrame:
 
 def conversion_ranking(by_source: DataFrame) -> DataFrame:
     """A19 (input: A9 rows): conversion % and share of all leads, total desc.
-    The grand total is a one-row aggregate of the per-source rows."""
-    tot = by_source.agg(F.sum("total").alias("_all"))
+    The grand total is a window over the per-source rows (one per source), so
+    the leads are read once."""
     all_ = F.when(F.col("_all") > 0, F.col("_all")).otherwise(F.lit(1))
-    return (by_source.crossJoin(F.broadcast(tot))
+    return (by_source.withColumn("_all", F.sum("total").over(Window.partitionBy()))
             .select("source", "total", "clients",
                     safe_pct("clients", "total").alias("conversion_rate"),
                     (F.col("total").cast("double") / all_.cast("double")).alias("share"),
@@ -107,9 +106,8 @@ def conversion_ranking(by_source: DataFrame) -> DataFrame:
 
 def source_share(by_source: DataFrame) -> DataFrame:
     """Percentage of leads per source with a 'src (n%)' label."""
-    tot = by_source.agg(F.sum("total").alias("_all"))
     pct = safe_pct("total", "_all")
-    return (by_source.crossJoin(F.broadcast(tot))
+    return (by_source.withColumn("_all", F.sum("total").over(Window.partitionBy()))
             .select("source", "total", pct.alias("pct"),
                     F.format_string("%s (%.0f%%)", F.col("source"), pct).alias("label"))
             .orderBy(F.desc("total"), F.asc("source")))

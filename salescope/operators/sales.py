@@ -14,8 +14,6 @@ from pyspark.sql import functions as F
 from ..functions.metrics import safe_pct, safe_ratio
 from .filters import Filters, filter_sales
 
-MONEY = "decimal(28,2)"
-
 
 def money_sum(c="price"):
     return F.sum(F.col(c) if isinstance(c, str) else c).cast("double")
@@ -59,7 +57,7 @@ def period_metrics(sales: DataFrame, f: Filters | None = None) -> DataFrame:
     """
     pc = _per_client(filter_sales(sales, f))
     g = pc.agg(F.sum("_amt").alias("_t"), F.sum("_n").alias("_n"),
-               F.count(F.lit(1)).alias("unique_clients"))
+               F.count("_ck").alias("unique_clients"))     # rows without id and name are no client
     t = F.coalesce(F.col("_t").cast("double"), F.lit(0.0))
     n = F.coalesce(F.col("_n"), F.lit(0)).cast("long")
     return g.select(t.alias("total_sales"), n.alias("transactions"),
@@ -133,15 +131,16 @@ def summary_with_total(sales: DataFrame, f: Filters | None = None, sort_by: str
 
 
 def client_totals(sales: DataFrame, f: Filters | None = None) -> DataFrame:
-    """Per client_id: name (most recent sale), transactions, amount and latest
-    sale date; NULL client_id skipped.  ``max_by`` keeps only one struct per
-    group in the partial aggregate, so a hot client is cheap."""
+    """Per client_id: name (of the latest day, the greatest on ties),
+    transactions, amount and latest sale date; NULL client_id skipped.  The fact
+    rows go through a hash aggregate per (client, name, day); only its small
+    result meets the string-valued ``max_by``, which Spark sorts for."""
     s = filter_sales(sales, f).filter(F.col("client_id").isNotNull())
-    return s.groupBy("client_id").agg(
-        F.max_by("client_name", F.struct("date", "id")).alias("name"),
-        F.count(F.lit(1)).alias("transactions"),
-        F.sum("price").alias("_amt"),
-        F.max("date").alias("last_date"))
+    daily = s.groupBy("client_id", "client_name", "date").agg(
+        F.count(F.lit(1)).alias("_n"), F.sum("price").alias("_p"))
+    return daily.groupBy("client_id").agg(
+        F.max_by("client_name", F.struct("date", "client_name")).alias("name"),
+        F.sum("_n").alias("transactions"), F.sum("_p").alias("_amt"), F.max("date").alias("last_date"))
 
 
 def top_clients(sales: DataFrame, f: Filters | None = None, n: int = 5,
@@ -151,7 +150,7 @@ def top_clients(sales: DataFrame, f: Filters | None = None, n: int = 5,
     ``orderBy().limit()`` plans as TakeOrderedAndProject (per-task top-N,
     then a merge of N rows per task)."""
     per = client_totals(sales, f)
-    tot = per.agg(F.sum("_amt").alias("_tot"))
+    tot = filter_sales(sales, f).agg(F.sum("price").alias("_tot"))        # sales without a client count, too
     amt = F.col("_amt").cast("double")
     ranked = per.crossJoin(F.broadcast(tot)).select(
         "client_id", "name", amt.alias("total_amount"),

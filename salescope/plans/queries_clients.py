@@ -25,7 +25,7 @@ def q_sales_enriched(spark, d):
 
 @register("client_sales_stats", W("""
 with nm as (select client_id, client_name as name from (
-    select client_id, client_name, row_number() over (partition by client_id order by date desc, id desc) as rn
+    select client_id, client_name, row_number() over (partition by client_id order by date desc, client_name desc) as rn
     from sales where client_id is not null) x where rn = 1),
 agg as (select client_id, count(*) as total_sales, sum(price) as amt,
                string_agg(distinct product_type, ', ' order by product_type) as products

@@ -115,9 +115,9 @@ with pc as (
   from sales where client_id is not null group by client_id),
 nm as (
   select client_id, client_name as name from (
-    select client_id, client_name, row_number() over (partition by client_id order by date desc, id desc) as rn
+    select client_id, client_name, row_number() over (partition by client_id order by date desc, client_name desc) as rn
     from sales where client_id is not null) x where rn = 1),
-tot as (select sum(amt) as t from pc),
+tot as (select sum(price) as t from sales),
 r as (
   select pc.client_id, nm.name, cast(amt as double) as total_amount, transactions,
          case when t > 0 then cast(amt as double) / cast(t as double) * 100.0 else 0.0 end as percentage_of_total,

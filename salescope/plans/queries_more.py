@@ -13,7 +13,7 @@ from ..operators import marketing as M
 from ..plans import snapshot as SN
 from ..sources import tables as TB
 from .oracle_views import with_views as W
-from .queries_compare import A2, B2, _points_sql
+from .queries_compare import A, A2, B, B2, _inab, _points_sql
 from .queries_ingest import AS_OF, _LEADS_CHECKED, _SALES_CHECKED
 from .queries_leads import _FIRST, _MM
 from .registry import register
@@ -152,3 +152,112 @@ def q_evolution_points_violations(spark, d):
     """C6 on the quarter points of the overlapping A/B pair (valid -> no rows)."""
     from ..operators.evolution import evolution_points
     return SN.validate_points(evolution_points(TB.sales(spark, d), A2, B2, "quarter"), "quarter")
+
+
+# C6 over deliberately broken points: keys out of shape, ends before starts,
+# wrong differences, rows out of order and overlapping neighbours
+@register("snapshot_violations", """
+with pts as (select distinct c_custkey % 400 as k, c_custkey % 400 as pos from customer),
+p as (select pos, case when k % 13 = 0 then '2024/' || k else strftime(date '2000-01-01' + cast(k * 31 as int), '%Y-%m') end as key,
+             date '2000-01-01' + cast(k * 10 as int) as s,
+             date '2000-01-01' + cast(k * 10 + case when k % 7 = 0 then -1 when k % 11 = 0 then 15 else 10 end as int) as e,
+             case when k % 5 = 0 then 3.0 else 2.0 end as difference from pts),
+l as (select *, lag(key) over (order by pos) as pk, lag(e) over (order by pos) as pe from p)
+select key, 'bad_key_format' as violation from l where not regexp_matches(key, '^[0-9]{4}-[0-9]{2}$')
+union all select key, 'start_not_before_end' from l where not s < e
+union all select key, 'difference_mismatch' from l where difference <> 2.0
+union all select key, 'keys_not_increasing' from l where pk is not null and key <= pk
+union all select key, 'overlapping_intervals' from l where pe is not null and s < pe""")
+def q_snapshot_violations(spark, d):
+    k = F.col("k")
+    c = TB.read_table(spark, d, "customer").select((F.col("c_custkey") % 400).cast("int").alias("k")).distinct()
+    day = lambda n: F.date_add(F.lit("2000-01-01").cast("date"), n.cast("int"))
+    points = c.select(
+        k.alias("pos"), F.when(k % 13 == 0, F.concat(F.lit("2024/"), k.cast("string")))
+        .otherwise(F.date_format(day(k * 31), "yyyy-MM")).alias("key"),
+        day(k * 10).alias("start"), day(k * 10 + F.when(k % 7 == 0, -1).when(k % 11 == 0, 15).otherwise(10)).alias("end"),
+        F.lit(1.0).alias("value_a"), F.lit(3.0).alias("value_b"),
+        F.when(k % 5 == 0, 3.0).otherwise(2.0).alias("difference"))
+    return SN.validate_points(points, "month")
+
+
+# Metric changes and product rows of a whole compare snapshot
+@register("compare_snapshot_products", W(f"""
+, ab as (select product_type, sum(case when {_inab(A, B)[0]} then price end) as a, sum(case when {_inab(A, B)[1]} then price end) as b
+         from sales where {_inab(A, B)[0]} or {_inab(A, B)[1]} group by 1)
+select product_type, coalesce(cast(a as double), 0.0) as value_a, coalesce(cast(b as double), 0.0) as value_b from ab""", "sales"))
+def q_compare_snapshot_products(spark, d):
+    snap = SN.compare_snapshot(TB.sales(spark, d), A, B, "quarter")
+    p = snap.select(F.explode("comparison.products").alias("p")).select("p.*")
+    a, b = [c for c in p.columns if c.endswith("_a") and "sales" in c or c == "value_a"][0], \
+           [c for c in p.columns if c.endswith("_b") and "sales" in c or c == "value_b"][0]
+    return p.select("product_type", F.col(a).alias("value_a"), F.col(b).alias("value_b"))
+
+
+@register("compare_snapshot_top_clients", W(f"""
+, s as (select * from sales where {_inab(A, B)[0]}),
+pc as (select client_id, sum(price) as amt, count(*) as transactions, max(date) as last_date from s group by 1),
+r as (select client_id, cast(amt as double) as total_amount, transactions,
+             cast(amt as double) / cast((select sum(price) from s) as double) * 100.0 as percentage_of_total,
+             row_number() over (order by amt desc, transactions desc, last_date desc, client_id) as rank from pc)
+select * from r where rank <= 5""", "sales"))
+def q_compare_snapshot_top_clients(spark, d):
+    snap = SN.compare_snapshot(TB.sales(spark, d), A, B, "quarter")
+    return snap.select(F.explode("period_a.top_clients").alias("c")).select(
+        "c.client_id", "c.total_amount", "c.transactions", "c.percentage_of_total", "c.rank")
+
+
+# I10 over two files with the same rows: the second file's are all duplicates
+@register("ingest_leads_two_files", W("""
+select count(*) as total_rows from raw_leads""", "raw_leads").replace("select count(*) as total_rows from raw_leads", """
+, n as (select count(*) as n, count(nullif(trim(status), '')) as with_status from raw_leads)
+select 2 * n as total_rows, 0 as differing_duplicates from n"""))
+def q_ingest_leads_two_files(spark, d):
+    from ..operators import ingest as I
+    raw = TB.raw_leads(spark, d)
+    one = lambda r, f: r.withColumn("_file", F.lit(f))
+    none, clients = TB.leads(spark, d), TB.clients(spark, d)
+    both = I.import_leads(one(raw, "a").unionByName(one(raw, "b")), none, clients, AS_OF, on_unknown_client="null")
+    alone = I.import_leads(raw, none, clients, AS_OF, on_unknown_client="null")
+    kind = lambda df, k: df.select(F.lit(k).alias("k"))
+    # every candidate of the second file is a duplicate: 2 D + inserted of one file
+    parts = (kind(both.extra["duplicates"], "both").union(kind(alone.extra["duplicates"], "alone"))
+             .union(kind(alone.valid, "inserted")).union(kind(both.valid, "kept")).union(kind(raw, "rows")))
+    g = parts.agg(*[F.count_if(F.col("k") == k).alias(k) for k in ("both", "alone", "inserted", "kept", "rows")])
+    wrong = F.abs(F.col("both") - 2 * F.col("alone") - F.col("inserted")) + F.abs(F.col("kept") - F.col("inserted"))
+    return g.select((2 * F.col("rows")).alias("total_rows"), wrong.alias("differing_duplicates"))
+
+
+# I8: the rows that an import appends, after a third of them was imported before
+@register("import_sales_store", W("""
+, ok as (select row_no, client_id, product_type, cast(price as double) as price from raw_sales
+         where nullif(trim(client_name), '') is not null and try_cast(trim(price) as double) > 0
+           and (date is null or date <> 'not a date'))
+select 'import#' || row_no as id, client_id, product_type, price from ok where row_no % 3 <> 0""", "raw_sales"))
+def q_import_sales_store(spark, d):
+    from ..operators import ingest as I
+    raw = TB.raw_sales(spark, d)
+    before = raw.filter("row_no % 3 = 0").select(F.concat(F.lit("import#"), F.col("row_no").cast("string")).alias("id"))
+    r = I.import_sales(raw, TB.clients(spark, d), AS_OF, existing=before)
+    return r.extra["append"].select("id", "client_id", "product_type", F.col("price").cast("double").alias("price"))
+
+
+# Counts of the same import, measured
+@register("import_log_counts", W("""
+, ok as (select count(*) as v from raw_sales
+         where nullif(trim(client_name), '') is not null and try_cast(trim(price) as double) > 0
+           and (date is null or date <> 'not a date'))
+select (select count(*) from raw_sales) as total_rows, v as valid_rows, (select count(*) from raw_sales) - v as rejected_rows from ok""",
+          "raw_sales"))
+def q_import_log_counts(spark, d):
+    from ..operators import ingest as I
+    return I.import_sales(TB.raw_sales(spark, d), TB.clients(spark, d), AS_OF).extra["counts"]
+
+
+# A21 / K5 with an import log (one entry per day of events)
+@register("dashboard_last_import", W("""
+select strftime(max(ts), '%Y-%m-%d %H:%M:%S.%f') as last_import, (select count(*) from sales) as sales_rows from events""", "sales"))
+def q_dashboard_last_import(spark, d):
+    from ..operators import dashboard as DB
+    log = TB.read_table(spark, d, "events").select(F.col("ts").cast("timestamp").alias("imported_at"))
+    return DB.dashboard_kpis(TB.sales(spark, d), TB.clients(spark, d), TB.leads(spark, d), AS_OF, log).select("last_import", "sales_rows")

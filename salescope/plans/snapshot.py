@@ -32,13 +32,12 @@ class PeriodData:
 
 def period_base(sales: DataFrame, f: Filters | None) -> DataFrame:
     """One pass over the period's sales: a pre-aggregate per (client id,
-    client name, product, day) with row count, amount, min / max price and
-    the greatest sale id.  All five period aggregates are exact roll-ups of
+    client name, product, day) with row count, amount and min / max price.  All five period aggregates are exact roll-ups of
     it, so the fact table (and the joins behind a view) is read once."""
     s = filter_sales(sales, f)
     return s.groupBy("client_id", "client_name", "product_type", "date").agg(
         F.count(F.lit(1)).alias("n"), F.sum("price").alias("amt"),
-        F.min("price").alias("mn"), F.max("price").alias("mx"), F.max("id").alias("last_id"))
+        F.min("price").alias("mn"), F.max("price").alias("mx"))
 
 
 def _summary_from_base(b: DataFrame) -> DataFrame:
@@ -54,7 +53,7 @@ def _metrics_from_base(b: DataFrame) -> DataFrame:
     from ..functions.metrics import safe_ratio
     pc = (b.groupBy(F.coalesce("client_id", "client_name").alias("_ck"))
            .agg(F.sum("amt").alias("_amt"), F.sum("n").alias("_n")))
-    g = pc.agg(F.sum("_amt").alias("_t"), F.sum("_n").alias("_n"), F.count(F.lit(1)).alias("unique_clients"))
+    g = pc.agg(F.sum("_amt").alias("_t"), F.sum("_n").alias("_n"), F.count("_ck").alias("unique_clients"))
     t = F.coalesce(F.col("_t").cast("double"), F.lit(0.0))
     n = F.coalesce(F.col("_n"), F.lit(0)).cast("long")
     return g.select(t.alias("total_sales"), n.alias("transactions"), safe_ratio(t, n).alias("avg_ticket"),
@@ -80,9 +79,9 @@ def _products_from_base(b: DataFrame) -> DataFrame:
 def _top_from_base(b: DataFrame, n: int = 5) -> DataFrame:
     from ..functions.metrics import safe_pct
     per = (b.filter(F.col("client_id").isNotNull()).groupBy("client_id")
-            .agg(F.max_by("client_name", F.struct("date", "last_id")).alias("name"),
+            .agg(F.max_by("client_name", F.struct("date", "client_name")).alias("name"),
                  F.sum("n").alias("transactions"), F.sum("amt").alias("_amt"), F.max("date").alias("last_date")))
-    tot = per.agg(F.sum("_amt").alias("_tot"))
+    tot = b.agg(F.sum("amt").alias("_tot"))
     ranked = per.crossJoin(F.broadcast(tot)).select(
         "client_id", "name", F.col("_amt").cast("double").alias("total_amount"),
         F.col("transactions").cast("long").alias("transactions"),
@@ -120,7 +119,8 @@ def _period_struct(p: PeriodData) -> DataFrame:
     e = _nest(p.evolution, "evolution", ["key"])
     d = _nest(p.products, "product_distribution", ["color_index"])
     tc = _nest(p.top_clients, "top_clients", ["rank"])
-    return (m.crossJoin(t).crossJoin(e).crossJoin(d).crossJoin(tc)
+    one = F.broadcast                                  # every side is one row
+    return (m.crossJoin(one(t)).crossJoin(one(e)).crossJoin(one(d)).crossJoin(one(tc))
              .select(F.struct(F.lit(p.filters.date_start).alias("date_start"),
                               F.lit(p.filters.date_end).alias("date_end"),
                               F.lit(p.filters.client_name).alias("client_name"),
@@ -136,18 +136,26 @@ def normal_snapshot(sales: DataFrame, f: Filters, grouping: str = "day", materia
 
 
 def compare_snapshot(sales: DataFrame, fa: Filters, fb: Filters, grouping: str = "month",
-                     materialize: bool = False) -> DataFrame:
+                     materialize: bool = True) -> DataFrame:
     """A, B, metric changes (C1), evolution points (T5) and product
-    comparison (C2).  Empty when either period has no sales."""
+    comparison (C2).  Empty when either period has no sales.
+
+    With ``materialize`` the sales of both periods are read (and joined, where
+    they are a view) once and written under the shared checkpoint folder; all
+    parts are derived from that table."""
     g = normalize_grouping(grouping)
-    a = _period_struct(period_data(sales, fa, g, materialize))
-    b = _period_struct(period_data(sales, fb, g, materialize))
+    if materialize:
+        from ..session import cut_lineage
+        either = filter_sales(sales, fa).unionByName(filter_sales(sales, fb).filter(~fa.predicate()))
+        sales = cut_lineage(either.select("client_id", "client_name", "product_type", "price", "date"), "compare-base")
+    a = _period_struct(period_data(sales, fa, g))
+    b = _period_struct(period_data(sales, fb, g))
     cm = _nest(C.compare_metrics(sales, fa, fb), "metrics", ["metric"])
     pts = _nest(EV.evolution_points(sales, fa, fb, g), "points", ["key"])
     cp = _nest(C.compare_products(sales, fa, fb), "products", ["product_type"])
     snap = (a.select(F.struct(*a.columns).alias("period_a"))
-             .crossJoin(b.select(F.struct(*b.columns).alias("period_b")))
-             .crossJoin(cm).crossJoin(pts).crossJoin(cp)
+             .crossJoin(F.broadcast(b.select(F.struct(*b.columns).alias("period_b"))))
+             .crossJoin(F.broadcast(cm)).crossJoin(F.broadcast(pts)).crossJoin(F.broadcast(cp))
              .select(F.lit("compare").alias("mode"), "period_a", "period_b",
                      F.struct("metrics", F.struct("points").alias("evolution"), "products").alias("comparison")))
     has = (F.col("period_a.metrics.transactions") > 0) & (F.col("period_b.metrics.transactions") > 0)
@@ -157,16 +165,18 @@ def compare_snapshot(sales: DataFrame, fa: Filters, fb: Filters, grouping: str =
 def validate_points(points: DataFrame, grouping: str) -> DataFrame:
     """C6 on evolution points (T5 rows): (key, violation) for each broken
     rule; empty = valid.  Rules: key format (S13), start < end, difference =
-    B - A within 1e-9, keys strictly increasing, intervals not overlapping.
-    The lag window runs over the already-aggregated points only."""
-    w = Window.orderBy("key")
+    B - A within 1e-9, keys strictly increasing, intervals not overlapping (one
+    may start where the one before ends).  Order is that of the column ``pos``
+    (array position) where there is one, else of the start.  The lag window
+    runs over the already-aggregated points only."""
+    w = Window.orderBy("pos" if "pos" in points.columns else "start")
     p = points.select("*", F.lag("key").over(w).alias("_pk"), F.lag("end").over(w).alias("_pe"))
     rules = [
         ("bad_key_format", ~valid_bucket_key("key", grouping)),
         ("start_not_before_end", ~(F.col("start") < F.col("end"))),
         ("difference_mismatch", F.abs(F.col("difference") - (F.col("value_b") - F.col("value_a"))) > 1e-9),
         ("keys_not_increasing", F.col("_pk").isNotNull() & (F.col("key") <= F.col("_pk"))),
-        ("overlapping_intervals", F.col("_pe").isNotNull() & (F.col("start") <= F.col("_pe"))),
+        ("overlapping_intervals", F.col("_pe").isNotNull() & (F.col("start") < F.col("_pe"))),
     ]
     hits = F.filter(F.array(*[F.when(c, F.lit(n)) for n, c in rules]), lambda x: x.isNotNull())
     return p.select("key", F.explode(hits).alias("violation"))
@@ -183,13 +193,21 @@ def validate_snapshot(snapshot: DataFrame, grouping: str | None = None) -> DataF
                    ("no_points", F.size("comparison.evolution.points") == 0),
                    ("grouping_mismatch", F.col("period_a.grouping") != F.col("period_b.grouping"))]
     hits = F.filter(F.array(*[F.when(c, F.lit(n)) for n, c in checks]), lambda x: x.isNotNull())
+    if "mode" in s.columns:
+        normal = F.col("mode") == "normal"
+        parts = [c for c in ("period_b", "comparison") if c in s.columns]
+        checks = [(n, c if n == "missing_period_a" else ~normal & c) for n, c in checks]
+        checks += [(f"{c}_in_normal_mode", normal & F.col(c).isNotNull()) for c in parts]
+        checks += [("missing_comparison", ~normal & (F.col("comparison").isNull() if "comparison" in parts else F.lit(True))),
+                   ("unknown_mode", ~F.col("mode").isin("normal", "compare"))]
+        hits = F.filter(F.array(*[F.when(c, F.lit(n)) for n, c in checks]), lambda x: x.isNotNull())
     top = s.select(F.lit(None).cast("string").alias("key"), F.explode(hits).alias("violation"))
     if "period_b" not in s.columns:
         return top
     if grouping is None:
         g = s.select("period_a.grouping").first()
         grouping = g[0] if g else "day"
-    pts = s.select(F.explode("comparison.evolution.points").alias("p")).select("p.*")
+    pts = s.select(F.posexplode("comparison.evolution.points").alias("pos", "p")).select("pos", "p.*")
     return top.unionByName(validate_points(pts, grouping))
 
 
