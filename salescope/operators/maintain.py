@@ -269,14 +269,16 @@ def merge_duplicate_clients(sales: DataFrame, clients: DataFrame, leads: DataFra
     caller reads a result.  ``Merge.drop`` deletes it afterwards.
     """
     from .quality import duplicate_members_from_pairs, name_id_pairs
-    members = duplicate_members_from_pairs(name_id_pairs(sales))
+    pairs = name_id_pairs(sales)
+    members = duplicate_members_from_pairs(pairs).select("name_key", "client_id")
+    # all sales of an id move, those under names of its own included
+    moved = pairs.groupBy("client_id").agg(F.sum("n_rows").cast("long").alias("rows_moved"))
     stored = clients.select(F.col("id").alias("client_id"), F.lit(True).alias("_stored"))
     m = members.join(stored, "client_id", "left")
     low = F.struct(F.col("_stored").isNull().alias("no"), F.col("client_id").alias("id"))
     prim = m.groupBy("name_key").agg(F.min(low).alias("_p")).select("name_key", F.col("_p.id").alias("primary_id"))
     one = (m.join(prim, "name_key").groupBy("client_id")
-           .agg(F.min_by("primary_id", "name_key").alias("primary_id"), F.min("name_key").alias("name_key"),
-                F.sum("n_rows").cast("long").alias("rows_moved")))
+           .agg(F.min_by("primary_id", "name_key").alias("primary_id"), F.min("name_key").alias("name_key")).join(moved, "client_id"))
     resolved = _resolved(one)
     mapping = resolved.filter("client_id != primary_id").select(
         "name_key", F.col("client_id").alias("old_id"), "primary_id", "rows_moved")
