@@ -41,6 +41,8 @@ DEPTH = 4
 BLOCK_BYTES = 16 << 20
 _END = b"\n"
 _LN2 = math.log(2)
+#: texts scored at a time
+_TEXTS = 256
 
 
 # ---- texts -------------------------------------------------------------------
@@ -76,6 +78,42 @@ def _text_grams(streams: list[bytes], depth: int) -> np.ndarray:
     return grams[inside]
 
 
+def _distinct_grams(streams: list[bytes], depth: int, piece: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
+    """(sorted grams, counts) of texts; each piece of about ``piece`` bytes is
+    reduced to its distinct grams before the next one is expanded."""
+    found = []
+    a = size = 0
+    for b, s in enumerate(streams, 1):
+        size += len(s)
+        if size >= piece or b == len(streams):
+            found.append(np.unique(_text_grams(streams[a:b], depth), return_counts=True))
+            a, size = b, 0
+    if not found:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    grams, at = np.unique(np.concatenate([f[0] for f in found]), return_inverse=True)
+    return grams, np.bincount(at, np.concatenate([f[1] for f in found]), len(grams)).astype(np.int64)
+
+
+class _Positions:
+    """Positions of keys in a sorted array that holds them all: a hashed slot
+    per key, and a binary search for the keys whose slot another one has."""
+
+    def __init__(self, keys: np.ndarray):
+        self.keys = keys
+        self.shift = np.uint64(64 - max(8, min(24, int(len(keys)).bit_length() + 4)))
+        self.slots = np.zeros(1 << int(64 - self.shift), np.int32)
+        self.slots[self._slot(keys)] = np.arange(len(keys), dtype=np.int32)
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return (keys * np.uint64(0x9E3779B97F4A7C15)) >> self.shift
+
+    def __call__(self, wanted: np.ndarray) -> np.ndarray:
+        at = self.slots[self._slot(wanted)]
+        other = np.flatnonzero(self.keys[at] != wanted)
+        at[other] = np.searchsorted(self.keys, wanted[other])
+        return at
+
+
 def _count_block(texts, train, depth: int):
     """(kind, key, training count) of the distinct grams (0) and words (1) of a block."""
     grams: dict[int, np.ndarray] = {}
@@ -91,8 +129,8 @@ def _count_block(texts, train, depth: int):
         else:
             for w in own:
                 words.setdefault(w, 0)
-    seen, count = np.unique(_text_grams(parts[1], depth), return_counts=True)
-    asked = np.setdiff1d(_text_grams(parts[0], depth), seen)
+    seen, count = _distinct_grams(parts[1], depth)
+    asked = np.setdiff1d(_distinct_grams(parts[0], depth)[0], seen, assume_unique=True)
     key = np.concatenate([seen, asked, np.array([xxhash.xxh3_64_intdigest(w) for w in words], np.uint64)])
     n = np.concatenate([count, np.zeros(len(asked), np.int64), np.array(list(words.values()), np.int64)])
     kind = np.repeat(np.array([0, 1], np.int32), [len(seen) + len(asked), len(words)])
@@ -268,28 +306,37 @@ def score_texts(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col
     def score(texts: pa.Table, model: pa.Table) -> pa.Table:
         kind, key, value = _columns(model, "kind", "key", "value")
         key = key.view(np.uint64)
-        order = np.argsort(key[kind == 0])
-        gram, log_p = key[kind == 0][order], value[kind == 0][order]
-        count = dict(zip(key[kind == 1].tolist(), value[kind == 1].tolist()))
-        cache: dict[bytes, float] = {}
+        is_gram = kind == 0
+        order = np.argsort(key[is_gram])
+        positions, log_p = _Positions(key[is_gram][order]), value[is_gram][order]
+        count = dict(zip(key[~is_gram].tolist(), value[~is_gram].tolist()))
+        number: dict[bytes, int] = {}                    # distinct words in order of their first use
+        counts: list[float] = []
         n_tokens, n_known, base, total, n_bytes = [], [], [], [], []
         for chunk in texts["text"].chunks:
-            for text in chunk.to_pylist():
-                own = _words(text)
-                stream = _stream(own)
-                at = np.searchsorted(gram, _text_grams([stream], depth))
-                total.append(float(log_p[at].sum()))
-                n_bytes.append(len(stream))
-                own.append(_END)
-                c = np.empty(len(own))
-                for i, w in enumerate(own):
-                    x = cache.get(w)
-                    if x is None:
-                        x = cache[w] = count[xxhash.xxh3_64_intdigest(w)]
-                    c[i] = x
-                n_tokens.append(len(own))
-                n_known.append(int((c > 0).sum()))
-                base.append(float(np.log10((c + 0.5) / unit).sum()))
+            for a in range(0, len(chunk), _TEXTS):
+                streams, lens, tokens_of = [], [], []
+                for text in chunk.slice(a, _TEXTS).to_pylist():
+                    own = _words(text)
+                    stream = _stream(own)
+                    own.append(_END)
+                    streams.append(stream)
+                    lens.append(len(own))
+                    for w in own:
+                        k = number.get(w)
+                        if k is None:
+                            k = number[w] = len(counts)
+                            counts.append(count[xxhash.xxh3_64_intdigest(w)])
+                        tokens_of.append(k)
+                c = np.array(counts)[tokens_of]
+                first = np.cumsum([0, *lens[:-1]])
+                base += np.add.reduceat(np.log10((c + 0.5) / unit), first).tolist()
+                n_known += np.add.reduceat((c > 0).astype(np.int64), first).tolist()
+                n_tokens += lens
+                sizes = [len(s) for s in streams]
+                found = log_p[positions(_text_grams(streams, depth))]
+                total += np.add.reduceat(found, np.cumsum([0, *sizes[:-1]])).tolist()
+                n_bytes += sizes
         bits = [-t / math.log10(2) / b for t, b in zip(total, n_bytes)]
         return pa.table({
             "doc_id": texts["doc_id"], "n_tokens": pa.array(n_tokens, pa.int64()), "n_known": pa.array(n_known, pa.int64()),
