@@ -73,7 +73,7 @@ def source_weights(sizes: dict[str, int], exponent: float) -> dict[str, float]:
 
 def pfair_mix(docs: DataFrame, weights: dict[str, float] | None = None, id_col: str = "doc_id",
               source_col: str = "source", block_rows: int = 16, exponent: float = 0.9,
-              frame: int = FRAME, rows_per_part: int = 100_000) -> DataFrame:
+              frame: int = FRAME, rows_per_part: int = 2000) -> DataFrame:
     """One row per input row: ``doc_id, source, block, block_row, release,
     deadline, slot, in_mix``.
 
@@ -108,21 +108,20 @@ def pfair_mix(docs: DataFrame, weights: dict[str, float] | None = None, id_col:
     horizon = min((b // share[s] * n + slot_of[s, b % share[s]] for s, b in ends.items()), default=0)
     slots = spark.createDataFrame(schedule, "source string, k long, r long, d long, s long")
 
-    parts = max(1, math.ceil(max(sizes.values(), default=0) / rows_per_part))
-    rows = rows.withColumn("h", F.xxhash64("doc_id")).withColumn("part", F.floor(
-        F.pmod(F.shiftrightunsigned("h", 33), F.lit(1 << 31)) * F.lit(parts) / F.lit(1 << 31)).cast("int"))
+    of = spark.createDataFrame([(s, share[s], -(-sizes[s] // rows_per_part)) for s in sorted(share)],
+                               "source string, share long, parts long")
+    # ``of`` and ``slots`` have at most ``frame`` rows
+    rows = rows.join(F.broadcast(of), "source").withColumn("h", F.xxhash64("doc_id")).withColumn(
+        "part", F.floor(F.shiftrightunsigned("h", 33) * F.col("parts") / F.lit(1 << 31)).cast("long")).drop("parts")
     before = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = rows.groupBy("source", "part").agg(F.count(F.lit(1)).alias("n")).select(
         "source", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
     in_part = Window.partitionBy("source", "part").orderBy("h", "doc_id")
     numbered = rows.withColumn("i", F.row_number().over(in_part).cast("long") - 1).join(offsets, ["source", "part"])
     number = F.col("i") + F.col("offset")
-    numbered = numbered.select("doc_id", "source", F.floor(number / block_rows).alias("block"),
+    numbered = numbered.select("doc_id", "source", "share", F.floor(number / block_rows).alias("block"),
                                (number % block_rows).cast("int").alias("block_row"))
-    of = spark.createDataFrame(sorted(share.items()), "source string, share long")
-    # both tables have at most ``frame`` rows
-    placed = numbered.join(F.broadcast(of), "source").withColumn("k", F.col("block") % F.col("share")).join(
-        F.broadcast(slots), ["source", "k"])
+    placed = numbered.withColumn("k", F.col("block") % F.col("share")).join(F.broadcast(slots), ["source", "k"])
     turn = F.floor(F.col("block") / F.col("share"))
     return placed.select("doc_id", "source", "block", "block_row", (turn * n + F.col("r")).alias("release"),
                          (turn * n + F.col("d")).alias("deadline"), (turn * n + F.col("s")).alias("slot"),
