@@ -100,7 +100,7 @@ def marketing_metrics(leads: DataFrame, sales: DataFrame, spend: DataFrame) -> D
     return _metrics(parts)
 
 
-def marketing_summary(metrics: DataFrame, roi_digits: int | None = None) -> DataFrame:
+def marketing_summary(metrics: DataFrame) -> DataFrame:
     """Totals over the per-source rows, weighted CPL / CAC,
     overall ROI and conversion rate (customers / leads)."""
     g = metrics.agg(F.sum("leads").alias("total_leads"), F.sum("customers").alias("total_customers"),

@@ -62,8 +62,20 @@ def test_top_clients_ranks_and_ties(spark):
     assert r[0]["percentage_of_total"] == 60.0
 
 
+def test_compare_evolution_pinned_months(spark):
+    """A Jan 100, Feb 200; B Feb 50, Mar 75 -> Jan 100/0, Feb 200/50, Mar 0/75."""
+    s = spark.createDataFrame([
+        ("1", "X", "C1", "P", Decimal("100"), dt.date(2024, 1, 10)), ("2", "X", "C1", "P", Decimal("200"), dt.date(2024, 2, 10)),
+        ("3", "X", "C1", "Q", Decimal("50"), dt.date(2024, 2, 10)), ("4", "X", "C1", "Q", Decimal("75"), dt.date(2024, 3, 10)),
+    ], SALES_SCHEMA)
+    year = ("2024-01-01", "2024-12-31")
+    r = rows(EV.compare_evolution(s, Filters(*year, product_type="P"), Filters(*year, product_type="Q"), "month"))
+    assert [(x["label"], x["value_a"], x["value_b"]) for x in r] == [
+        ("Jan 24", 100.0, 0.0), ("Feb 24", 200.0, 50.0), ("Mar 24", 0.0, 75.0)]
+
+
 def test_compare_evolution_months(spark):
-    """A: Jan 100, Feb 200; B: Feb 50, Mar 75 -> Jan 100/0, Feb 200/50, Mar 0/75."""
+    """Sides in different years keep their own months."""
     s = spark.createDataFrame([
         ("1", "X", "C1", "P", Decimal("100"), dt.date(2024, 1, 10)),
         ("2", "X", "C1", "P", Decimal("200"), dt.date(2024, 2, 10)),
