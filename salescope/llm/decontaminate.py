@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textbytes as tb
-from .inputs import pick
+from .inputs import pick, share
 
 #: words of a seed
 SEED = 3
@@ -163,10 +163,10 @@ def _blocks(benchmark: DataFrame, n: int, block_bytes: int):
 
 def _frequencies(docs: DataFrame, items: Items) -> np.ndarray:
     """Documents that each n-gram of the block occurs in."""
-    shared = docs.sparkSession.sparkContext.broadcast(items)
+    shared = share(docs.sparkSession, items)
 
     def run(batches):
-        block = shared.value
+        block = shared()
         df = np.zeros(len(block.grams), np.int64)
         for batch in batches:
             for _, _, grams, _ in block.hits(batch.column(0)):
@@ -183,7 +183,7 @@ def _frequencies(docs: DataFrame, items: Items) -> np.ndarray:
 def _prepared(docs: DataFrame, benchmark: DataFrame, n: int, block_bytes: int):
     for items in _blocks(benchmark, n, block_bytes):
         items.keep_rare(_frequencies(docs, items))
-        yield docs.sparkSession.sparkContext.broadcast(items)
+        yield share(docs.sparkSession, items)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -206,7 +206,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     out = docs.sparkSession.createDataFrame([], schema)
     for shared in _prepared(rows, tests, seed, block_bytes):
         def run(batches, shared=shared):
-            match = _matches(shared.value, threshold)
+            match = _matches(shared(), threshold)
             for batch in batches:
                 ids, found = batch.column(0).to_pylist(), list(match(batch.column(1)))
                 if found:
@@ -228,7 +228,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "te
     tests = pick(benchmark, item_id=item_col, text=item_text_col)
     for shared in _prepared(docs.select(F.col(text_col).alias("text")), tests, seed, block_bytes):
         def run(batches, shared=shared):
-            match = _matches(shared.value, threshold)
+            match = _matches(shared(), threshold)
             for batch in batches:
                 keep = np.ones(batch.num_rows, bool)
                 keep[[found[0] for found in match(batch.column(at))]] = False

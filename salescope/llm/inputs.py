@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,3 +24,10 @@ def id_split(doc_id: str, buckets: int) -> Column:
     """crc32 of the id's decimal text, modulo ``buckets`` (null id: the empty text)."""
     text = F.coalesce(F.col(doc_id).cast("string"), F.lit(""))
     return F.pmod(F.crc32(text.cast("binary")), F.lit(buckets))
+
+
+def share(spark: SparkSession, value) -> Callable:
+    """Broadcast an object of this package (of bounded size); the function
+    returned gives it back inside a task."""
+    packed = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+    return lambda: cloudpickle.loads(packed.value)

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .inputs import pick
+from .inputs import pick, share
 
 ORDERS = (1, 2, 3)
 UNKNOWN = "und"
@@ -130,13 +130,13 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     score 0.  Ties go to the language that sorts first.  Rows may repeat.
     """
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model)
+    shared = share(spark, model)
     extra = {k: v.alias(k) for k, v in (keep or {}).items()}
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *extra.values())
     names = ["doc_id", *extra, "lang_pred", "score"]
 
     def run(batches):
-        m = shared.value
+        m = shared()
         for batch in batches:
             lang, score = [], []
             for text in batch.column(1).to_pylist():
@@ -154,11 +154,11 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 def keep_identified(docs: DataFrame, model: Model, text_col: str = "text", min_score: float = 0.5) -> DataFrame:
     """The rows of ``docs`` whose language is identified with at least
     ``min_score``; all columns stay as they are."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = share(docs.sparkSession, model)
     at = docs.columns.index(text_col)
 
     def run(batches):
-        m = shared.value
+        m = shared()
         for batch in batches:
             found = (m.best(text) for text in batch.column(at).to_pylist())
             yield batch.filter(pa.array([lang != UNKNOWN and score >= min_score for lang, score in found], pa.bool_()))

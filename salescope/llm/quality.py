@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textbytes as tb
-from .inputs import pick
+from .inputs import pick, share
 
 LABELLED_ROWS, POOL_ROWS = 8000, 8000
 ROUNDS, CONFIDENT, PER_ROUND = 3, 0.98, 400
@@ -275,10 +275,11 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     rows = pick(docs, doc_id=id_col, text=text_col, source=source_col, lang=lang_col, n_chars=length_col).select(
         "doc_id", "text", _metadata("source", "lang", "n_chars").alias("meta"))
     models = train(rows, labels, ["quality", "toxic"], labelled_rows, pool_rows)
-    shared = docs.sparkSession.sparkContext.broadcast(models)
+    shared = share(docs.sparkSession, models)
 
     def run(batches):
-        quality, toxic = shared.value["quality"], shared.value["toxic"]
+        models = shared()
+        quality, toxic = models["quality"], models["toxic"]
         for batch in batches:
             out = np.tile([1.0, 1.0, 1.0, 0.0], (batch.num_rows, 1))
             meta = np.array(batch.column(2).to_pylist(), np.int64).reshape(-1, 3)
