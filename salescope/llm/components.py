@@ -7,7 +7,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
+from ..session import cut_lineage, drop_cut
 
 
 def _smallest(edges: DataFrame) -> DataFrame:
@@ -18,7 +18,7 @@ def _smallest(edges: DataFrame) -> DataFrame:
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     return (both.join(_smallest(both), "u").filter("v > u")
-            .select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").distinct())
+            .select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
@@ -36,7 +36,8 @@ def components(edges: DataFrame) -> DataFrame:
     e = cut_lineage(e, "cc")
     size = None
     while True:
-        e = cut_lineage(_small_star(_large_star(e)), "cc")
+        before, e = e, cut_lineage(_small_star(_large_star(e)), "cc")
+        drop_cut(before)
         now = e.agg(F.count(F.lit(1)), F.sum(F.col("u").cast("decimal(38,0)")),
                     F.sum(F.col("v").cast("decimal(38,0)")), F.bit_xor(F.xxhash64("u", "v"))).first()
         if now == size:

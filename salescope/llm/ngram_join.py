@@ -42,7 +42,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
+from ..session import cut_lineage, drop_cut
 from . import textbytes as tb
 from .components import components
 from .inputs import pick
@@ -64,7 +64,7 @@ def _least_share(n: int, num: int, den: int) -> int:
 
 def _head_size(n: int, num: int, den: int) -> int:
     p = n - _least_share(n, num, den) + 1
-    return n if n <= SMALL_MAX else min(n, p + p // 4 + 4)
+    return n if n <= SMALL_MAX else min(n, p + p // 8 + 2)
 
 
 def _sets(column: pa.Array, width: int):
@@ -155,7 +155,7 @@ def subset_buckets(reps: DataFrame, x: int, num: int, den: int) -> DataFrame:
             b = np.concatenate(b) if b else np.zeros(0, np.int64)
             yield pa.record_batch([pa.array(b), pa.array(r, pa.int64()), pa.array(s, pa.int64()),
                                    pa.array(np.zeros(len(b), np.int64))], names=["bucket", "rep", "n", "pos"])
-    return (reps.filter(F.col("n_shingles").between(1, x)).select("rep", "n_shingles", "head")
+    return (reps.filter(F.col("n").between(1, x)).select("rep", "n", "head")
             .mapInArrow(run, "bucket long, rep long, n long, pos long"))
 
 
@@ -196,66 +196,111 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     docs = pick(docs, doc_id=id_col, text=text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
     rows = cut_lineage(shingle_heads(docs, width, num, den), "shingles")
-    reps = cut_lineage(
-        rows.filter("n_shingles > 0 and doc_id is not null").groupBy("s1", "s2")
-        .agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("head").alias("head")),
-        "classes")
-    histogram = {r[0]: r[1] for r in reps.filter(F.col("n_shingles") <= SMALL_MAX).groupBy("n_shingles").count().collect()}
+    classes = cut_lineage(rows.filter("n_shingles > 0 and doc_id is not null").groupBy("s1", "s2")
+                          .agg(F.min("doc_id").alias("rep")), "classes")
+    # an id with several texts is one node; its postings are those of all of them
+    reps = rows.join(_small(classes), (rows.doc_id == F.col("rep")) & (rows.s1 == classes.s1) & (rows.s2 == classes.s2)).select(
+        "rep", F.col("n_shingles").alias("n"), "head")
+    reps = cut_lineage(reps, "heads")
+    with_heads, rows = rows, cut_lineage(rows.select("doc_id", "n_shingles", "s1", "s2"), "shingles")
+    drop_cut(with_heads)
+    histogram = {r[0]: r[1] for r in reps.filter(F.col("n") <= SMALL_MAX).groupBy("n").count().collect()}
     x = boundary(histogram, num, den)
+    subsets = subset_buckets(reps, x, num, den)
 
-    # postings of the heads, and how many texts post each element
-    posting = reps.filter(F.col("n_shingles") >= _least_share(x + 1, num, den)).select(
-        "rep", F.col("n_shingles").alias("n"), "head")
-    heads = posting.select("rep", F.explode("head").alias("h"))
-    often = heads.groupBy("h").agg(F.count(F.lit(1)).alias("k")).filter("k > 1")
-    shared = cut_lineage(heads.join(often, "h"), "shared")
-    heavy = shared.filter(F.col("k") > HEAVY)
+    # heavy elements: those that many heads post, and those that many of the texts
+    # share whose heads consist of such elements (their full sets are needed anyway)
+    posting = reps.filter(F.col("n") >= _least_share(x + 1, num, den))
     p = (F.col("n") - F.ceil(F.col("n") * num / den) + 1).cast("int")
-    heavy_of = heavy.groupBy("rep").agg(F.collect_list("h").alias("heavy"))
+    heads = posting.select("rep", F.explode("head").alias("h"))
+    often = lambda rows: rows.groupBy("h").agg(F.count(F.lit(1)).alias("k")).filter(F.col("k") > HEAVY).select("h")
+    heavy = cut_lineage(often(heads), "heavy")
+    short = _short(posting, heads, heavy, p)
+    sets = cut_lineage(_fetch(docs, short, width), "sets")
+    also = often(sets.select("rep", F.explode("elements").alias("h")))
+    narrower, heavy = heavy, cut_lineage(heavy.union(also).distinct(), "heavy")
+    short = cut_lineage(_short(posting, heads, heavy, p), "short")
+    before, sets = sets, sets.union(cut_lineage(_fetch(docs, short.join(sets.select("rep"), "rep", "left_anti"), width), "sets"))
+    drop_cut(narrower)
+
+    # the global order: light elements by hash, then heavy ones by hash
     none = F.array().cast("array<long>")
-    ordered = posting.join(heavy_of, "rep", "left").select(
-        "rep", "n", p.alias("p"), F.size("head").alias("posted"),
-        F.array_except("head", F.coalesce("heavy", none)).alias("light"),
-        F.array_sort(F.coalesce("heavy", none)).alias("heavy"))
-    enough = (F.size("light") >= F.col("p")) | (F.col("posted") == F.col("n"))
-    ordered = cut_lineage(ordered.select(
-        "rep", "n", "p", enough.alias("enough"),
-        F.slice(F.concat("light", "heavy"), F.lit(1), F.col("p")).alias("first")), "order")
-    short = ordered.filter(~F.col("enough")).select("rep", "n", "p")
-
-    # full sets of the texts that share anything (they may become candidates)
-    small = cut_lineage(_shared_buckets(subset_buckets(reps, x, num, den)), "subsets")
-    wanted = shared.select("rep").union(small.select("rep")).distinct()
-    sets = cut_lineage(_fetch(docs, wanted, width), "sets")
-
-    # texts with too many heavy elements in their head: order the whole set
-    flagged = (short.join(sets, "rep").select("rep", "n", "p", F.explode("elements").alias("h"))
-               .join(heavy.select("h").distinct().withColumn("is_heavy", F.lit(1)), "h", "left"))
-    longer = flagged.groupBy("rep", "n", "p").agg(F.array_sort(F.collect_list(
+    heavy_of = heads.join(_small(heavy), "h").groupBy("rep").agg(F.collect_list("h").alias("heavy"))
+    whole = posting.join(_small(short.select("rep")), "rep", "left_anti").join(heavy_of, "rep", "left")
+    ordered = whole.select("rep", "n", F.slice(F.concat(
+        F.array_except("head", F.coalesce("heavy", none)), F.array_sort(F.coalesce("heavy", none))), F.lit(1), p).alias("first"))
+    flagged = (short.join(sets, "rep").select("rep", "n", F.explode("elements").alias("h"))
+               .join(_small(heavy.withColumn("is_heavy", F.lit(1))), "h", "left"))
+    longer = flagged.groupBy("rep", "n").agg(F.array_sort(F.collect_list(
         F.struct(F.coalesce("is_heavy", F.lit(0)).alias("w"), "h"))).alias("all"))
-    longer = longer.select("rep", "n", F.slice(F.transform("all", lambda e: e.h), F.lit(1), F.col("p")).alias("first"))
-    first = ordered.filter("enough").select("rep", "n", "first").union(longer)
+    longer = longer.select("rep", "n", F.slice(F.transform("all", lambda e: e.h), F.lit(1), p).alias("first"))
+    first = ordered.union(longer)
     lists = first.select("rep", "n", F.posexplode("first").alias("pos", "bucket")).select(
         "bucket", "rep", "n", F.col("pos").cast("long").alias("pos"))
-    members = cut_lineage(_shared_buckets(lists).unionByName(small), "members")
-    missing = members.select("rep").distinct().join(sets.select("rep"), "rep", "left_anti")
-    if not missing.isEmpty():
-        sets = sets.union(cut_lineage(_fetch(docs, missing, width), "sets"))
+    members = cut_lineage(_shared_buckets(lists.unionByName(subsets)), "members")
+    drop_cut(heavy, short)
 
-    comp = _merge(members, sets, num, den)
-    classes = reps.select("s1", "s2", "rep").join(comp, F.col("rep") == F.col("node"), "left").select(
+    comp = _merge(members, docs, reps, sets, width, num, den)
+    drop_cut(reps, before)
+    node = classes.join(comp, F.col("rep") == F.col("node"), "left").select(
         "s1", "s2", F.coalesce("component", "rep").alias("class_component"))
-    return rows.select("doc_id", "n_shingles", "s1", "s2").join(classes, ["s1", "s2"], "left").select(
+    return rows.select("doc_id", "n_shingles", "s1", "s2").join(node, ["s1", "s2"], "left").select(
         "doc_id", "n_shingles", F.coalesce("class_component", "doc_id").alias("component_id"))
 
 
-def _fetch(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """Full sets of the wanted representatives."""
-    return full_sets(docs.join(wanted.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi"), width)
+def _short(posting: DataFrame, heads: DataFrame, heavy: DataFrame, p) -> DataFrame:
+    """``rep, n`` of the texts whose head has fewer light elements than they
+    must post and is not their whole set."""
+    marked = heads.join(_small(heavy), "h").groupBy("rep").agg(F.count(F.lit(1)).alias("marked"))
+    sized = posting.select("rep", "n", F.size("head").alias("posted"), p.alias("p"))
+    return sized.join(marked, "rep").filter("posted - marked < p and posted < n").select("rep", "n")
+
 
+#: rows of a table that is broadcast; larger ones take a shuffle join
+_BROADCAST_ROWS = 1_000_000
+
+
+def _small(table: DataFrame) -> DataFrame:
+    """Broadcast hint for a narrow table whose row count allows it."""
+    return F.broadcast(table) if table.limit(_BROADCAST_ROWS + 1).count() <= _BROADCAST_ROWS else table
+
+
+def _fetch(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
+    """Full sets ``rep, elements`` of the wanted ids (which may repeat)."""
+    ids = wanted.select(F.col("rep").alias("doc_id"))
+    return full_sets(docs.join(_small(ids), "doc_id", "left_semi"), width)
+
+
+def _plausible(pairs: DataFrame, heads: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs that their heads do not rule out.  Below the smaller of the two
+    heads' last hashes both heads are complete, so what one has there and the
+    other lacks is missing for good; a linked pair can miss only so much."""
+    narrow = heads.join(_small(_ends(pairs)), "rep", "left_semi")
+    end = F.when(F.size("head") < F.col("n"), F.element_at("head", -1)).otherwise(F.lit((1 << 63) - 1))
+    side = lambda x: narrow.select(F.col("rep").alias(x), F.col("n").alias(f"n_{x}"),
+                                   F.col("head").alias(f"h_{x}"), end.alias(f"e_{x}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    upto = F.least("e_a", "e_b")
+    part = lambda x: F.filter(f"h_{x}", lambda h: h <= upto)
+    cut = both.select("a", "b", "n_a", "n_b", part("a").alias("h_a"), part("b").alias("h_b"))
+    cut = cut.withColumn("shared", F.size(F.array_intersect("h_a", "h_b")))
+    most = F.least(F.col("n_a") - F.size("h_a"), F.col("n_b") - F.size("h_b")) + F.col("shared")
+    return cut.filter(most * (num + den) >= (F.col("n_a") + F.col("n_b")) * num).select("a", "b").distinct()
+
+
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("a", "b")).alias("rep"))
+
+
+def _merge(members: DataFrame, docs: DataFrame, heads: DataFrame, sets: DataFrame, width: int, num: int, den: int) -> DataFrame:
+    """``node, component`` over the links among bucket members.  ``sets`` holds
+    full sets that are there already; those of other candidates are fetched."""
+    def fetched(pairs, sets):
+        missing = cut_lineage(_ends(pairs).distinct().join(sets.select("rep"), "rep", "left_anti"), "ids")
+        found = cut_lineage(_fetch(docs, missing, width), "sets")
+        drop_cut(missing)
+        return found
 
-def _merge(members: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """``node, component`` over the links among bucket members."""
     # the pivot of a bucket: the member that has its element earliest
     early = F.struct((F.col("pos") / F.col("n")).alias("r"), F.col("rep").alias("rep"),
                      F.col("n").alias("n"), F.col("pos").alias("pos"))
@@ -265,7 +310,11 @@ def _merge(members: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame
         & _may_link(F.col("n"), F.col("pos"), F.col("pivot.n"), F.col("pivot.pos"), num, den))
     star = cut_lineage(starred.select(F.least("rep", "pivot.rep").alias("a"),
                                       F.greatest("rep", "pivot.rep").alias("b")).distinct(), "star")
-    links = cut_lineage(_verified(star, sets, num, den), "links")
+    likely = cut_lineage(_plausible(star, heads, num, den), "likely")
+    more_sets = fetched(likely, sets)
+    all_sets = sets.union(more_sets)
+    links = cut_lineage(_verified(likely, all_sets, num, den), "links")
+    drop_cut(likely)
     comp = components(links)
     # buckets that still span several components: their remaining pairs, one by one
     known = members.join(comp.withColumnRenamed("node", "rep"), "rep", "left").withColumn(
@@ -276,8 +325,17 @@ def _merge(members: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame
     rest = u.join(v, (F.col("u.bucket") == F.col("v.bucket")) & (F.col("u.rep") < F.col("v.rep"))
                   & (F.col("u.component") != F.col("v.component"))
                   & _may_link(F.col("u.n"), F.col("u.pos"), F.col("v.n"), F.col("v.pos"), num, den))
-    rest = rest.select(F.col("u.rep").alias("a"), F.col("v.rep").alias("b")).distinct().join(star, ["a", "b"], "left_anti")
-    more = cut_lineage(_verified(rest, sets, num, den), "links")
-    if more.isEmpty():
+    rest = cut_lineage(rest.select(F.col("u.rep").alias("a"), F.col("v.rep").alias("b")).distinct()
+                       .join(star, ["a", "b"], "left_anti"), "rest")
+    drop_cut(star, known)
+    compared, rest = rest, cut_lineage(_plausible(rest, heads, num, den), "likely")
+    drop_cut(compared)
+    if rest.isEmpty():
+        drop_cut(members, sets, more_sets, rest, links)
         return comp
-    return components(links.union(more))
+    last_sets = fetched(rest, all_sets)
+    more = cut_lineage(_verified(rest, all_sets.union(last_sets), num, den), "links")
+    if not more.isEmpty():
+        comp = components(links.union(more))
+    drop_cut(members, sets, more_sets, last_sets, rest, links, more)
+    return comp
