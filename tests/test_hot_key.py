@@ -54,3 +54,25 @@ def test_hot_name_duplicate_groups(spark):
     s = _skewed_sales(spark).withColumn("client_name", F.lit("Same Name"))
     g = rows(QL.duplicate_client_names(s))
     assert len(g) == 1 and g[0]["id_count"] == 1001          # HOT + C0..C999, one row per id
+
+
+def test_leads_without_client_stay_out_of_the_join(spark):
+    """Nine leads of ten have no client: they pass by the join on it."""
+    from salescope.operators import leads as L
+    leads = spark.range(N).select(
+        F.col("id").cast("string").alias("id"), F.lit(None).cast("string").alias("external_id"), F.lit("2024-01-01").cast("date").alias("created_at"),
+        F.lit("meta_ads").alias("source"), F.lit("new").alias("status"), F.lit(None).cast("date").alias("meeting_date"),
+        F.when(F.col("id") % 10 == 0, F.concat(F.lit("C"), (F.col("id") % 50).cast("string"))).alias("client_id"))
+    clients = spark.createDataFrame([(f"C{k}", f"Name {k}") for k in range(0, 30, 10)], "id string, name string")
+    got = {r["client_name"]: r["count"] for r in L.leads_enriched(leads, clients).groupBy("client_name").count().collect()}
+    assert got == {"Name 0": N // 50, "Name 10": N // 50, "Name 20": N // 50, "—": N - 3 * (N // 50)}
+
+
+def test_fact_rows_meet_hash_aggregates_first(spark):
+    """String-valued max_by sorts; it must not see raw sales."""
+    s = _skewed_sales(spark)
+    for df in (S.client_totals(s), CL.client_sales_stats(s)):
+        plan = _plan(df)
+        raw = plan[plan.rindex("Aggregate"):]
+        assert "HashAggregate" in plan and plan.rindex("HashAggregate") >= plan.rindex("SortAggregate" if "SortAggregate" in plan else "HashAggregate")
+        assert "max_by" not in raw
