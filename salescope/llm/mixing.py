@@ -6,26 +6,31 @@ released at floor((k - 1) / w) and due at ceil(k / w).  Earliest deadline first
 over the released blocks keeps every source less than one block from its fluid
 share at every slot.
 
-Weights are integers out of ``frame`` slots, so the windows repeat with every
-frame and the schedule of one frame is the schedule of all: slot and order of a
-block follow from its number alone.  The frame's schedule has ``frame`` slots
-whatever the corpus size; blocks meet it in an equi-join on (source, number in
-frame).  Nothing walks over the blocks of the corpus one by one.
-
-A source that runs out would break its weight: the slots before the first
-missing block are the mixture (``in_mix``); later blocks keep the slots that the
-same schedule gives them, but are marked as held back.
+The schedule is cut into frames of about ``frame`` slots.  At the end of a frame
+a source has its fluid share, rounded by half a block (the last frame takes what
+is left); in the frame the windows follow from the source's whole blocks of that
+frame.  So every frame is scheduled on its own, in tasks, and meets the rows in an
+equi-join on (source, block).  Nothing walks over the blocks of the corpus one by
+one, and a source of any weight has its blocks in the frames that they fall into.
+
+A source's surplus over its own weight (of all rows) is held back.  A source
+that runs out earlier leaves the schedule, and the others go on under
+re-normalised weights: the mixture (``in_mix``) holds all other rows.  Blocks held
+back follow after the mixture, in proportion to what their sources have left.
 """
 
 from __future__ import annotations
 
 import heapq
 import math
+from fractions import Fraction
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .inputs import pick
+from .inputs import pick, share
 
 FRAME = 1000
 
@@ -71,6 +76,59 @@ def source_weights(sizes: dict[str, int], exponent: float) -> dict[str, float]:
     return {s: n ** exponent for s, n in sizes.items()}
 
 
+def quotas(sizes: dict[str, int], weights: dict[str, float], block_rows: int) -> dict[str, tuple[float, int, int]]:
+    """(fluid blocks of its weight, blocks in the mixture, all blocks) by source."""
+    rows, total = sum(sizes.values()), sum(Fraction(weights[s]) for s in sizes)
+    out = {}
+    for s, n in sizes.items():
+        own, blocks = Fraction(weights[s]) * rows / (total * block_rows), -(-n // block_rows)
+        out[s] = (float(own), min(blocks, math.ceil(own)), blocks)
+    return out
+
+
+class Frames:
+    """Frames of a schedule: ``own`` fluid and ``blocks`` whole blocks by source."""
+
+    def __init__(self, own, blocks, frame: int):
+        self.own, self.blocks = np.array(own, float), np.array(blocks, np.int64)
+        self.count = math.ceil(max(self.own.sum(), self.blocks.sum()) / frame)
+
+    def before(self, f: int) -> np.ndarray:
+        """Blocks of each source before frame ``f``."""
+        if f >= self.count:
+            return self.blocks
+        return np.minimum(self.blocks, np.floor(self.own * (f / self.count) + 0.5).astype(np.int64))
+
+    def schedule(self, f: int):
+        """(source number, block, release, deadline, slot) of the frame's blocks."""
+        first, after = self.before(f), self.before(f + 1)
+        start, some = int(first.sum()), np.flatnonzero(after > first)
+        for s, k, release, deadline, slot in frame_schedule({int(s): int(after[s] - first[s]) for s in some}):
+            yield s, int(first[s]) + k, start + release, start + deadline, start + slot
+
+
+def _scheduled(spark, names: list[str], own, blocks, frame: int, skip: list[int], start: int, in_mix: bool) -> DataFrame:
+    """A row for every block: the sources' blocks from ``skip`` on, in slots from ``start`` on."""
+    frames = Frames(own, blocks, frame)
+    shared = share(spark, (names, frames, skip))
+
+    def run(batches):
+        names, frames, skip = shared()
+        for batch in batches:
+            for f in batch.column(0).to_pylist():
+                rows = list(frames.schedule(f))
+                if rows:
+                    s, k, release, deadline, slot = zip(*rows)
+                    yield pa.record_batch([
+                        pa.array([names[x] for x in s], pa.string()), pa.array([skip[x] + y for x, y in zip(s, k)], pa.int64()),
+                        *[pa.array(np.array(x, np.int64) + start) for x in (release, deadline, slot)]],
+                        names=["source", "block", "release", "deadline", "slot"])
+
+    parts = max(1, min(frames.count, max(spark.sparkContext.defaultParallelism, frames.count // 100)))
+    return spark.range(0, frames.count, 1, parts).mapInArrow(
+        run, "source string, block long, release long, deadline long, slot long").withColumn("in_mix", F.lit(in_mix))
+
+
 def pfair_mix(docs: DataFrame, weights: dict[str, float] | None = None, id_col: str = "doc_id",
               source_col: str = "source", block_rows: int = 16, exponent: float = 0.9,
               frame: int = FRAME, rows_per_part: int = 2000) -> DataFrame:
@@ -78,13 +136,15 @@ def pfair_mix(docs: DataFrame, weights: dict[str, float] | None = None, id_col:
     deadline, slot, in_mix``.
 
     ``block`` numbers a source's blocks from 0; ``release``, ``deadline`` and
-    ``slot`` count slots from the start.  ``in_mix`` marks the slots before the
-    first one whose source has no rows left.  ``weights`` maps sources to positive
+    ``slot`` count slots from the start.  ``in_mix`` marks the rows up to the
+    source's weight (in whole blocks); the mixture has a block in every slot
+    from 0 on, and blocks held back follow it.  ``weights`` maps sources to positive
     numbers; by default they follow from the row counts.  Sources without a
     weight are an error, weights of absent sources are ignored.  A null source
     is the source ''.  Rows of a source are ordered by id hash, id (nulls
     first), so copies and runs of ids are spread; equal rows are
-    interchangeable.  An empty table gives an empty result.
+    interchangeable.  An empty table gives an empty result.  The driver holds a
+    row for every source, however many there are.
 
     A source may hold any share of the rows: rows are numbered in parts of about
     ``rows_per_part`` rows that are shifted by the counts of the parts before.
@@ -92,25 +152,18 @@ def pfair_mix(docs: DataFrame, weights: dict[str, float] | None = None, id_col:
     spark = docs.sparkSession
     rows = pick(docs, doc_id=id_col, source=source_col).select(
         "doc_id", F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source"))
-    found = rows.groupBy("source").count().limit(frame + 1).collect()
-    if len(found) > frame:
-        raise ValueError(f"more than {frame} sources")
-    sizes = {r["source"]: r["count"] for r in found}
+    sizes = {r["source"]: r["count"] for r in rows.groupBy("source").count().collect()}
     if weights is None:
         weights = source_weights(sizes, exponent)
     if missing := sorted(set(sizes) - set(weights)):
         raise ValueError(f"no weight for sources {missing[:5]}")
-    share = frame_shares({s: weights[s] for s in sizes}, frame)
-    schedule = frame_schedule(share) if share else []
-    n = sum(share.values())
-    slot_of = {(s, k): slot for s, k, _, _, slot in schedule}
-    ends = {s: -(-rows // block_rows) for s, rows in sizes.items()}          # the first missing block
-    horizon = min((b // share[s] * n + slot_of[s, b % share[s]] for s, b in ends.items()), default=0)
-    slots = spark.createDataFrame(schedule, "source string, k long, r long, d long, s long")
-
-    of = spark.createDataFrame([(s, share[s], -(-sizes[s] // rows_per_part)) for s in sorted(share)],
-                               "source string, share long, parts long")
-    # ``of`` and ``slots`` have at most ``frame`` rows
+    names = sorted(sizes)
+    quota = quotas(sizes, weights, block_rows) if sizes else {}
+    own, kept, left = [quota[s][0] for s in names], [quota[s][1] for s in names], [quota[s][2] - quota[s][1] for s in names]
+    slots = _scheduled(spark, names, own, kept, frame, [0] * len(names), 0, True).union(
+        _scheduled(spark, names, left, left, frame, kept, sum(kept), False))
+
+    of = spark.createDataFrame([(s, -(-sizes[s] // rows_per_part)) for s in names], "source string, parts long")
     rows = rows.join(F.broadcast(of), "source").withColumn("h", F.xxhash64("doc_id")).withColumn(
         "part", F.floor(F.shiftrightunsigned("h", 33) * F.col("parts") / F.lit(1 << 31)).cast("long")).drop("parts")
     before = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
@@ -119,10 +172,7 @@ def pfair_mix(docs: DataFrame, weights: dict[str, float] | None = None, id_col:
     in_part = Window.partitionBy("source", "part").orderBy("h", "doc_id")
     numbered = rows.withColumn("i", F.row_number().over(in_part).cast("long") - 1).join(offsets, ["source", "part"])
     number = F.col("i") + F.col("offset")
-    numbered = numbered.select("doc_id", "source", "share", F.floor(number / block_rows).alias("block"),
+    numbered = numbered.select("doc_id", "source", F.floor(number / block_rows).alias("block"),
                                (number % block_rows).cast("int").alias("block_row"))
-    placed = numbered.withColumn("k", F.col("block") % F.col("share")).join(F.broadcast(slots), ["source", "k"])
-    turn = F.floor(F.col("block") / F.col("share"))
-    return placed.select("doc_id", "source", "block", "block_row", (turn * n + F.col("r")).alias("release"),
-                         (turn * n + F.col("d")).alias("deadline"), (turn * n + F.col("s")).alias("slot"),
-                         (turn * n + F.col("s") < horizon).alias("in_mix"))
+    return numbered.join(slots, ["source", "block"]).select(
+        "doc_id", "source", "block", "block_row", "release", "deadline", "slot", "in_mix")

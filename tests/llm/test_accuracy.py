@@ -248,6 +248,28 @@ def test_mixture_of_the_documents(spark):
     assert {r.slot for r in rows if r.in_mix} == set(range(end + 1))
 
 
+def test_a_rare_source_does_not_end_the_mixture(spark):
+    rows = [(k, "abcd"[k % 4] if k >= 3 else None) for k in range(40003)]
+    got = mixing.pfair_mix(spark.createDataFrame(rows, "doc_id long, source string"), block_rows=1).collect()
+    assert len(got) == len({r.slot for r in got}) == 40003 and max(r.slot for r in got) == 40002
+    assert sum(r.in_mix for r in got) >= 39900 and all(r.in_mix for r in got if not r.source)
+    assert {r.slot for r in got if r.in_mix} == set(range(sum(r.in_mix for r in got)))
+    # a, b, c and d stay within a block of each other, and of the rounded frames
+    done = Counter()
+    for r in sorted(got, key=lambda r: r.slot):
+        assert r.release <= r.slot < r.deadline and r.block == done[r.source]
+        done[r.source] += 1
+        assert not r.in_mix or max(done[s] for s in "abcd") - min(done[s] for s in "abcd") <= 2
+
+
+def test_only_the_surplus_over_the_weight_is_held_back(spark):
+    rows = [(k, f"s{k % 1500}") for k in range(6000)] + [(k, "hot") for k in range(6000, 9000)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string")
+    got = mixing.pfair_mix(docs, weights={"hot": 1500.0} | {f"s{k}": 6.0 for k in range(1500)}, block_rows=1).collect()
+    held = [r for r in got if not r.in_mix]
+    assert len(got) == 9000 and {r.source for r in held} == {"hot"} and len(held) == 3000 - 9000 // 7 - 1
+
+
 def test_recurring_subtrees_of_a_host_are_deleted(spark):
     body = "<html><body><div>Site name and slogan</div><div><p>story number {k} of the day</p></div><div>All the small print</div></body></html>"
     pages = [(k, "https://one.example/a", body.format(k=k)) for k in range(8)]
