@@ -1,17 +1,16 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
-1. The n-grams of the test items are counted over all documents (each task
-   counts its hits; the sums have at most one row per item n-gram).
-2. An item's seeds are its rarest n-grams: those that occur in no more documents
-   than its median n-gram does.  The rule is relative to the item, so an item
-   that leaked into a third of the corpus keeps its seeds.
-3. Where a seed occurs, the item is aligned with the words around it by local
-   alignment.  The score is that of the best alignment over the score of a
-   perfect copy, so paraphrased, cut and edited copies score high, too.
+1. An item's seeds are all of its n-grams, so every stretch of the item has some,
+   however common they are and however few of them occur anywhere.
+2. Where a seed occurs, stretches that hold too few of the item's words for the
+   threshold are left out: no alignment with them could reach it.
+3. The item is aligned with the words that are left by local alignment.  The
+   score is that of the best alignment over the score of a perfect copy, so
+   paraphrased, cut and edited copies score high, too.
 
 Test items are a stated query set.  They are handled in blocks of bounded size
 (``block_bytes`` of item text); only a block's words and seeds are broadcast.
-Documents never move: both passes are narrow.
+Documents never move: the pass is narrow.
 """
 
 from __future__ import annotations
@@ -52,17 +51,7 @@ class Items:
                 places[g].append((item, k))
         self.grams = np.array(sorted(places), np.uint64)
         self.places = [places[g] for g in self.grams.tolist()]
-
-    def keep_rare(self, df: np.ndarray) -> None:
-        """Leave the seeds: per item, the n-grams up to its median frequency."""
-        of_item = defaultdict(list)
-        for k, places in enumerate(self.places):
-            for item in {p[0] for p in places}:
-                of_item[item].append(df[k])
-        limit = {item: float(np.median(x)) for item, x in of_item.items()}
-        places = [[p for p in ps if df[k] <= limit[p[0]]] for k, ps in enumerate(self.places)]
-        left = [k for k, ps in enumerate(places) if ps]
-        self.grams, self.places = self.grams[left], [places[k] for k in left]
+        self.distinct = [np.unique(words) for words in self.words]
 
     def hits(self, column: pa.Array):
         """(row, words of the row, n-gram indexes, their word positions) of the
@@ -125,6 +114,22 @@ def _windows(length: int, n_words: int, starts: list[int]):
     return spans
 
 
+def _dense(distinct: np.ndarray, length: int, window: np.ndarray, threshold: float):
+    """Ranges of a window outside which no alignment reaches the threshold: one that
+    does matches ``threshold`` of the item's words at least, and its gaps are too
+    few to spread them over more than ``span`` words."""
+    k = np.searchsorted(distinct, window)
+    k[k == len(distinct)] = 0
+    total = np.concatenate([[0], np.cumsum(distinct[k] == window)])
+    span = min(math.ceil(length * (3 - 2 * threshold)), len(window))
+    at = np.flatnonzero(total[span:] - total[:-span or None] >= threshold * length - 1e-9)
+    if not len(at):
+        return
+    cuts = np.flatnonzero(np.diff(at) > span)
+    for lo, hi in zip(at[np.append(0, cuts + 1)].tolist(), at[np.append(cuts, -1)].tolist()):
+        yield lo, hi + span
+
+
 def _matches(items: Items, threshold: float):
     """A function from a text column to (row, item, score, first, last, places)."""
     cache: OrderedDict = OrderedDict()
@@ -137,6 +142,12 @@ def _matches(items: Items, threshold: float):
                 cache.popitem(last=False)
         return cache[key]
 
+    def regions(item, words, starts):
+        length = len(items.words[item])
+        for lo, hi in _windows(length, len(words), starts):
+            for a, b in _dense(items.distinct[item], length, words[lo:hi], threshold):
+                yield lo + a, lo + b
+
     def run(column):
         for row, words, grams, at in items.hits(column):
             starts = defaultdict(set)
@@ -144,7 +155,7 @@ def _matches(items: Items, threshold: float):
                 for item, p in items.places[g]:
                     starts[item].add(k - p)
             for item in sorted(starts):
-                found = [(s, lo + a, lo + b) for lo, hi in _windows(len(items.words[item]), len(words), list(starts[item]))
+                found = [(s, lo + a, lo + b) for lo, hi in regions(item, words, list(starts[item]))
                          for s, a, b in [aligned(item, words, lo, hi)] if s >= threshold]
                 if found:
                     s, a, b = max(found, key=lambda f: (f[0], -f[1]))
@@ -161,28 +172,8 @@ def _blocks(benchmark: DataFrame, n: int, block_bytes: int):
         yield Items(own["item_id"].to_pylist(), own["text"].to_pylist(), n)
 
 
-def _frequencies(docs: DataFrame, items: Items) -> np.ndarray:
-    """Documents that each n-gram of the block occurs in."""
-    shared = share(docs.sparkSession, items)
-
-    def run(batches):
-        block = shared()
-        df = np.zeros(len(block.grams), np.int64)
-        for batch in batches:
-            for _, _, grams, _ in block.hits(batch.column(0)):
-                df[np.unique(grams)] += 1
-        k = np.flatnonzero(df)
-        yield pa.record_batch([pa.array(k), pa.array(df[k])], names=["k", "df"])
-
-    sums = docs.select("text").mapInArrow(run, "k long, df long").groupBy("k").agg(F.sum("df").alias("df")).toArrow()
-    out = np.zeros(len(items.grams), np.int64)
-    out[sums["k"].to_numpy()] = sums["df"].to_numpy()
-    return out
-
-
 def _prepared(docs: DataFrame, benchmark: DataFrame, n: int, block_bytes: int):
     for items in _blocks(benchmark, n, block_bytes):
-        items.keep_rare(_frequencies(docs, items))
         yield share(docs.sparkSession, items)
 
 

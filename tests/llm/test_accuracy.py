@@ -199,6 +199,34 @@ def test_alignment_finds_edited_copies(spark):
     assert {(r.doc_id, r.item_id) for r in decontaminate.contaminated(docs, tests, block_bytes=300).collect()} == want
 
 
+def test_single_edited_and_half_copies_are_found(spark):
+    words = lambda t, n: [f"{t}{k}" for k in range(n)]
+    items = [words(t, 40) for t in "abcd"]
+    docs = [[x if k % 4 else f"other{k}" for k, x in enumerate(items[0])],       # every 4th word replaced
+            [x if k % 5 else f"other{k}" for k, x in enumerate(items[1])],
+            items[2][:21],                                                      # half a copy
+            items[3][20:] + words("y", 90) + items[3][:20],                     # two parts, each below half
+            items[3][:10] + ["new"] * 15 + items[3][10:]]                       # an insertion
+    docs = [words("x", 30) + d + words("z", 30) for d in docs]
+    docs += [words("x", 5) + items[0][:4] for _ in range(50)]                   # a common passage
+    docs = spark.createDataFrame([(k, " ".join(d)) for k, d in enumerate(docs)], "doc_id long, text string")
+    tests = spark.createDataFrame([(k, " ".join(x)) for k, x in enumerate(items)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): round(r.score, 4) for r in decontaminate.contaminated(docs, tests).collect()}
+    assert got == {(0, 0): 0.6375, (1, 1): 0.7125, (2, 2): 0.525, (3, 3): 0.5, (4, 3): 0.8125}
+
+
+def test_left_out_stretches_hold_no_match():
+    rnd = np.random.default_rng(1)
+    for _ in range(300):
+        item, window = rnd.integers(0, 12, 10).astype(np.uint64), rnd.integers(0, 40, 60).astype(np.uint64)
+        at = rnd.integers(0, 40)
+        window[at:at + 2 * rnd.integers(1, 6):2] = item[:len(window[at:at + 2 * rnd.integers(1, 6):2])][0]
+        whole = decontaminate.local_alignment(item, window)[0]
+        parts = [decontaminate.local_alignment(item, window[a:b])[0]
+                 for a, b in decontaminate._dense(np.unique(item), len(item), window, 0.5)]
+        assert max(parts, default=0) == whole if whole >= 0.5 else max(parts, default=0) < 0.5
+
+
 def test_alignment_score_equals_the_textbook_recursion():
     rnd = np.random.default_rng(0)
     for _ in range(40):
