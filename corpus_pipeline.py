@@ -18,6 +18,7 @@ beyond those of ``documents`` pass through.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from salescope.llm import decontaminate, lang_id, mixing, ngram_join, sharding
 from salescope.llm.inputs import id_split, read_table
@@ -34,9 +35,10 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    linked = ngram_join.link_components(docs, width=5, num=80, den=100)
-    others = linked.filter("component_id != doc_id").select("doc_id").distinct()
-    return docs.join(others, "doc_id", "left_anti").select(docs.columns).dropDuplicates(["doc_id", "text"])
+    linked = ngram_join.link_components(docs, width=5, num=80, den=100, text_key=True)
+    others = linked.filter("component_id != doc_id").select("doc_id", "text_key").distinct()
+    left = (docs.doc_id == others.doc_id) & (F.xxhash64(docs.text) == others.text_key)
+    return docs.join(others, left, "left_anti").dropDuplicates(["doc_id", "text"])
 
 
 def remove_test_items(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,8 +46,11 @@ def remove_test_items(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    held_back = mixing.pfair_mix(docs).filter("not in_mix").select("doc_id").distinct()
-    return docs.join(held_back, "doc_id", "left_anti").select(docs.columns)
+    # an id may have several texts: each is a row of its own
+    keyed = docs.select(F.struct("doc_id", F.xxhash64("text").alias("text_key")).alias("key"), "source")
+    held_back = mixing.pfair_mix(keyed, id_col="key").filter("not in_mix").select("doc_id.*").distinct()
+    left = (docs.doc_id == held_back.doc_id) & (F.xxhash64(docs.text) == held_back.text_key)
+    return docs.join(held_back, left, "left_anti")
 
 
 def assign_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -54,7 +54,7 @@ SCAN_COST = 4.0
 #: an element on more lists' heads than this is heavy
 HEAVY = 32
 
-_SHINGLED = "doc_id long, n_shingles long, s1 long, s2 long, head array<long>"
+_SHINGLED = "doc_id long, text_key long, n_shingles long, s1 long, s2 long, head array<long>"
 
 
 def _least_share(n: int, num: int, den: int) -> int:
@@ -93,30 +93,33 @@ def _signed(x: int) -> int:
 def shingle_heads(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
     def run(batches):
         for batch in batches:
-            ids, out = batch.column(0).to_pylist(), {k: [] for k in ("id", "n", "s1", "s2", "head")}
+            ids, keys, out = batch.column(0).to_pylist(), batch.column(2).to_pylist(), {k: [] for k in ("id", "key", "n", "s1", "s2", "head")}
             for row, found, seq in _sets(batch.column(1), width):
                 out["id"].append(ids[row])
+                out["key"].append(keys[row])
                 out["n"].append(len(found))
                 out["s1"].append(None if seq is None else _signed(seq >> 64))
                 out["s2"].append(None if seq is None else _signed(seq & ((1 << 64) - 1)))
                 out["head"].append(found[:_head_size(len(found), num, den)])
-            yield pa.record_batch([pa.array(out["id"], pa.int64()), pa.array(out["n"], pa.int64()),
+            yield pa.record_batch([pa.array(out["id"], pa.int64()), pa.array(out["key"], pa.int64()), pa.array(out["n"], pa.int64()),
                                    pa.array(out["s1"], pa.int64()), pa.array(out["s2"], pa.int64()),
                                    pa.array(out["head"], pa.list_(pa.int64()))],
-                                  names=["doc_id", "n_shingles", "s1", "s2", "head"])
-    return docs.select("doc_id", "text").mapInArrow(run, _SHINGLED)
+                                  names=["doc_id", "text_key", "n_shingles", "s1", "s2", "head"])
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("text_key")).mapInArrow(run, _SHINGLED)
 
 
 def full_sets(docs: DataFrame, width: int) -> DataFrame:
     def run(batches):
         for batch in batches:
-            ids, out = batch.column(0).to_pylist(), [[], []]
-            for row, found, _ in _sets(batch.column(1), width):
+            ids, out = batch.column(0).to_pylist(), [[], [], [], []]
+            for row, found, seq in _sets(batch.column(1), width):
                 out[0].append(ids[row])
-                out[1].append(found)
-            yield pa.record_batch([pa.array(out[0], pa.int64()), pa.array(out[1], pa.list_(pa.int64()))],
-                                  names=["rep", "elements"])
-    return docs.select("doc_id", "text").mapInArrow(run, "rep long, elements array<long>")
+                out[1].append(None if seq is None else _signed(seq >> 64))
+                out[2].append(None if seq is None else _signed(seq & ((1 << 64) - 1)))
+                out[3].append(found)
+            yield pa.record_batch([*[pa.array(x, pa.int64()) for x in out[:3]], pa.array(out[3], pa.list_(pa.int64()))],
+                                  names=["rep", "s1", "s2", "elements"])
+    return docs.select("doc_id", "text").mapInArrow(run, "rep long, s1 long, s2 long, elements array<long>")
 
 
 def _subset_sizes(n: int, x: int, num: int, den: int) -> list[int]:
@@ -182,8 +185,9 @@ def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
 
 
 def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                    width: int = 3, num: int = 90, den: int = 100) -> DataFrame:
-    """One row per input row: ``doc_id, n_shingles, component_id``.
+                    width: int = 3, num: int = 90, den: int = 100, text_key: bool = False) -> DataFrame:
+    """One row per input row: ``doc_id, n_shingles, component_id``, and with
+    ``text_key`` the xxhash64 of the row's text.
 
     ``component_id`` is the smallest id reachable over links, the row itself
     included.  Words are split at ``[\\x20\\x09-\\x0D]`` after lower-casing A-Z; a
@@ -195,14 +199,16 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     128-bit hashes.  An empty table gives an empty result.
     """
     docs = pick(docs, doc_id=id_col, text=text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
-    rows = cut_lineage(shingle_heads(docs, width, num, den), "shingles")
-    classes = cut_lineage(rows.filter("n_shingles > 0 and doc_id is not null").groupBy("s1", "s2")
-                          .agg(F.min("doc_id").alias("rep")), "classes")
-    # an id with several texts is one node; its postings are those of all of them
-    reps = rows.join(_small(classes), (rows.doc_id == F.col("rep")) & (rows.s1 == classes.s1) & (rows.s2 == classes.s2)).select(
-        "rep", F.col("n_shingles").alias("n"), "head")
+    rows = cut_lineage(shingle_heads(docs, width, num, den).withColumn("row", F.monotonically_increasing_id()), "shingles")
+    # one row of each class, however often its id and text repeat
+    first_row = F.min(F.struct("doc_id", "row"))
+    classes = cut_lineage(rows.filter("n_shingles > 0 and doc_id is not null").groupBy("s1", "s2").agg(first_row.alias("first"))
+                          .select("s1", "s2", F.col("first.doc_id").alias("rep"), F.col("first.row").alias("row")), "classes")
+    # an id that represents several texts is one node; each text posts its own prefix
+    reps = rows.join(_small(classes.select("rep", "row")), "row").select(
+        "rep", "s1", "s2", F.col("n_shingles").alias("n"), "head")
     reps = cut_lineage(reps, "heads")
-    with_heads, rows = rows, cut_lineage(rows.select("doc_id", "n_shingles", "s1", "s2"), "shingles")
+    with_heads, rows = rows, cut_lineage(rows.select("doc_id", "text_key", "n_shingles", "s1", "s2"), "shingles")
     drop_cut(with_heads)
     histogram = {r[0]: r[1] for r in reps.filter(F.col("n") <= SMALL_MAX).groupBy("n").count().collect()}
     x = boundary(histogram, num, den)
@@ -212,12 +218,12 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # share whose heads consist of such elements (their full sets are needed anyway)
     posting = reps.filter(F.col("n") >= _least_share(x + 1, num, den))
     p = (F.col("n") - F.ceil(F.col("n") * num / den) + 1).cast("int")
-    heads = posting.select("rep", F.explode("head").alias("h"))
+    heads = posting.select("s1", "s2", F.explode("head").alias("h"))
     often = lambda rows: rows.groupBy("h").agg(F.count(F.lit(1)).alias("k")).filter(F.col("k") > HEAVY).select("h")
     heavy = cut_lineage(often(heads), "heavy")
     short = _short(posting, heads, heavy, p)
     sets = cut_lineage(_fetch(docs, short, width), "sets")
-    also = often(sets.select("rep", F.explode("elements").alias("h")))
+    also = often(sets.select(F.explode("elements").alias("h")))
     narrower, heavy = heavy, cut_lineage(heavy.union(also).distinct(), "heavy")
     short = cut_lineage(_short(posting, heads, heavy, p), "short")
     before, sets = sets, sets.union(cut_lineage(_fetch(docs, short.join(sets.select("rep"), "rep", "left_anti"), width), "sets"))
@@ -225,13 +231,13 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     # the global order: light elements by hash, then heavy ones by hash
     none = F.array().cast("array<long>")
-    heavy_of = heads.join(_small(heavy), "h").groupBy("rep").agg(F.collect_list("h").alias("heavy"))
-    whole = posting.join(_small(short.select("rep")), "rep", "left_anti").join(heavy_of, "rep", "left")
+    heavy_of = heads.join(_small(heavy), "h").groupBy("s1", "s2").agg(F.collect_set("h").alias("heavy"))
+    whole = posting.join(_small(short.select("s1", "s2")), ["s1", "s2"], "left_anti").join(heavy_of, ["s1", "s2"], "left")
     ordered = whole.select("rep", "n", F.slice(F.concat(
         F.array_except("head", F.coalesce("heavy", none)), F.array_sort(F.coalesce("heavy", none))), F.lit(1), p).alias("first"))
-    flagged = (short.join(sets, "rep").select("rep", "n", F.explode("elements").alias("h"))
+    flagged = (short.join(sets, ["rep", "s1", "s2"]).select("rep", "s1", "s2", "n", F.explode("elements").alias("h"))
                .join(_small(heavy.withColumn("is_heavy", F.lit(1))), "h", "left"))
-    longer = flagged.groupBy("rep", "n").agg(F.array_sort(F.collect_list(
+    longer = flagged.groupBy("rep", "s1", "s2", "n").agg(F.array_sort(F.collect_set(
         F.struct(F.coalesce("is_heavy", F.lit(0)).alias("w"), "h"))).alias("all"))
     longer = longer.select("rep", "n", F.slice(F.transform("all", lambda e: e.h), F.lit(1), p).alias("first"))
     first = ordered.union(longer)
@@ -242,18 +248,18 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     comp = _merge(members, docs, reps, sets, width, num, den)
     drop_cut(reps, before)
-    node = classes.join(comp, F.col("rep") == F.col("node"), "left").select(
+    node = classes.drop("row").join(comp, F.col("rep") == F.col("node"), "left").select(
         "s1", "s2", F.coalesce("component", "rep").alias("class_component"))
-    return rows.select("doc_id", "n_shingles", "s1", "s2").join(node, ["s1", "s2"], "left").select(
-        "doc_id", "n_shingles", F.coalesce("class_component", "doc_id").alias("component_id"))
+    return rows.join(node, ["s1", "s2"], "left").select(
+        "doc_id", "n_shingles", F.coalesce("class_component", "doc_id").alias("component_id"), *["text_key"] * text_key)
 
 
 def _short(posting: DataFrame, heads: DataFrame, heavy: DataFrame, p) -> DataFrame:
-    """``rep, n`` of the texts whose head has fewer light elements than they
+    """``rep, s1, s2, n`` of the texts whose head has fewer light elements than they
     must post and is not their whole set."""
-    marked = heads.join(_small(heavy), "h").groupBy("rep").agg(F.count(F.lit(1)).alias("marked"))
-    sized = posting.select("rep", "n", F.size("head").alias("posted"), p.alias("p"))
-    return sized.join(marked, "rep").filter("posted - marked < p and posted < n").select("rep", "n")
+    marked = heads.join(_small(heavy), "h").groupBy("s1", "s2").agg(F.count(F.lit(1)).alias("marked"))
+    sized = posting.select("rep", "s1", "s2", "n", F.size("head").alias("posted"), p.alias("p"))
+    return sized.join(marked, ["s1", "s2"]).filter("posted - marked < p and posted < n").select("rep", "s1", "s2", "n")
 
 
 #: rows of a table that is broadcast; larger ones take a shuffle join

@@ -62,6 +62,46 @@ def test_ngram_join_equals_brute_force_on_edited_copies(spark, width, num, monke
     assert got == brute_components(texts, width, num, 100)
 
 
+def test_repeated_rows_lose_no_link(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "HEAVY", 4)
+    rnd, texts = random.Random(8), {}
+    passages = [[f"p{k}x{j}" for j in range(60)] for k in range(4)]
+    for i in range(120):
+        w = passages[i % 4] + [f"o{i // 8}x{j}" for j in range(i % 5 * 4)]
+        for _ in range(rnd.choice([0, 1, 2])):
+            w[rnd.randrange(len(w))] = f"n{rnd.randrange(900)}"
+        texts[i] = " ".join(w)
+    docs = spark.createDataFrame(list(texts.items()) * 4, "doc_id long, text string")
+    got = [(r.doc_id, (r.n_shingles, r.component_id)) for r in ngram_join.link_components(docs, width=3, num=80).collect()]
+    assert len(got) == 480 and dict(got) == brute_components(texts, 3, 80, 100)
+    assert set(got) == set(dict(got).items())
+
+
+def test_prefixes_hold_different_elements(spark, monkeypatch):
+    lists = []
+    monkeypatch.setattr(ngram_join, "HEAVY", 4)
+    monkeypatch.setattr(ngram_join, "_shared_buckets", lambda rows, f=ngram_join._shared_buckets: lists.append(rows.collect()) or f(rows))
+    passage = [f"p{j}" for j in range(60)]
+    rows = [(i, " ".join(passage + [f"o{i}x{j}" for j in range(3)])) for i in range(12)]
+    ngram_join.link_components(spark.createDataFrame(rows * 4, "doc_id long, text string"), width=3, num=80).collect()
+    posted = Counter((r.rep, r.n) for r in lists[0])
+    assert posted == Counter({(i, 61): 61 - 49 + 1 for i in range(12)})
+    assert len({(r.rep, r.bucket) for r in lists[0]}) == len(lists[0])
+
+
+def test_pipeline_stages_tell_texts_of_an_id_apart(spark):
+    import corpus_pipeline
+    words = lambda t: " ".join(f"{t}{k}" for k in range(30))
+    docs = spark.createDataFrame([(1, words("a"), "s"), (2, words("a"), "s"), (2, words("b"), "s"), (2, words("b"), "s")],
+                                 "doc_id long, text string, source string")
+    got = corpus_pipeline.drop_near_duplicates(spark, docs, "")
+    assert got.columns == docs.columns and sorted((r.doc_id, r.text[0]) for r in got.collect()) == [(1, "a"), (2, "b")]
+    many = spark.createDataFrame([(k % 500, f"{k}", "hot" if k % 3 else f"s{k % 7}") for k in range(3000)],
+                                 "doc_id long, text string, source string")
+    mixed = mixing.pfair_mix(many.select(F.struct("doc_id", F.xxhash64("text")).alias("key"), "source"), id_col="key")
+    assert corpus_pipeline.mix_sources(spark, many, "").count() == mixed.filter("in_mix").count() < 3000
+
+
 def test_ngram_join_on_the_documents(spark):
     texts = {r.doc_id: r.text for r in read_table(spark, SF, "documents").collect()}
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in queries.QUERIES["op7_ngram_jaccard_join"](spark, SF).collect()}
