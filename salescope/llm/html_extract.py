@@ -1,13 +1,14 @@
 """Main text of web pages by site template removal.
 
-Every page is parsed once, in a task, into its element tree.  What structure
-alone settles is settled there: the content root is the article (else ``main``,
-else the body), and marked boilerplate (navigation, headers, footers, asides,
-forms, adverts, notices, comments, scripts) is left out.  What remains open are
-unmarked subtrees that may or may not belong to the site's template: every
-container below the root, and, where a page has no article, every block.  Their
-subtree hashes (tag, class, texts and child hashes) are counted per host in
-Spark; a subtree that occurs on many pages of its host is deleted.
+Every page is parsed once, in a task, into its element tree.  The content roots
+are all ``main`` and ``article`` elements (else the body); elements whose tag,
+role or style marks them (navigation, footers, asides, forms, scripts, hidden
+parts) and adverts are left out.  All other subtrees below the roots but those
+of an article's paragraphs may belong to the site's template: their hashes (tag,
+class, texts and child hashes) are counted per host in Spark, and a subtree that
+occurs on many pages of its host is deleted.  Class and id words are hints: such
+an element is counted by its mark, too, and goes if the mark recurs on the host,
+whatever it holds.  A marked element that is the host's only one stays.
 
 A group of copied pages does not make its article a template: a subtree counts
 once per different main text, not once per page.  Paragraphs of an article are
@@ -46,10 +47,11 @@ _HEAD = frozenset(["head"])
 _PARAGRAPH = frozenset("p h1 h2 h3 h4 h5 h6 li blockquote pre table figure figcaption dl dt dd ul ol tr td th tbody thead "
                        "tfoot caption hr address".split())
 
-# Marks of boilerplate.
+# Marks of boilerplate; words of the last two are hints that must recur.
 _OFF_TAGS = frozenset("nav footer aside form button select menu dialog object canvas audio video".split())
 _OFF_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar".split())
-_OFF_WORDS = frozenset("ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner cookie "
+_AD_WORDS = frozenset("ad ads advert adverts advertisement advertising adsense".split())
+_OFF_WORDS = frozenset("sponsor sponsored promo promotion banner cookie "
                        "cookies consent gdpr notice popup modal overlay newsletter subscribe signup share sharing social "
                        "comment comments reply replies disqus sidebar menu nav navbar navigation breadcrumb breadcrumbs footer "
                        "related recommended widget pagination pager skip toolbar".split())
@@ -64,10 +66,10 @@ _SPLIT = re.compile(r"[^a-z0-9]+")
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "children", "off", "digest")
+    __slots__ = ("tag", "attrs", "children", "off", "digest", "hint")
 
     def __init__(self, tag: str, attrs: dict):
-        self.tag, self.attrs, self.children, self.off, self.digest = tag, attrs, [], False, None
+        self.tag, self.attrs, self.children, self.off, self.digest, self.hint = tag, attrs, [], False, None, None
 
 
 def _attributes(raw: str) -> dict:
@@ -150,7 +152,7 @@ def _close(stack: list, tags: frozenset, limits: frozenset) -> None:
 
 
 def _marked(node: Node, in_article: bool) -> bool:
-    """Whether tag, role, class or id mark the node as boilerplate."""
+    """Whether tag, role or style, or words of adverts, mark the node as boilerplate."""
     if node.tag in _OFF_TAGS or node.tag in _RAW or node.tag == "head":
         return True
     if node.tag == "header" and not in_article:
@@ -162,8 +164,19 @@ def _marked(node: Node, in_article: bool) -> bool:
         return True
     if "style" in a and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", a["style"]):
         return True
-    words = set(_SPLIT.split(f"{a.get('class', '')} {a.get('id', '')}"))
-    return bool(words & _OFF_WORDS) or not in_article and bool(words & _HEADER_WORDS)
+    return bool(_words(a) & _AD_WORDS)
+
+
+def _words(attrs: dict) -> set:
+    return set(_SPLIT.split(f"{attrs.get('class', '')} {attrs.get('id', '')}"))
+
+
+def _hint(node: Node, in_article: bool) -> int | None:
+    """Hash of tag, class and id if their words hint at boilerplate."""
+    a = node.attrs
+    if not a or not _words(a) & (_OFF_WORDS if in_article else _OFF_WORDS | _HEADER_WORDS):
+        return None
+    return xxhash.xxh3_64_intdigest(f"hint {node.tag} {a.get('class', '')} {a.get('id', '')}")
 
 
 def _walk(root: Node):
@@ -183,26 +196,27 @@ def _articles_in(node: Node) -> bool:
     return any(n is not node and n.tag in ("article", "main") for n in _walk(node))
 
 
-def mark(root: Node) -> tuple[list[Node], bool]:
-    """(content roots in page order, whether they are articles); boilerplate
-    below them is marked ``off``.  Outside an article, a marked node that holds
-    one is kept for its sake."""
-    articles, mains, body = [], [], root
-    todo = [(root, False)]
+def mark(root: Node) -> list[Node]:
+    """Content roots in page order; boilerplate below them is marked ``off`` or
+    gets a ``hint``.  Outside an article, a marked node that holds one is kept for
+    its sake."""
+    found, body = [], root
+    todo = [(root, False, False)]
     while todo:
-        node, in_article = todo.pop()
+        node, in_article, in_root = todo.pop()
         if node.tag == "body":
             body = node
-        elif node.tag not in ("#root", "html") and _marked(node, in_article) and (in_article or not _articles_in(node)):
-            node.off = True
-            continue
-        if node.tag == "article" and not in_article:
-            articles.append(node)
-            in_article = True
-        elif (node.tag == "main" or node.attrs.get("role") == "main") and not in_article:
-            mains.append(node)
-        todo += [(c, in_article) for c in reversed(node.children) if isinstance(c, Node)]
-    return (articles or mains[:1] or [body]), bool(articles or mains)
+        elif node.tag not in ("#root", "html"):
+            if _marked(node, in_article) and (in_article or not _articles_in(node)):
+                node.off = True
+                continue
+            node.hint = _hint(node, in_article)
+        if node.tag in ("article", "main") or node.attrs.get("role") == "main":
+            if not in_root:
+                found.append(node)
+            in_article, in_root = in_article or node.tag == "article", True
+        todo += [(c, in_article, in_root) for c in reversed(node.children) if isinstance(c, Node)]
+    return found or [body]
 
 
 def _digest(node: Node) -> int:
@@ -215,17 +229,20 @@ def _digest(node: Node) -> int:
     return node.digest
 
 
-def open_subtrees(roots: list[Node], in_article: bool) -> list[Node]:
+def open_subtrees(roots: list[Node]) -> list[Node]:
     """Subtrees that structure does not settle, below the roots."""
     out = []
     for root in roots:
-        todo = [c for c in root.children if isinstance(c, Node)]
+        todo = [(c, root.tag == "article", False) for c in root.children if isinstance(c, Node)]
         while todo:
-            node = todo.pop()
-            if node.off or node.tag in _INLINE or in_article and node.tag in _PARAGRAPH:
+            node, in_article, settled = todo.pop()
+            in_article = in_article or node.tag == "article"
+            if node.off or node.tag in _INLINE and node.hint is None:
                 continue
-            out.append(node)
-            todo += [c for c in node.children if isinstance(c, Node)]
+            settled = settled or in_article and node.tag in _PARAGRAPH
+            if not settled or node.hint is not None:
+                out.append(node)
+            todo += [(c, in_article, settled) for c in node.children if isinstance(c, Node)]
     return out
 
 
@@ -265,21 +282,21 @@ def _read(page: str | None, template: set[int] | None = None):
     """(text, open subtree hashes); with ``template``, its subtrees are deleted."""
     if not page:
         return "", []
-    roots, in_article = mark(parse(page))
-    nodes = open_subtrees(roots, in_article)
+    roots = mark(parse(page))
+    nodes = open_subtrees(roots)
     for node in nodes:
         if node.digest is None:
             _digest(node)
-        if template and _signed(node.digest) in template:
+        if template and any(_signed(h) in template for h in (node.digest, node.hint) if h is not None):
             node.off = True
-    return blocks_text(roots), sorted({_signed(n.digest) for n in nodes})
+    return blocks_text(roots), sorted({_signed(h) for n in nodes for h in (n.digest, n.hint) if h is not None})
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html",
             min_pages: int = 3, min_share: float = 0.02) -> DataFrame:
     """One row per input row: ``page_id, url, text, n_chars``.
 
-    A subtree is a template if it occurs with at least ``min_pages`` different
+    A subtree (or the mark of an element) is a template if it occurs with at least ``min_pages`` different
     main texts of its host and with ``min_share`` of the host's pages.  If
     nothing but templates would remain, the result is empty text.  Null and
     empty pages give empty text; a null or malformed URL belongs to the host ''.

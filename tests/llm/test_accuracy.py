@@ -355,6 +355,24 @@ def test_paragraphs_of_articles_stay_however_often_they_recur(spark):
     assert got == {k: f"the same passage\nown {k}" for k in range(6)}
 
 
+def texts_of(spark, pages):
+    pages = spark.createDataFrame(pages, "page_id long, url string, html string")
+    return {r.page_id: r.text for r in html_extract.extract(pages).collect()}
+
+
+def test_marked_elements_go_only_if_their_mark_recurs(spark):
+    page = "<article><h1>own {k}</h1><p>text {k}</p><div class='related'>see {k}</div>{more}</article>"
+    more = {2: "<h2 id='related-work'>Related work</h2><section id='social-impact'><p>on society</p></section>"}
+    got = texts_of(spark, [(k, "https://one.example/a", page.format(k=k, more=more.get(k, ""))) for k in range(6)])
+    assert got == {k: f"own {k}\ntext {k}" + "\nRelated work\non society" * (k == 2) for k in range(6)}
+
+
+def test_all_mains_and_the_text_beside_articles_are_read(spark):
+    page = "<main><p>cookies on this site</p><article><p>own {k}</p></article><p>beside {k}</p></main><main><p>second {k}</p></main>"
+    got = texts_of(spark, [(k, "https://one.example/a", page.format(k=k)) for k in range(6)])
+    assert got == {k: f"own {k}\nbeside {k}\nsecond {k}" for k in range(6)}
+
+
 def test_pages_give_their_articles(spark):
     import html
     pages = {r.page_id: r.html for r in read_table(spark, SF, "pages").collect()}
