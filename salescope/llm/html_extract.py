@@ -293,11 +293,12 @@ def _read(page: str | None, template: set[int] | None = None):
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html",
-            min_pages: int = 3, min_share: float = 0.02) -> DataFrame:
+            min_pages: int = 3, min_share: float = 0.02, enough: int = 20) -> DataFrame:
     """One row per input row: ``page_id, url, text, n_chars``.
 
-    A subtree (or the mark of an element) is a template if it occurs with at least ``min_pages`` different
-    main texts of its host and with ``min_share`` of the host's pages.  If
+    A subtree (or the mark of an element) is a template if it occurs with at least
+    ``min_pages`` different main texts of its host and with ``min_share`` of the
+    host's different main texts, or with ``enough`` of them on a host of any size.  If
     nothing but templates would remain, the result is empty text.  Null and
     empty pages give empty text; a null or malformed URL belongs to the host ''.
     Repeated rows give repeated results.  An empty table gives an empty result.
@@ -323,17 +324,19 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
         read, f"page_id {id_type}, url string, host string, text string, nodes array<long>, html string"), "pages")
     settled = parsed.filter("html is null").select("page_id", "url", "text")
     if not parsed.filter("html is not null").isEmpty():
-        settled = settled.union(_without_templates(parsed, id_type, min_pages, min_share))
+        settled = settled.union(_without_templates(parsed, id_type, min_pages, min_share, enough))
     return settled.withColumn("n_chars", F.length("text").cast("long"))
 
 
-def _without_templates(parsed: DataFrame, id_type: str, min_pages: int, min_share: float) -> DataFrame:
+def _without_templates(parsed: DataFrame, id_type: str, min_pages: int, min_share: float, enough: int) -> DataFrame:
     """Text of the pages with open subtrees, after counting those per host."""
     unsettled = parsed.filter("html is not null").withColumn("page_key", F.xxhash64("html"))
     seen = unsettled.select("host", F.xxhash64("text").alias("main"), F.explode("nodes").alias("node")).distinct()
-    sizes = parsed.groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
+    mains = parsed.select("host", F.xxhash64("text").alias("main")).distinct()
+    sizes = mains.groupBy("host").agg(F.count(F.lit(1)).alias("mains"))
     often = seen.groupBy("host", "node").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_pages)
-    templates = often.join(sizes, "host").filter(F.col("n") >= F.col("pages") * min_share).select("host", "node")
+    templates = often.join(sizes, "host").filter(
+        F.col("n") >= F.least(F.col("mains") * min_share, F.lit(enough))).select("host", "node")
     of_page = (unsettled.select("host", "page_key", F.explode("nodes").alias("node")).distinct()
                .join(templates, ["host", "node"]).groupBy("host", "page_key").agg(F.collect_list("node").alias("template")))
 

@@ -373,6 +373,14 @@ def test_all_mains_and_the_text_beside_articles_are_read(spark):
     assert got == {k: f"own {k}\nbeside {k}\nsecond {k}" for k in range(6)}
 
 
+def test_templates_are_found_among_copies_and_on_large_hosts(spark):
+    body = "<body><div>Site slogan</div><div><p>story {k}</p></div>{more}</body>"
+    copied = [(k, "https://one.example/a", body.format(k=min(k, 5), more="")) for k in range(400)]
+    assert all(x == f"story {min(k, 5)}" for k, x in texts_of(spark, copied).items())
+    banner = [(k, "https://two.example/a", body.format(k=k, more="<div>Section banner</div>" * (k < 24))) for k in range(1600)]
+    assert all(x == f"story {k}" for k, x in texts_of(spark, banner).items())
+
+
 def test_pages_give_their_articles(spark):
     import html
     pages = {r.page_id: r.html for r in read_table(spark, SF, "pages").collect()}
