@@ -8,7 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, html_extract, lang_id, license_scan, lm_score, mixing, ngram_join, quality, sharding
+from . import (decontaminate, exact_dedup, html_extract, lang_id, license_scan, lm_score, mixing, ngram_join, prefix_trie,
+               quality, sharding, structure_repair, url_filter, url_rules)
 from .inputs import id_split, read_table
 
 SHARDS = 40
@@ -93,3 +94,45 @@ from rows
 """)
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(read_table(spark, sf_dir, "documents"))
+
+
+URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"),
+             ("net", "/es/", "block"), ("net", "/fr/", "block")]
+
+
+def _url_sql() -> str:
+    fits = " ".join(
+        f"when (host = '{h}' or ends_with(host, '.{h}')) and starts_with(path, '{p}') then '{h}{p} {v}'"
+        for h, p, v in sorted(URL_RULES, key=lambda r: -len(r[0] + r[1])))
+    words = ", ".join(f"'{w}'" for w in url_rules.BLOCKED_WORDS)
+    return rf"""
+with urls as (
+  select page_id,
+         translate(regexp_extract(coalesce(url, ''), '://([^/?#]*)', 1),
+                   'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
+         regexp_extract(coalesce(url, ''), '://[^/?#]*([^?#]*)', 1) as path
+  from pages),
+fitting as (select *, case {fits} end as fit from urls)
+select page_id, host, path, split_part(fit, ' ', 1) as rule,
+       coalesce(split_part(fit, ' ', 2),
+                case when list_has_any(regexp_split_to_array(host, '[-_.]'), [{words}])
+                     then 'block' else 'allow' end) as verdict
+from fitting
+"""
+
+
+@query("op11_url_filter", _url_sql())
+def op11_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    words = spark.createDataFrame([(w, "block") for w in url_rules.BLOCKED_WORDS], "word string, verdict string")
+    return url_filter.judge_urls(read_table(spark, sf_dir, "pages"), url_filter.build_index(rules, words))
+
+
+@query("op12_prefix_trie")
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.conversation_trie(read_table(spark, sf_dir, "conversations"), rebuild=True)
+
+
+@query("op13_structure_repair")
+def op13_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return structure_repair.repair_conversations(structure_repair.damaged(read_table(spark, sf_dir, "conversations")))
