@@ -24,12 +24,18 @@ its own.  Each text posts a hash-ordered head with some slack; the few texts
 whose head has too many heavy elements post from their full set.  Small sets
 that can reach a large one post as well.
 
+*Near copies first.*  Texts that share one of their ``SEEDS`` least elements are
+compared with one of them, and what links becomes a component at once.  From
+here on components count, not texts: an element is heavy when many components
+have it, and a list that lies in one component is left out.  A large group of
+near copies so makes no element heavy and posts nothing.
+
 *Candidates.*  A list of m texts is not expanded into m^2 pairs: its pivot (the
-member that has the element first in its order) is compared with the others,
-and the components that this yields are merged.  Pairs of a list that are still
-in different components are then compared one by one, so nothing is lost.  Size
-and positional filters apply to every pair before it is made.  Every candidate
-is verified on the full sets.
+member that has the element first in its order) is compared with the others of
+other components, and the components that this yields are merged.  Pairs of a
+list that are still in different components are then compared one by one, so
+nothing is lost.  Size and positional filters apply to every pair before it is
+made.  Every candidate is verified on the full sets.
 """
 
 from __future__ import annotations
@@ -51,8 +57,10 @@ from .inputs import pick
 SMALL_MAX = 29
 #: postings that one posting of a list is worth against one subset row
 SCAN_COST = 4.0
-#: an element on more lists' heads than this is heavy
+#: an element in the heads of more components than this is heavy
 HEAVY = 32
+#: least elements of a text that bring it to its near copies
+SEEDS = 3
 
 _SHINGLED = "doc_id long, text_key long, n_shingles long, s1 long, s2 long, head array<long>"
 
@@ -68,8 +76,10 @@ def _head_size(n: int, num: int, den: int) -> int:
 
 
 def _sets(column: pa.Array, width: int):
-    """(row, sorted distinct n-gram hashes, hash of the word sequence) of every text."""
+    """For every slice of the texts, a list of (row, sorted distinct n-gram hashes,
+    hash of the word sequence)."""
     for a, b, data, offsets in tb.slices(column):
+        out = []
         words, rows = tb.word_hashes(data, offsets, tb.NOT_SPACE)
         grams, at = tb.ngram_hashes(words, rows, width)
         grams = (grams >> np.uint64(1)).astype(np.int64)
@@ -83,42 +93,42 @@ def _sets(column: pa.Array, width: int):
                 found = np.array([xxhash.xxh3_64_intdigest(own.tobytes(), seed=len(own)) >> 1], np.int64)
             else:
                 found = np.zeros(0, np.int64)
-            yield a + k, found, xxhash.xxh3_128_intdigest(own.tobytes()) if len(own) else None
+            out.append((a + k, found, xxhash.xxh3_128_intdigest(own.tobytes()) if len(own) else None))
+        yield out
 
 
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >= 1 << 63 else x
 
 
+def _sequence(seq: int | None) -> tuple:
+    return (None, None) if seq is None else (_signed(seq >> 64), _signed(seq & ((1 << 64) - 1)))
+
+
 def shingle_heads(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
     def run(batches):
         for batch in batches:
-            ids, keys, out = batch.column(0).to_pylist(), batch.column(2).to_pylist(), {k: [] for k in ("id", "key", "n", "s1", "s2", "head")}
-            for row, found, seq in _sets(batch.column(1), width):
-                out["id"].append(ids[row])
-                out["key"].append(keys[row])
-                out["n"].append(len(found))
-                out["s1"].append(None if seq is None else _signed(seq >> 64))
-                out["s2"].append(None if seq is None else _signed(seq & ((1 << 64) - 1)))
-                out["head"].append(found[:_head_size(len(found), num, den)])
-            yield pa.record_batch([pa.array(out["id"], pa.int64()), pa.array(out["key"], pa.int64()), pa.array(out["n"], pa.int64()),
-                                   pa.array(out["s1"], pa.int64()), pa.array(out["s2"], pa.int64()),
-                                   pa.array(out["head"], pa.list_(pa.int64()))],
-                                  names=["doc_id", "text_key", "n_shingles", "s1", "s2", "head"])
+            ids, keys = batch.column(0), batch.column(2)
+            for part in _sets(batch.column(1), width):
+                at = pa.array([row for row, _, _ in part], pa.int64())
+                s1, s2 = zip(*[_sequence(seq) for _, _, seq in part])
+                heads = [found[:_head_size(len(found), num, den)] for _, found, _ in part]
+                yield pa.record_batch([ids.take(at), keys.take(at),
+                                       pa.array([len(found) for _, found, _ in part], pa.int64()), pa.array(s1, pa.int64()),
+                                       pa.array(s2, pa.int64()), pa.array(heads, pa.list_(pa.int64()))],
+                                      names=["doc_id", "text_key", "n_shingles", "s1", "s2", "head"])
     return docs.select("doc_id", "text", F.xxhash64("text").alias("text_key")).mapInArrow(run, _SHINGLED)
 
 
 def full_sets(docs: DataFrame, width: int) -> DataFrame:
     def run(batches):
         for batch in batches:
-            ids, out = batch.column(0).to_pylist(), [[], [], [], []]
-            for row, found, seq in _sets(batch.column(1), width):
-                out[0].append(ids[row])
-                out[1].append(None if seq is None else _signed(seq >> 64))
-                out[2].append(None if seq is None else _signed(seq & ((1 << 64) - 1)))
-                out[3].append(found)
-            yield pa.record_batch([*[pa.array(x, pa.int64()) for x in out[:3]], pa.array(out[3], pa.list_(pa.int64()))],
-                                  names=["rep", "s1", "s2", "elements"])
+            for part in _sets(batch.column(1), width):
+                s1, s2 = zip(*[_sequence(seq) for _, _, seq in part])
+                yield pa.record_batch([batch.column(0).take(pa.array([row for row, _, _ in part], pa.int64())),
+                                       pa.array(s1, pa.int64()), pa.array(s2, pa.int64()),
+                                       pa.array([found for _, found, _ in part], pa.list_(pa.int64()))],
+                                      names=["rep", "s1", "s2", "elements"])
     return docs.select("doc_id", "text").mapInArrow(run, "rep long, s1 long, s2 long, elements array<long>")
 
 
@@ -141,12 +151,11 @@ def boundary(histogram: dict[int, int], num: int, den: int) -> int:
 
 
 def subset_buckets(reps: DataFrame, x: int, num: int, den: int) -> DataFrame:
-    """``bucket, rep, n, pos`` of the fixed-size subsets of the small sets."""
+    """``bucket, rep, n, pos, component`` of the fixed-size subsets of the small sets."""
     def run(batches):
         for batch in batches:
-            b, r, s = [], [], []
-            for rep, n, head in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(),
-                                    batch.column(2).to_pylist()):
+            b, r, s, of = [], [], [], []
+            for rep, n, head, component in zip(*(batch.column(i).to_pylist() for i in range(4))):
                 own = tb.mix(np.array(head, np.int64).view(np.uint64))
                 total = own.sum(dtype=np.uint64)
                 for c in _subset_sizes(n, x, num, den):
@@ -155,19 +164,42 @@ def subset_buckets(reps: DataFrame, x: int, num: int, den: int) -> DataFrame:
                     b.append(tb.mix((total - gone) * np.uint64(2 * c + 1)).view(np.int64) | np.int64(-1 << 63))
                     r += [rep] * len(left_out)
                     s += [n] * len(left_out)
+                    of += [component] * len(left_out)
             b = np.concatenate(b) if b else np.zeros(0, np.int64)
             yield pa.record_batch([pa.array(b), pa.array(r, pa.int64()), pa.array(s, pa.int64()),
-                                   pa.array(np.zeros(len(b), np.int64))], names=["bucket", "rep", "n", "pos"])
-    return (reps.filter(F.col("n").between(1, x)).select("rep", "n", "head")
-            .mapInArrow(run, "bucket long, rep long, n long, pos long"))
+                                   pa.array(np.zeros(len(b), np.int64)), pa.array(of, pa.int64())],
+                                  names=["bucket", "rep", "n", "pos", "component"])
+    return (reps.filter(F.col("n").between(1, x)).select("rep", "n", "head", "component")
+            .mapInArrow(run, "bucket long, rep long, n long, pos long, component long"))
 
 
 def _shared_buckets(rows: DataFrame) -> DataFrame:
-    """The rows whose bucket has several members."""
-    several = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("bucket")
+    """The rows whose bucket has several components."""
+    several = (rows.groupBy("bucket").agg(F.min("component").alias("c1"), F.max("component").alias("c2"))
+               .filter("c1 != c2").select("bucket"))
     return rows.join(several, "bucket")
 
 
+def _pairs(a: str, b: str) -> list:
+    return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
+
+
+def _near_copies(reps: DataFrame, docs: DataFrame, width: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """(links, full sets of the texts compared) of texts with a least element in
+    common: every text of a seed's list against one of them."""
+    seeds = reps.select("rep", "n", F.explode(F.slice("head", 1, SEEDS)).alias("bucket"))
+    pivots = seeds.groupBy("bucket").agg(F.min(F.struct("n", "rep")).alias("pivot"), F.count(F.lit(1)).alias("k"))
+    least, most = F.col("pivot.n"), F.col("n")              # the pivot is the smallest
+    star = (seeds.join(pivots.filter("k > 1"), "bucket")
+            .filter((F.col("rep") != F.col("pivot.rep")) & (least * den >= most * num))
+            .select(*_pairs("rep", "pivot.rep")).distinct())
+    likely = cut_lineage(_plausible(star, reps, num, den), "likely")
+    sets = cut_lineage(_fetch(docs, _ends(likely).distinct(), width), "sets")
+    links = cut_lineage(_verified(likely, sets, num, den), "links")
+    drop_cut(likely)
+    return links, sets
+
+
 def _may_link(n1, p1, n2, p2, num: int, den: int):
     """Size and positional filter of two members of a bucket."""
     least = F.when(n1 < n2, n1).otherwise(n2)
@@ -212,42 +244,51 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     drop_cut(with_heads)
     histogram = {r[0]: r[1] for r in reps.filter(F.col("n") <= SMALL_MAX).groupBy("n").count().collect()}
     x = boundary(histogram, num, den)
-    subsets = subset_buckets(reps, x, num, den)
+
+    # components of near copies; from here on they count, not texts
+    links, copies = _near_copies(reps, docs, width, num, den)
+    comp = components(links).select(F.col("node").alias("rep"), "component")
+    by_text, reps = reps, cut_lineage(reps.join(comp, "rep", "left").withColumn(
+        "component", F.coalesce("component", "rep")), "heads")
+    drop_cut(by_text)
 
     # heavy elements: those that many heads post, and those that many of the texts
     # share whose heads consist of such elements (their full sets are needed anyway)
     posting = reps.filter(F.col("n") >= _least_share(x + 1, num, den))
     p = (F.col("n") - F.ceil(F.col("n") * num / den) + 1).cast("int")
-    heads = posting.select("s1", "s2", F.explode("head").alias("h"))
-    often = lambda rows: rows.groupBy("h").agg(F.count(F.lit(1)).alias("k")).filter(F.col("k") > HEAVY).select("h")
-    heavy = cut_lineage(often(heads), "heavy")
-    short = _short(posting, heads, heavy, p)
-    sets = cut_lineage(_fetch(docs, short, width), "sets")
-    also = often(sets.select(F.explode("elements").alias("h")))
-    narrower, heavy = heavy, cut_lineage(heavy.union(also).distinct(), "heavy")
+    heads = posting.select("s1", "s2", "component", F.explode("head").alias("h"))
+    heavy = cut_lineage(_often(heads), "heavy")
     short = cut_lineage(_short(posting, heads, heavy, p), "short")
-    before, sets = sets, sets.union(cut_lineage(_fetch(docs, short.join(sets.select("rep"), "rep", "left_anti"), width), "sets"))
-    drop_cut(narrower)
+    have = copies.select("rep")
+    sets = copies.union(cut_lineage(_fetch(docs, short.join(have, "rep", "left_anti"), width), "sets"))
+    of_short = sets.join(short.select("rep", "s1", "s2", "component"), ["rep", "s1", "s2"])
+    also = _often(of_short.select("component", F.explode("elements").alias("h")))
+    narrower, heavy = heavy, cut_lineage(heavy.union(also).distinct(), "heavy")
+    some, short = short, cut_lineage(_short(posting, heads, heavy, p), "short")
+    more = short.join(some.select("rep"), "rep", "left_anti").join(have, "rep", "left_anti")
+    sets = sets.union(cut_lineage(_fetch(docs, more, width), "sets"))
+    drop_cut(narrower, some)
 
     # the global order: light elements by hash, then heavy ones by hash
     none = F.array().cast("array<long>")
     heavy_of = heads.join(_small(heavy), "h").groupBy("s1", "s2").agg(F.collect_set("h").alias("heavy"))
     whole = posting.join(_small(short.select("s1", "s2")), ["s1", "s2"], "left_anti").join(heavy_of, ["s1", "s2"], "left")
-    ordered = whole.select("rep", "n", F.slice(F.concat(
+    ordered = whole.select("rep", "n", "component", F.slice(F.concat(
         F.array_except("head", F.coalesce("heavy", none)), F.array_sort(F.coalesce("heavy", none))), F.lit(1), p).alias("first"))
-    flagged = (short.join(sets, ["rep", "s1", "s2"]).select("rep", "s1", "s2", "n", F.explode("elements").alias("h"))
+    flagged = (short.join(sets, ["rep", "s1", "s2"]).select("rep", "s1", "s2", "n", "component", F.explode("elements").alias("h"))
                .join(_small(heavy.withColumn("is_heavy", F.lit(1))), "h", "left"))
-    longer = flagged.groupBy("rep", "s1", "s2", "n").agg(F.array_sort(F.collect_set(
+    longer = flagged.groupBy("rep", "s1", "s2", "n", "component").agg(F.array_sort(F.collect_set(
         F.struct(F.coalesce("is_heavy", F.lit(0)).alias("w"), "h"))).alias("all"))
-    longer = longer.select("rep", "n", F.slice(F.transform("all", lambda e: e.h), F.lit(1), p).alias("first"))
+    longer = longer.select("rep", "n", "component", F.slice(F.transform("all", lambda e: e.h), F.lit(1), p).alias("first"))
     first = ordered.union(longer)
-    lists = first.select("rep", "n", F.posexplode("first").alias("pos", "bucket")).select(
-        "bucket", "rep", "n", F.col("pos").cast("long").alias("pos"))
+    lists = first.select("rep", "n", "component", F.posexplode("first").alias("pos", "bucket")).select(
+        "bucket", "rep", "n", F.col("pos").cast("long").alias("pos"), "component")
+    subsets = subset_buckets(reps, x, num, den)
     members = cut_lineage(_shared_buckets(lists.unionByName(subsets)), "members")
     drop_cut(heavy, short)
 
-    comp = _merge(members, docs, reps, sets, width, num, den)
-    drop_cut(reps, before)
+    comp = _merge(members, docs, reps, sets, links, width, num, den)
+    drop_cut(reps, copies)
     node = classes.drop("row").join(comp, F.col("rep") == F.col("node"), "left").select(
         "s1", "s2", F.coalesce("component", "rep").alias("class_component"))
     return rows.join(node, ["s1", "s2"], "left").select(
@@ -258,12 +299,22 @@ def _short(posting: DataFrame, heads: DataFrame, heavy: DataFrame, p) -> DataFra
     """``rep, s1, s2, n`` of the texts whose head has fewer light elements than they
     must post and is not their whole set."""
     marked = heads.join(_small(heavy), "h").groupBy("s1", "s2").agg(F.count(F.lit(1)).alias("marked"))
-    sized = posting.select("rep", "s1", "s2", "n", F.size("head").alias("posted"), p.alias("p"))
-    return sized.join(marked, ["s1", "s2"]).filter("posted - marked < p and posted < n").select("rep", "s1", "s2", "n")
+    sized = posting.select("rep", "s1", "s2", "n", "component", F.size("head").alias("posted"), p.alias("p"))
+    return (sized.join(marked, ["s1", "s2"]).filter("posted - marked < p and posted < n")
+            .select("rep", "s1", "s2", "n", "component"))
+
+
+def _often(rows: DataFrame) -> DataFrame:
+    """The elements ``h`` that more than ``HEAVY`` components have.  Texts are counted
+    first; only elements of many texts are then counted by component."""
+    texts = rows.groupBy("h").agg(F.count(F.lit(1)).alias("k")).filter(F.col("k") > HEAVY).select("h")
+    several = rows.join(texts, "h").select("h", "component").distinct()
+    return several.groupBy("h").agg(F.count(F.lit(1)).alias("k")).filter(F.col("k") > HEAVY).select("h")
 
 
-#: rows of a table that is broadcast; larger ones take a shuffle join
-_BROADCAST_ROWS = 1_000_000
+#: rows of a table that is broadcast (a few longs each, so at most 20 MB); larger ones take a
+#: shuffle join
+_BROADCAST_ROWS = 200_000
 
 
 def _small(table: DataFrame) -> DataFrame:
@@ -298,9 +349,11 @@ def _ends(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.explode(F.array("a", "b")).alias("rep"))
 
 
-def _merge(members: DataFrame, docs: DataFrame, heads: DataFrame, sets: DataFrame, width: int, num: int, den: int) -> DataFrame:
-    """``node, component`` over the links among bucket members.  ``sets`` holds
-    full sets that are there already; those of other candidates are fetched."""
+def _merge(members: DataFrame, docs: DataFrame, heads: DataFrame, sets: DataFrame, links: DataFrame,
+           width: int, num: int, den: int) -> DataFrame:
+    """``node, component`` over the links found so far and those among bucket members.
+    ``sets`` holds full sets that are there already; those of other candidates are
+    fetched."""
     def fetched(pairs, sets):
         missing = cut_lineage(_ends(pairs).distinct().join(sets.select("rep"), "rep", "left_anti"), "ids")
         found = cut_lineage(_fetch(docs, missing, width), "sets")
@@ -308,25 +361,22 @@ def _merge(members: DataFrame, docs: DataFrame, heads: DataFrame, sets: DataFram
         return found
 
     # the pivot of a bucket: the member that has its element earliest
-    early = F.struct((F.col("pos") / F.col("n")).alias("r"), F.col("rep").alias("rep"),
-                     F.col("n").alias("n"), F.col("pos").alias("pos"))
+    early = F.struct((F.col("pos") / F.col("n")).alias("r"), *[F.col(c).alias(c) for c in ("rep", "n", "pos", "component")])
     pivots = members.groupBy("bucket").agg(F.min(early).alias("pivot"))
     starred = members.join(pivots, "bucket").filter(
-        (F.col("rep") != F.col("pivot.rep"))
+        (F.col("component") != F.col("pivot.component"))
         & _may_link(F.col("n"), F.col("pos"), F.col("pivot.n"), F.col("pivot.pos"), num, den))
-    star = cut_lineage(starred.select(F.least("rep", "pivot.rep").alias("a"),
-                                      F.greatest("rep", "pivot.rep").alias("b")).distinct(), "star")
+    star = cut_lineage(starred.select(*_pairs("rep", "pivot.rep")).distinct(), "star")
     likely = cut_lineage(_plausible(star, heads, num, den), "likely")
     more_sets = fetched(likely, sets)
     all_sets = sets.union(more_sets)
-    links = cut_lineage(_verified(likely, all_sets, num, den), "links")
+    links = cut_lineage(links.union(_verified(likely, all_sets, num, den)), "links")
     drop_cut(likely)
     comp = components(links)
     # buckets that still span several components: their remaining pairs, one by one
-    known = members.join(comp.withColumnRenamed("node", "rep"), "rep", "left").withColumn(
+    known = members.drop("component").join(comp.withColumnRenamed("node", "rep"), "rep", "left").withColumn(
         "component", F.coalesce("component", "rep"))
-    open_ = known.groupBy("bucket").agg(F.min("component").alias("c1"), F.max("component").alias("c2")).filter("c1 != c2")
-    known = cut_lineage(known.join(open_.select("bucket"), "bucket"), "open")
+    known = cut_lineage(_shared_buckets(known), "open")
     u, v = known.alias("u"), known.alias("v")
     rest = u.join(v, (F.col("u.bucket") == F.col("v.bucket")) & (F.col("u.rep") < F.col("v.rep"))
                   & (F.col("u.component") != F.col("v.component"))
@@ -337,11 +387,11 @@ def _merge(members: DataFrame, docs: DataFrame, heads: DataFrame, sets: DataFram
     compared, rest = rest, cut_lineage(_plausible(rest, heads, num, den), "likely")
     drop_cut(compared)
     if rest.isEmpty():
-        drop_cut(members, sets, more_sets, rest, links)
+        drop_cut(members, more_sets, rest, links)
         return comp
     last_sets = fetched(rest, all_sets)
     more = cut_lineage(_verified(rest, all_sets.union(last_sets), num, den), "links")
     if not more.isEmpty():
         comp = components(links.union(more))
-    drop_cut(members, sets, more_sets, last_sets, rest, links, more)
+    drop_cut(members, more_sets, last_sets, rest, links, more)
     return comp
