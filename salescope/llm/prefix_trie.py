@@ -21,8 +21,8 @@ all deeper nodes of its path too (the smallest of a set is the smallest of its
 subsets), so one depth per sequence, where it starts to own nodes, is enough.
 
 A frequent first turn or a conversation that a third of all others repeat is
-one key of partial aggregations only; joins back to children are plain
-equi-joins, which adaptive execution splits.  A single conversation is numbered
+one key of partial aggregations only; children ask for their parent in salted
+groups.  A single conversation is numbered
 by a window, which streams and spills.
 """
 
@@ -40,6 +40,8 @@ from .inputs import pick
 
 #: ids of one piece of an end list lie in one range of this many integers
 _ENDS = 1000
+#: groups in which the children of a node ask for their parent
+_SALTS = 64
 
 
 def numbered_turns(conversations: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn",
@@ -195,11 +197,14 @@ def trie_nodes(turns: DataFrame, convs: DataFrame) -> DataFrame:
         F.sum(F.when(F.col("depth") >= F.col("top"), F.col("rest")).otherwise(F.col("owned"))).alias("stored"))
     children = nodes.filter("depth > 0").groupBy((F.col("depth") - 1).alias("depth"), F.col("q1").alias("p1"),
                                                  F.col("q2").alias("p2")).agg(F.count(F.lit(1)).alias("n_children"))
-    # below its top a sequence is its own parent; only tops look for theirs
+    # below its top a sequence is its own parent; only tops look for theirs.  A node
+    # may have any number of children: they ask in _SALTS groups per parent
     above = nodes.select((F.col("depth") + 1).alias("depth"), F.col("p1").alias("q1"), F.col("p2").alias("q2"),
                          F.col("rep").alias("parent"))
-    parents = (nodes.join(tops, "rep").filter("depth = top and depth > 0").select(*node, "q1", "q2")
-               .join(above, ["depth", "q1", "q2"]).select(*node, "parent"))
+    asking = (nodes.join(tops, "rep").filter("depth = top and depth > 0")
+              .select(*node, "q1", "q2", F.pmod("p1", F.lit(_SALTS)).alias("salt")))
+    answers = asking.select("depth", "q1", "q2", "salt").distinct().join(above, ["depth", "q1", "q2"])
+    parents = asking.join(answers, ["depth", "q1", "q2", "salt"]).select(*node, "parent")
     ends = end_digests(members).select(F.col("len").alias("depth"), F.col("x1").alias("p1"),
                                        F.col("x2").alias("p2"), "ends_sha256")
     zero = F.lit(0)
