@@ -56,5 +56,5 @@ def register(name: str, sql: str | None = None):
 def load_all():
     """Import the modules that register queries."""
     from . import (queries_core, queries_compare, queries_leads, queries_clients,  # noqa: F401
-                   queries_quality, queries_ingest, queries_display, queries_more)
+                   queries_quality, queries_ingest, queries_display, queries_more, queries_store)
     return QUERIES, ORACLE

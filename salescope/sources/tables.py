@@ -245,7 +245,29 @@ def raw_mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(eid % 9 == 0, F.lit("99/99/9999")).otherwise(F.date_format("ts", "yyyy-MM-dd")).alias("created_at"))
 
 
+def quoted_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Physical lines of three delimited exports of the events with line breaks,
+    delimiters and doubled quotes in quoted cells, quotes in unquoted ones and
+    blank lines; splits end inside records.  ``_file, _block, _pos, value``."""
+    e = read_table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "props")
+    eid = F.col("event_id")
+    file = F.concat(F.lit("export-"), (eid % 3).cast("string"), F.lit(".csv"))
+    client = F.concat(F.lit('"User ""'), _s("user_id"), F.lit('"";'), F.col("event_type"), F.lit('"'))
+    note = (F.when(eid % 4 == 0, F.col("event_type"))
+            .when(eid % 4 == 1, F.lit('"first\nsecond;\n\n""fourth"" line"'))
+            .when(eid % 4 == 2, F.lit('""'))
+            .otherwise(F.concat(F.lit('"props:\n'), F.replace("props", F.lit('"'), F.lit('""')), F.lit('"'))))
+    size = F.when(eid % 6 == 0, F.lit('5" pipe')).otherwise(_s("user_id"))
+    record = F.concat_ws(";", _s(eid), client, note, size, F.when(eid % 10 == 0, F.lit("\n")))
+    lines = e.select(file.alias("_file"), "event_id", F.posexplode(F.split(record, "\n")).alias("at", "value"))
+    first = e.select(file.alias("_file")).distinct().select("_file", F.lit(-1).cast("long").alias("_pos"),
+                                                            F.lit("id;client;note;size").alias("value"))
+    rows = lines.select("_file", (F.col("event_id") * 16 + F.col("at")).alias("_pos"), "value").union(first)
+    return rows.select("_file", F.floor((F.col("_pos") + 15) / 512).alias("_block"), "_pos", "value")
+
+
 TABLES = {
+    "quoted_lines": quoted_lines,
     "raw_mixed": raw_mixed,
     "raw_spend": raw_spend,
     "sales": sales,
