@@ -3,9 +3,21 @@ quoted line breaks, the daily store and staged imports, with their oracles."""
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.sql import functions as F
+
+from ..operators import daily as DY
+from ..operators import evolution as EV
+from ..session import checkpoint_dir
 from ..sources import quoted as QD
 from ..sources import tables as TB
-from .registry import register
+from . import periods as P
+from . import snapshot as SN
+from .oracle_views import with_views as W
+from .queries_compare import A2, B2, SALES_AS_OF, _points_sql
+from .queries_core import _KEY_SQL, _LABEL_SQL
+from .registry import ORACLE, register
 
 
 # Files with quoted line breaks, split inside records
@@ -20,3 +32,62 @@ from events""")
 def q_quoted_records(spark, d):
     records, _ = QD.assemble_records(TB.quoted_lines(spark, d), ";")
     return QD.parse_records(records, ["id", "client", "note", "size"], ";").withColumnRenamed("_file", "file")
+
+
+# Daily series with exact client bitmaps, stored once and rolled up
+def _clients_sql(g: str) -> str:
+    return W(f"""
+select {_KEY_SQL[g]} as key, min({_LABEL_SQL[g]}) as label, cast(sum(price) as double) as total, count(*) as transactions,
+       count(distinct coalesce(client_id, client_name)) as unique_clients
+from sales group by 1""", "sales")
+
+
+@register("daily_clients_week", _clients_sql("week"))
+def q_daily_clients_week(spark, d):
+    return DY.daily_evolution(DY.build_daily(TB.sales(spark, d)), "week")
+
+
+@register("daily_clients_quarter_appended", _clients_sql("quarter"))
+def q_daily_clients_quarter_appended(spark, d):
+    """The store of the sales before 1996, the rest appended."""
+    sales, early = TB.sales(spark, d), F.col("date") < F.lit("1996-01-01").cast("date")
+    path = f"{checkpoint_dir(spark).rstrip('/')}/salescope-daily-{uuid.uuid4().hex}"
+    DY.build_daily(sales.filter(early), path)
+    store = DY.append_daily(DY.read_daily(spark, path), sales.filter(~early), path)
+    return DY.daily_evolution(store, "quarter")
+
+
+@register("daily_clients_by_period", ORACLE["sales_by_period"])
+def q_daily_clients_by_period(spark, d):
+    return DY.daily_period_metrics(DY.build_daily(TB.sales(spark, d)), P.named_periods(spark, SALES_AS_OF), "period")
+
+
+@register("daily_unique_clients", W("""
+select count(distinct coalesce(client_id, client_name)) as unique_clients from sales
+where date between date '1996-01-01' and date '1996-12-31'""", "sales"))
+def q_daily_unique_clients(spark, d):
+    return DY.daily_unique_clients(DY.build_daily(TB.sales(spark, d)), A2)
+
+
+@register("daily_regroup_quarter", _points_sql(A2, B2, "quarter"))
+def q_daily_regroup_quarter(spark, d):
+    store = DY.build_daily(TB.sales(spark, d))
+    return EV.regroup_comparison(DY.stored_daily_ab(store, A2, B2), "day", "quarter", A2, B2)
+
+
+@register("daily_product_summary", W("""
+select product_type, count(*) as quantity, cast(sum(price) as double) as total_sales,
+       cast(sum(price) as double) / count(*) as avg_price, cast(min(price) as double) as min_price,
+       cast(max(price) as double) as max_price
+from sales where date between date '1996-01-01' and date '1996-12-31' group by 1""", "sales"))
+def q_daily_product_summary(spark, d):
+    return DY.daily_summary(DY.build_daily(TB.sales(spark, d)), A2)
+
+
+# The daily series of one period, from the period's own pre-aggregate
+@register("period_daily_series", W("""
+select strftime(date, '%Y-%m-%d') as key, cast(sum(price) as double) as total, count(*) as transactions
+from sales where date between date '1996-01-01' and date '1996-12-31' group by 1""", "sales"))
+def q_period_daily_series(spark, d):
+    return SN.period_data(TB.sales(spark, d), A2, "month").daily.select(
+        F.date_format("date", "yyyy-MM-dd").alias("key"), F.col("amt").cast("double").alias("total"), F.col("n").alias("transactions"))

@@ -28,6 +28,7 @@ class PeriodData:
     evolution: DataFrame
     products: DataFrame
     top_clients: DataFrame
+    daily: DataFrame
 
 
 def period_base(sales: DataFrame, f: Filters | None) -> DataFrame:
@@ -91,18 +92,22 @@ def _top_from_base(b: DataFrame, n: int = 5) -> DataFrame:
     return top.withColumn("rank", F.row_number().over(Window.orderBy(*order)).cast("long")).drop("last_date")
 
 
+def _daily_from_base(b: DataFrame) -> DataFrame:
+    return b.groupBy("date").agg(F.sum("n").alias("n"), F.sum("amt").alias("amt"))
+
+
 def period_data(sales: DataFrame, f: Filters, grouping: str = "day", materialize: bool = False) -> PeriodData:
-    """The five aggregates of one period, all rolled up from one
+    """The five aggregates of one period and its daily series, all rolled up from one
     pre-aggregate of the period's sales (``period_base``).  With
     ``materialize`` the pre-aggregate is written once under the shared
-    checkpoint folder (``session.cut_lineage``) and read by all five."""
+    checkpoint folder (``session.cut_lineage``) and read by all of them."""
     g = normalize_grouping(grouping)
     b = period_base(sales, f)
     if materialize:
         from ..session import cut_lineage
         b = cut_lineage(b, "period-base")
     return PeriodData(f, g, _summary_from_base(b), _metrics_from_base(b), _evolution_from_base(b, g),
-                      _products_from_base(b), _top_from_base(b))
+                      _products_from_base(b), _top_from_base(b), _daily_from_base(b))
 
 
 def _nest(df: DataFrame, name: str, order: list[str]) -> DataFrame:
