@@ -74,23 +74,30 @@ def parse_import_date(c, numeric: bool = False) -> Column:
         number = c.try_cast("double")
         days = F.when(~F.isnan(number), F.floor(number)).try_cast("int")
         return F.when(days.between(-693_593, 2_958_465), F.date_add(F.lit(EXCEL_EPOCH).cast("date"), days))
-    s = strip(c.cast("string"))
+    return parse_trimmed_date(strip(c.cast("string")))
+
+
+def parse_trimmed_date(s) -> Column:
+    """``parse_import_date`` of a text without white space at its ends."""
+    s = _col(s)
     return F.coalesce(*[_try_date(s, f) for f in IMPORT_DATE_FORMATS])
 
 
-def is_blank(c) -> Column:
+def is_blank(c, trimmed=None) -> Column:
     c = _col(c)
-    return c.isNull() | (strip(c.cast("string")) == "")
+    return c.isNull() | ((strip(c.cast("string")) if trimmed is None else _col(trimmed)) == "")
 
 
-def parse_date_or_default(c, default, numeric: bool = False, parsed=None) -> tuple[Column, Column]:
+def parse_date_or_default(c, default, numeric: bool = False, parsed=None, trimmed=None) -> tuple[Column, Column]:
     """(date, error) — blank -> ``default``; unparsable -> NULL date and an
     error message.  ``parsed`` may name a column that already holds
-    ``parse_import_date(c)`` so the layouts are tried once per row."""
+    ``parse_import_date(c)`` so the layouts are tried once per row, ``trimmed``
+    one with its trimmed text."""
     c = _col(c)
     parsed = parse_import_date(c, numeric) if parsed is None else _col(parsed)
-    value = F.when(is_blank(c), _lit_date(default)).otherwise(parsed)
-    err = F.when(~is_blank(c) & parsed.isNull(),
+    blank = is_blank(c, trimmed)
+    value = F.when(blank, _lit_date(default)).otherwise(parsed)
+    err = F.when(~blank & parsed.isNull(),
                  F.concat(F.lit(MSG_UNKNOWN_DATE), c.cast("string")))
     return value, err
 

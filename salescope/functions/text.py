@@ -87,10 +87,11 @@ def _msg(template: str, field: str, value: Column | None = None) -> Column:
     return F.concat(F.lit(head), value, F.lit(tail))
 
 
-def required_string(c, field: str) -> tuple[Column, Column]:
-    """(trimmed value, error)."""
+def required_string(c, field: str, trimmed=None) -> tuple[Column, Column]:
+    """(trimmed value, error).  ``trimmed`` may name a column that already
+    holds the trimmed text, so that it is trimmed once per row (S5, S6 too)."""
     c = _col(c)
-    t = strip(c)
+    t = strip(c) if trimmed is None else _col(trimmed)
     err = (F.when(c.isNull(), _msg(MSG_REQUIRED_NONE, field))
              .when(t == "", _msg(MSG_REQUIRED_EMPTY, field)))
     return t, err
@@ -100,11 +101,11 @@ def required_string(c, field: str) -> tuple[Column, Column]:
 NUMBER_PATTERN = r"^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?$"
 
 
-def positive_number(c, field: str) -> tuple[Column, Column]:
+def positive_number(c, field: str, trimmed=None) -> tuple[Column, Column]:
     """(double value, error).  Text must parse as a finite number > 0.
     NaN / infinity / '1_000' are rejected (tightening documented in README)."""
     c = _col(c)
-    t = strip(c.cast("string"))
+    t = strip(c.cast("string")) if trimmed is None else _col(trimmed)
     v = t.try_cast("double")
     # plain decimal / exponent syntax only (Spark's cast would also take "1d")
     bad = ~t.rlike(NUMBER_PATTERN) | v.isNull() | F.isnan(v) | (F.abs(v) == float("inf"))
@@ -115,9 +116,9 @@ def positive_number(c, field: str) -> tuple[Column, Column]:
     return v, err
 
 
-def optional_string(c) -> Column:
+def optional_string(c, trimmed=None) -> Column:
     """NULL / blank -> NULL, else trimmed text."""
-    t = strip(_col(c).cast("string"))
+    t = strip(_col(c).cast("string")) if trimmed is None else _col(trimmed)
     return F.when(t == "", F.lit(None).cast("string")).otherwise(t)
 
 

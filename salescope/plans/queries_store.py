@@ -9,14 +9,17 @@ from pyspark.sql import functions as F
 
 from ..operators import daily as DY
 from ..operators import evolution as EV
+from ..operators import ingest as I
 from ..session import checkpoint_dir
 from ..sources import quoted as QD
+from ..sources import sinks as SK
 from ..sources import tables as TB
 from . import periods as P
 from . import snapshot as SN
 from .oracle_views import with_views as W
 from .queries_compare import A2, B2, SALES_AS_OF, _points_sql
 from .queries_core import _KEY_SQL, _LABEL_SQL
+from .queries_ingest import _SALES_CHECKED, AS_OF, _date_err, _req
 from .registry import ORACLE, register
 
 
@@ -91,3 +94,72 @@ from sales where date between date '1996-01-01' and date '1996-12-31' group by 1
 def q_period_daily_series(spark, d):
     return SN.period_data(TB.sales(spark, d), A2, "month").daily.select(
         F.date_format("date", "yyyy-MM-dd").alias("key"), F.col("amt").cast("double").alias("total"), F.col("n").alias("transactions"))
+
+
+# I7, I8, I13, I14 as one unit: the raw rows in two imports, the second one run twice
+@register("import_unit_log", W(f""", {_SALES_CHECKED}
+select case when row_no % 3 = 0 then 'first' else 'second' end as import_id,
+       case when row_no % 3 = 0 then 'a.csv' else 'b.csv' end as file_name, count(*) as total_rows,
+       count(*) - count(error) as valid_rows, count(error) as rejected_rows
+from chk group by 1, 2""", "raw_sales"))
+def q_import_unit_log(spark, d):
+    return SK.committed(spark, _two_imports(spark, d), "log", SK.LOG_STORE).select(
+        "import_id", "file_name", "total_rows", "valid_rows", "rejected_rows")
+
+
+@register("import_unit_clients", W(f""", {_SALES_CHECKED},
+v as (select row_no, row_no % 3 <> 0 as second, trim(client_name) as client_name, trim(client_id) as client_id
+      from chk where error is null),
+f as (select client_id, second, arg_min(client_name, row_no) as name from v group by 1, 2)
+select case when second then 'second' else 'first' end as import_id, client_id as id, name from f
+where client_id not in (select id from clients)
+  and (not second or client_id not in (select client_id from f where not second))""", "raw_sales", "clients"))
+def q_import_unit_clients(spark, d):
+    """Each import's new clients: those of the first are known to the second."""
+    root = _two_imports(spark, d)
+    return SK.committed(spark, root, "clients", SK.CLIENTS_STORE).select("import_id", "id", "name")
+
+
+@register("import_unit_rejects", W(f""", {_SALES_CHECKED}
+select case when row_no % 3 = 0 then 'first' else 'second' end as import_id, row_no, error, client_id, price, date
+from chk where error is not null""", "raw_sales"))
+def q_import_unit_rejects(spark, d):
+    """The reject report of every import, with the rows as they came."""
+    schema = "row_no long, error string, client_name string, client_id string, product_type string, price string, date string"
+    return SK.committed(spark, _two_imports(spark, d), "rejects", schema).select(
+        "import_id", "row_no", "error", "client_id", "price", "date")
+
+
+def _two_imports(spark, d) -> str:
+    raw, known = TB.raw_sales(spark, d), TB.clients(spark, d)
+    root = f"{checkpoint_dir(spark).rstrip('/')}/salescope-imports-{uuid.uuid4().hex}"
+    first = F.col("row_no") % 3 == 0
+    SK.run_sales_import(raw.filter(first), root, "first", AS_OF, "a.csv", known)
+    for _ in range(2):
+        SK.run_sales_import(raw.filter(~first), root, "second", AS_OF, "b.csv", known)
+    return root
+
+
+_MIXED_CHECKED = (_SALES_CHECKED.replace("raw_sales", "raw_mixed") + f""",
+lchk as (select *, coalesce({_date_err('created_at')}, {_req('source', 'source')}) as error from raw_mixed)""")
+
+
+# Rows of a mixed file by the rule sets that they pass, and what is reported
+@register("ingest_mixed_classes", W(f""", {_MIXED_CHECKED}
+select case when s.error is null and l.error is null then 'both' when s.error is null then 'sales'
+            when l.error is null then 'leads' else 'neither' end as row_class, count(*) as rows,
+       count(s.error) as sales_errors, count(l.error) as leads_errors
+from chk s join lchk l using (row_no) group by 1""", "raw_mixed"))
+def q_ingest_mixed_classes(spark, d):
+    r = I.import_mixed(TB.raw_mixed(spark, d), TB.leads(spark, d), TB.clients(spark, d), AS_OF)
+    g = r["staged"].groupBy("row_class").agg(F.count(F.lit(1)).alias("rows"), F.count("sales_error").alias("sales_errors"),
+                                             F.count("leads_error").alias("leads_errors"))
+    return g
+
+
+@register("ingest_mixed_report", W(f""", {_MIXED_CHECKED}
+select 'sales' as kind, row_no, error from chk where error is not null
+union all select 'leads', row_no, error from lchk where error is not null""", "raw_mixed"))
+def q_ingest_mixed_report(spark, d):
+    """There are errors, so only errors are reported."""
+    return I.import_mixed(TB.raw_mixed(spark, d), TB.leads(spark, d), TB.clients(spark, d), AS_OF)["report"]

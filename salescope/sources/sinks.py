@@ -7,10 +7,13 @@ to the driver.  Written tables double as lineage cuts for later jobs.
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import clients as CL
+from ..operators import ingest as I
 from ..operators import leads as L
 from ..operators import marketing as M
 from ..session import cut_lineage, drop_cut
@@ -73,6 +76,75 @@ def append_import(result, sales_path: str, clients_path: str, rejects_path: str,
     drop_cut(sales, clients)
 
 
+def _import_part(root: str, table: str, import_id: str) -> str:
+    return f"{root.rstrip('/')}/{table}/import_id={import_id}"
+
+
+def committed(spark: SparkSession, root: str, table: str, schema: str, but: str | None = None) -> DataFrame:
+    """Rows of ``sales``, ``clients`` or ``rejects`` under ``root`` whose import is in
+    the log, with ``import_id``; imports that broke off are not seen.  ``but``
+    leaves one import out.  Only the folders of logged imports are read."""
+    log = _folders(spark, f"{root.rstrip('/')}/log")
+    ids = sorted(i for i in log if i != but and i in _folders(spark, f"{root.rstrip('/')}/{table}"))
+    if not ids:
+        return spark.createDataFrame([], f"{schema}, import_id string")
+    read = spark.read.schema(f"{schema}, import_id string").option("basePath", f"{root.rstrip('/')}/{table}")
+    return read.parquet(*[_import_part(root, table, i) for i in ids])
+
+
+def _folders(spark: SparkSession, path: str) -> list[str]:
+    """Ids of the finished partitions ``import_id=...`` in a folder."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(at):
+        return []
+    found = [f.getPath() for f in fs.listStatus(at) if f.isDirectory()]
+    done = [p for p in found if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
+    return [p.getName().partition("=")[2] for p in done]
+
+
+SALES_STORE = "id string, client_name string, client_id string, product_type string, price decimal(18,2), date date"
+CLIENTS_STORE = "id string, name string, cif string, address string, contact_person string, email string"
+LOG_STORE = ("imported_at timestamp, file_name string, total_rows long, valid_rows long, rejected_rows long, "
+             "duration_seconds double")
+
+
+def run_sales_import(raw: DataFrame, root: str, import_id: str, as_of, file_name: str = "import",
+                     known_clients: DataFrame | None = None) -> dict:
+    """I7, I8, I13 and I14 as one unit: import ``raw`` into the stores under ``root``.
+
+    The raw rows are read once: they are checked and written with their error, and
+    that write observes the counts.  Sales, new clients and rejects are derived from
+    the written rows, each into its own partition ``import_id=...``.  The log row
+    comes last and makes the import visible (``committed``).  An import that broke
+    off leaves nothing that is seen, and running it again replaces what it wrote,
+    so no row is stored twice; a row that another import stored (same file and row
+    number) is left out.  ``known_clients`` (id) are clients of other stores.
+
+    Returns the counts: total, valid, rejected.
+    """
+    spark, started = raw.sparkSession, time.time()
+    rows, seen = I.staged(I.check_sales(raw, as_of), "import-sales")
+    key = I.row_key(rows)
+    valid = rows.filter("sale is not null").select(*key, "sale.*")
+    rejected = rows.filter("sales_error is not null").select(*key, F.col("sales_error").alias("error"), "raw.*")
+    file = F.col("_file") if "_file" in key else F.lit(file_name)
+    sales = valid.select(F.concat_ws("#", file, F.col("row_no").cast("string")).alias("id"), "client_name", "client_id",
+                         "product_type", F.col("price").cast("decimal(18,2)").alias("price"), "date")
+    stored = committed(spark, root, "sales", SALES_STORE, but=import_id).select("id")
+    clients = committed(spark, root, "clients", CLIENTS_STORE, but=import_id).select("id")
+    if known_clients is not None:
+        clients = clients.union(known_clients.select("id"))
+    write_table(I.new_clients_from_sales(valid, clients), _import_part(root, "clients", import_id))
+    write_table(sales.join(stored, "id", "left_anti"), _import_part(root, "sales", import_id))
+    write_table(rejected, _import_part(root, "rejects", import_id))
+    counts = {"total": seen["total"], "valid": seen["total"] - seen["sales_error"], "rejected": seen["sales_error"]}
+    log = I.import_log_row(spark, file_name, counts["valid"], counts["rejected"], started)
+    write_table(log.coalesce(1), _import_part(root, "log", import_id))
+    drop_cut(rows)
+    return counts
+
+
 def write_snapshot(snapshot: DataFrame, path: str, fmt: str = "json") -> str:
     """I16: a snapshot row (nested) as JSON or Parquet; one small file."""
     snapshot.coalesce(1).write.mode("overwrite").format(fmt).save(path)
