@@ -18,20 +18,16 @@ its number, and one bit behind it.
 
 from __future__ import annotations
 
-import math
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.buckets import bucket_key, bucket_label, bucket_start, normalize_grouping
 from ..functions.metrics import safe_ratio
 from ..session import cut_lineage, drop_cut
 from .filters import Filters
-
-#: keys that one task numbers
-NUMBERED_ROWS = 500_000
-
+from .numbering import dense_numbers
 
 @dataclass
 class DailyStore:
@@ -44,24 +40,6 @@ class DailyStore:
     clients: DataFrame
 
 
-def dense_numbers(keys: DataFrame, column: str, after: int = 0, part_rows: int = NUMBERED_ROWS) -> DataFrame:
-    """``column, number``: numbers ``after`` + 1, ... without gaps for the distinct
-    non-null keys.  Keys are numbered inside parts of about ``part_rows``; a table
-    with one row per part has the offsets."""
-    distinct = cut_lineage(keys.select(column).filter(F.col(column).isNotNull()).distinct(), "numbered-keys")
-    parts = max(1, math.ceil(distinct.count() / part_rows))
-    dealt = distinct.withColumn("_part", F.pmod(F.xxhash64(column), F.lit(parts)))
-    counts = dealt.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
-    earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)        # one row per part
-    offsets = counts.select("_part", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_offset"))
-    inside = F.row_number().over(Window.partitionBy("_part").orderBy(column))
-    out = dealt.withColumn("_at", inside).join(offsets, "_part")
-    numbered = cut_lineage(out.select(column, (F.col("_at") + F.col("_offset") + F.lit(after)).cast("long").alias("number")),
-                           "numbers")
-    drop_cut(distinct)
-    return numbered
-
-
 def _reduced(sales: DataFrame) -> DataFrame:
     """The facts, read once: a row per client, product and day."""
     return cut_lineage(

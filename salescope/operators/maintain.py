@@ -16,6 +16,7 @@ from ..functions.dates import is_blank, normalize_iso
 from ..functions.strip import strip
 from ..functions.text import client_field_error, normalize_source, valid_lead_status, valid_meeting_date_text
 from ..session import cut_lineage, drop_cut
+from .numbering import ranked
 
 DASH = "-"
 CLIENT_COLS = ["id", "name", "cif", "address", "contact_person", "email"]
@@ -199,14 +200,9 @@ def upsert_spend(base: DataFrame, changes: DataFrame, as_of, order_col: str | No
     ok = chk.filter(F.col("error").isNull()).drop("error")
     named = _last_per_id(ok.filter("id is not null"), order_col).select(*cols)
     new = ok.filter("id is null")
-    # numbers within a source, shifted by the rows of the sources before it
-    offsets = new.groupBy("source").agg(F.count(F.lit(1)).alias("_n")).select(
-        "source", F.coalesce(F.sum("_n").over(Window.orderBy("source").rowsBetween(Window.unboundedPreceding, -1)),
-                             F.lit(0)).alias("_offset"))
     top = F.broadcast(base.select("id").unionByName(named.select("id")).agg(F.coalesce(F.max("id"), F.lit(0)).alias("_top")))
-    number = F.row_number().over(Window.partitionBy("source").orderBy("date", "amount", *([order_col] if order_col else [])))
-    new = (new.withColumn("_i", number).join(offsets, "source").crossJoin(top)
-           .select((F.col("_top") + F.col("_offset") + F.col("_i")).cast("long").alias("id"), "source", "amount", "date"))
+    new = (ranked(new, ["source", "date", "amount", *([order_col] if order_col else [])], "_i").crossJoin(top)      # one row
+           .select((F.col("_top") + F.col("_i")).cast("long").alias("id"), "source", "amount", "date"))
     table = base.join(named.select(F.col("id").alias("_id")),
                       base.id == F.col("_id"), "left_anti").select(*cols).unionByName(named).unionByName(new)
     return Upsert(table, named.unionByName(new), chk.filter(F.col("error").isNotNull()).select(*cols, "error"))

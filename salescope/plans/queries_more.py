@@ -154,33 +154,6 @@ def q_evolution_points_violations(spark, d):
     return SN.validate_points(evolution_points(TB.sales(spark, d), A2, B2, "quarter"), "quarter")
 
 
-# C6 over deliberately broken points: keys out of shape, ends before starts,
-# wrong differences, rows out of order and overlapping neighbours
-@register("snapshot_violations", """
-with pts as (select distinct c_custkey % 400 as k, c_custkey % 400 as pos from customer),
-p as (select pos, case when k % 13 = 0 then '2024/' || k else strftime(date '2000-01-01' + cast(k * 31 as int), '%Y-%m') end as key,
-             date '2000-01-01' + cast(k * 10 as int) as s,
-             date '2000-01-01' + cast(k * 10 + case when k % 7 = 0 then -1 when k % 11 = 0 then 15 else 10 end as int) as e,
-             case when k % 5 = 0 then 3.0 else 2.0 end as difference from pts),
-l as (select *, lag(key) over (order by pos) as pk, lag(e) over (order by pos) as pe from p)
-select key, 'bad_key_format' as violation from l where not regexp_matches(key, '^[0-9]{4}-[0-9]{2}$')
-union all select key, 'start_not_before_end' from l where not s < e
-union all select key, 'difference_mismatch' from l where difference <> 2.0
-union all select key, 'keys_not_increasing' from l where pk is not null and key <= pk
-union all select key, 'overlapping_intervals' from l where pe is not null and s < pe""")
-def q_snapshot_violations(spark, d):
-    k = F.col("k")
-    c = TB.read_table(spark, d, "customer").select((F.col("c_custkey") % 400).cast("int").alias("k")).distinct()
-    day = lambda n: F.date_add(F.lit("2000-01-01").cast("date"), n.cast("int"))
-    points = c.select(
-        k.alias("pos"), F.when(k % 13 == 0, F.concat(F.lit("2024/"), k.cast("string")))
-        .otherwise(F.date_format(day(k * 31), "yyyy-MM")).alias("key"),
-        day(k * 10).alias("start"), day(k * 10 + F.when(k % 7 == 0, -1).when(k % 11 == 0, 15).otherwise(10)).alias("end"),
-        F.lit(1.0).alias("value_a"), F.lit(3.0).alias("value_b"),
-        F.when(k % 5 == 0, 3.0).otherwise(2.0).alias("difference"))
-    return SN.validate_points(points, "month")
-
-
 # Metric changes and product rows of a whole compare snapshot
 @register("compare_snapshot_products", W(f"""
 , ab as (select product_type, sum(case when {_inab(A, B)[0]} then price end) as a, sum(case when {_inab(A, B)[1]} then price end) as b

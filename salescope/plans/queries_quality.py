@@ -343,8 +343,9 @@ def q_insert_leads_table(spark, d):
             .unionByName(r.rejected.select(F.col("error").alias("outcome"), *cols)))
 
 
-# M4: stored spend rows get ids from the day and source; changes replace some
-# twice, insert rows without id, and carry bad amounts and dates
+# M4: stored spend rows get ids from the day and source; every event is a change:
+# two of three replace a row (pairs of events the same one), the others are new;
+# some have no source, no amount or no date
 def _spend_store(spark, d):
     s = TB.marketing_spend(spark, d)
     number = F.datediff("date", F.lit("2024-01-01").cast("date")) * 10 + F.length("source")
@@ -354,22 +355,25 @@ def _spend_store(spark, d):
 def _spend_changes(spark, d):
     e = TB.read_table(spark, d, "events").select("event_id", "value", "ts")
     k = F.col("event_id")
-    return e.filter(k % 10 == 0).select(
-        F.when(k % 30 != 0, (k / 10 % 300).cast("long")).alias("id"),
-        F.when(k % 70 == 0, F.lit(" ")).otherwise(F.lit("Google Ads")).alias("source"),
-        F.when(k % 110 == 0, F.lit("-1")).otherwise(F.col("value").cast("decimal(18,2)").cast("string")).alias("amount"),
-        F.when(k % 130 == 0, F.lit("31/31/2024")).otherwise(F.date_format("ts", "dd/MM/yyyy")).alias("date"), k.alias("seq"))
+    return e.select(
+        F.when(k % 3 != 0, F.floor(k / 2)).alias("id"),
+        F.when(k % 7 == 0, F.lit(" ")).when(k % 4 == 0, F.lit("IG")).when(k % 4 == 1, F.lit(" LinkedIn ")).otherwise(F.lit("Google Ads"))
+        .alias("source"),
+        F.when(k % 11 == 0, F.lit("-1")).otherwise(F.col("value").cast("decimal(18,2)").cast("string")).alias("amount"),
+        F.when(k % 13 == 0, F.lit("31/31/2024")).otherwise(F.date_format("ts", "dd/MM/yyyy")).alias("date"), k.alias("seq"))
 
 
 _SPEND = """
 store as (select cast((date - date '2024-01-01') * 10 + length(source) as bigint) as id, source, amount, date from marketing_spend),
-ch as (select case when event_id % 30 <> 0 then (event_id // 10) % 300 end as id, event_id as seq,
-              event_id % 70 = 0 as no_source, cast(value as decimal(18,2)) as amount, event_id % 110 = 0 as no_amount,
-              event_id % 130 = 0 as no_date, cast(ts as date) as date from events where event_id % 10 = 0),
-ok as (select id, seq, 'google_ads' as source, amount, date from ch where not no_source and not no_amount and amount > 0 and not no_date),
+ch as (select case when event_id % 3 <> 0 then event_id // 2 end as id, event_id as seq,
+              case when event_id % 7 = 0 then null when event_id % 4 = 0 then 'meta_ads' when event_id % 4 = 1 then 'linkedin_ads'
+                   else 'google_ads' end as source,
+              cast(value as decimal(18,2)) as amount, event_id % 11 = 0 as no_amount,
+              event_id % 13 = 0 as no_date, cast(ts as date) as date from events),
+ok as (select id, seq, source, amount, date from ch where source is not null and not no_amount and amount > 0 and not no_date),
 named as (select id, source, amount, date from ok where id is not null qualify row_number() over (partition by id order by seq desc) = 1),
 top as (select coalesce(max(id), 0) as top from (select id from store union all select id from named)),
-fresh as (select top + row_number() over (order by date, amount, seq) as id, source, amount, date from ok, top where id is null),
+fresh as (select top + row_number() over (order by source, date, amount, seq) as id, source, amount, date from ok, top where id is null),
 result as (select id, source, amount, date from store where id not in (select id from named)
            union all select * from named union all select * from fresh)"""
 
@@ -382,9 +386,9 @@ def q_upsert_spend_table(spark, d):
 
 @register("delete_spend_table", W(f""", {_SPEND}
 select id, source, cast(amount as double) as amount, strftime(date, '%Y-%m-%d') as date from store
-where id not in (select id from ch where id is not null)""", "marketing_spend"))
+where id not in (select event_id * 4 from events)""", "marketing_spend"))
 def q_delete_spend_table(spark, d):
-    gone = _spend_changes(spark, d).filter("id is not null").select("id").distinct()
+    gone = TB.read_table(spark, d, "events").select((F.col("event_id") * 4).alias("id"))
     return MT.list_spend(MT.delete_spend(_spend_store(spark, d), gone))
 
 

@@ -17,7 +17,7 @@ from ..sources import tables as TB
 from . import periods as P
 from . import snapshot as SN
 from .oracle_views import with_views as W
-from .queries_compare import A2, B2, SALES_AS_OF, _points_sql
+from .queries_compare import _NEXT_SQL, _START_SQL, A2, B2, SALES_AS_OF, _inab, _points_sql
 from .queries_core import _KEY_SQL, _LABEL_SQL
 from .queries_ingest import _SALES_CHECKED, AS_OF, _date_err, _req
 from .registry import ORACLE, register
@@ -163,3 +163,72 @@ union all select 'leads', row_no, error from lchk where error is not null""", "r
 def q_ingest_mixed_report(spark, d):
     """There are errors, so only errors are reported."""
     return I.import_mixed(TB.raw_mixed(spark, d), TB.leads(spark, d), TB.clients(spark, d), AS_OF)["report"]
+
+
+# One snapshot per product and grouping, all valid ones and ones broken by rule
+def _next_sql(g: str) -> str:
+    return _NEXT_SQL[g].replace("s +", f"cast({_START_SQL[g]} as date) +", 1)
+
+
+_IN_A, _IN_B = _inab(A2, B2)
+_GROUPED = " union all ".join(f"""
+  select product_type, '{g}' as grouping, cast({_START_SQL[g]} as date) as s, {_KEY_SQL[g]} as key,
+         cast({_next_sql(g)} as timestamp) as n,
+         sum(case when {_IN_A} then price end) as a, sum(case when {_IN_B} then price end) as b
+  from sales where {_IN_A} or {_IN_B} group by all""" for g in ("day", "week", "month", "quarter", "year"))
+
+
+@register("snapshot_violations", W(f"""
+, b as ({_GROUPED}),
+r as (select *, length(product_type) as len, row_number() over (partition by product_type, grouping order by s) - 1 as pos from b),
+p as (select product_type, grouping, len, pos, cast(s as timestamp) as start,
+             case when (pos + len) % 13 = 0 then key || 'x' when (pos + len) % 17 = 0 and pos > 0 then lag(key) over w else key end as key,
+             case when (pos + len) % 7 = 0 then cast(s as timestamp) when (pos + len) % 11 = 0 then n + interval 40 day
+                  else n - interval 1 microsecond end as "end",
+             (pos + len) % 5 = 0 as wrong
+      from r window w as (partition by product_type, grouping order by s)),
+l as (select *, lag(key) over w as pk, lag("end") over w as pe from p window w as (partition by product_type, grouping order by pos)),
+snap as (select distinct product_type, grouping, length(product_type) as len from b),
+v as (select product_type, grouping, key, 'bad_key_format' as violation from l where (pos + len) % 13 = 0
+      union all select product_type, grouping, key, 'start_not_before_end' from l where not start < "end"
+      union all select product_type, grouping, key, 'difference_mismatch' from l where wrong
+      union all select product_type, grouping, key, 'keys_not_increasing' from l where pk is not null and key <= pk
+      union all select product_type, grouping, key, 'overlapping_intervals' from l where pe is not null and start < pe
+      union all select product_type, grouping, null, 'missing_period_b' from snap where len % 10 = 1
+      union all select product_type, grouping, null, 'grouping_mismatch' from snap where len % 10 = 2 and grouping <> 'year'
+      union all select product_type, grouping, null, x from snap, (values ('period_b_in_normal_mode'), ('comparison_in_normal_mode')) t(x)
+                where len % 10 = 3
+      union all select product_type, grouping, null, 'unknown_mode' from snap where len % 10 = 4)
+select * from v""", "sales"))
+def q_snapshot_violations(spark, d):
+    snaps = SN.product_snapshots(TB.sales(spark, d), A2, B2)
+    n = F.length("product_type")
+
+    def broken(p, i):
+        points, k = F.col("comparison.evolution.points"), i + n
+        key = (F.when(k % 13 == 0, F.concat(p.key, F.lit("x"))).when((k % 17 == 0) & (i > 0), F.get(points, i - 1).key)
+               .otherwise(p.key))
+        end = F.when(k % 7 == 0, p.start).when(k % 11 == 0, p.end + F.expr("INTERVAL 40 DAYS 1 MICROSECOND")).otherwise(p.end)
+        wrong = F.when(k % 5 == 0, p.difference + 1).otherwise(p.difference)
+        return F.struct(key.alias("key"), p.start.alias("start"), end.alias("end"), p.value_a.alias("value_a"),
+                        p.value_b.alias("value_b"), wrong.alias("difference"))
+
+    points = F.transform("comparison.evolution.points", broken)
+    period_b = (F.when(n % 10 == 1, F.lit(None)).when(n % 10 == 2, F.col("period_b").withField("grouping", F.lit("year")))
+                .otherwise(F.col("period_b")))
+    snaps = snaps.select("product_type", "grouping", F.when(n % 10 == 3, "normal").when(n % 10 == 4, "old").otherwise(F.col("mode")).alias("mode"),
+                         "period_a", period_b.alias("period_b"), F.struct(F.struct(points.alias("points")).alias("evolution")).alias("comparison"))
+    return SN.validate_snapshot(snaps, by=["product_type", "grouping"])
+
+
+@register("product_snapshots_valid", W(f"""
+, b as ({_GROUPED})
+select product_type, grouping, count(*) as points, cast(sum(a) as double) as total_a, cast(sum(b) as double) as total_b, 0 as violations
+from b group by 1, 2""", "sales"))
+def q_product_snapshots_valid(spark, d):
+    snaps = SN.product_snapshots(TB.sales(spark, d), A2, B2)
+    points = F.col("comparison.evolution.points")
+    return snaps.select("product_type", "grouping", F.size(points).alias("points"),
+                        F.when(F.col("period_a.transactions") > 0, F.col("period_a.total_sales")).alias("total_a"),
+                        F.when(F.col("period_b.transactions") > 0, F.col("period_b.total_sales")).alias("total_b"),
+                        F.size(SN.point_violations(points, F.col("grouping"))).cast("long").alias("violations"))

@@ -10,10 +10,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.buckets import KEY_PATTERNS, normalize_grouping, valid_bucket_key
+from ..functions.buckets import (GROUPINGS, KEY_PATTERNS, bucket_interval, bucket_key, bucket_start, normalize_grouping,
+                                 valid_bucket_key)
 from ..operators import compare as C
 from ..operators import evolution as EV
 from ..operators.filters import Filters, filter_sales
@@ -187,17 +188,49 @@ def validate_points(points: DataFrame, grouping: str) -> DataFrame:
     return p.select("key", F.explode(hits).alias("violation"))
 
 
-def validate_snapshot(snapshot: DataFrame, grouping: str | None = None) -> DataFrame:
-    """C6 on a snapshot row: mode / period presence, grouping agreement and
-    the point rules above.  ``grouping`` is the grouping the snapshot was
-    built with (read from the row when not given)."""
+def _valid_key(key, grouping) -> Column:
+    """S13 with the grouping in a column; an unknown grouping has no valid key."""
+    out = F.lit(False)
+    for g in GROUPINGS:
+        out = F.when(grouping == g, valid_bucket_key(key, g)).otherwise(out)
+    return out
+
+
+def point_violations(points: Column, grouping: Column) -> Column:
+    """C6 on an array of evolution points, in its order: (key, violation) of every
+    broken rule of every point.  Each point meets the one before it inside the
+    array, so any number of snapshots is checked without a window or a shuffle."""
+    def rules(p: Column, before: Column) -> Column:
+        checks = [
+            ("bad_key_format", ~_valid_key(p.key, grouping)),
+            ("start_not_before_end", ~(p.start < p.end)),
+            ("difference_mismatch", F.abs(p.difference - (p.value_b - p.value_a)) > 1e-9),
+            ("keys_not_increasing", before.isNotNull() & (p.key <= before.key)),
+            ("overlapping_intervals", before.isNotNull() & (p.start < before.end)),
+        ]
+        hits = F.filter(F.array(*[F.when(c, F.lit(n)) for n, c in checks]), lambda x: x.isNotNull())
+        return F.transform(hits, lambda v: F.struct(p.key.alias("key"), v.alias("violation")))
+
+    # the points and the same points one place later, point by point
+    shifted = F.slice(F.concat(F.array(F.get(points, F.lit(-1))), points), F.lit(1), F.size(points))
+    return F.flatten(F.zip_with(points, shifted, rules))
+
+
+def validate_snapshot(snapshot: DataFrame, grouping: str | None = None, by: list[str] = ()) -> DataFrame:
+    """C6 on snapshot rows: ``by`` (columns that name a snapshot), ``key`` (null for a
+    rule of the whole snapshot), ``violation``.
+
+    Snapshot rules: periods present by mode, comparison and points present,
+    both periods with one grouping.  Point rules: ``point_violations``, with the
+    grouping of the snapshot's period A unless ``grouping`` is given.  All rows
+    are checked in one projection.
+    """
     s = snapshot
     checks = [("missing_period_a", F.col("period_a").isNull())]
     if "period_b" in s.columns:
         checks += [("missing_period_b", F.col("period_b").isNull()),
                    ("no_points", F.size("comparison.evolution.points") == 0),
                    ("grouping_mismatch", F.col("period_a.grouping") != F.col("period_b.grouping"))]
-    hits = F.filter(F.array(*[F.when(c, F.lit(n)) for n, c in checks]), lambda x: x.isNotNull())
     if "mode" in s.columns:
         normal = F.col("mode") == "normal"
         parts = [c for c in ("period_b", "comparison") if c in s.columns]
@@ -205,16 +238,45 @@ def validate_snapshot(snapshot: DataFrame, grouping: str | None = None) -> DataF
         checks += [(f"{c}_in_normal_mode", normal & F.col(c).isNotNull()) for c in parts]
         checks += [("missing_comparison", ~normal & (F.col("comparison").isNull() if "comparison" in parts else F.lit(True))),
                    ("unknown_mode", ~F.col("mode").isin("normal", "compare"))]
-        hits = F.filter(F.array(*[F.when(c, F.lit(n)) for n, c in checks]), lambda x: x.isNotNull())
-    top = s.select(F.lit(None).cast("string").alias("key"), F.explode(hits).alias("violation"))
-    if "period_b" not in s.columns:
-        return top
-    if grouping is None:
-        g = s.select("period_a.grouping").first()
-        grouping = g[0] if g else "day"
-    pts = s.select(F.posexplode("comparison.evolution.points").alias("pos", "p")).select("pos", "p.*")
-    return top.unionByName(validate_points(pts, grouping))
+    none = F.lit(None).cast("string")
+    hits = F.filter(F.array(*[F.when(c, F.struct(none.alias("key"), F.lit(n).alias("violation"))) for n, c in checks]),
+                    lambda x: x.isNotNull())
+    if "period_b" in s.columns:
+        of = F.lit(grouping) if grouping is not None else F.col("period_a.grouping")
+        points = point_violations(F.col("comparison.evolution.points"), of)
+        hits = F.concat(hits, F.coalesce(points, F.slice(hits, 1, 0)))
+    return s.select(*by, F.explode(hits).alias("v")).select(*by, "v.*")
+
+
+def product_snapshots(sales: DataFrame, fa: Filters, fb: Filters, groupings=GROUPINGS) -> DataFrame:
+    """C5 in short form for every product and grouping at once: ``product_type,
+    grouping, mode, period_a, period_b`` (grouping, transactions, total) and
+    ``comparison.evolution.points`` (T5 points in order), for products with sales
+    in either period.  The facts are reduced to a row per product and day in one
+    read; an array holds at most the buckets of both periods."""
+    pa, pb = fa.predicate(), fb.predicate()
+    marked = sales.filter(pa | pb).select("product_type", "date", "price", pa.alias("_a"), pb.alias("_b"))
+    daily = marked.groupBy("product_type", "date").agg(
+        F.sum(F.when(F.col("_a"), F.col("price"))).alias("a"), F.sum(F.when(F.col("_b"), F.col("price"))).alias("b"),
+        F.count_if(F.col("_a")).alias("na"), F.count_if(F.col("_b")).alias("nb"))
+    per_grouping = [F.struct(F.lit(g).alias("grouping"), bucket_start("date", g).alias("start"),
+                             bucket_key(bucket_start("date", g), g).alias("key"),
+                             F.struct(*[x.alias(n) for x, n in zip(bucket_interval(bucket_start("date", g), g), ("s", "e"))]).alias("i"))
+                    for g in groupings]
+    buckets = daily.withColumn("g", F.explode(F.array(*per_grouping))).groupBy(
+        "product_type", "g.grouping", "g.key", F.col("g.i.s").alias("start"), F.col("g.i.e").alias("end")).agg(
+        *[F.sum(c).alias(c) for c in ("a", "b", "na", "nb")])
+    va, vb = (F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in ("a", "b"))
+    point = F.struct("start", "key", "end", va.alias("value_a"), vb.alias("value_b"), (vb - va).alias("difference"))
+    g = buckets.groupBy("product_type", "grouping").agg(
+        F.array_sort(F.collect_list(point)).alias("points"), *[F.sum(c).alias(c) for c in ("a", "b", "na", "nb")])
+
+    def period(n: str, t: str) -> Column:
+        return F.struct("grouping", F.col(n).alias("transactions"), F.coalesce(F.col(t).cast("double"), F.lit(0.0)).alias("total_sales"))
+
+    return g.select("product_type", "grouping", F.lit("compare").alias("mode"), period("na", "a").alias("period_a"),
+                    period("nb", "b").alias("period_b"), F.struct(F.struct("points").alias("evolution")).alias("comparison"))
 
 
 __all__ = ["PeriodData", "period_data", "normal_snapshot", "compare_snapshot",
-           "validate_points", "validate_snapshot", "KEY_PATTERNS"]
+           "validate_points", "point_violations", "validate_snapshot", "product_snapshots", "KEY_PATTERNS"]

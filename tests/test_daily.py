@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from salescope.operators import daily as DY
 from salescope.operators import evolution as EV
 from salescope.operators.filters import Filters
+from salescope.operators.numbering import dense_numbers, ranked
 from salescope.plans import periods as P
 
 
@@ -50,9 +51,16 @@ def test_buckets_equal_plain_grouping(sales, store):
 def test_numbers_have_no_gap(spark):
     keys = spark.range(40_000).select(F.concat(F.lit("k"), (F.col("id") % 33_000).cast("string")).alias("k"))
     keys = keys.unionByName(spark.createDataFrame([(None,)], "k string"))
-    got = sorted(r.number for r in DY.dense_numbers(keys, "k", after=7, part_rows=1000).collect())
+    got = sorted(r.number for r in dense_numbers(keys, "k", after=7, part_rows=1000).collect())
     assert got == list(range(8, 33_008))
-    assert DY.dense_numbers(keys.limit(0), "k").count() == 0
+    assert dense_numbers(keys.limit(0), "k").count() == 0
+
+
+def test_ranked_rows_follow_the_order(spark):
+    rows = spark.range(5000).select((F.col("id") * 7919 % 97).alias("a"), F.col("id").alias("b"), F.when(F.col("id") % 2 == 0, 1).alias("c"))
+    got = [(r.a, r.b) for r in sorted(ranked(rows, ["a", "b"], "n").collect(), key=lambda r: r.n)]
+    assert got == sorted(got) and len(set(got)) == 5000
+    assert sorted(r.n for r in ranked(rows, ["c"], "n").collect()) == list(range(1, 5001))
 
 
 def test_several_ranges_of_clients(spark):

@@ -212,3 +212,39 @@ def test_period_base_rollups_equal_direct_operators(spark):
         assert _sorted_rows(p.evolution, "key") == _sorted_rows(EV.sales_evolution(s, f, "week"), "key")
         assert _sorted_rows(p.products, "label") == _sorted_rows(S.product_distribution(s, f), "label")
         assert rows(p.top_clients.orderBy("rank")) == rows(S.top_clients(s, f, n=5).orderBy("rank"))
+
+
+def test_many_snapshots_are_validated_in_one_projection(spark, seed):
+    point = "struct<key:string,start:timestamp,`end`:timestamp,value_a:double,value_b:double,difference:double>"
+    schema = ("name string, mode string, period_a struct<grouping:string>, period_b struct<grouping:string>, "
+              f"comparison struct<evolution:struct<points:array<{point}>>>")
+    ts = lambda m, d=1: dt.datetime(2024, m, d)
+    good = [("2024-01", ts(1), ts(2), 1.0, 3.0, 2.0), ("2024-02", ts(2), ts(3), 1.0, 1.0, 0.0)]
+    month = ("month",)
+    snaps = spark.createDataFrame([
+        ("good", "compare", month, month, ((good,),)),
+        ("swapped", "compare", month, month, ((good[::-1],),)),
+        ("one", "compare", month, month, (([("2024-13", ts(2), ts(1), 1.0, 1.0, 1.0)],),)),
+        ("empty", "compare", month, ("week",), (([],),)),
+        ("none", "compare", None, month, None),
+        ("normal", "normal", month, None, None),
+    ], schema)
+    v = {}
+    for r in SN.validate_snapshot(snaps, by=["name"]).collect():
+        v.setdefault(r.name, set()).add((r.key, r.violation))
+    assert v == {
+        "swapped": {("2024-01", "keys_not_increasing"), ("2024-01", "overlapping_intervals")},
+        "one": {("2024-13", "bad_key_format"), ("2024-13", "start_not_before_end"), ("2024-13", "difference_mismatch")},
+        "empty": {(None, "no_points"), (None, "grouping_mismatch")},
+        "none": {(None, "missing_period_a"), (None, "missing_comparison")},
+    }
+    plan = SN.validate_snapshot(snaps, by=["name"])._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "Exchange" not in plan
+
+
+def test_product_snapshots_are_valid(spark, seed):
+    a, b = Filters("2024-04-01", "2024-04-30"), Filters("2024-05-01", "2024-05-31")
+    snaps = SN.product_snapshots(seed["sales"], a, b)
+    assert snaps.count() == 10 and SN.validate_snapshot(snaps, by=["product_type", "grouping"]).count() == 0
+    month = snaps.filter("product_type = 'Servicio' and grouping = 'month'").first()
+    assert [(p.key, p.value_a, p.value_b) for p in month.comparison.evolution.points] == [("2024-04", 500.0, 0.0), ("2024-05", 0.0, 2500.0)]
