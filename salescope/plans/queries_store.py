@@ -7,10 +7,13 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from ..operators import clients as CL
 from ..operators import daily as DY
 from ..operators import evolution as EV
 from ..operators import ingest as I
+from ..operators import sales as S
 from ..session import checkpoint_dir
+from ..sources import clustered as CS
 from ..sources import quoted as QD
 from ..sources import sinks as SK
 from ..sources import tables as TB
@@ -232,3 +235,25 @@ def q_product_snapshots_valid(spark, d):
                         F.when(F.col("period_a.transactions") > 0, F.col("period_a.total_sales")).alias("total_a"),
                         F.when(F.col("period_b.transactions") > 0, F.col("period_b.total_sales")).alias("total_b"),
                         F.size(SN.point_violations(points, F.col("grouping"))).cast("long").alias("violations"))
+
+
+# Filters by product, client or date over the Z-ordered store
+def _clustered(spark, d):
+    path = f"{checkpoint_dir(spark).rstrip('/')}/salescope-clustered-{uuid.uuid4().hex}"
+    return CS.read_clustered(spark, CS.write_clustered(TB.sales(spark, d), path))
+
+
+@register("clustered_product_year", W("""
+select product_type, cast(sum(price) as double) as total_sales, count(*) as quantity
+from sales where date between date '1996-01-01' and date '1996-12-31' group by 1""", "sales"))
+def q_clustered_product_year(spark, d):
+    return S.product_year_report(_clustered(spark, d), 1996)
+
+
+@register("clustered_last_sales", W("""
+select * from (select client_id, id, product_type, cast(price as double) as price, strftime(date, '%Y-%m-%d') as date,
+                      row_number() over (partition by client_id order by date desc, id desc) as rank
+               from sales where client_id in ('1', '10', '100')) where rank <= 10""", "sales"))
+def q_clustered_last_sales(spark, d):
+    one = _clustered(spark, d).filter(F.col("client_id").isin("1", "10", "100"))
+    return CL.last_sales_per_client(one, 10).select("client_id", "id", "product_type", "price", "date", "rank")
