@@ -44,6 +44,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -51,7 +52,7 @@ from pyspark.sql import functions as F
 from ..session import cut_lineage, drop_cut
 from . import textbytes as tb
 from .components import components
-from .inputs import pick
+from .inputs import pick, share
 
 #: largest size whose subsets may be enumerated; the boundary is chosen below it
 SMALL_MAX = 29
@@ -254,38 +255,33 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     # heavy elements: those that many heads post, and those that many of the texts
     # share whose heads consist of such elements (their full sets are needed anyway)
-    posting = reps.filter(F.col("n") >= _least_share(x + 1, num, den))
-    p = (F.col("n") - F.ceil(F.col("n") * num / den) + 1).cast("int")
-    heads = posting.select("s1", "s2", "component", F.explode("head").alias("h"))
-    heavy = cut_lineage(_often(heads), "heavy")
-    short = cut_lineage(_short(posting, heads, heavy, p), "short")
+    posting = reps.filter(F.col("n") >= _least_share(x + 1, num, den)).withColumn(
+        "p", (F.col("n") - F.ceil(F.col("n") * num / den) + 1).cast("int")).withColumnRenamed("head", "elements")
+    heavy = cut_lineage(_often(posting.select("component", F.explode("elements").alias("h"))), "heavy")
+    too_short = (F.col("n_light") < F.col("p")) & (F.size("ordered") < F.col("n"))
+    keys = ["rep", "s1", "s2", "n", "component", "p"]
+    short = cut_lineage(_light_first(posting, heavy).filter(too_short).select(*keys), "short")
     have = copies.select("rep")
     sets = copies.union(cut_lineage(_fetch(docs, short.join(have, "rep", "left_anti"), width), "sets"))
     of_short = sets.join(short.select("rep", "s1", "s2", "component"), ["rep", "s1", "s2"])
     also = _often(of_short.select("component", F.explode("elements").alias("h")))
     narrower, heavy = heavy, cut_lineage(heavy.union(also).distinct(), "heavy")
-    some, short = short, cut_lineage(_short(posting, heads, heavy, p), "short")
+    placed = cut_lineage(_light_first(posting, heavy), "placed")
+    some, short = short, cut_lineage(placed.filter(too_short).select(*keys), "short")
     more = short.join(some.select("rep"), "rep", "left_anti").join(have, "rep", "left_anti")
     sets = sets.union(cut_lineage(_fetch(docs, more, width), "sets"))
     drop_cut(narrower, some)
 
     # the global order: light elements by hash, then heavy ones by hash
-    none = F.array().cast("array<long>")
-    heavy_of = heads.join(_small(heavy), "h").groupBy("s1", "s2").agg(F.collect_set("h").alias("heavy"))
-    whole = posting.join(_small(short.select("s1", "s2")), ["s1", "s2"], "left_anti").join(heavy_of, ["s1", "s2"], "left")
-    ordered = whole.select("rep", "n", "component", F.slice(F.concat(
-        F.array_except("head", F.coalesce("heavy", none)), F.array_sort(F.coalesce("heavy", none))), F.lit(1), p).alias("first"))
-    flagged = (short.join(sets, ["rep", "s1", "s2"]).select("rep", "s1", "s2", "n", "component", F.explode("elements").alias("h"))
-               .join(_small(heavy.withColumn("is_heavy", F.lit(1))), "h", "left"))
-    longer = flagged.groupBy("rep", "s1", "s2", "n", "component").agg(F.array_sort(F.collect_set(
-        F.struct(F.coalesce("is_heavy", F.lit(0)).alias("w"), "h"))).alias("all"))
-    longer = longer.select("rep", "n", "component", F.slice(F.transform("all", lambda e: e.h), F.lit(1), p).alias("first"))
-    first = ordered.union(longer)
+    full = _light_first(sets.join(short, ["rep", "s1", "s2"]).select(*keys, "elements"), heavy)
+    prefix = F.slice("ordered", F.lit(1), F.col("p")).alias("first")
+    longer = full.select("rep", "s1", "s2", "n", "component", prefix).dropDuplicates(["rep", "s1", "s2"])
+    first = placed.filter(~too_short).select("rep", "n", "component", prefix).union(longer.drop("s1", "s2"))
     lists = first.select("rep", "n", "component", F.posexplode("first").alias("pos", "bucket")).select(
         "bucket", "rep", "n", F.col("pos").cast("long").alias("pos"), "component")
     subsets = subset_buckets(reps, x, num, den)
     members = cut_lineage(_shared_buckets(lists.unionByName(subsets)), "members")
-    drop_cut(heavy, short)
+    drop_cut(heavy, short, placed)
 
     comp = _merge(members, docs, reps, sets, links, width, num, den)
     drop_cut(reps, copies)
@@ -295,13 +291,41 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         "doc_id", "n_shingles", F.coalesce("class_component", "doc_id").alias("component_id"), *["text_key"] * text_key)
 
 
-def _short(posting: DataFrame, heads: DataFrame, heavy: DataFrame, p) -> DataFrame:
-    """``rep, s1, s2, n`` of the texts whose head has fewer light elements than they
-    must post and is not their whole set."""
-    marked = heads.join(_small(heavy), "h").groupBy("s1", "s2").agg(F.count(F.lit(1)).alias("marked"))
-    sized = posting.select("rep", "s1", "s2", "n", "component", F.size("head").alias("posted"), p.alias("p"))
-    return (sized.join(marked, ["s1", "s2"]).filter("posted - marked < p and posted < n")
-            .select("rep", "s1", "s2", "n", "component"))
+#: heavy elements that a task holds as one sorted array (1.6 MB); more take a shuffle join
+HELD_HEAVY = 200_000
+
+
+def _light_first(rows: DataFrame, heavy: DataFrame) -> DataFrame:
+    """``rows`` with ``ordered``, the distinct ``elements`` in the global order (light ones by
+    hash, then heavy ones by hash), and ``n_light``, the number of light ones; without
+    ``elements``."""
+    others = [c for c in rows.columns if c != "elements"]
+    held = [r.h for r in heavy.limit(HELD_HEAVY + 1).collect()]
+    if len(held) <= HELD_HEAVY:
+        table = share(rows.sparkSession, np.sort(np.array(held, np.int64)))
+
+        def run(batches):
+            known = table()
+            for batch in batches:
+                column = batch.column("elements")
+                values = column.flatten().to_numpy(zero_copy_only=False)
+                ends = np.concatenate([[0], np.cumsum(pc.list_value_length(column).to_numpy(zero_copy_only=False))]).astype(np.int64)
+                at = np.minimum(np.searchsorted(known, values), max(len(known) - 1, 0))
+                dear = known[at] == values if len(known) else np.zeros(len(values), bool)
+                row = np.repeat(np.arange(len(batch)), np.diff(ends))
+                order = np.lexsort((values, dear, row))
+                light = np.bincount(row, weights=~dear, minlength=len(batch)).astype(np.int64)
+                ordered = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values[order], pa.int64()))
+                yield pa.record_batch([*[batch.column(c) for c in others], ordered, pa.array(light)],
+                                      names=[*others, "ordered", "n_light"])
+
+        kinds = dict(rows.dtypes)
+        return rows.select(*others, "elements").mapInArrow(
+            run, ", ".join([*[f"{c} {kinds[c]}" for c in others], "ordered array<long>", "n_light long"]))
+    marked = rows.select(*others, F.explode("elements").alias("h")).join(heavy.withColumn("w", F.lit(1)), "h", "left")
+    return (marked.groupBy(*others).agg(F.array_sort(F.collect_set(F.struct(F.coalesce("w", F.lit(0)).alias("w"), "h"))).alias("e"))
+            .select(*others, F.transform("e", lambda e: e.h).alias("ordered"),
+                    F.size(F.filter("e", lambda e: e.w == 0)).cast("long").alias("n_light")))
 
 
 def _often(rows: DataFrame) -> DataFrame:

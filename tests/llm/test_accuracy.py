@@ -62,6 +62,16 @@ def test_ngram_join_equals_brute_force_on_edited_copies(spark, width, num, monke
     assert got == brute_components(texts, width, num, 100)
 
 
+@pytest.mark.parametrize("held", [0, 10**6])
+def test_heavy_elements_come_last(spark, monkeypatch, held):
+    monkeypatch.setattr(ngram_join, "HELD_HEAVY", held)
+    rows = spark.createDataFrame([(1, 7, [1, 5, 9]), (2, 8, [2]), (3, 9, [5, -4, 3])], "rep long, n long, elements array<long>")
+    heavy = spark.createDataFrame([(5,), (-4,), (77,)], "h long")
+    got = sorted(tuple(r) for r in ngram_join._light_first(rows, heavy).collect())
+    assert got == [(1, 7, [1, 9, 5], 2), (2, 8, [2], 1), (3, 9, [3, -4, 5], 1)]
+    assert ngram_join._light_first(rows.filter("rep < 0"), heavy).count() == 0
+
+
 def test_repeated_rows_lose_no_link(spark, monkeypatch):
     monkeypatch.setattr(ngram_join, "HEAVY", 4)
     rnd, texts = random.Random(8), {}
