@@ -186,6 +186,12 @@ def check_mixed(raw: DataFrame, as_of) -> DataFrame:
         F.when(of_sales & of_leads, "both").when(of_sales, "sales").when(of_leads, "leads").otherwise("neither").alias("row_class"))
 
 
+def file_counts(checked: DataFrame, error: str = "sales_error") -> DataFrame:
+    """Per file the rows, valid and invalid ones, of rows that rules were applied to."""
+    return checked.groupBy("_file").agg(F.count(F.lit(1)).alias("row_count"), F.count_if(F.col(error).isNull()).alias("valid_rows"),
+                                        F.count(error).alias("invalid_rows"))
+
+
 def staged(checked: DataFrame, name: str) -> tuple[DataFrame, dict]:
     """The checked rows written once under the shared checkpoint folder, and their
     counts, observed on the rows as they were written: ``total`` and one per error

@@ -8,9 +8,11 @@ from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from ..functions.text import (LEAD_STATUSES, client_field_error, CLIENT_ERRORS, is_known_source,
                               normalize_source, source_key)
+from ..session import cut_lineage
 
 
 def lead_consistency(leads: DataFrame) -> DataFrame:
@@ -142,6 +144,59 @@ def table_profile(tables: dict[str, DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+def value_counts(tables: dict[str, DataFrame]) -> DataFrame:
+    """``table, column, value, num, n``: the distinct values of every column as text (null
+    included), with their number where the column is numeric, and their rows.
+
+    Each table is read once: a row becomes one (column, value) pair per column and
+    the pairs are combined on the map side, so a value that fills a third of a
+    column is one row per task.  Written once; ``session.drop_cut`` deletes it."""
+    parts = []
+    for name, df in tables.items():
+        pairs = [F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").cast("string").alias("value"),
+                          (F.col(f"`{c}`").cast("double") if isinstance(t.dataType, NumericType) else F.lit(None).cast("double"))
+                          .alias("num")) for c, t in zip(df.columns, df.schema.fields)]
+        parts.append(df.select(F.lit(name).alias("table"), F.explode(F.array(*pairs)).alias("p")).select("table", "p.*"))
+    pairs = reduce(DataFrame.unionByName, parts)
+    return cut_lineage(pairs.groupBy("table", "column", "value", "num").agg(F.count(F.lit(1)).alias("n")), "value-counts")
+
+
+def column_profile(counts: DataFrame) -> DataFrame:
+    """Per column of ``value_counts`` its rows, nulls, distinct values, and least and
+    greatest value (numbers as numbers, all else as text)."""
+    order = F.struct("num", "value")
+    return counts.groupBy("table", "column").agg(
+        F.sum("n").alias("rows"), F.coalesce(F.sum(F.when(F.col("value").isNull(), F.col("n"))), F.lit(0)).alias("nulls"),
+        F.count("value").alias("distinct_values"),
+        F.min(F.when(F.col("value").isNotNull(), order)).value.alias("min_value"),
+        F.max(F.when(F.col("value").isNotNull(), order)).value.alias("max_value"))
+
+
+def foreign_key_profile(counts: DataFrame, edges: list[tuple[str, str, str, str]]) -> DataFrame:
+    """Per edge (table, column, parent table, parent column) the rows, the rows
+    without a value, and the values and rows that the parent lacks; all edges in
+    one join of the distinct values."""
+    keys = counts.sparkSession.createDataFrame(edges, "table string, column string, parent string, parent_column string")
+    child = counts.select("table", "column", "value", "n").join(F.broadcast(keys), ["table", "column"])     # a row per edge
+    known = counts.filter("value is not null").select(F.col("table").alias("parent"), F.col("column").alias("parent_column"),
+                                                      "value", F.lit(1).alias("known"))
+    matched = child.join(known, ["parent", "parent_column", "value"], "left")
+    lost = F.col("value").isNotNull() & F.col("known").isNull()
+    return matched.groupBy("table", "column", "parent", "parent_column").agg(
+        F.sum("n").alias("rows"), F.coalesce(F.sum(F.when(F.col("value").isNull(), F.col("n"))), F.lit(0)).alias("without"),
+        F.count_if(lost).alias("orphan_values"), F.coalesce(F.sum(F.when(lost, F.col("n"))), F.lit(0)).alias("orphan_rows"))
+
+
+#: FK edges of the business tables
+FOREIGN_KEYS = [("sales", "client_id", "clients", "id"), ("leads", "client_id", "clients", "id"),
+                ("funnel_events", "client_id", "clients", "id"), ("funnel_events", "lead_id", "leads", "id")]
+
+
+def latest_rows(tables: dict[str, tuple[DataFrame, list[str]]], n: int = 3) -> dict[str, DataFrame]:
+    """The last ``n`` rows of each table by its order columns, a per-task top-n."""
+    return {name: df.orderBy(*[F.desc(c) for c in order]).limit(n) for name, (df, order) in tables.items()}
+
+
 def normalized_sources(raw: DataFrame, col: str = "source") -> DataFrame:
     """S3 applied to raw spellings (row_no, source, normalized)."""
     return raw.select("row_no", F.col(col).alias("source"), normalize_source(col).alias("normalized"))

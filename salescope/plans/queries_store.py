@@ -11,9 +11,11 @@ from ..operators import clients as CL
 from ..operators import daily as DY
 from ..operators import evolution as EV
 from ..operators import ingest as I
+from ..operators import quality as QL
 from ..operators import sales as S
 from ..session import checkpoint_dir
 from ..sources import clustered as CS
+from ..sources import delimited as DL
 from ..sources import quoted as QD
 from ..sources import sinks as SK
 from ..sources import tables as TB
@@ -257,3 +259,59 @@ select * from (select client_id, id, product_type, cast(price as double) as pric
 def q_clustered_last_sales(spark, d):
     one = _clustered(spark, d).filter(F.col("client_id").isin("1", "10", "100"))
     return CL.last_sales_per_client(one, 10).select("client_id", "id", "product_type", "price", "date", "rank")
+
+
+# Columns and FK edges of the business tables, each table read once
+_PROFILED = {"sales": ["id", "client_name", "client_id", "product_type", "price", "date"],
+             "clients": ["id", "name", "cif", "address", "contact_person", "email"],
+             "leads": ["id", "external_id", "created_at", "source", "status", "meeting_date", "client_id"],
+             "marketing_spend": ["source", "date", "amount"],
+             "funnel_events": ["id", "client_id", "lead_id", "event_type", "event_date", "metadata"]}
+
+
+@register("column_profile", W(" union all ".join(
+    f"""select '{t}' as "table", '{c}' as "column", count(*) as rows, count(*) - count({c}) as nulls,
+        count(distinct {c}) as distinct_values, cast(min({c}) as varchar) as min_value, cast(max({c}) as varchar) as max_value from {t}"""
+    for t, columns in _PROFILED.items() for c in columns), *_PROFILED))
+def q_column_profile(spark, d):
+    return QL.column_profile(QL.value_counts({t: TB.TABLES[t](spark, d) for t in _PROFILED}))
+
+
+@register("foreign_key_profile", W(" union all ".join(
+    f"""select '{t}' as "table", '{c}' as "column", '{p}' as parent, '{pc}' as parent_column, count(*) as rows,
+        count(*) - count({c}) as without, count(distinct case when {c} not in (select {pc} from {p}) then {c} end) as orphan_values,
+        count(case when {c} not in (select {pc} from {p}) then 1 end) as orphan_rows from {t}"""
+    for t, c, p, pc in QL.FOREIGN_KEYS), "sales", "clients", "leads", "funnel_events"))
+def q_foreign_key_profile(spark, d):
+    tables = {t: TB.TABLES[t](spark, d) for t in ("sales", "clients", "leads", "funnel_events")}
+    return QL.foreign_key_profile(QL.value_counts(tables), QL.FOREIGN_KEYS)
+
+
+@register("latest_sales", W("""
+select id, client_id, cast(price as double) as price, strftime(date, '%Y-%m-%d') as date from sales order by sales.date desc, id desc limit 3""", "sales"))
+def q_latest_sales(spark, d):
+    return QL.latest_rows({"sales": (TB.sales(spark, d), ["date", "id"])})["sales"].select("id", "client_id", "price", "date")
+
+
+# Header lines of files by rule (delimiter, quoting, spelling, byte-order mark), one per event
+@register("classify_headers", """
+select 'file-' || event_id as file,
+       case event_id % 4 when 0 then ',' when 1 then ';' when 2 then chr(9) else '|' end as delimiter,
+       case event_id % 6 when 0 then 'sales' when 1 then 'leads' when 2 then 'marketing_spend' when 3 then 'mixed'
+            when 4 then 'invalid' else 'invalid' end as detected_type,
+       case event_id % 6 when 0 then '' when 1 then 'client_name, price, product_type' when 2 then 'client_id, client_name, price, product_type'
+            when 3 then '' when 4 then 'client_id, product_type' else 'client_id, client_name, price, product_type' end as missing_sales,
+       case event_id % 6 when 0 then 4 when 1 then 3 when 2 then 3 when 3 then 6 when 4 then 2 else 2 end as cells
+from events""")
+def q_classify_headers(spark, d):
+    c = DL.classify_lines(TB.header_lines(spark, d))
+    return c.select("file", "delimiter", "detected_type", "missing_sales", F.size("headers").alias("cells"))
+
+
+# True valid and invalid rows of each file
+@register("file_valid_counts", W(f""", {_SALES_CHECKED}
+select 'file-' || row_no % 7 as file, count(*) as row_count, count(*) - count(error) as valid_rows, count(error) as invalid_rows
+from chk group by 1""", "raw_sales"))
+def q_file_valid_counts(spark, d):
+    raw = TB.raw_sales(spark, d).withColumn("_file", F.concat(F.lit("file-"), (F.col("row_no") % 7).cast("string")))
+    return I.file_counts(I.check_sales(raw, AS_OF)).withColumnRenamed("_file", "file")

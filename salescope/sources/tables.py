@@ -266,6 +266,26 @@ def quoted_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("_file", F.floor((F.col("_pos") + 15) / 512).alias("_block"), "_pos", "value")
 
 
+def header_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Header lines ``file, header`` of one file per event: six layouts in four
+    delimiters, plain or quoted, with odd spaces, full-width letters or a
+    byte-order mark."""
+    eid = F.col("event_id")
+    layouts = [["Cliente", " ID\u00a0 cliente", "Tipo de Producto", "PRECIO"], ["Platform", "Created_Time", "client_id"],
+               ["Fuente", "Inversio\u0301n", "\uff26echa"],
+               ["nombre", "identificador", "producto", "importe", "created_at", "channel"], ["nombre", "importe"], ["a", "b"]]
+    sep = F.when(eid % 4 == 0, ",").when(eid % 4 == 1, ";").when(eid % 4 == 2, "\t").otherwise("|")
+    cells = F.array()
+    for i, layout in enumerate(layouts):
+        of = F.array(*[F.lit(c) for c in layout])
+        cells = of if i == 0 else F.when(eid % 6 == i, of).otherwise(cells)
+    quoted = F.transform(cells, lambda c: F.when(eid % 5 == 0, F.concat(F.lit('"'), c, F.lit('"'))).otherwise(c))
+    mark = F.when(eid % 7 == 0, F.lit("\ufeff")).otherwise(F.lit(""))
+    return read_table(spark, sf_dir, "events").select(
+        F.concat(F.lit("file-"), _s("event_id")).alias("file"),
+        F.replace(F.concat(mark, F.array_join(quoted, "\x00")), F.lit("\x00"), sep).alias("header"))
+
+
 TABLES = {
     "quoted_lines": quoted_lines,
     "raw_mixed": raw_mixed,

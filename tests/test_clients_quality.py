@@ -164,3 +164,19 @@ def test_report_and_snapshot_sinks(spark, seed, tmp_path):
     p = SK.write_snapshot(snap, str(tmp_path / "snap"))
     back = spark.read.json(p).first()
     assert back.mode == "normal" and back.period_a.metrics.transactions == 4
+
+
+def test_column_and_key_profile(spark, seed):
+    from salescope.operators import quality as QL
+    from salescope.session import drop_cut
+    counts = QL.value_counts({"sales": seed["sales"], "clients": seed["clients"].filter("id <> 'C003'"), "none": seed["leads"].limit(0)})
+    profile = {(r.table, r.column): tuple(r)[2:] for r in QL.column_profile(counts).collect()}
+    assert profile["sales", "price"] == (5, 0, 5, "500.00", "3000.00")      # numbers by size, not by spelling
+    assert profile["sales", "product_type"] == (5, 0, 2, "Producto", "Servicio")
+    assert not [k for k in profile if k[0] == "none"]
+    keys = QL.foreign_key_profile(counts, [("sales", "client_id", "clients", "id"), ("sales", "client_name", "clients", "name")])
+    assert sorted(tuple(r) for r in keys.collect()) == [("sales", "client_id", "clients", "id", 5, 0, 1, 1),
+                                                        ("sales", "client_name", "clients", "name", 5, 0, 1, 1)]
+    last = QL.latest_rows({"sales": (seed["sales"], ["date", "id"])}, 2)["sales"]
+    assert [r.id for r in last.collect()] == ["5", "3"]
+    drop_cut(counts)
