@@ -6,6 +6,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.text import SOURCE_NORMALIZATION, SOURCE_SUFFIXES
 from ..operators import dashboard as D
 from ..operators import ingest as I
 from ..operators import quality as QL
@@ -81,22 +82,14 @@ def q_ingest_new_clients(spark, d):
 
 def _strip_chain(x):
     k = f"trim(lower({x}))"
-    for suf in [" lead ads", " lead form", " ads", "_ads", "-ads"]:
+    for suf in SOURCE_SUFFIXES:
         k = f"(case when suffix({k}, '{suf}') then trim(left({k}, length({k}) - {len(suf)})) else {k} end)"
     return k
 
 
-_SOURCE_MAP = {
-    "facebook": "meta_ads", "fb": "meta_ads", "meta": "meta_ads", "instagram": "meta_ads", "ig": "meta_ads",
-    "messenger": "meta_ads", "audience_network": "meta_ads", "google": "google_ads", "google_ads": "google_ads",
-    "adwords": "google_ads", "gads": "google_ads", "linkedin": "linkedin_ads", "linkedin_ads": "linkedin_ads",
-    "tiktok": "tiktok_ads", "tiktok_ads": "tiktok_ads", "csv": "manual_import", "manual": "manual_import",
-}
-
-
 def _norm_source(x):
     k = _strip_chain(x)
-    whens = " ".join(f"when '{a}' then '{b}'" for a, b in _SOURCE_MAP.items())
+    whens = " ".join(f"when '{a}' then '{b}'" for a, b in SOURCE_NORMALIZATION.items())
     return f"(case when {x} is null or {x} = '' then {x} else (case {k} {whens} else {k} end) end)"
 
 
@@ -108,7 +101,7 @@ def q_normalize_source(spark, d):
 
 @register("unknown_sources", W(f"""
 select {_strip_chain('source')} as source_key, count(*) as rows from raw_sources
-where source is not null and source <> '' and {_strip_chain('source')} not in ({', '.join(f"'{a}'" for a in _SOURCE_MAP)})
+where source is not null and source <> '' and {_strip_chain('source')} not in ({', '.join(f"'{a}'" for a in SOURCE_NORMALIZATION)})
 group by 1""", "raw_sources"))
 def q_unknown_sources(spark, d):
     return QL.unknown_sources(TB.raw_sources(spark, d))

@@ -15,7 +15,7 @@ from ..sources import tables as TB
 from .oracle_views import with_views as W
 from .queries_compare import A, A2, B, B2, _inab, _points_sql
 from .queries_ingest import AS_OF, _LEADS_CHECKED, _SALES_CHECKED
-from .queries_leads import _FIRST, _MM
+from .queries_leads import _MM, _TOUCH
 from .registry import register
 
 
@@ -84,7 +84,7 @@ def q_marketing_chart_sources(spark, d):
     return M.sources_for_chart(_metrics(spark, d))
 
 
-@register("first_touch", W(f", {_FIRST}\nselect client_id, source from first_lead", "leads"))
+@register("first_touch", W(_TOUCH, "leads"))
 def q_first_touch(spark, d):
     return M.first_touch(TB.leads(spark, d))
 
