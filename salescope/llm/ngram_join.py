@@ -293,6 +293,8 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 #: heavy elements that a task holds as one sorted array (1.6 MB); more take a shuffle join
 HELD_HEAVY = 200_000
+#: elements that a task orders at a time
+HELD_ELEMENTS = 100_000
 
 
 def _light_first(rows: DataFrame, heavy: DataFrame) -> DataFrame:
@@ -307,17 +309,21 @@ def _light_first(rows: DataFrame, heavy: DataFrame) -> DataFrame:
         def run(batches):
             known = table()
             for batch in batches:
-                column = batch.column("elements")
-                values = column.flatten().to_numpy(zero_copy_only=False)
-                ends = np.concatenate([[0], np.cumsum(pc.list_value_length(column).to_numpy(zero_copy_only=False))]).astype(np.int64)
-                at = np.minimum(np.searchsorted(known, values), max(len(known) - 1, 0))
-                dear = known[at] == values if len(known) else np.zeros(len(values), bool)
-                row = np.repeat(np.arange(len(batch)), np.diff(ends))
-                order = np.lexsort((values, dear, row))
-                light = np.bincount(row, weights=~dear, minlength=len(batch)).astype(np.int64)
-                ordered = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values[order], pa.int64()))
-                yield pa.record_batch([*[batch.column(c) for c in others], ordered, pa.array(light)],
-                                      names=[*others, "ordered", "n_light"])
+                size = pc.list_value_length(batch.column("elements")).to_numpy(zero_copy_only=False)
+                # a slice of about HELD_ELEMENTS elements at a time
+                cuts = np.flatnonzero(np.diff(np.cumsum(size) // HELD_ELEMENTS)) + 1
+                for a, b in zip([0, *cuts], [*cuts, len(size)]):
+                    part = batch.slice(a, b - a)
+                    values = part.column("elements").flatten().to_numpy(zero_copy_only=False)
+                    ends = np.concatenate([[0], np.cumsum(size[a:b])]).astype(np.int32)
+                    at = np.minimum(np.searchsorted(known, values), max(len(known) - 1, 0))
+                    dear = known[at] == values if len(known) else np.zeros(len(values), bool)
+                    row = np.repeat(np.arange(b - a, dtype=np.int32), np.diff(ends))
+                    order = np.lexsort((values, dear, row))
+                    light = np.bincount(row, weights=~dear, minlength=b - a).astype(np.int64)
+                    ordered = pa.ListArray.from_arrays(pa.array(ends), pa.array(values[order], pa.int64()))
+                    yield pa.record_batch([*[part.column(c) for c in others], ordered, pa.array(light)],
+                                          names=[*others, "ordered", "n_light"])
 
         kinds = dict(rows.dtypes)
         return rows.select(*others, "elements").mapInArrow(
