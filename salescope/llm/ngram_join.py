@@ -342,9 +342,9 @@ def _often(rows: DataFrame) -> DataFrame:
     return several.groupBy("h").agg(F.count(F.lit(1)).alias("k")).filter(F.col("k") > HEAVY).select("h")
 
 
-#: rows of a table that is broadcast (a few longs each, so at most 20 MB); larger ones take a
-#: shuffle join
-_BROADCAST_ROWS = 200_000
+#: rows of a table that is broadcast (two or three longs each, so at most about 50 MB as a hash
+#: table); larger ones take a shuffle join
+_BROADCAST_ROWS = 500_000
 
 
 def _small(table: DataFrame) -> DataFrame:
