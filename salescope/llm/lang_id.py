@@ -4,8 +4,8 @@ n-grams.
 Training counts each language's n-grams in 2^bits bins.  Every task adds up its
 own rows and emits one sparse row per (language, bin); a partial aggregation
 and a sum finish the table.  It has at most languages x bins rows, whatever the
-corpus size, and becomes the log-probability matrix that is broadcast (its size
-is bounded by ``max_languages`` and ``bits`` and checked).
+corpus size, and becomes the log-probability matrix that is broadcast.  Its size is
+bounded by ``max_cells``: beyond that many languages the n-grams share fewer bins.
 
 Scoring hashes the n-grams of a batch and adds matrix rows per text in numpy;
 texts are processed in slices, a long one piece by piece, so memory is bounded.
@@ -89,7 +89,6 @@ class Model:
             total += self.matrix[bins].sum(axis=0, dtype=np.float64)
         return total
 
-
     def best(self, text: str | None) -> tuple[str, float]:
         """The most probable language and its posterior probability."""
         if text is None or not self.langs or not any(map(str.isalpha, text)):
@@ -100,12 +99,14 @@ class Model:
 
 
 def train(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", bits: int = 16,
-          smoothing: float = 0.5, max_languages: int = 512) -> Model:
-    """Fit on all given rows with a language and a text."""
+          smoothing: float = 0.5, max_cells: int = 1 << 24) -> Model:
+    """Fit on all given rows with a language and a text.  There are 2^``bits`` bins,
+    fewer where languages x bins would exceed ``max_cells`` (256 bins at least); the
+    number of languages has no limit."""
     rows = pick(docs, lang=lang_col, text=text_col).filter("lang is not null and text is not null")
-    priors = {r[0]: r[1] for r in rows.groupBy("lang").count().limit(max_languages + 1).collect()}
-    if len(priors) > max_languages:
-        raise ValueError(f"more than max_languages = {max_languages} languages")
+    priors = {r[0]: r[1] for r in rows.groupBy("lang").count().collect()}
+    while bits > 8 and len(priors) << bits > max_cells:
+        bits -= 1
     langs = sorted(priors)
     table = count_ngrams(rows, bits).toArrow() if langs else None
     counts = np.zeros((1 << bits, len(langs)))
