@@ -117,6 +117,14 @@ STAGE_TO_STATUS = {
 }
 
 
+def lead_search_text() -> Column:
+    """The text of an enriched lead that a term is looked up in."""
+    # the label lookup here is exact (not case-insensitive as in the table)
+    label = F.coalesce(F.element_at(_labels_map(), F.col("source")), F.col("source"), F.lit(""))
+    return F.concat_ws(" ", F.coalesce(F.col("id"), F.lit("")), label, F.coalesce(F.col("client_name"), F.lit("")),
+                       F.coalesce(F.col("source"), F.lit("")))
+
+
 def lead_multi_filter(leads_enriched: DataFrame, as_of, source=None, stage=None,
                       date_start=None, date_end=None, preset_days: int | None = None,
                       term: str | None = None) -> DataFrame:
@@ -141,12 +149,7 @@ def lead_multi_filter(leads_enriched: DataFrame, as_of, source=None, stage=None,
         preds.append(F.col("created_at") >= cutoff)
     t = (term or "").strip().lower()
     if t:
-        # the label lookup here is exact (not case-insensitive as in the table)
-        label = F.coalesce(F.element_at(_labels_map(), F.col("source")), F.col("source"), F.lit(""))
-        hay = F.lower(F.concat_ws(" ", F.coalesce(F.col("id"), F.lit("")), label,
-                                  F.coalesce(F.col("client_name"), F.lit("")),
-                                  F.coalesce(F.col("source"), F.lit(""))))
-        preds.append(hay.contains(F.lit(t)))
+        preds.append(F.lower(lead_search_text()).contains(F.lit(t)))
     return leads_enriched.filter(reduce(lambda a, b: a & b, preds, F.lit(True)))
 
 

@@ -4,6 +4,7 @@ quoted line breaks, the daily store and staged imports, with their oracles."""
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import functions as F
 
@@ -12,18 +13,22 @@ from ..operators import daily as DY
 from ..operators import evolution as EV
 from ..operators import ingest as I
 from ..operators import quality as QL
+from ..operators import leads as L
 from ..operators import sales as S
+from ..operators.filters import lead_multi_filter, lead_search_text
 from ..session import checkpoint_dir
 from ..sources import clustered as CS
 from ..sources import delimited as DL
 from ..sources import quoted as QD
 from ..sources import sinks as SK
 from ..sources import tables as TB
+from ..sources import trigrams as TG
 from . import periods as P
 from . import snapshot as SN
 from .oracle_views import with_views as W
 from .queries_compare import _NEXT_SQL, _START_SQL, A2, B2, SALES_AS_OF, _inab, _points_sql
 from .queries_core import _KEY_SQL, _LABEL_SQL
+from .queries_leads import _ENRICHED
 from .queries_ingest import _SALES_CHECKED, AS_OF, _date_err, _req
 from .registry import ORACLE, register
 
@@ -315,3 +320,31 @@ from chk group by 1""", "raw_sales"))
 def q_file_valid_counts(spark, d):
     raw = TB.raw_sales(spark, d).withColumn("_file", F.concat(F.lit("file-"), (F.col("row_no") % 7).cast("string")))
     return I.file_counts(I.check_sales(raw, AS_OF)).withColumnRenamed("_file", "file")
+
+
+# substring search over trigram postings; short and absent terms included
+_TERMS = ["customer#00000001", "0012", "SUPPLIER", "r#0000000", "9", "77", "no such name", "r%0"]
+
+
+def _trigram_path(spark) -> str:
+    return f"{checkpoint_dir(spark).rstrip('/')}/salescope-trigrams-{uuid.uuid4().hex}"
+
+
+@register("client_search_indexed", W(f"""
+select term, id, name, cif from clients, (values {", ".join(f"('{t}')" for t in _TERMS)}) t(term)
+where contains(lower(name), lower(term))""", "clients"))
+def q_client_search_indexed(spark, d):
+    store = TG.build_trigrams(TB.clients(spark, d), F.col("name"), _trigram_path(spark))
+    found = [store.search(t).select(F.lit(t).alias("term"), "id", "name", "cif") for t in _TERMS]
+    return reduce(lambda a, b: a.unionByName(b), found)
+
+
+@register("lead_filter_indexed", W(f"""
+select * from ({_ENRICHED}) e
+where status <> 'lost' and contains(lower(concat_ws(' ', id, case source when 'meta_ads' then 'Meta Ads' when 'google_ads' then 'Google Ads'
+      when 'linkedin_ads' then 'LinkedIn Ads' when 'tiktok_ads' then 'TikTok Ads' when 'manual_import' then 'Manual'
+      else coalesce(source, '') end, client_name, coalesce(source, ''))), 'ads customer#0000000')""", "leads", "clients"))
+def q_lead_filter_indexed(spark, d):
+    e = L.leads_enriched(TB.leads(spark, d), TB.clients(spark, d))
+    store = TG.build_trigrams(e, lead_search_text(), _trigram_path(spark))
+    return lead_multi_filter(store.search(" Ads Customer#0000000"), AS_OF).filter("status <> 'lost'")
