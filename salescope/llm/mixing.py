@@ -1,73 +1,42 @@
 """Mixing sources to target weights by Pfair scheduling.
 
-Each source is cut into blocks of equally many rows.  In a fluid schedule a
-source of weight w receives w blocks per slot; its k-th block (from 1) is
-released at floor((k - 1) / w) and due at ceil(k / w).  Earliest deadline first
-over the released blocks keeps every source less than one block from its fluid
-share at every slot.
-
-The schedule is cut into frames of about ``frame`` slots.  At the end of a frame
-a source has its fluid share, rounded by half a block (the last frame takes what
-is left); in the frame the windows follow from the source's whole blocks of that
-frame.  So every frame is scheduled on its own, in tasks, and meets the rows in an
-equi-join on (source, block).  Nothing walks over the blocks of the corpus one by
-one, and a source of any weight has its blocks in the frames that they fall into.
-
-A source's surplus over its own weight (of all rows) is held back.  A source
-that runs out earlier leaves the schedule, and the others go on under
-re-normalised weights: the mixture (``in_mix``) holds all other rows.  Blocks held
-back follow after the mixture, in proportion to what their sources have left.
+Each source is cut into blocks of equally many rows.  In the fluid schedule every
+source advances in proportion to its weight w until its blocks are used up; then
+it leaves, and the others go on under re-normalised weights.  A block is released
+in the slot in which the fluid schedule starts it and due at the end of the slot
+in which the fluid schedule ends it: without exits, floor(k / w) and
+ceil((k + 1) / w) for block k (from 0).  Earliest deadline first over the released
+blocks then meets every window, so at every slot every source is less than one
+block from its fluid share, over the whole schedule.
+
+Windows come from integers, so they are exact however long the schedule is.  One
+task streams the schedule, holds a row per source and writes a row per block; the
+rows meet it in a join on (source, block).  Blocks grow with the corpus so that
+there are at most ``SLOTS`` of them, which bounds that task at any size.
+
+A source's surplus over its own weight (of all rows) is held back: the mixture
+(``in_mix``) holds all other rows.  Blocks held back follow after the mixture, in
+proportion to what their sources have left.
 """
 
 from __future__ import annotations
 
 import heapq
 import math
+from collections.abc import Iterator
 from fractions import Fraction
+from itertools import islice
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .inputs import pick, share
 
-FRAME = 1000
-
-
-def frame_shares(weights: dict[str, float], frame: int = FRAME) -> dict[str, int]:
-    """Slots of a frame by source: largest remainders, one slot at least."""
-    if not weights:
-        return {}
-    if len(weights) > frame:
-        raise ValueError(f"{len(weights)} sources do not fit a frame of {frame} slots")
-    total = sum(weights.values())
-    exact = {s: w / total * frame for s, w in weights.items()}
-    share = {s: max(1, math.floor(x)) for s, x in exact.items()}
-    by_need = sorted(exact, key=lambda s: (share[s] - exact[s], s))
-    k = 0
-    while sum(share.values()) < frame:
-        share[by_need[k % len(by_need)]] += 1
-        k += 1
-    while sum(share.values()) > frame:
-        share[max(share, key=lambda s: (share[s] - exact[s] if share[s] > 1 else -math.inf, s))] -= 1
-    return share
-
-
-def frame_schedule(share: dict[str, int]) -> list[tuple[str, int, int, int, int]]:
-    """(source, number in frame, release, deadline, slot) of one frame's blocks:
-    earliest deadline first among the released, ties by source."""
-    frame = sum(share.values())
-    jobs = sorted((k * frame // a, -(-(k + 1) * frame // a), s, k) for s, a in share.items() for k in range(a))
-    out, ready, at = [], [], 0
-    for slot in range(frame):
-        while at < len(jobs) and jobs[at][0] <= slot:
-            release, deadline, s, k = jobs[at]
-            heapq.heappush(ready, (deadline, s, k, release))
-            at += 1
-        deadline, s, k, release = heapq.heappop(ready)
-        out.append((s, k, release, deadline, slot))
-    return out
+#: least rows of a block, and most blocks of a schedule
+BLOCK_ROWS, SLOTS = 16, 1 << 22
+#: weights are integers up to this one
+_UNIT = 1 << 40
 
 
 def source_weights(sizes: dict[str, int], exponent: float) -> dict[str, float]:
@@ -76,62 +45,94 @@ def source_weights(sizes: dict[str, int], exponent: float) -> dict[str, float]:
     return {s: n ** exponent for s, n in sizes.items()}
 
 
-def quotas(sizes: dict[str, int], weights: dict[str, float], block_rows: int) -> dict[str, tuple[float, int, int]]:
-    """(fluid blocks of its weight, blocks in the mixture, all blocks) by source."""
-    rows, total = sum(sizes.values()), sum(Fraction(weights[s]) for s in sizes)
+def whole_weights(weights: dict[str, float]) -> dict[str, int]:
+    """The weights in units of the largest over 2^40, one unit at least."""
+    top = Fraction(max(weights.values(), default=1))
+    return {s: max(1, round(Fraction(w) / top * _UNIT)) for s, w in weights.items()}
+
+
+def quotas(sizes: dict[str, int], weights: dict[str, int], block_rows: int) -> dict[str, tuple[int, int]]:
+    """(blocks in the mixture, all blocks) by source."""
+    rows, total = sum(sizes.values()), sum(weights[s] for s in sizes)
     out = {}
     for s, n in sizes.items():
-        own, blocks = Fraction(weights[s]) * rows / (total * block_rows), -(-n // block_rows)
-        out[s] = (float(own), min(blocks, math.ceil(own)), blocks)
+        blocks = -(-n // block_rows)
+        out[s] = (min(blocks, -(-weights[s] * rows // (total * block_rows))), blocks)
     return out
 
 
-class Frames:
-    """Frames of a schedule: ``own`` fluid and ``blocks`` whole blocks by source."""
-
-    def __init__(self, own, blocks, frame: int):
-        self.own, self.blocks = np.array(own, float), np.array(blocks, np.int64)
-        self.count = math.ceil(max(self.own.sum(), self.blocks.sum()) / frame)
+def phases(weights: list[int], blocks: list[int]) -> list[tuple[Fraction, int, int]]:
+    """The fluid schedule between exits: (blocks per unit of weight at the end, blocks
+    of the sources that have left, weight of the others)."""
+    out, gone, rate = [], 0, sum(weights)
+    leaves = sorted((Fraction(b, w), b, w) for w, b in zip(weights, blocks))
+    for k, (end, b, w) in enumerate(leaves):
+        if not out or out[-1][0] != end:
+            out.append((end, gone, rate))
+        gone, rate = gone + b, rate - w
+    return out
 
-    def before(self, f: int) -> np.ndarray:
-        """Blocks of each source before frame ``f``."""
-        if f >= self.count:
-            return self.blocks
-        return np.minimum(self.blocks, np.floor(self.own * (f / self.count) + 0.5).astype(np.int64))
 
-    def schedule(self, f: int):
-        """(source number, block, release, deadline, slot) of the frame's blocks."""
-        first, after = self.before(f), self.before(f + 1)
-        start, some = int(first.sum()), np.flatnonzero(after > first)
-        for s, k, release, deadline, slot in frame_schedule({int(s): int(after[s] - first[s]) for s in some}):
-            yield s, int(first[s]) + k, start + release, start + deadline, start + slot
+def windows(weight: int, blocks: int, fluid: list[tuple[Fraction, int, int]]) -> Iterator[tuple[int, int, int]]:
+    """(release, deadline, block) of a source's blocks, in order."""
+    at = 0
+    for k in range(blocks):
+        end, gone, rate = fluid[at]
+        release = gone + rate * k // weight
+        while (k + 1) * end.denominator > end.numerator * weight:
+            at += 1
+            end, gone, rate = fluid[at]
+        yield release, gone - (-rate * (k + 1) // weight), k
+
+
+def schedule(weights: list[int], blocks: list[int]) -> Iterator[tuple[int, int, int, int, int]]:
+    """(source number, block, release, deadline, slot) in slot order: earliest deadline
+    first among the released blocks, ties by source number."""
+    some = [s for s, b in enumerate(blocks) if b]
+    fluid = phases([weights[s] for s in some], [blocks[s] for s in some])
+    of = {s: windows(weights[s], blocks[s], fluid) for s in some}
+    waiting = [(*next(of[s]), s) for s in some]
+    heapq.heapify(waiting)
+    ready = []
+    for slot in range(sum(blocks)):
+        while waiting and waiting[0][0] <= slot:
+            release, deadline, k, s = waiting[0]
+            heapq.heappush(ready, (deadline, s, k, release))
+            following = next(of[s], None)
+            if following is None:
+                heapq.heappop(waiting)
+            else:
+                heapq.heapreplace(waiting, (*following, s))
+        deadline, s, k, release = heapq.heappop(ready)
+        yield s, k, release, deadline, slot
 
 
-def _scheduled(spark, names: list[str], own, blocks, frame: int, skip: list[int], start: int, in_mix: bool) -> DataFrame:
-    """A row for every block: the sources' blocks from ``skip`` on, in slots from ``start`` on."""
-    frames = Frames(own, blocks, frame)
-    shared = share(spark, (names, frames, skip))
+def _scheduled(spark, names: list[str], parts: list[tuple[list[int], list[int], list[int], bool]]) -> DataFrame:
+    """A row for every block.  ``parts`` follow each other: (weights, blocks, number of the
+    first block by source, whether it is the mixture)."""
+    shared = share(spark, (names, parts))
 
     def run(batches):
-        names, frames, skip = shared()
-        for batch in batches:
-            for f in batch.column(0).to_pylist():
-                rows = list(frames.schedule(f))
-                if rows:
-                    s, k, release, deadline, slot = zip(*rows)
+        names, parts = shared()
+        for _ in (row for batch in batches for row in range(batch.num_rows)):
+            start = 0
+            for weights, blocks, skip, in_mix in parts:
+                rows = schedule(weights, blocks)
+                while some := list(islice(rows, 1 << 16)):
+                    s, k, release, deadline, slot = zip(*some)
                     yield pa.record_batch([
                         pa.array([names[x] for x in s], pa.string()), pa.array([skip[x] + y for x, y in zip(s, k)], pa.int64()),
-                        *[pa.array(np.array(x, np.int64) + start) for x in (release, deadline, slot)]],
-                        names=["source", "block", "release", "deadline", "slot"])
+                        *[pa.array([start + y for y in x], pa.int64()) for x in (release, deadline, slot)],
+                        pa.array([in_mix] * len(s))], names=["source", "block", "release", "deadline", "slot", "in_mix"])
+                start += sum(blocks)
 
-    parts = max(1, min(frames.count, max(spark.sparkContext.defaultParallelism, frames.count // 100)))
-    return spark.range(0, frames.count, 1, parts).mapInArrow(
-        run, "source string, block long, release long, deadline long, slot long").withColumn("in_mix", F.lit(in_mix))
+    return spark.range(0, 1, 1, 1).mapInArrow(
+        run, "source string, block long, release long, deadline long, slot long, in_mix boolean")
 
 
 def pfair_mix(docs: DataFrame, weights: dict[str, float] | None = None, id_col: str = "doc_id",
-              source_col: str = "source", block_rows: int = 16, exponent: float = 0.9,
-              frame: int = FRAME, rows_per_part: int = 2000) -> DataFrame:
+              source_col: str = "source", block_rows: int | None = None, exponent: float = 0.9,
+              rows_per_part: int = 2000) -> DataFrame:
     """One row per input row: ``doc_id, source, block, block_row, release,
     deadline, slot, in_mix``.
 
@@ -139,8 +140,10 @@ def pfair_mix(docs: DataFrame, weights: dict[str, float] | None = None, id_col:
     ``slot`` count slots from the start.  ``in_mix`` marks the rows up to the
     source's weight (in whole blocks); the mixture has a block in every slot
     from 0 on, and blocks held back follow it.  ``weights`` maps sources to positive
-    numbers; by default they follow from the row counts.  Sources without a
-    weight are an error, weights of absent sources are ignored.  A null source
+    numbers (taken to 2^-40 of the largest); by default they follow from the row
+    counts.  Sources without a weight are an error, weights of absent sources are
+    ignored.  A block has ``block_rows`` rows, by default 16 or as many as make
+    ``SLOTS`` blocks of all rows.  A null source
     is the source ''.  Rows of a source are ordered by id hash, id (nulls
     first), so copies and runs of ids are spread; equal rows are
     interchangeable.  An empty table gives an empty result.  The driver holds a
@@ -157,14 +160,14 @@ def pfair_mix(docs: DataFrame, weights: dict[str, float] | None = None, id_col:
         weights = source_weights(sizes, exponent)
     if missing := sorted(set(sizes) - set(weights)):
         raise ValueError(f"no weight for sources {missing[:5]}")
-    names = sorted(sizes)
-    quota = quotas(sizes, weights, block_rows) if sizes else {}
-    own, kept, left = [quota[s][0] for s in names], [quota[s][1] for s in names], [quota[s][2] - quota[s][1] for s in names]
-    slots = _scheduled(spark, names, own, kept, frame, [0] * len(names), 0, True).union(
-        _scheduled(spark, names, left, left, frame, kept, sum(kept), False))
+    block_rows = block_rows or max(BLOCK_ROWS, math.ceil(sum(sizes.values()) / SLOTS))
+    names, units = sorted(sizes), whole_weights({s: weights[s] for s in sizes})
+    quota = quotas(sizes, units, block_rows)
+    kept, left = [quota[s][0] for s in names], [quota[s][1] - quota[s][0] for s in names]
+    slots = _scheduled(spark, names, [([units[s] for s in names], kept, [0] * len(names), True), (left, left, kept, False)])
 
     of = spark.createDataFrame([(s, -(-sizes[s] // rows_per_part)) for s in names], "source string, parts long")
-    rows = rows.join(F.broadcast(of), "source").withColumn("h", F.xxhash64("doc_id")).withColumn(
+    rows = rows.join(of, "source").withColumn("h", F.xxhash64("doc_id")).withColumn(
         "part", F.floor(F.shiftrightunsigned("h", 33) * F.col("parts") / F.lit(1 << 31)).cast("long")).drop("parts")
     before = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = rows.groupBy("source", "part").agg(F.count(F.lit(1)).alias("n")).select(
@@ -174,5 +177,5 @@ def pfair_mix(docs: DataFrame, weights: dict[str, float] | None = None, id_col:
     number = F.col("i") + F.col("offset")
     numbered = numbered.select("doc_id", "source", F.floor(number / block_rows).alias("block"),
                                (number % block_rows).cast("int").alias("block_row"))
-    return numbered.join(slots, ["source", "block"]).select(
+    return numbered.join(slots.hint("merge"), ["source", "block"]).select(
         "doc_id", "source", "block", "block_row", "release", "deadline", "slot", "in_mix")

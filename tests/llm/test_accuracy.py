@@ -4,6 +4,7 @@ import math
 import random
 import re
 from collections import Counter, defaultdict
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -307,14 +308,48 @@ def test_documents_with_whole_test_items_are_found(spark):
 
 def test_pfair_deviation_stays_under_one_block():
     rnd = random.Random(2)
-    for weights in ({"a": 1.0}, {"a": 1, "b": 1}, {"a": 0.7, "b": 0.2, "c": 0.1}, {f"s{k}": rnd.random() + 0.01 for k in range(23)}):
-        share = mixing.frame_shares(weights, 1000)
-        assert sum(share.values()) == 1000
-        done = dict.fromkeys(share, 0)
-        for t, (s, k, release, deadline, slot) in enumerate(mixing.frame_schedule(share)):
+    for weights in ([1], [1, 1], [7, 2, 1], [rnd.randrange(1, 100) for _ in range(23)], [10 ** 6, 999, 7, 1],
+                    [int(1e6 / (k + 1) ** 1.3) for k in range(120)]):
+        scale = 6000 / sum(weights)
+        blocks = [max(1, round(w * scale * rnd.choice([1, 1, 0.4]))) for w in weights]
+        total = sum(weights)
+        done, first = [0] * len(weights), None
+        for t, (s, k, release, deadline, slot) in enumerate(mixing.schedule(weights, blocks)):
             assert slot == t and release <= slot < deadline and k == done[s]
             done[s] += 1
-            assert all(abs(done[x] * 1000 - share[x] * (t + 1)) < 1000 for x in share)
+            if (t + 1) * max(w / b for w, b in zip(weights, blocks)) < total:           # no source has left
+                assert all(abs(d * total - w * (t + 1)) < total for d, w in zip(done, weights))
+                first = t
+        assert done == blocks and first is not None
+        def spent(v):
+            return sum(min(b, w * v) for w, b in zip(weights, blocks))
+        for s, w in enumerate(weights):
+            for release, deadline, k in list(mixing.windows(w, blocks[s], mixing.phases(weights, blocks)))[:50]:
+                assert release == math.floor(spent(Fraction(k, w))) and deadline == math.ceil(spent(Fraction(k + 1, w)))
+
+
+def test_the_output_keeps_the_target_weights(spark):
+    sizes = {"hot": 30000, "b": 9000, "c": 2500, "d": 700, "e": 130, "f": 21}
+    docs = spark.createDataFrame([(k, s) for s, n in sizes.items() for k in range(n)], "doc_id long, source string")
+    weights = {"hot": 0.6, "b": 0.3, "c": 0.07, "d": 0.02, "e": 0.009, "f": 0.001}
+    got = mixing.pfair_mix(docs, weights=weights, block_rows=8).groupBy("slot", "source", "in_mix").count().collect()
+    done, total = Counter(), sum(map(Fraction, weights.values()))
+    leaves = min(-(-n // 8) / weights[s] for s, n in sizes.items())
+    checked = 0
+    for r in sorted((r for r in got if r.in_mix), key=lambda r: r.slot):
+        done[r.source] += 1
+        if r.slot + 1 < leaves:
+            checked += 1
+            assert all(abs(done[s] - Fraction(w) / total * (r.slot + 1)) < 1 for s, w in weights.items())
+    assert checked == 1888       # e leaves after 17 / 0.009 slots
+
+
+def test_blocks_grow_with_the_corpus(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "SLOTS", 50)
+    docs = spark.range(5000).selectExpr("id doc_id", "if(id % 3 = 0, 'a', 'b') source")
+    got = mixing.pfair_mix(docs).collect()
+    assert len(got) == 5000 and max(r.block_row for r in got) == 99 and max(r.slot for r in got) <= 52
+    assert all(r.release <= r.slot < r.deadline for r in got)
 
 
 def test_mixture_of_the_documents(spark):
