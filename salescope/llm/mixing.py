@@ -35,6 +35,8 @@ from .inputs import pick, share
 
 #: least rows of a block, and most blocks of a schedule
 BLOCK_ROWS, SLOTS = 16, 1 << 22
+#: sources whose part counts are broadcast; more of them meet the rows in a shuffle
+BROADCAST_SOURCES = 100_000
 #: weights are integers up to this one
 _UNIT = 1 << 40
 
@@ -167,6 +169,7 @@ def pfair_mix(docs: DataFrame, weights: dict[str, float] | None = None, id_col:
     slots = _scheduled(spark, names, [([units[s] for s in names], kept, [0] * len(names), True), (left, left, kept, False)])
 
     of = spark.createDataFrame([(s, -(-sizes[s] // rows_per_part)) for s in names], "source string, parts long")
+    of = F.broadcast(of) if len(names) <= BROADCAST_SOURCES else of
     rows = rows.join(of, "source").withColumn("h", F.xxhash64("doc_id")).withColumn(
         "part", F.floor(F.shiftrightunsigned("h", 33) * F.col("parts") / F.lit(1 << 31)).cast("long")).drop("parts")
     before = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
