@@ -3,16 +3,19 @@
 Every page is parsed once, in a task, into its element tree.  The content roots
 are all ``main`` and ``article`` elements (else the body); elements whose tag,
 role or style marks them (navigation, footers, asides, forms, scripts, hidden
-parts) and adverts are left out.  All other subtrees below the roots but those
-of an article's paragraphs may belong to the site's template: their hashes (tag,
+parts) or whose class or id is the very name of such a part (``comments``,
+``site-header``, ``ad``) are left out, also on a host of one page.  All other
+subtrees below the roots may belong to the site's template: their hashes (tag,
 class, texts and child hashes) are counted per host in Spark, and a subtree that
-occurs on many pages of its host is deleted.  Class and id words are hints: such
-an element is counted by its mark, too, and goes if the mark recurs on the host,
-whatever it holds.  A marked element that is the host's only one stays.
+occurs on many pages of its host is deleted.  Words inside a class or id
+(``related-work``) are hints: such an element is counted by its mark, too, and
+goes if the mark recurs on the host, whatever it holds.  A hinted element that is
+the host's only one stays.
 
 A group of copied pages does not make its article a template: a subtree counts
-once per different main text, not once per page.  Paragraphs of an article are
-content however often they recur.
+once per different main text, not once per page.  Paragraphs of an article,
+passages that several articles share among them, are content unless they stand in
+most of the host's different texts: their blocks are counted on every page, too.
 
 A host may hold any share of the pages: counting is a distinct and a partial
 aggregation.  Decisions return to a page as the list of its own template
@@ -44,14 +47,21 @@ _SIBLINGS = {"li": ("li", "ul ol menu dir"), "dt": ("dt dd", "dl"), "dd": ("dt d
              "td": ("td th", "tr table"), "th": ("td th", "tr table"), "option": ("option", "select datalist")}
 _SIBLINGS = {k: (frozenset(a.split()), frozenset(b.split())) for k, (a, b) in _SIBLINGS.items()}
 _HEAD = frozenset(["head"])
+_PARAGRAPH_ENDS = (frozenset(["p"]), frozenset(["table", "td", "th", "button"]))
 _PARAGRAPH = frozenset("p h1 h2 h3 h4 h5 h6 li blockquote pre table figure figcaption dl dt dd ul ol tr td th tbody thead "
                        "tfoot caption hr address".split())
 
-# Marks of boilerplate; words of the last two are hints that must recur.
+# Marks of boilerplate.  Words of _OFF_WORDS and _HEADER_WORDS are hints that
+# must recur; a class or id that is a name as it stands needs no count.
 _OFF_TAGS = frozenset("nav footer aside form button select menu dialog object canvas audio video".split())
 _OFF_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar".split())
-_AD_WORDS = frozenset("ad ads advert adverts advertisement advertising adsense".split())
-_OFF_WORDS = frozenset("sponsor sponsored promo promotion banner cookie "
+_NAMES = frozenset("ad ads advert adverts advertisement advertising adsense ad-banner ad-box ad-container ad-slot ad-unit "
+                   "ad-wrapper comments comment-list comment-section comments-area comments-section reader-comments "
+                   "disqus_thread cookie-banner cookie-bar cookie-consent cookie-notice cookies sidebar side-bar "
+                   "newsletter newsletter-signup share-buttons social-share".split())
+_SITE_NAMES = frozenset("header masthead page-header site-header topbar footer page-footer site-footer menu main-menu "
+                        "site-menu nav navbar navigation site-nav breadcrumb breadcrumbs".split())
+_OFF_WORDS = frozenset("ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner cookie "
                        "cookies consent gdpr notice popup modal overlay newsletter subscribe signup share sharing social "
                        "comment comments reply replies disqus sidebar menu nav navbar navigation breadcrumb breadcrumbs footer "
                        "related recommended widget pagination pager skip toolbar".split())
@@ -65,11 +75,37 @@ _ATTR = re.compile(r"([^\s=/\"'>]++)\s*+(?:=\s*+(\"[^\"]*+\"|'[^']*+'|[^\s\"'>]+
 _SPLIT = re.compile(r"[^a-z0-9]+")
 
 
+#: usual blocks of all hosts that are broadcast; more of them meet the pages in a shuffle
+BROADCAST_BLOCKS = 100_000
+
+
 class Node:
-    __slots__ = ("tag", "attrs", "children", "off", "digest", "hint")
+    __slots__ = ("tag", "attrs", "children", "off", "digest", "hint", "article")
 
     def __init__(self, tag: str, attrs: dict):
-        self.tag, self.attrs, self.children, self.off, self.digest, self.hint = tag, attrs, [], False, None, None
+        self.tag, self.attrs, self.children, self.off, self.digest, self.hint, self.article = tag, attrs, [], False, None, None, False
+
+
+class _Open:
+    """The open elements, and where those of each tag stand: no step walks the stack."""
+
+    def __init__(self, root: Node):
+        self.stack, self.places = [root], {}
+
+    def push(self, node: Node) -> None:
+        self.places.setdefault(node.tag, []).append(len(self.stack))
+        self.stack.append(node)
+
+    def nearest(self, tags: frozenset) -> int:
+        """Place of the innermost open element of ``tags``, 0 without one."""
+        return max((at[-1] for at in map(self.places.get, tags) if at), default=0)
+
+    def close(self, tags: frozenset, limits: frozenset = frozenset()) -> None:
+        """Close the innermost of ``tags`` unless one of ``limits`` is further in."""
+        at = self.nearest(tags)
+        if at and at > self.nearest(limits):
+            while len(self.stack) > at:
+                self.places[self.stack.pop().tag].pop()
 
 
 def _attributes(raw: str) -> dict:
@@ -87,7 +123,8 @@ def parse(page: str) -> Node:
     """Element tree of a page; unclosed, stray and cut-off tags are tolerated.
     Raw-text elements keep no content; text is decoded."""
     root = Node("#root", {})
-    stack, at, lower = [root], 0, None
+    opened, at, lower = _Open(root), 0, None
+    stack = opened.stack
     for m in iter(lambda: _TOKEN.search(page, at), None):
         if m.start() > at:
             stack[-1].children.append(_html.unescape(page[at:m.start()]))
@@ -101,17 +138,14 @@ def parse(page: str) -> Node:
         if close:
             if tag == "br":
                 stack[-1].children.append(" ")
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == tag:
-                    del stack[k:]
-                    break
+            opened.close((tag,))
             continue
         if tag in _CLOSES_P:
-            _close(stack, frozenset(["p"]), frozenset(["table", "td", "th", "button"]))
+            opened.close(*_PARAGRAPH_ENDS)
         elif tag in _SIBLINGS:
-            _close(stack, *_SIBLINGS[tag])
+            opened.close(*_SIBLINGS[tag])
         if tag == "body":
-            _close(stack, _HEAD, frozenset())
+            opened.close(_HEAD)
         if tag == "br":
             stack[-1].children.append(" ")
         if tag in _VOID:
@@ -132,7 +166,7 @@ def parse(page: str) -> Node:
                 end = page.find(">", end)
                 at = len(page) if end < 0 else end + 1
             continue
-        stack.append(node)
+        opened.push(node)
     if at < len(page):
         stack[-1].children.append(_html.unescape(page[at:]))
     return root
@@ -141,18 +175,8 @@ def parse(page: str) -> Node:
 _ASCII_LOWER = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
 
 
-def _close(stack: list, tags: frozenset, limits: frozenset) -> None:
-    """Close the nearest of ``tags`` unless one of ``limits`` is nearer."""
-    for k in range(len(stack) - 1, 0, -1):
-        if stack[k].tag in tags:
-            del stack[k:]
-            return
-        if stack[k].tag in limits:
-            return
-
-
 def _marked(node: Node, in_article: bool) -> bool:
-    """Whether tag, role or style, or words of adverts, mark the node as boilerplate."""
+    """Whether tag, role, style or name mark the node as boilerplate."""
     if node.tag in _OFF_TAGS or node.tag in _RAW or node.tag == "head":
         return True
     if node.tag == "header" and not in_article:
@@ -164,7 +188,8 @@ def _marked(node: Node, in_article: bool) -> bool:
         return True
     if "style" in a and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", a["style"]):
         return True
-    return bool(_words(a) & _AD_WORDS)
+    names = {*a.get("class", "").split(), a.get("id")}
+    return not names.isdisjoint(_NAMES if in_article else _NAMES | _SITE_NAMES)
 
 
 def _words(attrs: dict) -> set:
@@ -187,13 +212,10 @@ def _walk(root: Node):
         todo += [c for c in reversed(node.children) if isinstance(c, Node)]
 
 
-def _holds(node: Node, tags: tuple) -> bool:
-    return any(n.tag in tags for n in _walk(node))
-
-
-def _articles_in(node: Node) -> bool:
-    """Whether another element inside the node is an article or the main part."""
-    return any(n is not node and n.tag in ("article", "main") for n in _walk(node))
+def _find_articles(root: Node) -> None:
+    """Set ``article`` of all nodes that hold an article or main element below them."""
+    for node in reversed(list(_walk(root))):
+        node.article = any(c.article or c.tag in ("article", "main") for c in node.children if isinstance(c, Node))
 
 
 def mark(root: Node) -> list[Node]:
@@ -201,13 +223,14 @@ def mark(root: Node) -> list[Node]:
     gets a ``hint``.  Outside an article, a marked node that holds one is kept for
     its sake."""
     found, body = [], root
+    _find_articles(root)
     todo = [(root, False, False)]
     while todo:
         node, in_article, in_root = todo.pop()
         if node.tag == "body":
             body = node
         elif node.tag not in ("#root", "html"):
-            if _marked(node, in_article) and (in_article or not _articles_in(node)):
+            if _marked(node, in_article) and (in_article or not node.article):
                 node.off = True
                 continue
             node.hint = _hint(node, in_article)
@@ -293,12 +316,14 @@ def _read(page: str | None, template: set[int] | None = None):
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html",
-            min_pages: int = 3, min_share: float = 0.02, enough: int = 20) -> DataFrame:
+            min_pages: int = 3, min_share: float = 0.02, enough: int = 20, most: float = 0.5) -> DataFrame:
     """One row per input row: ``page_id, url, text, n_chars``.
 
     A subtree (or the mark of an element) is a template if it occurs with at least
     ``min_pages`` different main texts of its host and with ``min_share`` of the
-    host's different main texts, or with ``enough`` of them on a host of any size.  If
+    host's different main texts, or with ``enough`` of them on a host of any size.  A
+    block of any kind goes if it stands in ``enough`` different main texts of the
+    host and in more than the share ``most`` of them.  If
     nothing but templates would remain, the result is empty text.  Null and
     empty pages give empty text; a null or malformed URL belongs to the host ''.
     Repeated rows give repeated results.  An empty table gives an empty result.
@@ -322,10 +347,28 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
 
     parsed = cut_lineage(rows.mapInArrow(
         read, f"page_id {id_type}, url string, host string, text string, nodes array<long>, html string"), "pages")
-    settled = parsed.filter("html is null").select("page_id", "url", "text")
+    settled = parsed.filter("html is null").select("page_id", "url", "host", "text")
     if not parsed.filter("html is not null").isEmpty():
         settled = settled.union(_without_templates(parsed, id_type, min_pages, min_share, enough))
-    return settled.withColumn("n_chars", F.length("text").cast("long"))
+    return _without_usual_blocks(settled, parsed, enough, most).select(
+        "page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+def _without_usual_blocks(texts: DataFrame, parsed: DataFrame, enough: int, most: float) -> DataFrame:
+    """``texts`` without the blocks that most of their host's different main texts hold."""
+    mains = parsed.select("host", F.xxhash64("text").alias("main")).distinct().groupBy("host").agg(F.count(F.lit(1)).alias("mains"))
+    blocks = parsed.filter("text != ''").select(
+        "host", F.xxhash64("text").alias("main"), F.explode(F.transform(F.split("text", "\n"), lambda b: F.xxhash64(b))).alias("block"))
+    usual = blocks.distinct().groupBy("host", "block").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= enough)
+    usual = cut_lineage(usual.join(mains, "host").filter(F.col("n") > F.col("mains") * most)
+                        .groupBy("host").agg(F.collect_list("block").alias("usual")), "usual-blocks")
+    n = usual.select(F.coalesce(F.sum(F.size("usual")), F.lit(0))).first()[0]
+    if not n:
+        return texts
+    usual = F.broadcast(usual) if n <= BROADCAST_BLOCKS else usual
+    rest = F.filter(F.split("text", "\n"), lambda b: ~F.array_contains("usual", F.xxhash64(b)))
+    return texts.join(usual, "host", "left").withColumn(
+        "text", F.when(F.col("usual").isNull(), F.col("text")).otherwise(F.array_join(rest, "\n")))
 
 
 def _without_templates(parsed: DataFrame, id_type: str, min_pages: int, min_share: float, enough: int) -> DataFrame:
@@ -343,9 +386,9 @@ def _without_templates(parsed: DataFrame, id_type: str, min_pages: int, min_shar
     def delete(batches):
         for batch in batches:
             texts = [_read(page, set(template))[0] if template else text for text, page, template in
-                     zip(*(batch.column(k).to_pylist() for k in (2, 3, 4)))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())],
-                                             names=["page_id", "url", "text"])
+                     zip(*(batch.column(k).to_pylist() for k in (3, 4, 5)))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(texts, pa.string())],
+                                             names=["page_id", "url", "host", "text"])
 
-    joined = unsettled.join(of_page, ["host", "page_key"], "left").select("page_id", "url", "text", "html", "template")
-    return joined.mapInArrow(delete, f"page_id {id_type}, url string, text string")
+    joined = unsettled.join(of_page, ["host", "page_key"], "left").select("page_id", "url", "host", "text", "html", "template")
+    return joined.mapInArrow(delete, f"page_id {id_type}, url string, host string, text string")

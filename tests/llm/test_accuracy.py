@@ -426,6 +426,50 @@ def test_templates_are_found_among_copies_and_on_large_hosts(spark):
     assert all(x == f"story {k}" for k, x in texts_of(spark, banner).items())
 
 
+def test_blocks_of_most_texts_of_a_host_go_also_from_articles(spark, monkeypatch):
+    page = "<article><p>This site uses cookies</p><p>own {k}</p>{more}</article>"
+    pages = [(k, "https://one.example/a", page.format(k=k, more="<p>a shared passage</p>" * (k % 3 == 0))) for k in range(30)]
+    pages += [(100 + k, "https://two.example/a", page.format(k=k, more="")) for k in range(12)]       # too few to tell
+    want = {k: f"own {k}" + "\na shared passage" * (k % 3 == 0) for k in range(30)}
+    want |= {100 + k: f"This site uses cookies\nown {k}" for k in range(12)}
+    assert texts_of(spark, pages) == want
+    monkeypatch.setattr(html_extract, "BROADCAST_BLOCKS", 0)
+    assert texts_of(spark, pages) == want
+
+
+def test_named_parts_go_from_a_host_of_one_page(spark):
+    page = ("<div class='site-header'>Site</div><div id='menu'>a b</div><div class='text'><p class='ad-hoc'>story</p>"
+            "<div id='ads-in-history'>more</div></div><div class='list comments'>hi</div><div class='footer'>f</div>")
+    article = "<article><p>own</p><section class=comments>reader says hi</section><h2 id='footer'>notes</h2></article>"
+    got = texts_of(spark, [(1, "https://one.example/a", page), (2, "https://two.example/a", article)])
+    assert got == {1: "story\nmore", 2: "own\nnotes"}
+
+
+def test_templates_against_a_plain_counter(spark):
+    rnd = random.Random(8)
+    parts = [f"part {k}" for k in range(40)]
+    pages, plain = [], {}
+    for k in range(120):
+        host, own = f"h{k % 3}", [parts[int(40 * rnd.random() ** 2)] for _ in range(6)]
+        plain[k] = (host, [*own, f"text {k}"])
+        pages.append((k, f"https://{host}.example/", "<body>" + "".join(f"<div>{x}</div>" for x in plain[k][1]) + "</body>"))
+    want = {}
+    for k, (host, blocks) in plain.items():
+        mates = [set(b) for h, b in plain.values() if h == host]
+        often = {x: sum(x in m for m in mates) for x in blocks}
+        want[k] = "\n".join(x for x in blocks if not (often[x] >= 3 and often[x] >= min(0.02 * len(mates), 20)))
+    assert texts_of(spark, pages) == want
+
+
+def test_pages_of_open_tags_are_read_in_a_moment():
+    import time
+    start = time.monotonic()
+    for page in ("<div>" * 100_000 + "x", "<nav>" * 50_000 + "<article>x</article>", "<p><b>" * 50_000 + "</i>" * 50_000 + "x"):
+        text, _ = html_extract._read(page)
+        assert text == "x"
+    assert time.monotonic() - start < 30
+
+
 def test_pages_give_their_articles(spark):
     import html
     pages = {r.page_id: r.html for r in read_table(spark, SF, "pages").collect()}
