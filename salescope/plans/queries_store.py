@@ -9,6 +9,7 @@ from functools import reduce
 from pyspark.sql import functions as F
 
 from ..operators import clients as CL
+from ..operators import collated as CO
 from ..operators import daily as DY
 from ..operators import evolution as EV
 from ..operators import ingest as I
@@ -17,6 +18,7 @@ from ..operators import leads as L
 from ..operators import sales as S
 from ..operators.filters import lead_multi_filter, lead_search_text
 from ..session import checkpoint_dir
+from ..sources import bucketed as BK
 from ..sources import clustered as CS
 from ..sources import delimited as DL
 from ..sources import quoted as QD
@@ -348,3 +350,48 @@ def q_lead_filter_indexed(spark, d):
     e = L.leads_enriched(TB.leads(spark, d), TB.clients(spark, d))
     store = TG.build_trigrams(e, lead_search_text(), _trigram_path(spark))
     return lead_multi_filter(store.search(" Ads Customer#0000000"), AS_OF).filter("status <> 'lost'")
+
+
+# Tables in buckets of the client id
+def _client_store(spark, d):
+    return BK.write_buckets(spark, {
+        "sales": (TB.sales(spark, d), "client_id"), "clients": (TB.clients(spark, d), "id"),
+        "leads": (TB.leads(spark, d), "client_id"), "events": (TB.funnel_events(spark, d), "client_id")})
+
+
+@register("all_clients_stats_bucketed", ORACLE["all_clients_stats"])
+def q_all_clients_stats_bucketed(spark, d):
+    return _client_store(spark, d).run(CL.all_clients_stats, "sales", "clients")
+
+
+@register("client_360_bucketed", ORACLE["client_360"])
+def q_client_360_bucketed(spark, d):
+    return _client_store(spark, d).run(CL.customer_360, "sales", "clients", "leads", "events")
+
+
+@register("last_sales_per_client_bucketed", ORACLE["last_sales_per_client"])
+def q_last_sales_per_client_bucketed(spark, d):
+    return _client_store(spark, d).run(CL.last_sales_per_client, "sales")
+
+
+# Names of several spellings, compared by collation
+_SPELT = """spelt as (
+select cast(c_custkey as varchar) as id, case c_custkey % 5 when 0 then 'Société ' when 1 then 'SOCIÉTÉ '
+       when 2 then 'Socie' || chr(769) || 'te' || chr(769) || ' ' when 3 then chr(65331) || 'ociété ' else 'Societe ' end
+       || (c_custkey * 7 // 2) % 700 as name from customer),
+folded as (select *, lower(replace(nfc_normalize(name), chr(65331), 'S')) as k from spelt)"""
+
+
+@register("same_names_collated", f"""
+with {_SPELT}
+select min(name) as name, count(*) as n_clients, count(distinct name) as n_spellings, min(id) as first_id
+from folded group by k having count(*) > 1""")
+def q_same_names_collated(spark, d):
+    return CO.same_names(TB.spelt_clients(spark, d))
+
+
+@register("name_flags_collated", f"""
+with {_SPELT}
+select id, name, min(id) over (partition by k) as same_name_as from folded""")
+def q_name_flags_collated(spark, d):
+    return CO.name_flags(TB.spelt_clients(spark, d))

@@ -62,6 +62,16 @@ def sales_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
         "client_id", "product_type", "price", "date")
 
 
+def spelt_clients(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``id, name``: every customer, names shared by several and spelt in five ways
+    (as is, upper case, decomposed, with a full-width letter, without accents)."""
+    c = read_table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"))
+    spelling = F.element_at(F.array(*map(F.lit, [
+        "Soci\u00e9t\u00e9 ", "SOCI\u00c9T\u00c9 ", "Socie\u0301te\u0301 ", "\uff33oci\u00e9t\u00e9 ", "Societe "])),
+        (F.col("k") % 5 + 1).cast("int"))
+    return c.select(_s("k").alias("id"), F.concat(spelling, (F.floor(F.col("k") * 7 / 2) % 700).cast("string")).alias("name"))
+
+
 def clients(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Client master: 9 of 10 customers plus every supplier (clients without sales)."""
     c = read_table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey")
