@@ -1,7 +1,11 @@
 """Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
-1. An item's seeds are all of its n-grams, so every stretch of the item has some,
-   however common they are and however few of them occur anywhere.
+1. A document and an item meet by the item's n-grams: by one of its rarest, and by as
+   many of all as an alignment at the threshold leaves intact.  A replaced or left-out
+   word costs three points of the alignment's score and breaks two pairs of words, so
+   a copy that reaches the threshold keeps a known number of pairs (``least_seeds``),
+   and one of any set that leaves out fewer: the item's most common pairs, by the
+   number of items that hold them, are not needed to find it.
 2. Where a seed occurs, stretches that hold too few of the item's words for the
    threshold are left out: no alignment with them could reach it.
 3. The item is aligned with the words that are left by local alignment.  The
@@ -16,7 +20,7 @@ Documents never move: the pass is narrow.
 from __future__ import annotations
 
 import math
-from collections import OrderedDict, defaultdict
+from collections import OrderedDict
 
 import numpy as np
 import pyarrow as pa
@@ -26,52 +30,113 @@ from pyspark.sql import functions as F
 from . import textbytes as tb
 from .inputs import pick, share
 
-#: words of a seed
-SEED = 3
+#: words of a seed (items of fewer than three times as many words: one more, or the whole item)
+SEED = 2
 #: least share of a perfect copy's alignment score
 THRESHOLD = 0.5
 _MATCH, _MISMATCH, _GAP = 2, -1, -1
 _CACHE = 20_000
 
 
+def seed_length(length: int, n: int) -> int:
+    """Words of the seeds of an item of ``length`` words."""
+    return n if length >= 3 * n else min(length, n + 1)
+
+
+def least_seeds(length: int, n: int, threshold: float) -> int:
+    """How many of an item's seeds occur in a text that reaches the threshold.  The
+    alignment may lose ``2 * (1 - threshold) * length`` points: a replaced or missing
+    word costs three and breaks ``n`` seeds, a word cut off at the ends costs two and
+    breaks one, an added word costs one and breaks ``n - 1`` (up to half of the loss
+    may be added words; beyond that a single seed finds the text, if one is intact)."""
+    if length < 3 * n:
+        return 1
+    loss = 2 * (1 - threshold) * length
+    return max(1, math.ceil(length - (n - 1) - loss / 2 * (n - 1) - loss / 2 * n / 3 - 1e-9))
+
+
+class Seeds:
+    """The n-grams of the items of a block that have seeds of ``n`` words: sorted grams,
+    and the (item, place) pairs behind each; ``rare`` marks those that find an item."""
+
+    def __init__(self, n: int, grams: np.ndarray, items: np.ndarray, places: np.ndarray, need: np.ndarray):
+        self.n = n
+        self.grams, of = np.unique(grams, return_inverse=True)
+        held = np.unique(np.stack([of, items]), axis=1)[0] if len(of) else of
+        common = np.bincount(held, minlength=len(self.grams))[of]
+        # the least common of every item first; all but need - 1 of them are seeds
+        order = np.lexsort((grams, common, items))
+        first = np.searchsorted(items[order], items[order], "left")
+        last = np.searchsorted(items[order], items[order], "right")
+        rare = np.zeros(len(of), bool)
+        rare[order] = np.arange(len(of)) - first < last - first - (need[items[order]] - 1)
+        by_gram = np.argsort(of, kind="stable")
+        self.items, self.places, self.rare = items[by_gram], places[by_gram], rare[by_gram]
+        self.start = np.searchsorted(of[by_gram], np.arange(len(self.grams) + 1))
+
+    def behind(self, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(index of the gram given, index of the pair) of all pairs behind grams."""
+        size = self.start[grams + 1] - self.start[grams]
+        of = np.repeat(np.arange(len(grams)), size)
+        return of, np.arange(len(of)) - np.repeat(np.cumsum(size) - size, size) + self.start[grams][of]
+
+
 class Items:
-    """A block of test items: word hashes, and the items behind each n-gram."""
+    """A block of test items: word hashes and seeds."""
 
-    def __init__(self, ids: list, texts: list, n: int):
+    def __init__(self, ids: list, texts: list, n: int, threshold: float):
         column = pa.array(texts, pa.string())
-        self.n, self.ids, self.words = n, list(ids), []
-        places = defaultdict(list)
+        self.ids, self.words = list(ids), []
         for a, b, data, offsets in tb.slices(column):
             words, rows = tb.word_hashes(data, offsets, tb.WORD_BYTES)
             at = np.searchsorted(rows, np.arange(b - a + 1))
             self.words += [words[at[k]:at[k + 1]] for k in range(b - a)]
-        for item, words in enumerate(self.words):
-            grams, first = tb.ngram_hashes(words, np.zeros(len(words), np.int64), n)
-            for g, k in zip(grams.tolist(), first.tolist()):
-                places[g].append((item, k))
-        self.grams = np.array(sorted(places), np.uint64)
-        self.places = [places[g] for g in self.grams.tolist()]
         self.distinct = [np.unique(words) for words in self.words]
+        self.need = np.array([least_seeds(len(w), n, threshold) for w in self.words], np.int64)
+        self.seeds = []
+        for k in sorted({seed_length(len(w), n) for w in self.words if len(w)}):
+            parts = [(item, *tb.ngram_hashes(w, np.zeros(len(w), np.int64), k))
+                     for item, w in enumerate(self.words) if len(w) and seed_length(len(w), n) == k]
+            self.seeds.append(Seeds(k, np.concatenate([g for _, g, _ in parts]),
+                                    np.concatenate([np.full(len(g), item) for item, g, _ in parts]),
+                                    np.concatenate([at for _, _, at in parts]), self.need))
 
     def hits(self, column: pa.Array):
-        """(row, words of the row, n-gram indexes, their word positions) of the
-        rows of a text column in which an n-gram of the block occurs."""
+        """(row, words of the row, item, places in the row where the item may start) of the
+        rows and items that have enough seeds in common."""
         for a, _, data, offsets in tb.slices(column):
             words, rows = tb.word_hashes(data, offsets, tb.WORD_BYTES)
-            grams, at = tb.ngram_hashes(words, rows, self.n)
-            if not len(grams) or not len(self.grams):
-                continue
-            k = np.searchsorted(self.grams, grams)
-            k[k == len(self.grams)] = 0
-            found = np.flatnonzero(self.grams[k] == grams)
-            if not len(found):
-                continue
-            of_row = rows[at[found]]
-            cuts = np.flatnonzero(np.diff(of_row)) + 1
-            for part in np.split(np.arange(len(found)), cuts):
-                row = int(of_row[part[0]])
-                lo, hi = np.searchsorted(rows, (row, row + 1))
-                yield a + row, words[lo:hi], k[found[part]], at[found[part]] - lo
+            for seeds in self.seeds:
+                grams, at = tb.ngram_hashes(words, rows, seeds.n)
+                if not len(grams):
+                    continue
+                k = np.searchsorted(seeds.grams, grams)
+                k[k == len(seeds.grams)] = 0
+                found = np.flatnonzero(seeds.grams[k] == grams)
+                if not len(found):
+                    continue
+                of_row = rows[at[found]]
+                for part in np.split(found, np.flatnonzero(np.diff(of_row)) + 1):
+                    row = int(rows[at[part[0]]])
+                    for item, starts in self._enough(seeds, k[part], at[part]):
+                        lo, hi = np.searchsorted(rows, (row, row + 1))
+                        yield a + row, words[lo:hi], item, np.unique(starts - lo)
+
+    def _enough(self, seeds: Seeds, grams: np.ndarray, at: np.ndarray):
+        _, pairs = seeds.behind(np.unique(grams))
+        behind, rare = seeds.items[pairs], seeds.rare[pairs]
+        count = np.bincount(behind)
+        enough = np.flatnonzero(count >= np.maximum(self.need[:len(count)], 1))
+        if not len(enough):
+            return
+        enough = enough[np.isin(enough, behind[rare])]
+        if not len(enough):
+            return
+        of, pairs = seeds.behind(grams)
+        behind = seeds.items[pairs]
+        for item in enough.tolist():
+            some = behind == item
+            yield item, at[of[some]] - seeds.places[pairs[some]]
 
 
 def align(item: np.ndarray, window: np.ndarray) -> tuple[int, int, int]:
@@ -101,17 +166,12 @@ def local_alignment(item: np.ndarray, window: np.ndarray) -> tuple[float, int, i
     return score / (_MATCH * len(item)), j - back, j
 
 
-def _windows(length: int, n_words: int, starts: list[int]):
-    """Word ranges of a document around the places where the item may lie."""
+def _windows(length: int, n_words: int, starts: np.ndarray):
+    """Word ranges of a document around the sorted places where the item may start."""
     slack = length // 2 + 2
-    spans = []
-    for s in sorted(starts):
-        lo, hi = max(0, s - slack), min(n_words, s + length + slack)
-        if spans and lo <= spans[-1][1]:
-            spans[-1][1] = max(hi, spans[-1][1])
-        else:
-            spans.append([lo, hi])
-    return spans
+    lo, hi = np.maximum(starts - slack, 0), np.minimum(starts + length + slack, n_words)
+    cuts = np.flatnonzero(lo[1:] > hi[:-1])
+    return zip(lo[np.append(0, cuts + 1)].tolist(), hi[np.append(cuts, -1)].tolist())
 
 
 def _dense(distinct: np.ndarray, length: int, window: np.ndarray, threshold: float):
@@ -149,31 +209,26 @@ def _matches(items: Items, threshold: float):
                 yield lo + a, lo + b
 
     def run(column):
-        for row, words, grams, at in items.hits(column):
-            starts = defaultdict(set)
-            for g, k in zip(grams.tolist(), at.tolist()):
-                for item, p in items.places[g]:
-                    starts[item].add(k - p)
-            for item in sorted(starts):
-                found = [(s, lo + a, lo + b) for lo, hi in regions(item, words, list(starts[item]))
-                         for s, a, b in [aligned(item, words, lo, hi)] if s >= threshold]
-                if found:
-                    s, a, b = max(found, key=lambda f: (f[0], -f[1]))
-                    yield row, items.ids[item], s, a, b - 1, len(found)
+        for row, words, item, starts in items.hits(column):
+            found = [(s, lo + a, lo + b) for lo, hi in regions(item, words, starts)
+                     for s, a, b in [aligned(item, words, lo, hi)] if s >= threshold]
+            if found:
+                s, a, b = max(found, key=lambda f: (f[0], -f[1]))
+                yield row, items.ids[item], s, a, b - 1, len(found)
     return run
 
 
-def _blocks(benchmark: DataFrame, n: int, block_bytes: int):
+def _blocks(benchmark: DataFrame, n: int, threshold: float, block_bytes: int):
     """The item blocks, one at a time, in the driver."""
     size = benchmark.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, math.ceil(size / block_bytes))
     for b in range(blocks):
         own = benchmark.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b).select("item_id", "text").toArrow()
-        yield Items(own["item_id"].to_pylist(), own["text"].to_pylist(), n)
+        yield Items(own["item_id"].to_pylist(), own["text"].to_pylist(), n, threshold)
 
 
-def _prepared(docs: DataFrame, benchmark: DataFrame, n: int, block_bytes: int):
-    for items in _blocks(benchmark, n, block_bytes):
+def _prepared(docs: DataFrame, benchmark: DataFrame, n: int, threshold: float, block_bytes: int):
+    for items in _blocks(benchmark, n, threshold, block_bytes):
         yield share(docs.sparkSession, items)
 
 
@@ -186,8 +241,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     Words are ASCII letters and digits (A-Z lower-cased) and all non-ASCII
     characters.  ``places`` counts the separate regions that reach the
     threshold; the word range is that of the best one, the first on ties.  Null
-    and empty texts match nothing, and neither do items of fewer than ``seed``
-    words.  Repeated document rows or items give repeated result rows.  An empty
+    and empty texts match nothing; an item of one or two words must occur as a whole, one
+    of three to five words with three in a row (at a ``seed`` of two).  Repeated document rows or items give repeated result rows.  An empty
     table on either side gives an empty result.
     """
     rows = pick(docs, doc_id=id_col, text=text_col)
@@ -195,7 +250,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     types = [rows.schema["doc_id"].dataType.simpleString(), tests.schema["item_id"].dataType.simpleString()]
     schema = f"doc_id {types[0]}, item_id {types[1]}, score double, first_word long, last_word long, places long"
     out = docs.sparkSession.createDataFrame([], schema)
-    for shared in _prepared(rows, tests, seed, block_bytes):
+    for shared in _prepared(rows, tests, seed, threshold, block_bytes):
         def run(batches, shared=shared):
             match = _matches(shared(), threshold)
             for batch in batches:
@@ -217,7 +272,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "te
     """The rows of ``docs`` without a match, all columns as they are."""
     at = docs.columns.index(text_col)
     tests = pick(benchmark, item_id=item_col, text=item_text_col)
-    for shared in _prepared(docs.select(F.col(text_col).alias("text")), tests, seed, block_bytes):
+    for shared in _prepared(docs.select(F.col(text_col).alias("text")), tests, seed, threshold, block_bytes):
         def run(batches, shared=shared):
             match = _matches(shared(), threshold)
             for batch in batches:

@@ -289,6 +289,44 @@ def test_alignment_score_equals_the_textbook_recursion():
         assert decontaminate.align(a, b)[0] == h.max()
 
 
+def test_rare_seeds_lose_no_pair_of_any_alignment(spark):
+    """Equal to Smith-Waterman on all pairs of edited copies and clean texts, 20 to 35 % of the words replaced."""
+    rnd = random.Random(12)
+    common = [f"c{k}" for k in range(25)]
+    word = lambda: rnd.choice(common) if rnd.random() < 0.5 else f"w{rnd.randrange(4000)}"
+    items = [[word() for _ in range(n)] for n in (7, 9, 14, 20, 30, 41, 55, 60)]
+    docs = []
+    for k in range(240):
+        item, rate = items[k % 8], rnd.choice([0, 0.2, 0.25, 0.3, 0.35])
+        copy = [x if rnd.random() > rate else word() for x in item]
+        if k % 5 == 1:
+            copy = [x for x in copy if rnd.random() > 0.12]
+        if k % 5 == 2:
+            copy = [y for x in copy for y in ([x, word()] if rnd.random() < 0.15 else [x])]
+        if k % 5 == 3:
+            copy = copy[:2 * len(copy) // 3]
+        docs.append([word() for _ in range(rnd.randrange(60))] + copy * (k % 7 != 6) + [word() for _ in range(rnd.randrange(60))])
+    third = [x if k % 3 else f"other{k}" for k, x in enumerate(items[7], 1)]          # no three words in a row
+    docs.append([*common, *third, *common])
+    want = set()
+    for i, d in enumerate(docs):
+        for j, x in enumerate(items):
+            names = {w: n for n, w in enumerate({*d, *x})}
+            score = decontaminate.align(np.array([names[w] for w in x]), np.array([names[w] for w in d]))[0]
+            if score >= 0.5 * 2 * len(x):
+                want.add((i, j))
+    frame = spark.createDataFrame([(k, " ".join(d)) for k, d in enumerate(docs)], "doc_id long, text string")
+    tests = spark.createDataFrame([(k, " ".join(x)) for k, x in enumerate(items)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(frame, tests).collect()}
+    assert got == want and len(want) > 120 and (240, 7) in want
+
+
+def test_items_of_one_or_two_words_must_occur_whole(spark):
+    docs = spark.createDataFrame([(1, "an abracadabra here"), (2, "open sesame now"), (3, "open the sesame")], "doc_id long, text string")
+    tests = spark.createDataFrame([(1, "Abracadabra!"), (2, "open sesame"), (3, "...")], "item_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in decontaminate.contaminated(docs, tests).collect()} == {(1, 1), (2, 2)}
+
+
 def test_leaked_items_are_found_however_common(spark):
     item = " ".join(f"a{k}" for k in range(30))
     docs = spark.createDataFrame([(i, f"x{i} y{i} {item if i % 2 else 'none'} z{i}") for i in range(200)], "doc_id long, text string")
