@@ -55,12 +55,17 @@ def least_seeds(length: int, n: int, threshold: float) -> int:
     return max(1, math.ceil(length - (n - 1) - loss / 2 * (n - 1) - loss / 2 * n / 3 - 1e-9))
 
 
+def span(length: int, threshold: float) -> int:
+    """Most words over which an alignment at the threshold spreads."""
+    return math.ceil(length * (3 - 2 * threshold))
+
+
 class Seeds:
     """The n-grams of the items of a block that have seeds of ``n`` words: sorted grams,
     and the (item, place) pairs behind each; ``rare`` marks those that find an item."""
 
     def __init__(self, n: int, grams: np.ndarray, items: np.ndarray, places: np.ndarray, need: np.ndarray):
-        self.n = n
+        self.n, self.least = n, int(need[items].min())
         self.grams, of = np.unique(grams, return_inverse=True)
         held = np.unique(np.stack([of, items]), axis=1)[0] if len(of) else of
         common = np.bincount(held, minlength=len(self.grams))[of]
@@ -93,6 +98,7 @@ class Items:
             self.words += [words[at[k]:at[k + 1]] for k in range(b - a)]
         self.distinct = [np.unique(words) for words in self.words]
         self.need = np.array([least_seeds(len(w), n, threshold) for w in self.words], np.int64)
+        self.span = np.array([span(len(w), threshold) for w in self.words], np.int64)
         self.seeds = []
         for k in sorted({seed_length(len(w), n) for w in self.words if len(w)}):
             parts = [(item, *tb.ngram_hashes(w, np.zeros(len(w), np.int64), k))
@@ -117,26 +123,40 @@ class Items:
                     continue
                 of_row = rows[at[found]]
                 for part in np.split(found, np.flatnonzero(np.diff(of_row)) + 1):
+                    if len(part) < seeds.least:
+                        continue
                     row = int(rows[at[part[0]]])
                     for item, starts in self._enough(seeds, k[part], at[part]):
                         lo, hi = np.searchsorted(rows, (row, row + 1))
                         yield a + row, words[lo:hi], item, np.unique(starts - lo)
 
     def _enough(self, seeds: Seeds, grams: np.ndarray, at: np.ndarray):
-        _, pairs = seeds.behind(np.unique(grams))
-        behind, rare = seeds.items[pairs], seeds.rare[pairs]
-        count = np.bincount(behind)
-        enough = np.flatnonzero(count >= np.maximum(self.need[:len(count)], 1))
-        if not len(enough):
-            return
-        enough = enough[np.isin(enough, behind[rare])]
-        if not len(enough):
+        """(item, places where it may start) of the items with enough seeds, one of them rare, and
+        enough of them within the words that an alignment at the threshold may span."""
+        pairs = seeds.behind(np.unique(grams))[1]
+        count = np.bincount(seeds.items[pairs], minlength=len(self.need))
+        rare = np.zeros(len(self.need), bool)
+        rare[seeds.items[pairs[seeds.rare[pairs]]]] = True
+        enough = rare & (count >= self.need)
+        if not enough.any():
             return
         of, pairs = seeds.behind(grams)
-        behind = seeds.items[pairs]
-        for item in enough.tolist():
-            some = behind == item
-            yield item, at[of[some]] - seeds.places[pairs[some]]
+        some = enough[seeds.items[pairs]]
+        behind, pos, place = seeds.items[pairs[some]], at[of[some]], seeds.places[pairs[some]]
+        order = np.lexsort((pos, behind))
+        behind, pos, place = behind[order], pos[order], place[order]
+        first = np.append(True, (np.diff(behind) != 0) | (np.diff(pos) != 0))       # an item at a place once
+        item, spot = behind[first], pos[first]
+        last = np.arange(len(item)) + self.need[item] - 1
+        end = np.minimum(last, len(item) - 1)
+        near = np.flatnonzero((last == end) & (item[end] == item) & (spot[end] - spot <= self.span[item]))
+        if not len(near):
+            return
+        size = len(item) + 1
+        inside = np.cumsum(np.bincount(near, minlength=size) - np.bincount(last[near] + 1, minlength=size)) > 0
+        kept = np.flatnonzero(inside[np.cumsum(first) - 1])
+        for part in np.split(kept, np.flatnonzero(np.diff(behind[kept])) + 1):
+            yield int(behind[part[0]]), pos[part] - place[part]
 
 
 def align(item: np.ndarray, window: np.ndarray) -> tuple[int, int, int]:
@@ -181,13 +201,13 @@ def _dense(distinct: np.ndarray, length: int, window: np.ndarray, threshold: flo
     k = np.searchsorted(distinct, window)
     k[k == len(distinct)] = 0
     total = np.concatenate([[0], np.cumsum(distinct[k] == window)])
-    span = min(math.ceil(length * (3 - 2 * threshold)), len(window))
-    at = np.flatnonzero(total[span:] - total[:-span or None] >= threshold * length - 1e-9)
+    words = min(span(length, threshold), len(window))
+    at = np.flatnonzero(total[words:] - total[:-words or None] >= threshold * length - 1e-9)
     if not len(at):
         return
-    cuts = np.flatnonzero(np.diff(at) > span)
+    cuts = np.flatnonzero(np.diff(at) > words)
     for lo, hi in zip(at[np.append(0, cuts + 1)].tolist(), at[np.append(cuts, -1)].tolist()):
-        yield lo, hi + span
+        yield lo, hi + words
 
 
 def _matches(items: Items, threshold: float):
