@@ -101,3 +101,25 @@ def test_empty_and_null_values(spark, sales, tmp_path):
     odd = sales.limit(50).withColumns({"client_id": F.lit(None).cast("string"), "date": F.lit(None).cast("date")})
     Z.write_clustered(odd, str(tmp_path / "b"), files=2)
     assert Z.read_clustered(spark, str(tmp_path / "b")).exceptAll(odd).count() == 0
+
+
+def test_rows_are_computed_once(spark, tmp_path):
+    made = spark.sparkContext.accumulator(0)
+
+    def rows(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    s = spark.range(500).select(
+        F.col("id").cast("string").alias("id"), (F.col("id") % 7).cast("string").alias("client_id"),
+        (F.col("id") % 3).cast("string").alias("product_type"), F.lit("2024-01-01").cast("date").alias("date"))
+    Z.write_clustered(s.mapInArrow(rows, s.schema), str(tmp_path), files=4)
+    assert Z.read_clustered(spark, str(tmp_path)).count() == 500 and made.value == 500
+
+
+def test_ranks_count_the_boundaries_reached(spark):
+    ends = {"a": ["b", "d", "f"], "n": [10, 20], "e": []}
+    df = spark.createDataFrame([("a", 9, 1), ("b", 10, 1), ("e", 19, 1), ("z", 20, 1), (None, None, None)], "a string, n int, e int")
+    rows = Z._with_ranks(df, ["a", "n", "e"], ends, 2).select("_rank0", "_rank1", "_rank2").collect()
+    assert [tuple(r) for r in rows] == [(0, 0, 0), (1, 1, 0), (2, 1, 0), (3, 2, 0), (0, 0, 0)]
