@@ -46,7 +46,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage, drop_cut
@@ -175,10 +175,11 @@ def subset_buckets(reps: DataFrame, x: int, num: int, den: int) -> DataFrame:
 
 
 def _shared_buckets(rows: DataFrame) -> DataFrame:
-    """The rows whose bucket has several components."""
-    several = (rows.groupBy("bucket").agg(F.min("component").alias("c1"), F.max("component").alias("c2"))
-               .filter("c1 != c2").select("bucket"))
-    return rows.join(several, "bucket")
+    """The rows whose bucket has several components.  Most buckets have one row, so an
+    aggregate beside the rows would shuffle nearly as much again as the rows."""
+    bucket = Window.partitionBy("bucket")
+    return (rows.withColumn("c1", F.min("component").over(bucket)).withColumn("c2", F.max("component").over(bucket))
+            .filter("c1 != c2").drop("c1", "c2"))
 
 
 def _pairs(a: str, b: str) -> list:
@@ -257,23 +258,23 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # share whose heads consist of such elements (their full sets are needed anyway)
     posting = reps.filter(F.col("n") >= _least_share(x + 1, num, den)).withColumn(
         "p", (F.col("n") - F.ceil(F.col("n") * num / den) + 1).cast("int")).withColumnRenamed("head", "elements")
-    heavy = cut_lineage(_often(posting.select("component", F.explode("elements").alias("h"))), "heavy")
+    heavy = _often(posting.select("component", F.explode("elements").alias("h")))
     too_short = (F.col("n_light") < F.col("p")) & (F.size("ordered") < F.col("n"))
     keys = ["rep", "s1", "s2", "n", "component", "p"]
     short = cut_lineage(_light_first(posting, heavy).filter(too_short).select(*keys), "short")
     have = copies.select("rep")
     sets = copies.union(cut_lineage(_fetch(docs, short.join(have, "rep", "left_anti"), width), "sets"))
-    of_short = sets.join(short.select("rep", "s1", "s2", "component"), ["rep", "s1", "s2"])
+    of_short = sets.join(_small(short.select("rep", "s1", "s2", "component")), ["rep", "s1", "s2"])
     also = _often(of_short.select("component", F.explode("elements").alias("h")))
     narrower, heavy = heavy, cut_lineage(heavy.union(also).distinct(), "heavy")
     placed = cut_lineage(_light_first(posting, heavy), "placed")
     some, short = short, cut_lineage(placed.filter(too_short).select(*keys), "short")
     more = short.join(some.select("rep"), "rep", "left_anti").join(have, "rep", "left_anti")
     sets = sets.union(cut_lineage(_fetch(docs, more, width), "sets"))
-    drop_cut(narrower, some)
+    drop_cut(narrower, also, some)
 
     # the global order: light elements by hash, then heavy ones by hash
-    full = _light_first(sets.join(short, ["rep", "s1", "s2"]).select(*keys, "elements"), heavy)
+    full = _light_first(sets.join(_small(short), ["rep", "s1", "s2"]).select(*keys, "elements"), heavy)
     prefix = F.slice("ordered", F.lit(1), F.col("p")).alias("first")
     longer = full.select("rep", "s1", "s2", "n", "component", prefix).dropDuplicates(["rep", "s1", "s2"])
     first = placed.filter(~too_short).select("rep", "n", "component", prefix).union(longer.drop("s1", "s2"))
@@ -335,14 +336,17 @@ def _light_first(rows: DataFrame, heavy: DataFrame) -> DataFrame:
 
 
 def _often(rows: DataFrame) -> DataFrame:
-    """The elements ``h`` that more than ``HEAVY`` components have.  Texts are counted
-    first; only elements of many texts are then counted by component."""
-    texts = rows.groupBy("h").agg(F.count(F.lit(1)).alias("k")).filter(F.col("k") > HEAVY).select("h")
-    several = rows.join(texts, "h").select("h", "component").distinct()
-    return several.groupBy("h").agg(F.count(F.lit(1)).alias("k")).filter(F.col("k") > HEAVY).select("h")
+    """The elements ``h`` that more than ``HEAVY`` components have, written.  Texts are counted
+    first; only elements of many texts are then counted by component.  The first count is
+    written too: joined as it is, all rows would be shuffled before its size is known."""
+    many = lambda x: x.groupBy("h").agg(F.count(F.lit(1)).alias("k")).filter(F.col("k") > HEAVY).select("h")
+    texts = cut_lineage(many(rows), "often")
+    found = cut_lineage(many(rows.join(_small(texts), "h").select("h", "component").distinct()), "heavy")
+    drop_cut(texts)
+    return found
 
 
-#: rows of a table that is broadcast (two or three longs each, so at most about 50 MB as a hash
+#: rows of a table that is broadcast (one to six longs each, so at most about 70 MB as a hash
 #: table); larger ones take a shuffle join
 _BROADCAST_ROWS = 500_000
 

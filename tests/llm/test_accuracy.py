@@ -100,6 +100,35 @@ def test_prefixes_hold_different_elements(spark, monkeypatch):
     assert len({(r.rep, r.bucket) for r in lists[0]}) == len(lists[0])
 
 
+@pytest.mark.parametrize("limit", [0, 500_000])
+def test_sets_and_lists_are_shuffled_no_second_time(spark, monkeypatch, limit):
+    plans = []
+
+    def cut(df, name, f=ngram_join.cut_lineage):
+        plans.append((name, df._jdf.queryExecution().executedPlan().toString()))
+        return f(df, name)
+    monkeypatch.setattr(ngram_join, "HEAVY", 4)
+    monkeypatch.setattr(ngram_join, "_BROADCAST_ROWS", limit)
+    monkeypatch.setattr(ngram_join, "cut_lineage", cut)
+    passages = [[f"p{k}x{j}" for j in range(60)] for k in range(4)]
+    texts = {i: " ".join(passages[i % 4] + [f"o{i // 8}x{j}" for j in range(i % 5 * 4)]) for i in range(120)}
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.link_components(docs, width=3, num=80).collect()}
+        rows = spark.createDataFrame([(b, r, r % c) for b, c in ((1, 1), (2, 2), (3, 9)) for r in range(c * 2)],
+                                     "bucket long, rep long, component long")
+        shared = ngram_join._shared_buckets(rows)
+        assert shared._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+        assert sorted(map(tuple, shared.collect())) == sorted(tuple(r) for r in rows.collect() if r.bucket > 1)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert got == brute_components(texts, 3, 80, 100)
+    wide = [name for name, plan in plans if name in ("heavy", "members") and "SortMergeJoin" in plan]
+    assert {name for name, _ in plans} >= {"heavy", "members"} and bool(wide) == (limit == 0)
+
+
 def test_pipeline_stages_tell_texts_of_an_id_apart(spark):
     import corpus_pipeline
     words = lambda t: " ".join(f"{t}{k}" for k in range(30))
