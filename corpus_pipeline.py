@@ -36,9 +36,9 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     linked = ngram_join.link_components(docs, width=5, num=80, den=100, text_key=True)
-    others = linked.filter("component_id != doc_id").select("doc_id", "text_key").distinct()
+    others = cut_lineage(linked.filter("component_id != doc_id").select("doc_id", "text_key").distinct(), "copies")
     left = (docs.doc_id == others.doc_id) & (F.xxhash64(docs.text) == others.text_key)
-    return docs.join(others, left, "left_anti").dropDuplicates(["doc_id", "text"])
+    return docs.join(ngram_join.small(others), left, "left_anti").dropDuplicates(["doc_id", "text"])
 
 
 def remove_test_items(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .inputs import pick, share
+from .inputs import pick, pieces, share
 
 ORDERS = (1, 2, 3)
 UNKNOWN = "und"
@@ -61,7 +61,7 @@ def count_ngrams(labelled: DataFrame, bits: int) -> DataFrame:
     """``lang, bin, n`` of all training texts (columns ``lang, text``)."""
     def run(batches):
         counts: dict[str, np.ndarray] = {}
-        for batch in batches:
+        for batch in (part for whole in batches for part in pieces(whole)):
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 own = counts.setdefault(lang, np.zeros(1 << bits, np.int64))
                 for bins in _text_bins(text, bits):
@@ -160,7 +160,7 @@ def keep_identified(docs: DataFrame, model: Model, text_col: str = "text", min_s
 
     def run(batches):
         m = shared()
-        for batch in batches:
+        for batch in (part for whole in batches for part in pieces(whole)):
             found = (m.best(text) for text in batch.column(at).to_pylist())
             yield batch.filter(pa.array([lang != UNKNOWN and score >= min_score for lang, score in found], pa.bool_()))
     return docs.mapInArrow(run, docs.schema)

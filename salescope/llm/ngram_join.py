@@ -52,7 +52,7 @@ from pyspark.sql import functions as F
 from ..session import cut_lineage, drop_cut
 from . import textbytes as tb
 from .components import components
-from .inputs import pick, share
+from .inputs import pick, share, small_batches
 
 #: largest size whose subsets may be enumerated; the boundary is chosen below it
 SMALL_MAX = 29
@@ -62,6 +62,8 @@ SCAN_COST = 4.0
 HEAVY = 32
 #: least elements of a text that bring it to its near copies
 SEEDS = 3
+#: bytes of text hashed at a time; the working arrays take about fifty times as much
+SLICE_BYTES = 1 << 18
 
 _SHINGLED = "doc_id long, text_key long, n_shingles long, s1 long, s2 long, head array<long>"
 
@@ -79,7 +81,7 @@ def _head_size(n: int, num: int, den: int) -> int:
 def _sets(column: pa.Array, width: int):
     """For every slice of the texts, a list of (row, sorted distinct n-gram hashes,
     hash of the word sequence)."""
-    for a, b, data, offsets in tb.slices(column):
+    for a, b, data, offsets in tb.slices(column, SLICE_BYTES):
         out = []
         words, rows = tb.word_hashes(data, offsets, tb.NOT_SPACE)
         grams, at = tb.ngram_hashes(words, rows, width)
@@ -233,13 +235,19 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     128-bit hashes.  An empty table gives an empty result.
     """
     docs = pick(docs, doc_id=id_col, text=text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
+    with small_batches(docs.sparkSession):
+        return _linked(docs, width, num, den, text_key)
+
+
+def _linked(docs: DataFrame, width: int, num: int, den: int, text_key: bool) -> DataFrame:
+    """``link_components`` of ``doc_id, text``; the table returned has no Python step."""
     rows = cut_lineage(shingle_heads(docs, width, num, den).withColumn("row", F.monotonically_increasing_id()), "shingles")
     # one row of each class, however often its id and text repeat
     first_row = F.min(F.struct("doc_id", "row"))
     classes = cut_lineage(rows.filter("n_shingles > 0 and doc_id is not null").groupBy("s1", "s2").agg(first_row.alias("first"))
                           .select("s1", "s2", F.col("first.doc_id").alias("rep"), F.col("first.row").alias("row")), "classes")
     # an id that represents several texts is one node; each text posts its own prefix
-    reps = rows.join(_small(classes.select("rep", "row")), "row").select(
+    reps = rows.join(small(classes.select("rep", "row")), "row").select(
         "rep", "s1", "s2", F.col("n_shingles").alias("n"), "head")
     reps = cut_lineage(reps, "heads")
     with_heads, rows = rows, cut_lineage(rows.select("doc_id", "text_key", "n_shingles", "s1", "s2"), "shingles")
@@ -264,7 +272,7 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     short = cut_lineage(_light_first(posting, heavy).filter(too_short).select(*keys), "short")
     have = copies.select("rep")
     sets = copies.union(cut_lineage(_fetch(docs, short.join(have, "rep", "left_anti"), width), "sets"))
-    of_short = sets.join(_small(short.select("rep", "s1", "s2", "component")), ["rep", "s1", "s2"])
+    of_short = sets.join(small(short.select("rep", "s1", "s2", "component")), ["rep", "s1", "s2"])
     also = _often(of_short.select("component", F.explode("elements").alias("h")))
     narrower, heavy = heavy, cut_lineage(heavy.union(also).distinct(), "heavy")
     placed = cut_lineage(_light_first(posting, heavy), "placed")
@@ -274,7 +282,7 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     drop_cut(narrower, also, some)
 
     # the global order: light elements by hash, then heavy ones by hash
-    full = _light_first(sets.join(_small(short), ["rep", "s1", "s2"]).select(*keys, "elements"), heavy)
+    full = _light_first(sets.join(small(short), ["rep", "s1", "s2"]).select(*keys, "elements"), heavy)
     prefix = F.slice("ordered", F.lit(1), F.col("p")).alias("first")
     longer = full.select("rep", "s1", "s2", "n", "component", prefix).dropDuplicates(["rep", "s1", "s2"])
     first = placed.filter(~too_short).select("rep", "n", "component", prefix).union(longer.drop("s1", "s2"))
@@ -341,7 +349,7 @@ def _often(rows: DataFrame) -> DataFrame:
     written too: joined as it is, all rows would be shuffled before its size is known."""
     many = lambda x: x.groupBy("h").agg(F.count(F.lit(1)).alias("k")).filter(F.col("k") > HEAVY).select("h")
     texts = cut_lineage(many(rows), "often")
-    found = cut_lineage(many(rows.join(_small(texts), "h").select("h", "component").distinct()), "heavy")
+    found = cut_lineage(many(rows.join(small(texts), "h").select("h", "component").distinct()), "heavy")
     drop_cut(texts)
     return found
 
@@ -351,7 +359,7 @@ def _often(rows: DataFrame) -> DataFrame:
 _BROADCAST_ROWS = 500_000
 
 
-def _small(table: DataFrame) -> DataFrame:
+def small(table: DataFrame) -> DataFrame:
     """Broadcast hint for a narrow table whose row count allows it."""
     return F.broadcast(table) if table.limit(_BROADCAST_ROWS + 1).count() <= _BROADCAST_ROWS else table
 
@@ -359,14 +367,14 @@ def _small(table: DataFrame) -> DataFrame:
 def _fetch(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     """Full sets ``rep, elements`` of the wanted ids (which may repeat)."""
     ids = wanted.select(F.col("rep").alias("doc_id"))
-    return full_sets(docs.join(_small(ids), "doc_id", "left_semi"), width)
+    return full_sets(docs.join(small(ids), "doc_id", "left_semi"), width)
 
 
 def _plausible(pairs: DataFrame, heads: DataFrame, num: int, den: int) -> DataFrame:
     """The pairs that their heads do not rule out.  Below the smaller of the two
     heads' last hashes both heads are complete, so what one has there and the
     other lacks is missing for good; a linked pair can miss only so much."""
-    narrow = heads.join(_small(_ends(pairs)), "rep", "left_semi")
+    narrow = heads.join(small(_ends(pairs)), "rep", "left_semi")
     end = F.when(F.size("head") < F.col("n"), F.element_at("head", -1)).otherwise(F.lit((1 << 63) - 1))
     side = lambda x: narrow.select(F.col("rep").alias(x), F.col("n").alias(f"n_{x}"),
                                    F.col("head").alias(f"h_{x}"), end.alias(f"e_{x}"))

@@ -3,13 +3,15 @@ clashing extra columns: each operator has a defined result for them."""
 
 import hashlib
 import re
+import uuid
 import zlib
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from salescope.llm import (decontaminate, exact_dedup, html_extract, lang_id, license_scan, lm_score, mixing,
-                           ngram_join, quality, sharding)
+from salescope.llm import (decontaminate, exact_dedup, html_extract, inputs, lang_id, license_scan, lm_score,
+                           mixing, ngram_join, quality, sharding)
 
 SCHEMA = ("doc_id long, text string, lang string, source string, n_chars long, digest string, norm string, "
           "score double, shard int, slot long, block long, rep long, n long, meta string, part int, trained boolean")
@@ -212,6 +214,47 @@ def test_ngram_join(docs, nothing):
     assert ngram_join.link_components(nothing).count() == 0
 
 
+def test_ngram_join_takes_long_texts_a_few_megabytes_at_a_time(spark, tmp_path, monkeypatch):
+    keys = ["spark.sql.execution.arrow.maxBytesPerBatch", "spark.sql.parquet.columnarReaderBatchSize"]
+    before = [spark.conf.get(k) for k in keys]
+    shingle_heads, at = ngram_join.shingle_heads, str(tmp_path)
+
+    def measured(docs, *rest):
+        def note(batches):
+            for batch in batches:
+                with open(f"{at}/{uuid.uuid4().hex}", "w") as f:
+                    f.write(f"{batch.num_rows} {batch.nbytes}")
+                yield batch
+        return shingle_heads(docs.mapInArrow(note, docs.schema), *rest)
+
+    monkeypatch.setattr(ngram_join, "shingle_heads", measured)
+    texts = spark.range(0, 3000, 1, 1).selectExpr("id as doc_id", "repeat(concat('w', id, ' '), 1000) as text")
+    got = ngram_join.link_components(texts)
+    seen = [tuple(map(int, p.read_text().split())) for p in tmp_path.iterdir()]
+    assert sum(rows for rows, _ in seen) == 3000 and sum(size for _, size in seen) > 12_000_000
+    assert max(size for _, size in seen) < 6_000_000
+    assert got.filter("n_shingles = 1 and component_id = doc_id").count() == got.count() == 3000
+    assert [spark.conf.get(k) for k in keys] == before
+
+
+def test_settings_go_back_after_an_error(spark):
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    with pytest.raises(ValueError):
+        with inputs.small_batches(spark):
+            assert spark.conf.get(key) != before
+            raise ValueError
+    assert spark.conf.get(key) == before
+
+
+def test_pieces_hold_all_rows_in_order():
+    batch = pa.record_batch([pa.array(range(1000))], names=["i"])
+    parts = list(inputs.pieces(batch, 300))
+    assert [p.num_rows for p in parts] == [300, 300, 300, 100]
+    assert pa.Table.from_batches(parts).column("i").to_pylist() == list(range(1000))
+    assert list(inputs.pieces(batch.slice(0, 0))) == []
+
+
 def test_decontaminate(spark, docs, nothing):
     tests = spark.createDataFrame([(1, "Quick brown fox jumps; over the lazy dog", 1.0), (2, None, 1.0), (3, "", 1.0), (4, "two words", 1.0),
                                    (5, "dolor sit amet lorem", 1.0)], "item_id long, text string, score double")
