@@ -20,9 +20,10 @@ partner of theirs can have; a shared subset is a candidate.
 their first n - ceil(num n / den) + 1 elements.  The order is: light elements by
 hash, then heavy ones by hash, an element being heavy when its inverted list is
 long.  So the lists that get scanned are short wherever a text has anything of
-its own.  Each text posts a hash-ordered head with some slack; the few texts
-whose head has too many heavy elements post from their full set.  Small sets
-that can reach a large one post as well.
+its own.  Each text posts a hash-ordered head with some slack; texts whose head
+has too many heavy elements post from a head ``LONGER`` times as long, and those
+that still have too many from their full set.  Small sets that can reach a large
+one post as well.
 
 *Near copies first.*  Texts that share one of their ``SEEDS`` least elements are
 compared with one of them, and what links becomes a component at once.  From
@@ -35,7 +36,10 @@ member that has the element first in its order) is compared with the others of
 other components, and the components that this yields are merged.  Pairs of a
 list that are still in different components are then compared one by one, so
 nothing is lost.  Size and positional filters apply to every pair before it is
-made.  Every candidate is verified on the full sets.
+made.  Every set has a parity bitmap (for each value of the low bits of its
+hashes, whether an odd number of elements has it); where the bitmaps of two sets
+differ, the sets differ, which rules out most pairs.  Every candidate left is
+verified on the full sets, the only step that moves them.
 """
 
 from __future__ import annotations
@@ -62,10 +66,14 @@ SCAN_COST = 4.0
 HEAVY = 32
 #: least elements of a text that bring it to its near copies
 SEEDS = 3
+#: a longer head holds so many times the elements of a head
+LONGER = 3
+#: bits of a set's bitmap at least; larger sets have the largest power of two up to their size
+LEAST_BITS = 256
 #: bytes of text hashed at a time; the working arrays take about fifty times as much
 SLICE_BYTES = 1 << 18
 
-_SHINGLED = "doc_id long, text_key long, n_shingles long, s1 long, s2 long, head array<long>"
+_SHINGLED = "doc_id long, text_key long, n_shingles long, s1 long, s2 long, head array<long>, bits binary"
 
 
 def _least_share(n: int, num: int, den: int) -> int:
@@ -78,6 +86,20 @@ def _head_size(n: int, num: int, den: int) -> int:
     return n if n <= SMALL_MAX else min(n, p + p // 8 + 2)
 
 
+def _bitmap(found: np.ndarray) -> bytes:
+    """The parity bitmap of a set of hashes."""
+    size = max(LEAST_BITS, 1 << max(len(found).bit_length() - 1, 0))
+    odd = np.bincount(found & (size - 1), minlength=size) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def _bits_apart(x: bytes, y: bytes) -> int:
+    """Places where two bitmaps differ, after the larger is folded to the size of the other:
+    at most the number of elements that only one of the sets has."""
+    a, b = sorted((np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)), key=len)
+    return int(np.bitwise_count(a ^ np.bitwise_xor.reduce(b.reshape(-1, len(a)), axis=0)).sum())
+
+
 def _sets(column: pa.Array, width: int):
     """For every slice of the texts, a list of (row, sorted distinct n-gram hashes,
     hash of the word sequence)."""
@@ -118,19 +140,22 @@ def shingle_heads(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
                 heads = [found[:_head_size(len(found), num, den)] for _, found, _ in part]
                 yield pa.record_batch([ids.take(at), keys.take(at),
                                        pa.array([len(found) for _, found, _ in part], pa.int64()), pa.array(s1, pa.int64()),
-                                       pa.array(s2, pa.int64()), pa.array(heads, pa.list_(pa.int64()))],
-                                      names=["doc_id", "text_key", "n_shingles", "s1", "s2", "head"])
+                                       pa.array(s2, pa.int64()), pa.array(heads, pa.list_(pa.int64())),
+                                       pa.array([_bitmap(found) for _, found, _ in part], pa.binary())],
+                                      names=["doc_id", "text_key", "n_shingles", "s1", "s2", "head", "bits"])
     return docs.select("doc_id", "text", F.xxhash64("text").alias("text_key")).mapInArrow(run, _SHINGLED)
 
 
-def full_sets(docs: DataFrame, width: int) -> DataFrame:
+def full_sets(docs: DataFrame, width: int, upto=None) -> DataFrame:
+    """Sets of the texts; with ``upto``, a function of their size, so many of their least elements."""
     def run(batches):
         for batch in batches:
             for part in _sets(batch.column(1), width):
                 s1, s2 = zip(*[_sequence(seq) for _, _, seq in part])
                 yield pa.record_batch([batch.column(0).take(pa.array([row for row, _, _ in part], pa.int64())),
                                        pa.array(s1, pa.int64()), pa.array(s2, pa.int64()),
-                                       pa.array([found for _, found, _ in part], pa.list_(pa.int64()))],
+                                       pa.array([found[:upto(len(found)) if upto else None] for _, found, _ in part],
+                                                pa.list_(pa.int64()))],
                                       names=["rep", "s1", "s2", "elements"])
     return docs.select("doc_id", "text").mapInArrow(run, "rep long, s1 long, s2 long, elements array<long>")
 
@@ -188,20 +213,19 @@ def _pairs(a: str, b: str) -> list:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
 
-def _near_copies(reps: DataFrame, docs: DataFrame, width: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
-    """(links, full sets of the texts compared) of texts with a least element in
-    common: every text of a seed's list against one of them."""
+def _near_copies(reps: DataFrame, docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
+    """Links of texts with a least element in common: every text of a seed's list against
+    one of them."""
     seeds = reps.select("rep", "n", F.explode(F.slice("head", 1, SEEDS)).alias("bucket"))
     pivots = seeds.groupBy("bucket").agg(F.min(F.struct("n", "rep")).alias("pivot"), F.count(F.lit(1)).alias("k"))
     least, most = F.col("pivot.n"), F.col("n")              # the pivot is the smallest
-    star = (seeds.join(pivots.filter("k > 1"), "bucket")
-            .filter((F.col("rep") != F.col("pivot.rep")) & (least * den >= most * num))
-            .select(*_pairs("rep", "pivot.rep")).distinct())
+    star = cut_lineage(seeds.join(pivots.filter("k > 1"), "bucket")
+                       .filter((F.col("rep") != F.col("pivot.rep")) & (least * den >= most * num))
+                       .select(*_pairs("rep", "pivot.rep")).distinct(), "star")
     likely = cut_lineage(_plausible(star, reps, num, den), "likely")
-    sets = cut_lineage(_fetch(docs, _ends(likely).distinct(), width), "sets")
-    links = cut_lineage(_verified(likely, sets, num, den), "links")
-    drop_cut(likely)
-    return links, sets
+    links = _verified(likely, docs, width, num, den)
+    drop_cut(star, likely)
+    return links
 
 
 def _may_link(n1, p1, n2, p2, num: int, den: int):
@@ -212,12 +236,16 @@ def _may_link(n1, p1, n2, p2, num: int, den: int):
     return (least * den >= most * num) & (best * (num + den) >= (n1 + n2) * num)
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+def _verified(pairs: DataFrame, docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
+    """The pairs whose full sets link, written."""
+    sets = cut_lineage(_fetch(docs, _ends(pairs).distinct(), width), "sets")
     a = sets.select(F.col("rep").alias("a"), F.col("elements").alias("of_a"))
     b = sets.select(F.col("rep").alias("b"), F.col("elements").alias("of_b"))
     same = F.size(F.array_intersect("of_a", "of_b"))
-    return (pairs.join(a, "a").join(b, "b")
-            .filter(same * (num + den) >= (F.size("of_a") + F.size("of_b")) * num).select("a", "b"))
+    links = cut_lineage(pairs.join(a, "a").join(b, "b")
+                        .filter(same * (num + den) >= (F.size("of_a") + F.size("of_b")) * num).select("a", "b"), "links")
+    drop_cut(sets)
+    return links
 
 
 def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -243,65 +271,88 @@ def _linked(docs: DataFrame, width: int, num: int, den: int, text_key: bool) ->
     """``link_components`` of ``doc_id, text``; the table returned has no Python step."""
     rows = cut_lineage(shingle_heads(docs, width, num, den).withColumn("row", F.monotonically_increasing_id()), "shingles")
     # one row of each class, however often its id and text repeat
+    named = rows.filter("n_shingles > 0 and doc_id is not null")
     first_row = F.min(F.struct("doc_id", "row"))
-    classes = cut_lineage(rows.filter("n_shingles > 0 and doc_id is not null").groupBy("s1", "s2").agg(first_row.alias("first"))
+    classes = cut_lineage(named.groupBy("s1", "s2").agg(first_row.alias("first"))
                           .select("s1", "s2", F.col("first.doc_id").alias("rep"), F.col("first.row").alias("row")), "classes")
-    # an id that represents several texts is one node; each text posts its own prefix
-    reps = rows.join(small(classes.select("rep", "row")), "row").select(
-        "rep", "s1", "s2", F.col("n_shingles").alias("n"), "head")
-    reps = cut_lineage(reps, "heads")
+    # an id that represents several texts is one node; each text posts its own prefix.  The rows
+    # that go are fewer than those that stay, and only their numbers are moved
+    repeats = cut_lineage(named.select("row").join(classes.select("row"), "row", "left_anti"), "repeats")
+    reps = _beside(named, repeats, "row", "left_anti").select(
+        F.col("doc_id").alias("rep"), "s1", "s2", F.col("n_shingles").alias("n"), "head", "bits")
     with_heads, rows = rows, cut_lineage(rows.select("doc_id", "text_key", "n_shingles", "s1", "s2"), "shingles")
-    drop_cut(with_heads)
     histogram = {r[0]: r[1] for r in reps.filter(F.col("n") <= SMALL_MAX).groupBy("n").count().collect()}
     x = boundary(histogram, num, den)
 
     # components of near copies; from here on they count, not texts
-    links, copies = _near_copies(reps, docs, width, num, den)
-    comp = components(links).select(F.col("node").alias("rep"), "component")
-    by_text, reps = reps, cut_lineage(reps.join(comp, "rep", "left").withColumn(
-        "component", F.coalesce("component", "rep")), "heads")
-    drop_cut(by_text)
-
-    # heavy elements: those that many heads post, and those that many of the texts
-    # share whose heads consist of such elements (their full sets are needed anyway)
-    posting = reps.filter(F.col("n") >= _least_share(x + 1, num, den)).withColumn(
-        "p", (F.col("n") - F.ceil(F.col("n") * num / den) + 1).cast("int")).withColumnRenamed("head", "elements")
-    heavy = _often(posting.select("component", F.explode("elements").alias("h")))
-    too_short = (F.col("n_light") < F.col("p")) & (F.size("ordered") < F.col("n"))
-    keys = ["rep", "s1", "s2", "n", "component", "p"]
-    short = cut_lineage(_light_first(posting, heavy).filter(too_short).select(*keys), "short")
-    have = copies.select("rep")
-    sets = copies.union(cut_lineage(_fetch(docs, short.join(have, "rep", "left_anti"), width), "sets"))
-    of_short = sets.join(small(short.select("rep", "s1", "s2", "component")), ["rep", "s1", "s2"])
-    also = _often(of_short.select("component", F.explode("elements").alias("h")))
-    narrower, heavy = heavy, cut_lineage(heavy.union(also).distinct(), "heavy")
-    placed = cut_lineage(_light_first(posting, heavy), "placed")
-    some, short = short, cut_lineage(placed.filter(too_short).select(*keys), "short")
-    more = short.join(some.select("rep"), "rep", "left_anti").join(have, "rep", "left_anti")
-    sets = sets.union(cut_lineage(_fetch(docs, more, width), "sets"))
-    drop_cut(narrower, also, some)
+    links = _near_copies(reps, docs, width, num, den)
+    near = cut_lineage(components(links).select(F.col("node").alias("rep"), "component"), "near")
+    by_text, reps = reps, _beside(reps, near, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
 
-    # the global order: light elements by hash, then heavy ones by hash
-    full = _light_first(sets.join(small(short), ["rep", "s1", "s2"]).select(*keys, "elements"), heavy)
-    prefix = F.slice("ordered", F.lit(1), F.col("p")).alias("first")
-    longer = full.select("rep", "s1", "s2", "n", "component", prefix).dropDuplicates(["rep", "s1", "s2"])
-    first = placed.filter(~too_short).select("rep", "n", "component", prefix).union(longer.drop("s1", "s2"))
+    posting = reps.filter(F.col("n") >= _least_share(x + 1, num, den)).withColumn(
+        "p", (F.col("n") - F.ceil(F.col("n") * num / den) + 1).cast("int")).withColumnRenamed("head", "elements").drop("bits")
+    first = _first_elements(posting, docs, width, num, den)
     lists = first.select("rep", "n", "component", F.posexplode("first").alias("pos", "bucket")).select(
         "bucket", "rep", "n", F.col("pos").cast("long").alias("pos"), "component")
     subsets = subset_buckets(reps, x, num, den)
-    members = cut_lineage(_shared_buckets(lists.unionByName(subsets)), "members")
-    drop_cut(heavy, short, placed)
-
-    comp = _merge(members, docs, reps, sets, links, width, num, den)
-    drop_cut(reps, copies)
+    # the pivot of a bucket: the member that has its element earliest
+    early = F.struct((F.col("pos") / F.col("n")).alias("r"), *[F.col(c).alias(c) for c in ("rep", "n", "pos", "component")])
+    other = (F.col("component") != F.col("pivot.component")) & _may_link(
+        F.col("n"), F.col("pos"), F.col("pivot.n"), F.col("pivot.pos"), num, den)
+    members = cut_lineage(_shared_buckets(lists.unionByName(subsets))
+                          .withColumn("pivot", F.min(early).over(Window.partitionBy("bucket")))
+                          .withColumn("partner", F.when(other, F.col("pivot.rep"))).drop("pivot"), "members")
+    drop_cut(first)
+
+    comp = _merge(members, docs, reps, links, width, num, den)
+    drop_cut(with_heads, repeats, near, links, by_text, reps)
     node = classes.drop("row").join(comp, F.col("rep") == F.col("node"), "left").select(
         "s1", "s2", F.coalesce("component", "rep").alias("class_component"))
     return rows.join(node, ["s1", "s2"], "left").select(
         "doc_id", "n_shingles", F.coalesce("class_component", "doc_id").alias("component_id"), *["text_key"] * text_key)
 
 
-#: heavy elements that a task holds as one sorted array (1.6 MB); more take a shuffle join
-HELD_HEAVY = 200_000
+def _first_elements(posting: DataFrame, docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
+    """``rep, n, component, first``, written: the first ``p`` elements of every set in the
+    global order.  ``posting`` has their heads as ``elements``."""
+    keys = ["rep", "s1", "s2", "n", "component", "p"]
+    too_short = (F.col("n_light") < F.col("p")) & (F.size("ordered") < F.col("n"))
+    sizes = (lambda n: LONGER * _head_size(n, num, den), None)
+    of = lambda sets, short: sets.join(small(short), ["rep", "s1", "s2"]).select(*keys, "elements")
+
+    # heavy elements: those that many heads post, and those that many of the texts share whose
+    # shorter heads consist of such elements
+    level, asked = posting, []
+    heavy = _often(posting.select("component", F.explode("elements").alias("h")))
+    for upto in sizes:
+        short = cut_lineage(_light_first(level, heavy).filter(too_short).select(*keys).distinct(), "short")
+        sets = cut_lineage(_fetch(docs, short, width, upto), "sets")
+        level = of(sets, short)
+        also = _often(level.select("component", F.explode("elements").alias("h")))
+        narrower, heavy = heavy, cut_lineage(heavy.union(also).distinct(), "heavy")
+        drop_cut(narrower, also)
+        asked.append((short, sets))
+
+    # the global order: light elements by hash, then heavy ones by hash
+    prefix = F.slice("ordered", F.lit(1), F.col("p")).alias("first")
+    level, first, done = posting, [], [heavy]
+    for upto, (before, sets) in zip(sizes, asked):
+        placed = cut_lineage(_light_first(level, heavy).withColumn(
+            "first", F.when(~too_short, prefix)).drop("ordered", "n_light"), "placed")
+        short = cut_lineage(placed.filter("first is null").drop("first").distinct(), "short")
+        late = cut_lineage(_fetch(docs, short.join(before.select("rep"), "rep", "left_anti"), width, upto), "sets")
+        level = of(sets.union(late), short)
+        first.append(placed.filter("first is not null"))
+        done += [before, sets, placed, short, late]
+    # texts that were fetched come as often as their rows do
+    longer = first[1].union(_light_first(level, heavy).select(*keys, prefix)).dropDuplicates(["rep", "s1", "s2"])
+    out = cut_lineage(first[0].union(longer.select(*first[0].columns)).select("rep", "n", "component", "first"), "first")
+    drop_cut(*done)
+    return out
+
+
+#: heavy elements that a task holds as one sorted array (16 MB); more take a shuffle join
+HELD_HEAVY = 2_000_000
 #: elements that a task orders at a time
 HELD_ELEMENTS = 100_000
 
@@ -311,9 +362,8 @@ def _light_first(rows: DataFrame, heavy: DataFrame) -> DataFrame:
     hash, then heavy ones by hash), and ``n_light``, the number of light ones; without
     ``elements``."""
     others = [c for c in rows.columns if c != "elements"]
-    held = [r.h for r in heavy.limit(HELD_HEAVY + 1).collect()]
-    if len(held) <= HELD_HEAVY:
-        table = share(rows.sparkSession, np.sort(np.array(held, np.int64)))
+    if heavy.count() <= HELD_HEAVY:
+        table = share(rows.sparkSession, np.sort(heavy.toArrow()["h"].to_numpy()))
 
         def run(batches):
             known = table()
@@ -337,19 +387,27 @@ def _light_first(rows: DataFrame, heavy: DataFrame) -> DataFrame:
         kinds = dict(rows.dtypes)
         return rows.select(*others, "elements").mapInArrow(
             run, ", ".join([*[f"{c} {kinds[c]}" for c in others], "ordered array<long>", "n_light long"]))
-    marked = rows.select(*others, F.explode("elements").alias("h")).join(heavy.withColumn("w", F.lit(1)), "h", "left")
-    return (marked.groupBy(*others).agg(F.array_sort(F.collect_set(F.struct(F.coalesce("w", F.lit(0)).alias("w"), "h"))).alias("e"))
-            .select(*others, F.transform("e", lambda e: e.h).alias("ordered"),
-                    F.size(F.filter("e", lambda e: e.w == 0)).cast("long").alias("n_light")))
+    # of the elements, only those that are heavy come back; a row is told by its id, and what
+    # another text of the id brings along is heavy too
+    hits = (rows.select("rep", F.explode("elements").alias("h")).join(heavy, "h", "left_semi")
+            .groupBy("rep").agg(F.collect_set("h").alias("heavy")))
+    none = F.array().cast("array<long>")
+    return (rows.join(hits, "rep", "left").withColumn("heavy", F.coalesce("heavy", none))
+            .withColumn("light", F.array_sort(F.array_except("elements", "heavy")))
+            .withColumn("ordered", F.concat("light", F.array_sort(F.array_intersect("elements", "heavy"))))
+            .select(*others, "ordered", F.size("light").cast("long").alias("n_light")))
 
 
 def _often(rows: DataFrame) -> DataFrame:
     """The elements ``h`` that more than ``HEAVY`` components have, written.  Texts are counted
-    first; only elements of many texts are then counted by component.  The first count is
-    written too: joined as it is, all rows would be shuffled before its size is known."""
-    many = lambda x: x.groupBy("h").agg(F.count(F.lit(1)).alias("k")).filter(F.col("k") > HEAVY).select("h")
-    texts = cut_lineage(many(rows), "often")
-    found = cut_lineage(many(rows.join(small(texts), "h").select("h", "component").distinct()), "heavy")
+    first, by half of the element, which takes half the bytes to shuffle; only elements of many
+    texts are then counted by component.  The first count is written too: joined as it is, all
+    rows would be shuffled before its size is known."""
+    half = F.col("h").bitwiseAND(F.lit(0xFFFFFFFF)).alias("half")
+    many = lambda x, by: x.groupBy(by).agg(F.count(F.lit(1)).alias("k")).filter(F.col("k") > HEAVY).select(by)
+    texts = cut_lineage(many(rows.select(half), "half"), "often")
+    found = cut_lineage(many(rows.withColumn("half", half).join(small(texts), "half").select("h", "component").distinct(), "h"),
+                        "heavy")
     drop_cut(texts)
     return found
 
@@ -359,66 +417,62 @@ def _often(rows: DataFrame) -> DataFrame:
 _BROADCAST_ROWS = 500_000
 
 
+def _few(table: DataFrame) -> bool:
+    return table.limit(_BROADCAST_ROWS + 1).count() <= _BROADCAST_ROWS
+
+
 def small(table: DataFrame) -> DataFrame:
     """Broadcast hint for a narrow table whose row count allows it."""
-    return F.broadcast(table) if table.limit(_BROADCAST_ROWS + 1).count() <= _BROADCAST_ROWS else table
+    return F.broadcast(table) if _few(table) else table
 
 
-def _fetch(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """Full sets ``rep, elements`` of the wanted ids (which may repeat)."""
-    ids = wanted.select(F.col("rep").alias("doc_id"))
-    return full_sets(docs.join(small(ids), "doc_id", "left_semi"), width)
+def _beside(rows: DataFrame, table: DataFrame, on: str, how: str) -> DataFrame:
+    """Wide ``rows`` joined with a narrow written table; written if they have to be shuffled
+    for that, so that it happens once."""
+    return rows.join(F.broadcast(table), on, how) if _few(table) else cut_lineage(rows.join(table, on, how), "heads")
 
 
-def _plausible(pairs: DataFrame, heads: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs that their heads do not rule out.  Below the smaller of the two
-    heads' last hashes both heads are complete, so what one has there and the
-    other lacks is missing for good; a linked pair can miss only so much."""
-    narrow = heads.join(small(_ends(pairs)), "rep", "left_semi")
-    end = F.when(F.size("head") < F.col("n"), F.element_at("head", -1)).otherwise(F.lit((1 << 63) - 1))
-    side = lambda x: narrow.select(F.col("rep").alias(x), F.col("n").alias(f"n_{x}"),
-                                   F.col("head").alias(f"h_{x}"), end.alias(f"e_{x}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
-    upto = F.least("e_a", "e_b")
-    part = lambda x: F.filter(f"h_{x}", lambda h: h <= upto)
-    cut = both.select("a", "b", "n_a", "n_b", part("a").alias("h_a"), part("b").alias("h_b"))
-    cut = cut.withColumn("shared", F.size(F.array_intersect("h_a", "h_b")))
-    most = F.least(F.col("n_a") - F.size("h_a"), F.col("n_b") - F.size("h_b")) + F.col("shared")
-    return cut.filter(most * (num + den) >= (F.col("n_a") + F.col("n_b")) * num).select("a", "b").distinct()
+def _fetch(docs: DataFrame, wanted: DataFrame, width: int, upto=None) -> DataFrame:
+    """Sets ``rep, elements`` of the wanted ids (which may repeat), see ``full_sets``."""
+    ids = wanted.select(F.col("rep").alias("doc_id")).distinct()
+    return full_sets(docs.join(small(ids), "doc_id", "left_semi"), width, upto)
+
+
+def _plausible(pairs: DataFrame, reps: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs that their bitmaps do not rule out: where these differ, the sets differ, and a
+    linked pair can differ only so much."""
+    narrow = reps.join(small(_ends(pairs).distinct()), "rep", "left_semi")
+    side = lambda x: narrow.select(F.col("rep").alias(x), F.col("n").alias(f"n_{x}"), F.col("bits").alias(f"bits_{x}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", (F.col("n_a") + F.col("n_b")).alias("n"), "bits_a", "bits_b")
+
+    def run(batches):
+        for batch in batches:
+            apart = [_bits_apart(x, y) for x, y in zip(batch.column("bits_a").to_pylist(), batch.column("bits_b").to_pylist())]
+            n = batch.column("n").to_numpy()
+            keep = (n - np.array(apart, np.int64)) * (num + den) >= 2 * num * n
+            yield batch.select(["a", "b"]).filter(pa.array(keep))
+
+    return both.mapInArrow(run, "a long, b long").distinct()
 
 
 def _ends(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.explode(F.array("a", "b")).alias("rep"))
 
 
-def _merge(members: DataFrame, docs: DataFrame, heads: DataFrame, sets: DataFrame, links: DataFrame,
+def _merge(members: DataFrame, docs: DataFrame, reps: DataFrame, links: DataFrame,
            width: int, num: int, den: int) -> DataFrame:
-    """``node, component`` over the links found so far and those among bucket members.
-    ``sets`` holds full sets that are there already; those of other candidates are
-    fetched."""
-    def fetched(pairs, sets):
-        missing = cut_lineage(_ends(pairs).distinct().join(sets.select("rep"), "rep", "left_anti"), "ids")
-        found = cut_lineage(_fetch(docs, missing, width), "sets")
-        drop_cut(missing)
-        return found
-
-    # the pivot of a bucket: the member that has its element earliest
-    early = F.struct((F.col("pos") / F.col("n")).alias("r"), *[F.col(c).alias(c) for c in ("rep", "n", "pos", "component")])
-    pivots = members.groupBy("bucket").agg(F.min(early).alias("pivot"))
-    starred = members.join(pivots, "bucket").filter(
-        (F.col("component") != F.col("pivot.component"))
-        & _may_link(F.col("n"), F.col("pos"), F.col("pivot.n"), F.col("pivot.pos"), num, den))
-    star = cut_lineage(starred.select(*_pairs("rep", "pivot.rep")).distinct(), "star")
-    likely = cut_lineage(_plausible(star, heads, num, den), "likely")
-    more_sets = fetched(likely, sets)
-    all_sets = sets.union(more_sets)
-    links = cut_lineage(links.union(_verified(likely, all_sets, num, den)), "links")
+    """``node, component`` over the links found so far and those among bucket members."""
+    star = cut_lineage(members.filter("partner is not null").select(*_pairs("rep", "partner")).distinct(), "star")
+    likely = cut_lineage(_plausible(star, reps, num, den), "likely")
+    found = _verified(likely, docs, width, num, den)
+    links = links.union(found)
     drop_cut(likely)
     comp = components(links)
     # buckets that still span several components: their remaining pairs, one by one
-    known = members.drop("component").join(comp.withColumnRenamed("node", "rep"), "rep", "left").withColumn(
+    known = members.drop("component", "partner").join(small(comp.withColumnRenamed("node", "rep")), "rep", "left").withColumn(
         "component", F.coalesce("component", "rep"))
     known = cut_lineage(_shared_buckets(known), "open")
+    drop_cut(members)
     u, v = known.alias("u"), known.alias("v")
     rest = u.join(v, (F.col("u.bucket") == F.col("v.bucket")) & (F.col("u.rep") < F.col("v.rep"))
                   & (F.col("u.component") != F.col("v.component"))
@@ -426,14 +480,13 @@ def _merge(members: DataFrame, docs: DataFrame, heads: DataFrame, sets: DataFram
     rest = cut_lineage(rest.select(F.col("u.rep").alias("a"), F.col("v.rep").alias("b")).distinct()
                        .join(star, ["a", "b"], "left_anti"), "rest")
     drop_cut(star, known)
-    compared, rest = rest, cut_lineage(_plausible(rest, heads, num, den), "likely")
+    compared, rest = rest, cut_lineage(_plausible(rest, reps, num, den), "likely")
     drop_cut(compared)
     if rest.isEmpty():
-        drop_cut(members, more_sets, rest, links)
+        drop_cut(rest, found)
         return comp
-    last_sets = fetched(rest, all_sets)
-    more = cut_lineage(_verified(rest, all_sets.union(last_sets), num, den), "links")
+    more = _verified(rest, docs, width, num, den)
     if not more.isEmpty():
         comp = components(links.union(more))
-    drop_cut(members, more_sets, last_sets, rest, links, more)
+    drop_cut(rest, found, more)
     return comp

@@ -129,6 +129,76 @@ def test_sets_and_lists_are_shuffled_no_second_time(spark, monkeypatch, limit):
     assert {name for name, _ in plans} >= {"heavy", "members"} and bool(wide) == (limit == 0)
 
 
+def _passages(rnd, changed):
+    """Texts by id: of each of 12 passages one whole copy and some with ``changed`` words replaced."""
+    texts = {}
+    for k in range(12):
+        words = [f"p{k}x{j}" for j in range(150)]
+        for i, c in enumerate([0, *changed]):
+            w = list(words)
+            for at in rnd.sample(range(150), c):
+                w[at] = f"n{k}x{i}x{at}"
+            texts[k * 100 + i] = " ".join(w)
+    return texts
+
+
+def test_bitmaps_differ_in_no_more_places_than_sets():
+    rnd = np.random.default_rng(5)
+    for n, m, both in [(0, 0, 0), (0, 5, 0), (1, 1, 1), (20, 25, 18), (300, 300, 300), (300, 290, 280), (500, 530, 490),
+                       (1000, 1030, 0), (9000, 8000, 7900), (100, 9000, 100)]:
+        e = np.unique(rnd.integers(0, 1 << 62, n + m))
+        a, b = np.sort(e[:n]), np.sort(e[n - both:n - both + m])
+        x, y = ngram_join._bitmap(a), ngram_join._bitmap(b)
+        apart = ngram_join._bits_apart(x, y)
+        assert apart == ngram_join._bits_apart(y, x) <= len(np.setxor1d(a, b))
+        assert len(x) <= max(32, len(a) // 8) and (both > 0 or n == 0 or apart > 0.1 * n)
+
+
+def test_sets_of_pairs_far_apart_are_not_fetched(spark, monkeypatch):
+    texts, fetched = _passages(random.Random(3), [1, 15, 15, 20, 30]), []
+    monkeypatch.setattr(ngram_join, "_fetch", lambda docs, wanted, *rest, f=ngram_join._fetch:
+                        fetched.extend(r.rep for r in wanted.collect()) or f(docs, wanted, *rest))
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.link_components(docs).collect()}
+    assert got == brute_components(texts, 3, 90, 100)
+    linked = {i for i in texts if i % 100 < 2}
+    assert set(fetched) >= {i for i, (_, c) in got.items() if c != i} and set(fetched) <= linked
+
+
+@pytest.mark.parametrize("longer, held", [(1, 10**6), (1, 0), (3, 0)])
+def test_texts_of_heavy_elements_lose_no_link(spark, monkeypatch, longer, held):
+    monkeypatch.setattr(ngram_join, "HEAVY", 2)
+    monkeypatch.setattr(ngram_join, "LONGER", longer)
+    monkeypatch.setattr(ngram_join, "HELD_HEAVY", held)
+    texts = _passages(random.Random(4), [1, 2, 9, 9, 9, 9, 12, 15, 30])
+    docs = spark.createDataFrame(list(texts.items()) * 2, "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.link_components(docs).collect()}
+    assert got == brute_components(texts, 3, 90, 100)
+
+
+def test_longer_heads_do_for_most_texts_of_heavy_elements(spark, monkeypatch):
+    written, texts = [], _passages(random.Random(6), [9] * 12)
+    monkeypatch.setattr(ngram_join, "HEAVY", 2)
+    monkeypatch.setattr(ngram_join, "cut_lineage", lambda df, name, f=ngram_join.cut_lineage:
+                        written.append((name, out := f(df, name), out.count() if name != "sets" else
+                                        out.agg(F.sum(F.size("elements"))).first()[0] or 0)) or out)
+    # words of their own beside a passage that many share
+    texts = {i: t + " " + " ".join(f"o{i}x{j}" for j in range(120)) for i, t in texts.items()}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.link_components(docs).collect()}
+    assert got == brute_components(texts, 3, 90, 100)
+    assert 0 < sum(k for name, _, k in written if name == "sets") < 0.6 * sum(n for n, _ in got.values())
+
+
+def test_heavy_elements_alone_are_shuffled(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "HELD_HEAVY", 0)
+    rows = spark.createDataFrame([(1, 7, 8, 3, [1, 5, 9]), (1, 7, 9, 3, [2, 5, 6])], "rep long, s1 long, s2 long, n long, elements array<long>")
+    out = ngram_join._light_first(rows, spark.createDataFrame([(5,), (9,)], "h long"))
+    assert sorted(map(tuple, out.collect())) == [(1, 7, 8, 3, [1, 5, 9], 1), (1, 7, 9, 3, [2, 6, 5], 2)]
+    exploded = re.findall(r"Generate explode\(elements#\d+\), (\[[^\]]*\])", out._jdf.queryExecution().executedPlan().toString())
+    assert exploded and all(re.fullmatch(r"\[rep#\d+L\]", x) for x in exploded)
+
+
 def test_pipeline_stages_tell_texts_of_an_id_apart(spark):
     import corpus_pipeline
     words = lambda t: " ".join(f"{t}{k}" for k in range(30))
