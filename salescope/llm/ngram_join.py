@@ -278,7 +278,8 @@ def _linked(docs: DataFrame, width: int, num: int, den: int, text_key: bool) ->
     # an id that represents several texts is one node; each text posts its own prefix.  The rows
     # that go are fewer than those that stay, and only their numbers are moved
     repeats = cut_lineage(named.select("row").join(classes.select("row"), "row", "left_anti"), "repeats")
-    reps = _beside(named, repeats, "row", "left_anti").select(
+    texts = _beside(named, repeats, "row", "left_anti")
+    reps = texts.select(
         F.col("doc_id").alias("rep"), "s1", "s2", F.col("n_shingles").alias("n"), "head", "bits")
     with_heads, rows = rows, cut_lineage(rows.select("doc_id", "text_key", "n_shingles", "s1", "s2"), "shingles")
     histogram = {r[0]: r[1] for r in reps.filter(F.col("n") <= SMALL_MAX).groupBy("n").count().collect()}
@@ -287,7 +288,8 @@ def _linked(docs: DataFrame, width: int, num: int, den: int, text_key: bool) ->
     # components of near copies; from here on they count, not texts
     links = _near_copies(reps, docs, width, num, den)
     near = cut_lineage(components(links).select(F.col("node").alias("rep"), "component"), "near")
-    by_text, reps = reps, _beside(reps, near, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    placed = _beside(reps, near, "rep", "left")
+    reps = placed.withColumn("component", F.coalesce("component", "rep"))
 
     posting = reps.filter(F.col("n") >= _least_share(x + 1, num, den)).withColumn(
         "p", (F.col("n") - F.ceil(F.col("n") * num / den) + 1).cast("int")).withColumnRenamed("head", "elements").drop("bits")
@@ -305,7 +307,7 @@ def _linked(docs: DataFrame, width: int, num: int, den: int, text_key: bool) ->
     drop_cut(first)
 
     comp = _merge(members, docs, reps, links, width, num, den)
-    drop_cut(with_heads, repeats, near, links, by_text, reps)
+    drop_cut(with_heads, repeats, near, links, texts, placed)
     node = classes.drop("row").join(comp, F.col("rep") == F.col("node"), "left").select(
         "s1", "s2", F.coalesce("component", "rep").alias("class_component"))
     return rows.join(node, ["s1", "s2"], "left").select(

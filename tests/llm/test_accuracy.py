@@ -190,6 +190,18 @@ def test_longer_heads_do_for_most_texts_of_heavy_elements(spark, monkeypatch):
     assert 0 < sum(k for name, _, k in written if name == "sets") < 0.6 * sum(n for n, _ in got.values())
 
 
+@pytest.mark.parametrize("limit", [0, 500_000])
+def test_heads_and_sets_are_deleted(spark, monkeypatch, tmp_path, limit):
+    monkeypatch.setattr(ngram_join, "HEAVY", 2)
+    monkeypatch.setattr(ngram_join, "_BROADCAST_ROWS", limit)
+    texts = _passages(random.Random(7), [0, 1, 9, 15])
+    monkeypatch.setattr("salescope.session.checkpoint_dir", lambda spark: str(tmp_path))
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.link_components(docs).collect()}
+    assert got == brute_components(texts, 3, 90, 100)
+    assert {p.name.split("-")[1] for p in tmp_path.glob("salescope-*")} <= {"shingles", "classes", "cc"}
+
+
 def test_heavy_elements_alone_are_shuffled(spark, monkeypatch):
     monkeypatch.setattr(ngram_join, "HELD_HEAVY", 0)
     rows = spark.createDataFrame([(1, 7, 8, 3, [1, 5, 9]), (1, 7, 9, 3, [2, 5, 6])], "rep long, s1 long, s2 long, n long, elements array<long>")
